@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, mixing
+from . import chat_format, exact_dedup, language_id, mixing, simhash
 from .util import table
 
 
@@ -20,6 +20,19 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, threshold=4).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = "crc32(CAST(doc_id AS STRING)) % 4"
+    model = language_id.language_model(docs.filter(f"coalesce({fold} <> 2, false)"))
+    return language_id.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.expr(f"coalesce({fold} = 2, false)").alias("held_out"), "lang_pred", "score")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     found: dict = {}
@@ -75,5 +88,5 @@ FROM l GROUP BY conv_id
 
 OP8_SQL = _chat_sql()
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op7_mixing": op7_mixing, "op8_chat_format": op8_chat_format}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_simhash": op2_simhash, "op5_language_id": op5_language_id, "op7_mixing": op7_mixing, "op8_chat_format": op8_chat_format}
 ORACLE = {"op1_exact_dedup": OP1_SQL, "op8_chat_format": OP8_SQL}
