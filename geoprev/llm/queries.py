@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, language_id, mixing, simhash
+from . import chat_format, decontaminate, exact_dedup, language_id, mixing, simhash, token_store
 from .util import table
 
 
@@ -25,6 +25,13 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontaminate.is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     fold = "crc32(CAST(doc_id AS STRING)) % 4"
@@ -88,5 +95,18 @@ FROM l GROUP BY conv_id
 
 OP8_SQL = _chat_sql()
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_simhash": op2_simhash, "op5_language_id": op5_language_id, "op7_mixing": op7_mixing, "op8_chat_format": op8_chat_format}
+def word_tokenizer() -> str:
+    """The tokenizer file of the box; only its path is used."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_store.write_store(table(spark, sf_dir, "documents").select("doc_id", "text"), word_tokenizer())
+    return token_store.checksums(spark, path)
+
+
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_simhash": op2_simhash, "op4_decontaminate": op4_decontaminate,
+           "op5_language_id": op5_language_id, "op7_mixing": op7_mixing, "op8_chat_format": op8_chat_format, "op9_token_store": op9_token_store}
 ORACLE = {"op1_exact_dedup": OP1_SQL, "op8_chat_format": OP8_SQL}
