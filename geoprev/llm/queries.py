@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, language_id, mixing, simhash, token_store
+from . import chat_format, decontaminate, exact_dedup, language_id, mixing, simhash, token_store, toxicity
 from .util import table
 
 
@@ -25,6 +25,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = "crc32(CAST(doc_id AS STRING)) % 3"
+    labelled = docs.filter(f"coalesce({fold} <> 1, false)").join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    model = toxicity.toxicity_model(labelled)
+    return toxicity.score(docs, model).select(
+        "doc_id", F.expr(f"coalesce({fold} = 1, false)").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -107,6 +116,6 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.checksums(spark, path)
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_simhash": op2_simhash, "op4_decontaminate": op4_decontaminate,
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op4_decontaminate": op4_decontaminate,
            "op5_language_id": op5_language_id, "op7_mixing": op7_mixing, "op8_chat_format": op8_chat_format, "op9_token_store": op9_token_store}
 ORACLE = {"op1_exact_dedup": OP1_SQL, "op8_chat_format": OP8_SQL}

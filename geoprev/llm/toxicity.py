@@ -32,9 +32,10 @@ from .arrow import bytes_list, pieces
 from .sampling import labelled_sample
 
 CUT = re.compile(rb"[\x00-\x60\x7b-\x7f]+")
-CARRIER = b" \x01\x02\x03\x04\x05\x06\x07\x0b\x0c\x0e\x0f"
-LEVEL = 9
-THRESHOLDS = (2, 4, 6, 8, 10)
+#: Longer than the 16 bytes at the end of a block in which zstandard looks for no match.
+CARRIER = b" " + bytes(range(1, 9)) + bytes(range(14, 32)) + bytes(range(14, 22))
+LEVEL = 3
+THRESHOLDS = (2, 3, 4, 5, 7)
 KEPT = 400_000
 _PRESSES: dict[bytes, tuple] = {}
 
@@ -80,32 +81,39 @@ def _content(words: list[bytes], size: int) -> bytes:
 
 
 def features(saved: list[int]) -> list[float]:
-    """Logarithms of how many windows are at or above each threshold, and their share at the middle one."""
+    """Logarithms of how many windows lie between each threshold and the next."""
     top = [x for x in saved if x >= THRESHOLDS[0]]
-    counts = [sum(x >= k for x in top) for k in THRESHOLDS]
-    return [1.0, *map(math.log1p, counts), 1000.0 * counts[len(counts) // 2] / (len(saved) + 100.0)]
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = x.T @ (x * (p * (1 - p))[:, None]) + 0.1 * np.eye(len(w))
-        step = np.linalg.solve(hessian, x.T @ (y - p) - 0.1 * w)
-        w += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
-
-
-def fit(ordinary: list[str], toxic: list[str], ordinary_bytes: int = 64 << 10, toxic_bytes: int = 8 << 10, rounds: int = 4, lift: float = 2.0) -> dict | None:
+    counts = [sum(x >= k for x in top) for k in THRESHOLDS] + [0]
+    return [1.0, *(math.log1p(a - b) for a, b in zip(counts, counts[1:]))]
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """Weights of a logistic regression, none but the first below zero: more savings never lower a score."""
+    used = list(range(x.shape[1]))
+    while True:
+        w, part = np.zeros(len(used)), x[:, used]
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            hessian = part.T @ (part * (p * (1 - p))[:, None]) + 0.1 * np.eye(len(w))
+            step = np.linalg.solve(hessian, part.T @ (y - p) - 0.1 * w)
+            w += np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-6:
+                break
+        if (w[1:] >= 0).all():
+            out = np.zeros(x.shape[1])
+            out[used] = w
+            return out
+        used = [k for k, v in zip(used, w) if k == 0 or v >= 0]
+
+
+def fit(ordinary: list[str], toxic: list[str], ordinary_bytes: int = 96 << 10, toxic_bytes: int = 8 << 10, rounds: int = 4, lift: float = 2.0) -> dict | None:
     """Dictionaries and calibration; None without examples of both."""
     if not ordinary or not toxic:
         return None
-    docs = [[windows(t.encode()) for t in texts] for texts in (ordinary, toxic)]
+    docs = [[windows(t.encode()) for t in dict.fromkeys(texts)] for texts in (ordinary, toxic)]
     seen = [Counter(w for d in texts for w in set(d) if len(w) > 2) for texts in docs]
     odds = lambda w: math.log((seen[1][w] + 0.5) / (len(docs[1]) + 1)) - math.log((seen[0][w] + 0.5) / (len(docs[0]) + 1))
-    marked = sorted((w for w, n in seen[1].items() if n > 3 and odds(w) > lift), key=lambda w: (-odds(w) * math.sqrt(seen[1][w]), w))
+    marked = sorted((w for w, n in seen[1].items() if n > max(3, len(docs[1]) / 100) and odds(w) > lift), key=lambda w: (-odds(w) * math.sqrt(seen[1][w]), w))
     usual = sorted((w for w in seen[0] if odds(w) < 0.7), key=lambda w: (-seen[0][w], w))
     toxic_part, hard = _content(marked, toxic_bytes), {}
     for _ in range(rounds):
