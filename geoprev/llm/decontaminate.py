@@ -31,7 +31,7 @@ from .util import stored
 
 #: Bytes that words consist of stay (A-Z in lower case), all others become blanks.
 WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 2 << 20
 
 
 def words(text: bytes) -> list[bytes]:
