@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, language_id, mixing, simhash, token_store, toxicity
+from . import chat_format, decontaminate, exact_dedup, language_id, mixing, simhash, suffix_dedup, token_store, toxicity
 from .util import table
 
 
@@ -116,6 +116,14 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.checksums(spark, path)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), length=400)
+    return out.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op4_decontaminate": op4_decontaminate,
-           "op5_language_id": op5_language_id, "op7_mixing": op7_mixing, "op8_chat_format": op8_chat_format, "op9_token_store": op9_token_store}
+           "op5_language_id": op5_language_id, "op7_mixing": op7_mixing, "op8_chat_format": op8_chat_format, "op9_token_store": op9_token_store,
+           "op10_suffix_dedup": op10_suffix_dedup}
 ORACLE = {"op1_exact_dedup": OP1_SQL, "op8_chat_format": OP8_SQL}
