@@ -21,8 +21,8 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, threshold=4).select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, scheme=simhash.EXACT).select(
+        "doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
