@@ -15,7 +15,7 @@ by digest only as a row of a few bytes; reading a document's checksum moves chec
 Chunks are written by one shuffle, recipes by a range of (doc_id, row), so no document id fills a task.
 
 Tokenizing splits at ASCII white space, which no token of a tokenizer that drops white space crosses, and encodes
-each distinct word once per task; the ids are those of encoding whole texts.
+each distinct word once per worker; the ids are those of encoding whole texts.
 
 Defined results: null text counts as empty (only the end id); repeated rows are kept, in the order of their input
 row; a null doc_id comes first; an empty table makes an empty store.
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -42,7 +43,8 @@ WINDOW = 16
 MEAN = 10  # a chunk has about 2 ** MEAN ids
 LONGEST = 1 << 13
 GEAR = np.random.default_rng(97).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
-CACHE = 200_000
+CACHE = 300_000
+_ENCODERS: dict = {}
 
 
 def digest(data: bytes) -> bytes:
@@ -72,25 +74,57 @@ def cuts(ids: np.ndarray) -> np.ndarray:
 
 
 class WordEncoder:
-    """Ids of texts as bytes; words between ASCII white space are encoded once and kept."""
+    """Ids of texts as bytes; words between ASCII white space are encoded once and kept while the worker lives."""
+
+    MARK = "\x02"  # between words that are encoded together
 
     def __init__(self, path: str, width: int):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer, self.width, self.known = Tokenizer.from_file(path), width, {}
+        self.older: dict = {}
+        mark = self._ids(self.MARK)
+        self.mark = int(mark[0]) if len(mark) == 1 else None
+
+    @classmethod
+    def of(cls, path: str, width: int) -> WordEncoder:
+        if (path, width) not in _ENCODERS:
+            _ENCODERS[path, width] = cls(path, width)
+        return _ENCODERS[path, width]
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, f"<u{self.width}")
+
+    def _learn(self, words: list[bytes]) -> None:
+        texts = [w.decode() for w in words]
+        ids = self._ids(f" {self.MARK} ".join([*texts, ""])) if self.mark is not None else np.zeros(0)
+        ends = np.flatnonzero(ids == self.mark)
+        if len(ends) == len(words):
+            raw, at = ids.tobytes(), 0
+            for w, e in zip(words, (self.width * ends).tolist()):
+                self.known[w] = raw[at:e]
+                at = e + self.width
+        else:  # a word holds the mark
+            for w, t in zip(words, texts):
+                self.known[w] = self._ids(t).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         # lower-casing A-Z is the tokenizer's own doing; ahead of it, it is safe where nothing composes and no special token is spelt
         split = [(t.lower() if t.isascii() and b"<|" not in t else t).split() for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known = self.known
-        new = list({w for ws in split for w in ws if w not in known})
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch([x.decode() for x in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, f"<u{self.width}").tobytes()
-        return [b"".join(map(known.__getitem__, ws)) for ws in split]
+        known, older = self.known, self.older
+        new = []
+        for w in {w for ws in split for w in ws}.difference(known):
+            if w in older:
+                known[w] = older[w]
+            else:
+                new.append(w)
+        for k in range(0, len(new), 1024):
+            self._learn(new[k : k + 1024])
+        out = [b"".join(map(known.__getitem__, ws)) for ws in split]
+        if len(known) > CACHE:  # what two generations have not met is forgotten
+            self.known, self.older = {}, known
+        return out
 
 
 def drops_space(path: str) -> bool:
@@ -111,7 +145,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int = 2
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, press, seen = WordEncoder(tokenizer, width), zstandard.ZstdCompressor(level=1), {}
+        encoder, press, seen = WordEncoder.of(tokenizer, width), zstandard.ZstdCompressor(level=1), {}
         part, row = TaskContext.get().partitionId(), 0
         for batch in pieces(batches, "text", 2 << 20):
             ids = encoder.encode(bytes_list(batch.column("text")))
