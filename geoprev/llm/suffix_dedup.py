@@ -10,7 +10,7 @@ directly, all others are induced by scanning the buckets of their first bytes, a
 
 Skew: equal fragments are combined before any shuffle of texts. A gram with more than `crowd` distinct fragments (a
 passage in a third of all documents, with other text around each) does not go to one task: the strings at its starts
-are counted by 128-bit digest instead, which is as exact and spreads over all tasks.
+are counted by 128-bit digest instead, in buckets of digests that spread over all tasks.
 
 Texts are handled as UTF-8 bytes; a cut may fall inside a character, so the kept text is binary. Defined results: null
 text counts as empty; texts shorter than `length` stay whole; rows with equal doc_id and text are documents of their
@@ -213,6 +213,62 @@ def _digest(x: bytes) -> tuple[int, int]:
 
 
 FRAGMENT = ["gram", "fa", "fb"]
+#: Strings of a bucket, on average, and fragments of a row, where strings are counted by digest.
+STRINGS, ROW = 300_000, 1024
+STRING = np.dtype([("xa", "<i8"), ("xb", "<i8"), ("part", "<u4"), ("at", "<u4")])
+
+
+def _pack(length: int, buckets: int):
+    """The strings at all starts of crowded fragments: a row for some fragments and each bucket of digests."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROW):
+                b = batch.slice(k, ROW)
+                rows = [(*_digest(p[j : j + length]), i, j) for i, p in enumerate(b.column("part").to_pylist()) for j in range(len(p) - length + 1)]
+                strings = np.array(rows, STRING)
+                bucket = (strings["xa"] % buckets).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+                strings = strings[order]
+                used = [i for i in range(buckets) if ends[i] > (ends[i - 1] if i else 0)]
+                lists = [pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(c)).take(pa.array([0] * len(used))) for c in ("doc_id", "th", "s", "full")]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(used, pa.int32()), *lists, pa.array([strings[(ends[i - 1] if i else 0) : ends[i]].tobytes() for i in used], pa.binary())],
+                    names=["bucket", "doc_id", "th", "s", "full", "strings"])
+
+    return run
+
+
+def _count(length: int):
+    """Spans, by fragment, of the strings that come more than once; all strings of a digest are in one bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in complete_groups(batches, ["bucket"]):
+            ids = {c: [x for xs in t.column(c).to_pylist() for x in xs] for c in ("th", "s", "full")}
+            docs = pa.concat_arrays([x.flatten() for x in t.column("doc_id").chunks])
+            parts, at = [], 0
+            for raw, n in zip(t.column("strings").to_pylist(), [len(x) for x in t.column("th").to_pylist()]):
+                x = np.frombuffer(raw, STRING).copy()
+                x["part"] += at
+                at += n
+                parts.append(x)
+            x = np.concatenate(parts)
+            x = x[np.lexsort((x["xb"], x["xa"]))]
+            new = np.concatenate([[True], (x["xa"][1:] != x["xa"][:-1]) | (x["xb"][1:] != x["xb"][:-1])])
+            group = np.cumsum(new) - 1
+            full = np.array(ids["full"], bool)
+            weight = np.bincount(group, 1.0 + full[x["part"]])
+            hit = x[(weight[group] > 1) & ~full[x["part"]]]
+            hit = hit[np.lexsort((hit["at"], hit["part"]))]
+            edge = np.flatnonzero(np.concatenate([[True], hit["part"][1:] != hit["part"][:-1], [True]])) if len(hit) else np.zeros(1, np.int64)
+            part = hit["part"][edge[:-1]].astype(np.int64)
+            starts = [(hit["at"][a:b].astype(np.int64) + ids["s"][p]).tolist() for a, b, p in zip(edge, edge[1:], part.tolist())]
+            yield pa.RecordBatch.from_arrays([
+                docs.take(pa.array(part)), pa.array([ids["th"][p] for p in part.tolist()], pa.int64()),
+                pa.array([merged([(k, k + length) for k in xs]) for xs in starts], pa.list_(pa.int64()))], names=["doc_id", "th", "spans"])
+
+    return run
 
 
 def dedup_spans(docs: DataFrame, length: int, crowd: int, broadcast_rows: int) -> DataFrame:
@@ -237,7 +293,7 @@ def dedup_spans(docs: DataFrame, length: int, crowd: int, broadcast_rows: int) -
     grams = distinct.groupBy("gram").agg(F.sum("copies").alias("total"), F.count(F.lit(1)).alias("kinds")).filter("total > 1")
     known = stored(distinct.join(grams.drop("total").hint("merge"), "gram"), "suffix-kinds")
     whole = every.join(known.filter("copies > 1").select(*FRAGMENT).hint("merge"), FRAGMENT).select(
-        "doc_id", "th", F.col("s").alias("lo"), (F.col("s") + F.col("n") - 1 + length).alias("hi"))
+        "doc_id", "th", F.array("s", F.col("s") + F.col("n") - 1 + length).alias("spans"))
 
     wanted = known.filter("kinds > 1").groupBy("one.doc_id", "one.th").agg(
         F.collect_list(F.struct("gram", "fa", "fb", F.col("one.s").alias("s"), F.col("one.n").alias("n"), (F.col("copies") > 1).alias("full"), (F.col("kinds") > crowd).alias("crowded"))).alias("parts"))
@@ -287,49 +343,35 @@ def dedup_spans(docs: DataFrame, length: int, crowd: int, broadcast_rows: int) -
                 size += sum(map(len, parts[edge[b] : edge[b + 1]]))
                 b += 1
             rows = range(edge[a], edge[b])
-            row, lo, hi = [], [], []
+            row, found = [], []
             for i, flags in zip(rows, repeated([parts[i] for i in rows], length)):
-                if not full[i]:
+                if not full[i] and flags.any():
                     x = _runs(flags)
-                    row += [i] * (len(x) // 2)
-                    lo += [int(s[i]) + k for k in x[::2]]
-                    hi += [int(s[i]) + k - 1 + length for k in x[1::2]]
+                    row.append(i)
+                    found.append([int(s[i]) + k + (length - 1) * (j % 2) for j, k in enumerate(x)])
             if row:
-                c = t.select(["doc_id", "th"]).take(pa.array(row)).combine_chunks()
-                yield pa.RecordBatch.from_arrays([*(x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in c.columns), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["doc_id", "th", "lo", "hi"])
+                c = t.select(["doc_id", "th"]).take(pa.array(row)).combine_chunks().to_batches()[0]
+                yield pa.RecordBatch.from_arrays([*c.columns, pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "th", "spans"])
             a = b
 
-    spans = f"doc_id {kind_sql}, th long, lo long, hi long"
+    spans = f"doc_id {kind_sql}, th long, spans array<long>"
     usual = texts.filter("NOT crowded").repartition("gram").sortWithinPartitions("gram").mapInArrow(sort, spans)
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                b = batch.slice(k, 256)
-                row, at, d = [], [], []
-                for i, (p, s) in enumerate(zip(b.column("part").to_pylist(), b.column("s").to_pylist())):
-                    for j in range(len(p) - length + 1):
-                        row.append(i)
-                        at.append(s + j)
-                        d.append(_digest(p[j : j + length]))
-                take = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("th").take(take), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()), pa.array(at, pa.int64()), b.column("full").take(take)], names=["doc_id", "th", "xa", "xb", "at", "full"])
-
     found = [whole, usual]
-    crowded = known.filter(F.col("kinds") > crowd)
-    if not crowded.isEmpty():
-        x = texts.filter("crowded").mapInArrow(strings, f"doc_id {kind_sql}, th long, xa long, xb long, at long, full boolean")
-        twice = x.groupBy("xa", "xb").agg(F.sum(F.when(F.col("full"), 2).otherwise(1)).alias("n")).filter("n > 1").select("xa", "xb")
-        found.append(x.filter("NOT full").join(twice.hint("merge"), ["xa", "xb"]).select("doc_id", "th", F.col("at").alias("lo"), (F.col("at") + length).alias("hi")))
+    crowded = known.filter(F.col("kinds") > crowd).agg(F.sum("one.n")).first()[0]
+    if crowded:
+        buckets = -(-crowded // STRINGS)
+        packed = texts.filter("crowded").mapInArrow(_pack(length, buckets), f"bucket int, doc_id array<{kind_sql}>, th array<long>, s array<long>, full array<boolean>, strings binary")
+        found.append(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(length), spans))
     marks = found[0]
     for more in found[1:]:
         marks = marks.unionByName(more)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array([merged([(x["lo"], x["hi"]) for x in xs]) for xs in b.column("spans").to_pylist()], pa.list_(pa.int64()))], names=["doc_id", "th", "spans"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array([merged([(x[k], x[k + 1]) for x in xs for k in range(0, len(x), 2)]) for xs in b.column("spans").to_pylist()], pa.list_(pa.int64()))], names=["doc_id", "th", "spans"])
 
-    return marks.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).mapInArrow(join, StructType().add("doc_id", kind).add("th", LongType()).add("spans", ArrayType(LongType())))
+    return marks.groupBy("doc_id", "th").agg(F.collect_list("spans").alias("spans")).mapInArrow(join, StructType().add("doc_id", kind).add("th", LongType()).add("spans", ArrayType(LongType())))
 
 
 def _checked(df: DataFrame, name: str, items: str, max_items: int) -> DataFrame:
