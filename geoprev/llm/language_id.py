@@ -99,7 +99,7 @@ def code_lengths(model: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
 
 def language_model(docs: DataFrame, per_language: int = 400, max_bytes: int = 20_000) -> dict:
     """Fit on at most per_language whole texts of at most max_bytes each; docs has doc_id, text, lang."""
-    return fit(labelled_sample(docs.select("doc_id", "text", F.col("lang").alias("label")), per_language, max_bytes))
+    return fit(labelled_sample(docs.select("doc_id", F.col("lang").alias("label")), docs, per_language, max_bytes))
 
 
 def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:

@@ -28,8 +28,8 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = "crc32(CAST(doc_id AS STRING)) % 3"
-    labelled = docs.filter(f"coalesce({fold} <> 1, false)").join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
-    model = toxicity.toxicity_model(labelled)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(f"coalesce({fold} <> 1, false)")
+    model = toxicity.toxicity_model(labels, docs)
     return toxicity.score(docs, model).select(
         "doc_id", F.expr(f"coalesce({fold} = 1, false)").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 

@@ -6,19 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_sample(rows: DataFrame, per_label: int, max_bytes: int, max_labels: int = 64, seed: int = 11) -> dict:
-    """At most per_label whole texts of at most max_bytes each, by label; rows has doc_id, text, label.
+def labelled_sample(labels: DataFrame, docs: DataFrame, per_label: int, max_bytes: int, max_labels: int = 64, seed: int = 11) -> dict:
+    """At most per_label whole texts of at most max_bytes each, by label; labels: doc_id, label; docs: doc_id, text.
 
-    The texts are those with the least seeded hash of doc_id; longer texts are not picked.
+    Picked are the documents with the least seeded hash of doc_id; longer, empty and null texts are passed over. Only
+    the ids picked (about 2 * per_label a label) meet the texts, by a broadcast of that bound.
     """
-    rows = rows.filter(f"label IS NOT NULL AND octet_length(text) BETWEEN 1 AND {max_bytes}").withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
+    rows = labels.filter("label IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "label", F.xxhash64(F.lit(seed), "doc_id").alias("h"))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().limit(max_labels + 1).collect()}
     if len(counts) > max_labels:
         raise ValueError(f"more than {max_labels} labels")
     share = F.lit(0.0)
     for label, n in counts.items():
-        share = F.when(F.col("label") == label, min(1.0, 1.3 * per_label / n + 20 / n)).otherwise(share)
-    near = rows.filter((F.col("h") / F.lit(2.0**64) + 0.5) < share).select("label", "h", "doc_id", "text").collect()
+        share = F.when(F.col("label") == label, min(1.0, (2 * per_label + 40) / n)).otherwise(share)
+    picked = F.broadcast(rows.filter((F.col("h") / F.lit(2.0**64) + 0.5) < share))
+    near = docs.select("doc_id", "text").filter(f"octet_length(text) BETWEEN 1 AND {max_bytes}").join(picked, "doc_id").collect()
     near.sort(key=lambda r: (r["h"], r["doc_id"], r["text"]))
     out: dict = {label: [] for label in sorted(counts)}
     for r in near:

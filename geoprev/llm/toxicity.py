@@ -129,9 +129,9 @@ def fit(ordinary: list[str], toxic: list[str], ordinary_bytes: int = 96 << 10, t
     return {"ordinary": ordinary_part, "toxic": toxic_part, "weights": _logistic(x, y)}
 
 
-def toxicity_model(docs: DataFrame, per_label: int = 3000, max_bytes: int = 20_000) -> dict | None:
-    """Fit on at most per_label whole texts of at most max_bytes of each label; docs has doc_id, text, toxic (0 or 1)."""
-    s = labelled_sample(docs.filter("toxic IN (0, 1)").select("doc_id", "text", F.col("toxic").alias("label")), per_label, max_bytes)
+def toxicity_model(labels: DataFrame, docs: DataFrame, per_label: int = 3000, max_bytes: int = 20_000) -> dict | None:
+    """Fit on at most per_label whole texts of at most max_bytes of each label; labels: doc_id, toxic (0 or 1); docs: doc_id, text."""
+    s = labelled_sample(labels.filter("toxic IN (0, 1)").select("doc_id", F.col("toxic").alias("label")), docs, per_label, max_bytes)
     return fit(s.get(0, []), s.get(1, []))
 
 
