@@ -1,2 +1,78 @@
+"""The corpus pipeline: language ID, SimHash near-dedup, benchmark decontamination, mixing, token output.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
+of documents. A stage's result is written as Parquet and read again before the next one. SQL can express neither the
+first stage nor those behind it, so there is no ORACLE_SQL; tests compare every stage with a brute-force version.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from geoprev.llm import decontaminate, language_id, mixing, simhash, token_store
+from geoprev.llm.queries import word_tokenizer
+from geoprev.llm.util import stored, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A text whose language is less sure than this is rejected.
+SURE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents with a letter whose language is sure; the model learns from a bounded sample of labelled ones."""
+    docs = docs.select(COLUMNS)
+    model = language_id.language_model(docs)
+    kept = language_id.predict(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= SURE))
+    return kept.select(COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group of near-duplicates (five-word shingles, similarity 0.8) one row: of the least doc_id."""
+    groups = simhash.near_duplicates(docs, shingle=5, scheme=simhash.WIDE)
+    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.select(COLUMNS).join(first.hint("merge"), "doc_id", "left_semi")
+    # a doc_id may repeat; one row of it stays
+    twice = stored(kept.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
+    if twice.isEmpty():
+        return kept
+    single = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("one"))
+    return kept.join(twice, "doc_id", "left_anti").unionByName(single.select("doc_id", "one.*"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of which benchmark windows of 13 words cover at least a twentieth."""
+    found = decontaminate.contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    bad = found.filter(decontaminate.is_contaminated(F.col("n_hit"), F.col("n_words"))).select("doc_id").distinct()
+    return docs.select(COLUMNS).join(stored(bad, "contaminated"), "doc_id", "left_anti")
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or drops documents so that the words of each source come to its target; a copy is a row of its own."""
+    mixed = mixing.mix(docs, F.array("source"), mixing.word_count(F.col("text")), carry=["text", "lang", "source", "n_chars"])
+    return mixed.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(COLUMNS)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the token store and returns what is read back: doc_id, start, n_tokens, ids_crc32."""
+    path = token_store.write_store(docs.select("doc_id", "text"), word_tokenizer())
+    return token_store.checksums(spark, path)
+
+
+STAGES = [
+    ("language_id", language),
+    ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontaminated),
+    ("mixing", mixture),
+    ("token_output", token_output),
+]
+
 ORACLE_SQL = None
-run = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        docs = out if i == len(STAGES) - 1 else stored(out, f"pipeline-{name}")
+    return docs

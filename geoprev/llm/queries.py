@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, language_id, mixing, simhash, suffix_dedup, token_store, toxicity
+from . import chat_format, decontaminate, exact_dedup, language_id, mixing, simhash, suffix_dedup, token_store, toxicity, url_filter
 from .util import table
 
 
@@ -49,6 +49,47 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.expr(f"coalesce({fold} = 2, false)").alias("held_out"), "lang_pred", "score")
 
 
+#: The dated list that op6 applies: (pattern, action, since, seq, category).
+URL_EVENTS = """
+('spam-farm.example.org', 'block', DATE '2024-01-10', 1, 'spam'),
+('cheap-pills.example.com', 'block', DATE '2024-02-01', 1, 'pharma'),
+('cheap-pills.example.com', 'off', DATE '2024-06-01', 1, 'pharma'),
+('cheap-pills.example.com', 'block', DATE '2024-09-01', 1, 'pharma'),
+('tionsh.example.net', 'block', DATE '2024-03-01', 1, 'copies'),
+('tionsh.example.net', 'off', DATE '2024-05-01', 1, 'copies'),
+('tionsh.example.net/de', 'block', DATE '2024-05-01', 1, 'copies'),
+('ththan.example.net', 'block', DATE '2024-01-01', 1, 'malware'),
+('blog.ththan.example.net', 'allow', DATE '2024-04-01', 1, 'reviewed'),
+('blog.ththan.example.net', 'off', DATE '2024-10-01', 1, 'reviewed'),
+('ththth.example.net/en', 'block', DATE '2024-07-01', 1, 'scraped'),
+('ththth.example.net/en', 'allow', DATE '2024-07-01', 2, 'reviewed'),
+('example.org/fr', 'block', DATE '2024-11-15', 1, 'legal'),
+('m.tiontion.example.com', 'block', DATE '2024-08-01', 1, 'spam')"""
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages hold no fetch time; a page's day is the (page_id mod 366)-th of 2024."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr("date_add(DATE '2024-01-01', CAST(page_id % 366 AS INT))").alias("day"))
+    events = spark.sql(f"SELECT * FROM VALUES {URL_EVENTS} AS e(pattern, action, since, seq, category)")
+    return url_filter.judge(pages, events).withColumn("day", F.col("day").cast("string"))
+
+
+OP6_SQL = f"""
+WITH e(pattern, action, since, seq, category) AS (VALUES {URL_EVENTS}),
+d AS (SELECT pattern, since, max_by(action, seq) AS action, max_by(category, seq) AS category FROM e GROUP BY pattern, since),
+i AS (SELECT *, lead(since) OVER (PARTITION BY pattern ORDER BY since) AS until FROM d),
+p AS (SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS day, nullif(regexp_replace(lower(regexp_extract(url, '{url_filter.HOST}', 1)), '[.]$', ''), '') AS host,
+  regexp_extract(url, '{url_filter.PATH}', 1) AS path FROM pages),
+m AS (SELECT DISTINCT page_id, url, day, pattern, action, category, length(split_part(pattern, '/', 1)) AS a, length(pattern) AS b FROM p JOIN i
+  ON day >= since AND (until IS NULL OR day < until) AND action <> 'off'
+  AND ('.' || host) LIKE ('%.' || split_part(pattern, '/', 1))
+  AND (instr(pattern, '/') = 0 OR (rtrim(regexp_replace(path, '/+', '/', 'g'), '/') || '/') LIKE (substr(pattern, instr(pattern, '/')) || '/%'))),
+v AS (SELECT *, row_number() OVER (PARTITION BY page_id, url, day ORDER BY a DESC, b DESC) AS k FROM m)
+SELECT p.page_id, p.url, CAST(p.day AS VARCHAR) AS day, p.host, coalesce(v.action = 'block', false) AS blocked, v.pattern, v.category
+FROM p LEFT JOIN v ON v.k = 1 AND p.page_id IS NOT DISTINCT FROM v.page_id AND p.url IS NOT DISTINCT FROM v.url AND p.day IS NOT DISTINCT FROM v.day
+"""
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     found: dict = {}
@@ -124,6 +165,6 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op4_decontaminate": op4_decontaminate,
-           "op5_language_id": op5_language_id, "op7_mixing": op7_mixing, "op8_chat_format": op8_chat_format, "op9_token_store": op9_token_store,
+           "op5_language_id": op5_language_id, "op6_url_filter": op6_url_filter, "op7_mixing": op7_mixing, "op8_chat_format": op8_chat_format, "op9_token_store": op9_token_store,
            "op10_suffix_dedup": op10_suffix_dedup}
-ORACLE = {"op1_exact_dedup": OP1_SQL, "op8_chat_format": OP8_SQL}
+ORACLE = {"op1_exact_dedup": OP1_SQL, "op6_url_filter": OP6_SQL, "op8_chat_format": OP8_SQL}
