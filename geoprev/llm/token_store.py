@@ -1,6 +1,6 @@
 """Token-ID / binary output: a content-addressed store of id streams.
 
-A rolling hash over 16 ids cuts each document's ids into chunks where the content says so, so equal passages
+A rolling hash over 12 ids cuts each document's ids into chunks where the content says so, so equal passages
 become equal chunks. A chunk is named by a digest of its ids and stored once (zstandard, little-endian ids of
 `width` bytes). A document's recipe lists its chunks; recipes lie in ascending doc_id order and carry the
 number of ids before them. Digests form Merkle trees: chunks to a document's root, documents to a part's root,
@@ -28,6 +28,8 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +41,12 @@ from pyspark.sql import functions as F
 from .arrow import bytes_list, pieces
 from .util import shared_dir
 
-WINDOW = 16
+WINDOW = 12
 MEAN = 10  # a chunk has about 2 ** MEAN ids
 LONGEST = 1 << 13
-GEAR = np.random.default_rng(97).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
-CACHE = 300_000
+GEAR = np.random.default_rng(97).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
+CACHE = 500_000
+TAIL = b".,;:!?&%$#*)"
 _ENCODERS: dict = {}
 
 
@@ -59,18 +62,20 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def cuts(ids: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of an id stream."""
-    h = np.zeros(len(ids), np.uint64)
+def cuts(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Ends of the chunks of an id stream of documents that end at `ends`; no chunk crosses a document."""
     g = GEAR[ids & 0xFFFF]
-    for j in range(min(WINDOW, len(ids))):
-        h[j:] += g[: len(ids) - j] << np.uint64(j)
-    ends = np.flatnonzero((h >> np.uint64(24)) & np.uint64((1 << MEAN) - 1) == 0) + 1
-    ends = np.unique(np.append(ends, len(ids)))
-    lengths = np.diff(ends, prepend=0)
+    h = g.copy()
+    for j in range(1, min(WINDOW, len(ids))):
+        h[j:] += g[:-j] << np.uint32(j)
+    at = np.flatnonzero((h >> np.uint32(WINDOW)) & np.uint32((1 << MEAN) - 1) == 0) + 1
+    begin = np.concatenate([[0], ends[:-1]])
+    at = at[at - begin[np.searchsorted(ends, at)] >= WINDOW]  # the window lies inside the document
+    at = np.unique(np.concatenate([at, ends]))
+    lengths = np.diff(at, prepend=0)
     if (lengths > LONGEST).any():
-        ends = np.concatenate([np.append(np.arange(e - n + LONGEST, e, LONGEST), e) for e, n in zip(ends, lengths)])
-    return ends
+        at = np.concatenate([np.append(np.arange(e - n + LONGEST, e, LONGEST), e) for e, n in zip(at, lengths)])
+    return at
 
 
 class WordEncoder:
@@ -86,6 +91,10 @@ class WordEncoder:
         self.older: dict = {}
         mark = self._ids(self.MARK)
         self.mark = int(mark[0]) if len(mark) == 1 else None
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") or "\x00"
+        self.last = np.zeros(max(self.tokenizer.get_vocab_size(), *vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
 
     @classmethod
     def of(cls, path: str, width: int) -> WordEncoder:
@@ -97,6 +106,7 @@ class WordEncoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, f"<u{self.width}")
 
     def _learn(self, words: list[bytes]) -> None:
+        """Encode words, each of them between marks."""
         texts = [w.decode() for w in words]
         ids = self._ids(f" {self.MARK} ".join([*texts, ""])) if self.mark is not None else np.zeros(0)
         ends = np.flatnonzero(ids == self.mark)
@@ -109,21 +119,55 @@ class WordEncoder:
             for w, t in zip(words, texts):
                 self.known[w] = self._ids(t).tobytes()
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        # lower-casing A-Z is the tokenizer's own doing; ahead of it, it is safe where nothing composes and no special token is spelt
-        split = [(t.lower() if t.isascii() and b"<|" not in t else t).split() for t in texts]
+    def _learn_letters(self, words: list[bytes]) -> None:
+        """Encode words of letters only: of each, the last token and no other ends a word."""
+        ids = self._ids(b" ".join(words).decode())
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words):
+            return self._learn(words)
+        raw, at, known = ids.tobytes(), 0, self.known
+        for w, e in zip(words, (self.width * ends).tolist()):
+            known[w] = raw[at:e]
+            at = e
+
+    def _learn_all(self, words: set[bytes]) -> None:
         known, older = self.known, self.older
-        new = []
-        for w in {w for ws in split for w in ws}.difference(known):
+        letters, others, joined = [], [], []
+        for w in words:
             if w in older:
                 known[w] = older[w]
-            else:
-                new.append(w)
-        for k in range(0, len(new), 1024):
-            self._learn(new[k : k + 1024])
-        out = [b"".join(map(known.__getitem__, ws)) for ws in split]
-        if len(known) > CACHE:  # what two generations have not met is forgotten
-            self.known, self.older = {}, known
+                continue
+            core = w.rstrip(TAIL)
+            if b"<|" in w or not core.decode().isalpha():
+                others.append(w)
+            elif core is w or len(core) == len(w):
+                letters.append(w)
+            else:  # letters, then punctuation: two pieces that no token crosses
+                joined.append((w, core, w[len(core) :]))
+        parts = {x for _, core, tail in joined for x in (core, tail)}.difference(known).difference(letters)
+        for x in parts:
+            (letters if x.decode().isalpha() else others).append(x)
+        for k in range(0, len(letters), 1024):
+            self._learn_letters(letters[k : k + 1024])
+        for k in range(0, len(others), 1024):
+            self._learn(others[k : k + 1024])
+        for w, core, tail in joined:
+            known[w] = known[core] + known[tail]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        # lower-casing A-Z is the tokenizer's own doing; ahead of it, it is safe where nothing composes and no special token is spelt
+        split = [(t.lower() if t.isascii() and b"<|" not in t else t).split() for t in texts]
+        get = self.known.get
+        ids = [list(map(get, ws)) for ws in split]
+        new = set()
+        for ws, xs in zip(split, ids):
+            new.update(compress(ws, map(not_, xs)))
+        if new:
+            self._learn_all(new)
+            ids = [list(map(get, ws)) if None in xs else xs for ws, xs in zip(split, ids)]
+        out = list(map(b"".join, ids))
+        if len(self.known) > CACHE:  # what two generations have not met is forgotten
+            self.known, self.older = {}, self.known
         return out
 
 
@@ -151,23 +195,28 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int = 2
             ids = encoder.encode(bytes_list(batch.column("text")))
             recipe: dict = {"key": [], "digests": [], "lengths": [], "root": []}
             chunk: dict = {"key": [], "n": [], "data": []}
-            for x in ids:
-                x += end
-                at, names, sizes = 0, [], cuts(np.frombuffer(x, f"<u{width}")).tolist()
-                for e in sizes:
-                    piece = x[at * width : e * width]
-                    names.append(name := digest(piece))
-                    if name not in seen:
-                        seen[name] = True
-                        chunk["key"].append(name)
-                        chunk["n"].append(e - at)
-                        chunk["data"].append(press.compress(piece))
-                    at = e
+            stream = b"".join(x + end for x in ids)
+            ends = np.cumsum([len(x) // width + 1 for x in ids])
+            at = cuts(np.frombuffer(stream, f"<u{width}"), ends)
+            lengths = np.diff(at, prepend=0).tolist()
+            names, a = [], 0
+            for e, n in zip((width * at).tolist(), lengths):
+                piece = stream[a:e]
+                names.append(name := digest(piece))
+                if name not in seen:
+                    seen[name] = True
+                    chunk["key"].append(name)
+                    chunk["n"].append(n)
+                    chunk["data"].append(press.compress(piece))
+                a = e
+            a = 0
+            for e in (np.searchsorted(at, ends) + 1).tolist():
                 recipe["key"].append(part.to_bytes(8, "big") + row.to_bytes(8, "big"))
-                recipe["digests"].append(names)
-                recipe["lengths"].append(np.diff(sizes, prepend=0).tolist())
-                recipe["root"].append(merkle(names))
+                recipe["digests"].append(names[a:e])
+                recipe["lengths"].append(lengths[a:e])
+                recipe["root"].append(merkle(names[a:e]))
                 row += 1
+                a = e
             if len(seen) > CACHE:
                 seen.clear()
             n, m = len(ids), len(chunk["key"])
