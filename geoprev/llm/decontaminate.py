@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructType
 
 from .arrow import bytes_list, pieces
-from .util import stored
+from .util import bound_batches, stored
 
 #: Bytes that words consist of stay (A-Z in lower case), all others become blanks.
 WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -143,6 +143,7 @@ SEGMENT = (StructType().add("name", StringType()).add("doc_ids", ArrayType(LongT
 
 def build_index(docs: DataFrame, terms: _Vocabulary) -> DataFrame:
     """The stored index, one row a segment; docs has doc_id (long) and text."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

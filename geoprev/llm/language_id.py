@@ -24,6 +24,7 @@ from pyspark.sql.types import DoubleType, StringType, StructType
 
 from .arrow import pieces, text_bytes
 from .sampling import labelled_sample
+from .util import bound_batches
 
 SYMBOLS = 128  # 0 marks the beginning of a text, 127 stands for bytes that the sample has hardly
 BLOCK = 1 << 19
@@ -105,6 +106,7 @@ def language_model(docs: DataFrame, per_language: int = 400, max_bytes: int = 20
 def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """The columns of docs with lang_pred and score in front of all others."""
     spark = docs.sparkSession
+    bound_batches(spark)
     frozen = spark.sparkContext.broadcast(model)
     keep = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
     names = [f.name for f in keep]

@@ -35,7 +35,7 @@ from pyspark.sql.types import BinaryType, StructType
 
 from .arrow import bytes_list, complete_groups, pieces
 from .components import components
-from .util import small, stored
+from .util import bound_batches, small, stored
 
 
 @dataclass(frozen=True)
@@ -94,6 +94,7 @@ def fingerprints(docs: DataFrame, shingle: int, words: int = 1, id_col: str = "d
             fp = [fingerprint(shingle_hashes(x, shingle), words) for x in bytes_list(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.binary())], names=["doc_id", "fp"])
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(run, StructType().add("doc_id", rows.schema["doc_id"].dataType).add("fp", BinaryType()))
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructType
 
 from .arrow import bytes_list, complete_groups, pieces, text_bytes
-from .util import stored
+from .util import bound_batches, stored
 
 GRAM = 64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -214,7 +214,7 @@ def _digest(x: bytes) -> tuple[int, int]:
 
 FRAGMENT = ["gram", "fa", "fb"]
 #: Strings of a bucket, on average, and fragments of a row, where strings are counted by digest.
-STRINGS, ROW = 300_000, 1024
+STRINGS, ROW = 200_000, 256
 STRING = np.dtype([("xa", "<i8"), ("xb", "<i8"), ("part", "<u4"), ("at", "<u4")])
 
 
@@ -277,7 +277,7 @@ def dedup_spans(docs: DataFrame, length: int, crowd: int, broadcast_rows: int) -
     kind_sql = kind.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 1 << 20):
+        for batch in pieces(batches, "text", 1 << 18):
             data, offsets = text_bytes(batch.column("text"))
             text, start, n, gram = fragments(data, offsets, length)
             raw = data.tobytes()
@@ -385,6 +385,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     """doc_id, n_bytes, spans (removed: starts and ends in turn), kept (binary) of every row."""
     if length < GRAM + 8 or length % 8:
         raise ValueError(f"length must be a multiple of 8 from {GRAM + 8}")
+    bound_batches(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     spans = _checked(dedup_spans(docs, length, crowd, broadcast_rows), "suffix-spans", "spans", broadcast_rows)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrow import bytes_list, pieces
-from .util import shared_dir
+from .util import bound_batches, shared_dir
 
 WINDOW = 12
 MEAN = 10  # a chunk has about 2 ** MEAN ids
@@ -182,6 +182,7 @@ def drops_space(path: str) -> bool:
 def write_store(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int = 2, path: str | None = None) -> str:
     """Encode docs (doc_id, text), write the store and return its path; ids must fit width bytes."""
     spark = docs.sparkSession
+    bound_batches(spark)
     path = path or shared_dir(spark, "token-store")
     if not drops_space(tokenizer):
         raise ValueError("the tokenizer keeps white space; its words can't be encoded one by one")

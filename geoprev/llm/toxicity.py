@@ -30,6 +30,7 @@ from pyspark.sql.types import DoubleType, StructType
 
 from .arrow import bytes_list, pieces
 from .sampling import labelled_sample
+from .util import bound_batches
 
 CUT = re.compile(rb"[\x00-\x60\x7b-\x7f]+")
 #: Longer than the 16 bytes at the end of a block in which zstandard looks for no match.
@@ -142,6 +143,7 @@ def score_text(text: bytes, model: dict, distance: Distance) -> float:
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
     """doc_id and score (0 to 1) of every row of docs (doc_id, text)."""
+    bound_batches(docs.sparkSession)
     frozen = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -54,3 +54,8 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only; null counts as empty."""
     return F.translate(F.coalesce(col.cast("string"), F.lit("")), UPPER, LOWER)
+
+
+def bound_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Let Arrow batches of this session hold no more than this, so that long texts don't fill Python workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
