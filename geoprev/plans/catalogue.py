@@ -1,4 +1,565 @@
-"""Queries of the prevalence-mapping operators, with DuckDB SQL of the same results."""
+"""Queries of the prevalence-mapping operators, with DuckDB SQL of the same results.
+
+The tables hold no surveys, so `surveys` builds them from order lines: a survey is a nation, a marker a part's remainder,
+positives are returned lines. Draws come from the embeddings: pixel, position and label stand for cell, draw and region.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import exprs as X
+from ..functions import geo
+from ..functions import validate as V
+from ..operators import grid as G
+from ..operators import obs as O
+from ..operators import pairs as P
+from ..operators import report as R
+from ..operators import spatial as S
+from . import model, simulate, variogram
 
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+#: The markers that stand for part keys modulo 5, and cut-offs of the reports.
+MUTATIONS = ("k13:561:H", "k13:622:I", "k13:675:V", "crt:76:T", "mdr1:86:Y")
+CUTOFF = 0.1
+BOX = geo.EAST_AFRICA
+OMEGA = ((0.01, 0.02), (-0.015, 0.005), (0.003, -0.01))
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+
+
+def surveys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The survey table; lines are counted by order, marker before they meet customers, so the joins carry counts."""
+    lines = _read(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_returnflag")
+    parts = _read(spark, sf_dir, "part", "p_partkey")
+    lines = lines.join(parts, lines.l_partkey == parts.p_partkey).groupBy("l_orderkey", (F.col("p_partkey") % 5).cast("int").alias("m")).agg(
+        F.count(F.when(F.col("l_returnflag") == "R", 1)).alias("pos"), F.count(F.lit(1)).alias("n"))
+    orders = _read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    customers, nations = _read(spark, sf_dir, "customer", "c_custkey", "c_nationkey"), _read(spark, sf_dir, "nation", "n_nationkey", "n_name")
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    counts = rows.groupBy("c_nationkey", (F.year("o_orderdate") + 20).cast("int").alias("year"), "m").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    k = F.col("n_nationkey")
+    names = F.array(*map(F.lit, MUTATIONS))
+    return counts.join(nations, F.col("c_nationkey") == k).select(
+        k.cast("string").alias("survey_id"), (k % 5).cast("string").alias("study_id"),
+        (F.lit(27.0) + (k % 5) * F.lit(4.0)).alias("longitude"), (F.lit(-5.0) + F.floor(k / 5) * F.lit(5.0)).alias("latitude"), "year",
+        F.col("n_name").alias("country_name"), F.col("pos").cast("double").alias("numerator"), F.col("n").cast("double").alias("denominator"),
+        (100 * F.col("pos").cast("double") / F.col("n")).alias("prevalence"), names[F.col("m")].alias("mutation"))
+
+
+_CASE = " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(MUTATIONS))
+OBS = f"""obs AS (SELECT CAST(n_nationkey AS VARCHAR) AS survey_id, CAST(n_nationkey % 5 AS VARCHAR) AS study_id,
+  CAST(27 + (n_nationkey % 5) * 4 AS DOUBLE) AS longitude, CAST(-5 + (n_nationkey // 5) * 5 AS DOUBLE) AS latitude,
+  CAST(year(o_orderdate) + 20 AS INTEGER) AS year, n_name AS country_name,
+  CAST(count(*) FILTER (l_returnflag = 'R') AS DOUBLE) AS numerator, CAST(count(*) AS DOUBLE) AS denominator,
+  100 * CAST(count(*) FILTER (l_returnflag = 'R') AS DOUBLE) / count(*) AS prevalence, CASE p_partkey % 5 {_CASE} END AS mutation
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey
+  GROUP BY n_nationkey, n_name, year(o_orderdate), p_partkey % 5)"""
+COMBINED = """new AS (SELECT survey_id, study_id, longitude, latitude, year, country_name, sum(numerator) AS numerator, max(denominator) AS denominator,
+  100 * sum(numerator) / max(denominator) AS prevalence, 'k13:comb' AS mutation FROM obs WHERE regexp_matches(mutation, '^k13', 'i') GROUP BY ALL),
+com AS (SELECT * FROM obs UNION ALL BY NAME SELECT * FROM new)"""
+PHAT = "(numerator + 0.5) / (denominator + 1)"
+LOGIT = f"CASE WHEN {PHAT} < 1 THEN ln({PHAT} / (1 - {PHAT})) END"
+OBS_COLUMNS = "survey_id, study_id, longitude, latitude, year, country_name, numerator, denominator, round(prevalence, 6) AS prevalence, mutation"
+
+
+def _group_sql(y: str, odd: bool = False) -> str:
+    lo, hi, shift = (2001, 2024, 1) if odd else (2012, 2023, 0)
+    s = f"({y} - ({y} + {shift}) % 2)"
+    return f"CASE WHEN {y} BETWEEN {lo} AND {hi} THEN CAST({s} AS VARCHAR) || '-' || CAST({s} + 1 AS VARCHAR) END"
+
+
+def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+def combined(spark, sf_dir) -> DataFrame:
+    return O.add_combined(surveys(spark, sf_dir), ordered=False)
+
+
+@query(f"WITH {OBS}, {COMBINED}, b AS (SELECT mutation, country_name, {_group_sql('year')} AS year_group, {PHAT} AS p_hat FROM com WHERE denominator > 0) SELECT mutation, country_name, year_group, round(avg(p_hat), 6) AS mean_p, count(*) AS n_surveys FROM b GROUP BY mutation, country_name, year_group")
+def prevalence_blocks(spark, sf_dir):
+    df = O.add_year_group(O.with_logit(O.valid_counts(combined(spark, sf_dir))))
+    return df.groupBy("mutation", "country_name", "year_group").agg(F.round(F.avg("p_hat"), 6).alias("mean_p"), F.count(F.lit(1)).alias("n_surveys"))
+
+
+@query(f"WITH {OBS}, {COMBINED} SELECT {OBS_COLUMNS} FROM com")
+def obs_combined(spark, sf_dir):
+    return _rounded(O.add_combined(surveys(spark, sf_dir)), "prevalence")
+
+
+@query(f"WITH {OBS}, {COMBINED} SELECT {OBS_COLUMNS}, round({PHAT}, 6) AS p_hat, round({LOGIT}, 6) AS z FROM com WHERE isfinite(numerator) AND isfinite(denominator) AND denominator > 0")
+def obs_valid_logit(spark, sf_dir):
+    return _rounded(O.with_logit(O.valid_counts(combined(spark, sf_dir))), "prevalence", "p_hat", "z")
+
+
+@query(f"WITH {OBS} SELECT survey_id, year, mutation, round(ln(numerator + 0.5) - ln(denominator - numerator + 0.5), 6) AS z FROM obs")
+def emplogit(spark, sf_dir):
+    return surveys(spark, sf_dir).select("survey_id", "year", "mutation", F.round(X.emplogit(F.col("numerator"), F.col("denominator")), 6).alias("z"))
+
+
+_YEARS = "y AS (SELECT CAST(range AS INTEGER) AS year FROM range(1995, 2031))"
+
+
+@query(f"WITH {_YEARS} SELECT year, {_group_sql('year')} AS year_group FROM y")
+def year_group(spark, sf_dir):
+    return O.add_year_group(spark.range(1995, 2031).select(F.col("id").cast("int").alias("year")))
+
+
+@query(f"WITH {_YEARS} SELECT year, {_group_sql('year', True)} AS year_group FROM y")
+def year_group_pd(spark, sf_dir):
+    return O.add_year_group(spark.range(1995, 2031).select(F.col("id").cast("int").alias("year")), odd=True)
+
+
+def _long(spark, sf_dir):
+    return surveys(spark, sf_dir).select(F.col("longitude").alias("x"), F.col("latitude").alias("y"), F.col("year").alias("t"), (F.col("numerator") / F.col("denominator")).alias("p"), "mutation")
+
+
+_LONG = "l AS (SELECT longitude AS x, latitude AS y, year AS t, numerator / denominator AS p, mutation FROM obs)"
+
+
+@query(f"WITH {OBS}, {_LONG} SELECT x, y, {_group_sql('t')} AS t, round(avg(p), 6) AS p FROM l GROUP BY ALL")
+def avg_2_year(spark, sf_dir):
+    return _rounded(R.avg_blocks(_long(spark, sf_dir)), "p")
+
+
+@query(f"WITH {OBS}, {_LONG} SELECT x, y, {_group_sql('t', True)} AS t, round(avg(p), 6) AS p FROM l GROUP BY ALL")
+def avg_2_year_pd(spark, sf_dir):
+    return _rounded(R.avg_blocks(_long(spark, sf_dir), odd=True), "p")
+
+
+@query(f"WITH {OBS}, {_LONG} SELECT x, y, t, round(p, 6) AS p, mutation FROM l WHERE x BETWEEN 28 AND 37 AND y BETWEEN -5 AND 5")
+def crop_long(spark, sf_dir):
+    return _rounded(O.crop(_long(spark, sf_dir), (28, 37), (-5, 5)), "p")
+
+
+@query(f"WITH {OBS} SELECT survey_id, mutation, longitude, year FROM obs WHERE longitude > 27 AND longitude < 43 AND year > 2016")
+def open_range_filter(spark, sf_dir):
+    return O.open_longitude(surveys(spark, sf_dir), 27, 43, 2016).select("survey_id", "mutation", "longitude", "year")
+
+
+@query(f"WITH {OBS}, {COMBINED} SELECT DISTINCT mutation, regexp_replace(mutation, '^k13:(\\d+):([A-Za-z])$', '\\1\\2') AS label, CASE WHEN mutation = 'k13:comb' THEN '' ELSE 'k13 ' || regexp_replace(mutation, '^k13:(\\d+):([A-Za-z])$', '\\1\\2') END AS title, CASE WHEN mutation = 'k13:comb' THEN 'k13 combined' ELSE replace(regexp_replace(mutation, '^k13:', ''), ':', '') END AS area_label FROM com")
+def clean_labels(spark, sf_dir):
+    m = F.col("mutation")
+    return combined(spark, sf_dir).select(m, X.block_label(m).alias("label"), X.map_title(m).alias("title"), X.area_title(m).alias("area_label")).distinct()
+
+
+_POINTS = f"p AS (SELECT longitude AS x, latitude AS y, year AS t, 100 * numerator / nullif(denominator, 0) AS p, mutation FROM obs WHERE year BETWEEN 2015 AND 2020 AND longitude BETWEEN {BOX.xmin} AND {BOX.xmax} AND latitude BETWEEN {BOX.ymin} AND {BOX.ymax})"
+
+
+@query(f"WITH {OBS}, {_POINTS} SELECT x, y, t, round(p, 6) AS p, mutation FROM p")
+def observed_points(spark, sf_dir):
+    return _rounded(O.observed_points(surveys(spark, sf_dir), BOX, 2015, 2020), "p")
+
+
+@query(f"WITH {OBS}, {_POINTS} SELECT x, y, {_group_sql('t')} AS t, round(p, 6) AS p, mutation FROM p WHERE t IN (2016, 2017, 2019)")
+def observed_points_2y(spark, sf_dir):
+    return _rounded(O.points_by_block(O.observed_points(surveys(spark, sf_dir), BOX, 2015, 2020), [2016, 2017, 2019]), "p")
+
+
+@query("SELECT CAST(27 + (i % 20) * (17.5 / 19) AS DOUBLE) AS x0, CAST(i + 1 AS BIGINT) AS pixel, CAST(i % 20 AS INTEGER) AS ix, CAST(i // 20 AS INTEGER) AS iy, round(27 + (i % 20) * (17.5 / 19), 6) AS x, round(-5 + (i // 20) * (22.5 / 19), 6) AS y FROM range(400) r(i)".replace("CAST(27 + (i % 20) * (17.5 / 19) AS DOUBLE) AS x0, ", ""))
+def grid_cells(spark, sf_dir):
+    return _rounded(G.grid(spark, BOX, 20, 20), "x", "y")
+
+
+@query("SELECT CAST((i % 3 + 1) * 10 AS DOUBLE) AS x, CAST(i // 3 % 2 + 1 AS DOUBLE) AS y, CAST(2012 + t AS INTEGER) AS t, CAST(t * 6 + i + 1 AS DOUBLE) AS p FROM range(6) r(i), range(3) s(t)")
+def raster_long(spark, sf_dir):
+    flat = spark.range(3).select((F.col("id") + 2012).cast("int").alias("t"), F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: (F.col("id") * 6 + i).cast("double")).alias("values"))
+    return G.raster_long(flat, [10, 20, 30], [1, 2])
+
+
+def _draws(spark, sf_dir):
+    rows = G.draws_long(_read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), ["vec_id", "label"], "embedding")
+    return rows.select(F.col("vec_id").alias("pixel"), F.col("label").alias("region"), "draw", X.plogis(4 * F.col("value").cast("double")).alias("p"))
+
+
+_DRAWS = "d AS (SELECT vec_id AS pixel, label AS region, CAST(i AS INTEGER) AS draw, 1 / (1 + exp(-4 * CAST(embedding[i] AS DOUBLE))) AS p FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))"
+
+
+@query(f"WITH {_DRAWS} SELECT pixel, region, draw, round(p, 6) AS p FROM d")
+def draws_long(spark, sf_dir):
+    return _rounded(_draws(spark, sf_dir), "p")
+
+
+@query(f"WITH {_DRAWS} SELECT pixel, round(avg(p), 6) AS mean, round(median(p), 6) AS median, round(quantile_cont(p, 0.975) - quantile_cont(p, 0.025), 6) AS ci_width FROM d GROUP BY pixel")
+def posterior_summary(spark, sf_dir):
+    return _rounded(R.posterior_summary(_draws(spark, sf_dir), ["pixel"]), "mean", "median", "ci_width")
+
+
+_EX = ", ".join(f"round(avg(CASE WHEN p > {t} THEN 1.0 ELSE 0.0 END), 6) AS ex_{round(100 * t)}" for t in (0.3, 0.5, 0.7))
+
+
+@query(f"WITH {_DRAWS} SELECT pixel, {_EX} FROM d GROUP BY pixel")
+def exceedance(spark, sf_dir):
+    return _rounded(R.exceedance(_draws(spark, sf_dir), ["pixel"], thresholds=(0.3, 0.5, 0.7)), "ex_30", "ex_50", "ex_70")
+
+
+@query(f"WITH {_DRAWS} SELECT pixel, region, {_EX} FROM d GROUP BY pixel, region")
+def exceedance_joined(spark, sf_dir):
+    """Three surfaces joined by cell, where they come from different places."""
+    out = None
+    for t in (0.3, 0.5, 0.7):
+        s = R.exceedance_long(_draws(spark, sf_dir), t, f"ex_{round(100 * t)}", ["pixel", "region"])
+        out = s if out is None else out.join(s, ["pixel", "region"], "left")
+    return _rounded(out, "ex_30", "ex_50", "ex_70")
+
+
+@query(f"WITH {_DRAWS} SELECT region, draw, round(avg(p), 6) AS mean_p FROM d GROUP BY region, draw")
+def region_draw_mean(spark, sf_dir):
+    return _rounded(R.region_draw_mean(_draws(spark, sf_dir), ["region", "draw"]), "mean_p")
+
+
+_REGION = "r AS (SELECT region, draw, avg(p) AS mean_p FROM d GROUP BY region, draw)"
+
+
+@query(f"WITH {_DRAWS}, {_REGION} SELECT region, round(quantile_cont(mean_p, 0.025), 6) AS lower, round(quantile_cont(mean_p, 0.5), 6) AS mean_prevalence, round(quantile_cont(mean_p, 0.975), 6) AS upper FROM r GROUP BY region")
+def region_interval(spark, sf_dir):
+    return _rounded(R.region_interval(R.region_draw_mean(_draws(spark, sf_dir), ["region", "draw"]), ["region"]), "lower", "mean_prevalence", "upper")
+
+
+AREA = X.cell_area_km2((BOX.xmin, BOX.xmax), (BOX.ymin, BOX.ymax), 200, 200)
+
+
+@query(f"WITH {_DRAWS}, s AS (SELECT pixel, CAST(2012 + pixel % 12 AS INTEGER) AS t, avg(CASE WHEN p > 0.3 THEN 1.0 ELSE 0.0 END) AS ex_30, avg(CASE WHEN p > 0.5 THEN 1.0 ELSE 0.0 END) AS ex_50 FROM d GROUP BY pixel), n AS (SELECT t, CAST(count(*) FILTER (ex_30 > 0.8) AS BIGINT) AS n_ex_30, CAST(count(*) FILTER (ex_50 > 0.8) AS BIGINT) AS n_ex_50 FROM s GROUP BY t) SELECT *, round(n_ex_30 * {AREA!r}, 4) AS area_ex_30, round(n_ex_50 * {AREA!r}, 4) AS area_ex_50 FROM n")
+def area_over_time(spark, sf_dir):
+    s = R.exceedance(_draws(spark, sf_dir), ["pixel"], thresholds=(0.3, 0.5)).withColumn("t", (2012 + F.col("pixel") % 12).cast("int"))
+    return _rounded(R.area_over_time(s, AREA, ["t"], ["ex_30", "ex_50"]), "area_ex_30", "area_ex_50", digits=4)
+
+
+def _regions(spark, sf_dir):
+    """Countries as regions: id_1 by nation, with a percent mean a year and marker."""
+    return surveys(spark, sf_dir).select(F.col("survey_id").alias("id_1"), F.col("country_name").alias("name_1"), F.col("study_id").alias("name_0"), F.col("year").alias("t"), (F.col("numerator") / F.col("denominator")).alias("p"), "mutation")
+
+
+_REG = "g AS (SELECT survey_id AS id_1, country_name AS name_1, study_id AS name_0, year AS t, numerator / denominator AS p, mutation FROM obs)"
+
+
+@query(f"WITH {OBS}, {_REG} SELECT mutation, name_0, t, round(avg(100 * p), 6) AS mean_p, count(*) AS n_cells FROM g GROUP BY ALL")
+def admin_year_mean(spark, sf_dir):
+    return _rounded(R.admin_year_mean(_regions(spark, sf_dir), ["mutation", "name_0", "t"]), "mean_p")
+
+
+@query(f"WITH {OBS}, {_REG}, m AS (SELECT mutation, name_0, t, avg(100 * p) AS mean_p FROM g GROUP BY ALL), w AS (SELECT mutation, name_0, max(CASE WHEN t = 2015 THEN mean_p END) AS y_2015, max(CASE WHEN t = 2020 THEN mean_p END) AS y_2020 FROM m GROUP BY ALL) SELECT mutation, name_0, round(y_2015, 6) AS y_2015, round(y_2020, 6) AS y_2020, round((y_2020 - y_2015) / 5 * 100, 4) AS prev_per_year, round((y_2020 - y_2015) / 5, 6) AS percent_per_year FROM w")
+def prev_per_year_pivot(spark, sf_dir):
+    wide = R.prevalence_per_year(R.admin_year_mean(_regions(spark, sf_dir), ["mutation", "name_0", "t"]), ["mutation", "name_0"], 2015, 2020)
+    return _rounded(_rounded(wide, "y_2015", "y_2020", "percent_per_year"), "prev_per_year", digits=4)
+
+
+@query(f"WITH {OBS}, {_REG} SELECT g.id_1, t, mutation, round(p, 6) AS p, n_name AS region_name FROM g LEFT JOIN (SELECT CAST(n_nationkey AS VARCHAR) AS id_1, n_name FROM nation) n USING (id_1)")
+def region_lookup_join(spark, sf_dir):
+    lookup = _read(spark, sf_dir, "nation", "n_nationkey", "n_name").select(F.col("n_nationkey").cast("string").alias("id_1"), F.col("n_name").alias("region_name"))
+    return _rounded(R.lookup_join(_regions(spark, sf_dir).select("id_1", "t", "mutation", "p"), lookup, "id_1", ["region_name"]), "p")
+
+
+@query(f"WITH {OBS}, {_REG} SELECT DISTINCT id_1 FROM g WHERE id_1 NOT IN (SELECT CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_regionkey < 3)")
+def missing_regions(spark, sf_dir):
+    lookup = spark.read.parquet(f"{sf_dir}/nation.parquet").filter("n_regionkey < 3").select(F.col("n_nationkey").cast("string").alias("id_1"))
+    return R.missing(_regions(spark, sf_dir), lookup, "id_1")
+
+
+@query(f"WITH {OBS}, {_REG} SELECT id_1, mutation, t, round(p, 6) AS p FROM g WHERE (id_1, mutation) IN (SELECT (id_1, mutation) FROM g WHERE p > 0.4)")
+def groups_ever_above_cutoff(spark, sf_dir):
+    return _rounded(R_ever(spark, sf_dir), "p")
+
+
+def R_ever(spark, sf_dir):
+    return O.ever_above(_regions(spark, sf_dir), ["id_1", "mutation"], "p", 0.4).select("id_1", "mutation", "t", "p")
+
+
+@query(f"WITH {OBS} SELECT survey_id, mutation, year, round(prevalence, 6) AS prevalence FROM obs WHERE year <= 2016 AND mutation IN (SELECT mutation FROM obs WHERE year <= 2016 AND prevalence > 44)")
+def mutations_with_positives(spark, sf_dir):
+    rows = surveys(spark, sf_dir).filter("year <= 2016").withColumn("above", F.col("prevalence") - 44)
+    return _rounded(O.with_positives(rows, "above").select("survey_id", "mutation", "year", "prevalence"), "prevalence")
+
+
+_PEAK = "k AS (SELECT *, row_number() OVER (PARTITION BY mutation, t ORDER BY p DESC, name_0, name_1) AS k FROM g)"
+
+
+@query(f"WITH {OBS}, {_REG}, {_PEAK} SELECT mutation, t, round(p, 6) AS p, name_0, name_1, id_1 FROM k WHERE k = 1")
+def peak_region_per_year(spark, sf_dir):
+    return _rounded(R.peak(_regions(spark, sf_dir), ["mutation", "t"], "p", ["name_0", "name_1"]), "p")
+
+
+@query(f"WITH {OBS}, {_REG}, l AS (SELECT *, rank() OVER (PARTITION BY name_0, name_1 ORDER BY t DESC) AS k FROM g) SELECT name_0, name_1, mutation, t, round(p, 6) AS p FROM l WHERE k = 1")
+def last_point_per_region(spark, sf_dir):
+    return _rounded(R.last_point(_regions(spark, sf_dir), ["name_0", "name_1"]), "p").select("name_0", "name_1", "mutation", "t", "p")
+
+
+@query(f"WITH {OBS}, {_REG}, {_PEAK}, q AS (SELECT DISTINCT mutation, name_0, name_1 FROM k WHERE k = 1 AND t IN (2015, 2020)), w AS (SELECT g.mutation, g.name_0, g.name_1, max(CASE WHEN t = 2015 THEN p END) AS a, max(CASE WHEN t = 2020 THEN p END) AS b, max(CASE WHEN t = 2015 THEN p / 2 END) AS c, max(CASE WHEN t = 2020 THEN p / 2 END) AS e FROM g JOIN q USING (mutation, name_0, name_1) GROUP BY ALL) SELECT mutation, name_0, name_1, round(a, 6) AS mean_prevalence_y_2015, round(b, 6) AS mean_prevalence_y_2020, round(c, 6) AS lower_y_2015, round(e, 6) AS lower_y_2020, round((b - a) / 5, 6) AS rate_change_per_year FROM w")
+def peak_regions_wide(spark, sf_dir):
+    rows = _regions(spark, sf_dir).select("mutation", "name_0", "name_1", "t", F.col("p").alias("mean_prevalence"), (F.col("p") / 2).alias("lower"))
+    top = R.peak(rows, ["mutation", "t"], "mean_prevalence", ["name_0", "name_1"]).filter(F.col("t").isin(2015, 2020))
+    top = top.select("mutation", F.col("name_0").alias("admin0"), F.col("name_1").alias("admin1")).distinct()
+    met = rows.join(top.withColumnRenamed("mutation", "m"), (F.col("mutation") == F.col("m")) & (F.col("name_0") == F.col("admin0")) & (F.col("name_1") == F.col("admin1")))
+    wide = G.pivot_years(met, ["mutation", "name_0", "name_1"], "t", [2015, 2020], ["mean_prevalence", "lower"])
+    wide = wide.withColumn("rate_change_per_year", G.yearly_rate(F.col("mean_prevalence_y_2015"), F.col("mean_prevalence_y_2020"), 5))
+    return _rounded(wide, *[c for c in wide.columns if "_y_" in c], "rate_change_per_year")
+
+
+def _placed(spark, sf_dir):
+    """Surveys with a logit, an id and kilometres around a fixed centre."""
+    rows = O.with_logit(O.valid_counts(surveys(spark, sf_dir))).withColumn("id", F.col("survey_id").cast("long"))
+    x, y = geo.laea_km(F.col("longitude"), F.col("latitude"), 35.0, 5.0)
+    return rows.withColumn("x_km", x).withColumn("y_km", y).withColumn("day", X.midyear(F.col("year")))
+
+
+def _laea_sql(lon: str, lat: str, lon0: float, lat0: float) -> tuple[str, str]:
+    e2, e, qp = geo.E2, geo.ECC, geo._q(1.0)
+    s = f"sin(radians({lat}))"
+    beta = f"asin(({1 - e2!r} * ({s} / (1 - {e2!r} * {s} * {s}) - ln((1 - {e!r} * {s}) / (1 + {e!r} * {s})) / {2 * e!r})) / {qp!r})"
+    phi0 = math.radians(lat0)
+    beta0 = math.asin(geo._q(math.sin(phi0)) / qp)
+    rq = geo.A * math.sqrt(qp / 2)
+    d = geo.A * math.cos(phi0) / math.sqrt(1 - e2 * math.sin(phi0) ** 2) / (rq * math.cos(beta0))
+    turn = f"radians({lon} - {lon0!r})"
+    b = f"({rq!r} * sqrt(2 / (1 + {math.sin(beta0)!r} * sin({beta}) + {math.cos(beta0)!r} * cos({beta}) * cos({turn}))))"
+    return f"({b} * {d!r} * cos({beta}) * sin({turn}) / 1000)", f"({b} / {d!r} * ({math.cos(beta0)!r} * sin({beta}) - {math.sin(beta0)!r} * cos({beta}) * cos({turn})) / 1000)"
+
+
+_X, _Y = _laea_sql("longitude", "latitude", 35.0, 5.0)
+_PLACED = f"a AS (SELECT CAST(survey_id AS BIGINT) AS id, mutation, year, longitude, latitude, {_X} AS x_km, {_Y} AS y_km, {LOGIT} AS z FROM obs WHERE denominator > 0)"
+_DIST = "sqrt((a.x_km - b.x_km) ** 2 + (a.y_km - b.y_km) ** 2)"
+
+
+@query(f"WITH {OBS}, {_PLACED} SELECT DISTINCT longitude, latitude, round(x_km, 6) AS x_km, round(y_km, 6) AS y_km FROM a")
+def laea_xy(spark, sf_dir):
+    return _rounded(_placed(spark, sf_dir).select("longitude", "latitude", "x_km", "y_km").distinct(), "x_km", "y_km")
+
+
+@query(f"WITH {OBS} SELECT DISTINCT longitude, latitude, round({geo.A} * radians(longitude), 3) AS x_m, round({geo.A} * ln(tan(pi() / 4 + radians(latitude) / 2)), 3) + 0.0 AS y_m FROM obs")
+def mercator_xy(spark, sf_dir):
+    x, y = geo.mercator(F.col("longitude"), F.col("latitude"))
+    return surveys(spark, sf_dir).select("longitude", "latitude", F.round(x, 3).alias("x_m"), (F.round(y, 3) + 0.0).alias("y_m")).distinct()
+
+
+_R = geo.A
+
+
+@query(f"WITH {OBS}, m AS (SELECT min({_R} * radians(longitude)) - 200000 AS x1, max({_R} * radians(longitude)) + 200000 AS x2, min({_R} * ln(tan(pi() / 4 + radians(latitude) / 2))) - 200000 AS y1, max({_R} * ln(tan(pi() / 4 + radians(latitude) / 2))) + 200000 AS y2 FROM obs) SELECT round(degrees(x1 / {_R}), 6) AS xmin, round(degrees(x2 / {_R}), 6) AS xmax, round(degrees(2 * atan(exp(y1 / {_R})) - pi() / 2), 6) AS ymin, round(degrees(2 * atan(exp(y2 / {_R})) - pi() / 2), 6) AS ymax FROM m")
+def extent_buffered(spark, sf_dir):
+    x, y = geo.mercator(F.col("longitude"), F.col("latitude"))
+    e = S.extent(surveys(spark, sf_dir).select(x.alias("x"), y.alias("y")), "x", "y")
+    lo, hi = geo.from_mercator(F.col("xmin") - 200_000, F.col("ymin") - 200_000), geo.from_mercator(F.col("xmax") + 200_000, F.col("ymax") + 200_000)
+    return e.select(*[F.round(c, 6).alias(n) for c, n in zip((lo[0], hi[0], lo[1], hi[1]), ("xmin", "xmax", "ymin", "ymax"))])
+
+
+@query(f"WITH {OBS}, {_PLACED} SELECT a.mutation, a.id AS id1, b.id AS id2, a.year, round({_DIST}, 6) AS dist, round(b.z - a.z, 6) AS dz FROM a JOIN a b ON b.year = a.year + 1 AND a.mutation = b.mutation WHERE {_DIST} <= 600")
+def pairs_one_year(spark, sf_dir):
+    return _rounded(P.one_year_pairs(_placed(spark, sf_dir), 600.0), "dist", "dz")
+
+
+@query(f"WITH {OBS}, {_PLACED} SELECT a.mutation, round(avg((b.z - a.z) ** 2), 6) AS tau2_year, count(b.z - a.z) AS n_pairs FROM a JOIN a b ON b.year = a.year + 1 AND a.mutation = b.mutation WHERE {_DIST} <= 600 GROUP BY a.mutation")
+def tau2(spark, sf_dir):
+    return _rounded(P.tau2(P.one_year_pairs(_placed(spark, sf_dir), 600.0)), "tau2_year")
+
+
+@query(f"WITH {OBS}, {_PLACED} SELECT round(avg((b.z - a.z) ** 2), 6) AS tau2_year, count(b.z - a.z) AS n_pairs FROM (SELECT * FROM a WHERE mutation IN ('crt:76:T', 'mdr1:86:Y')) a JOIN (SELECT * FROM a WHERE mutation IN ('crt:76:T', 'mdr1:86:Y')) b ON b.year = a.year + 1 WHERE {_DIST} <= 600")
+def tau2_pooled(spark, sf_dir):
+    rows = _placed(spark, sf_dir).filter(F.col("mutation").isin("crt:76:T", "mdr1:86:Y"))
+    return _rounded(P.tau2(P.one_year_pairs(rows, 600.0, same=()), by=()), "tau2_year")
+
+
+_VAR = f"v AS (SELECT a.mutation, {_DIST} AS d, a.z - b.z AS dz FROM (SELECT *, make_date(year, 7, 1) AS day FROM a) a JOIN (SELECT *, make_date(year, 7, 1) AS day FROM a) b ON b.day = a.day + 365 AND a.mutation = b.mutation)"
+_BINS = "n AS (SELECT mutation, CAST(floor(d / 25) AS BIGINT) AS bin, avg(d) AS dist, avg(dz ** 2) / 2 AS gamma, count(*) AS np FROM v WHERE dz IS NOT NULL GROUP BY ALL)"
+
+
+@query(f"WITH {OBS}, {_PLACED}, {_VAR}, {_BINS} SELECT mutation, bin, round(dist, 6) AS dist, round(gamma, 6) AS gamma, np FROM n")
+def variogram_bins(spark, sf_dir):
+    return _rounded(P.variogram_bins(_placed(spark, sf_dir)), "dist", "gamma")
+
+
+@query(f"WITH {OBS}, {_PLACED}, {_VAR}, {_BINS} SELECT mutation, round(sum(sqrt(np) * (gamma - (0.8 + 0.5 * (1 - exp(-((dist / 400.0) ** 2))))) ** 2), 5) AS loss FROM n WHERE dist > 0 GROUP BY mutation")
+def variogram_loss(spark, sf_dir):
+    return _rounded(variogram.weighted_loss(P.variogram_bins(_placed(spark, sf_dir)), 0.5, 400.0), "loss", digits=5)
+
+
+@query("SELECT round(i * (1500.0 / 499), 6) AS dist, round(0.8 + 0.5 * (1 - exp(-((i * (1500.0 / 499) / 400.0) ** 2))), 6) AS gamma FROM range(500) r(i)")
+def variogram_curve(spark, sf_dir):
+    return _rounded(variogram.fitted_curve(spark, 1500.0, 0.5, 400.0), "dist", "gamma")
+
+
+_ALL = f"p AS (SELECT a.mutation, a.id AS ind1, b.id AS ind2, {_DIST} AS dist_space, CAST(abs(a.year - b.year) AS INTEGER) AS dist_time, a.z - b.z AS dist_z FROM a JOIN a b ON a.mutation = b.mutation AND a.id > b.id AND a.year = 2016 AND b.year = 2016)"
+
+
+def _pairs(spark, sf_dir):
+    rows = _placed(spark, sf_dir).filter("year = 2016").select("mutation", "id", F.col("x_km").alias("x"), F.col("y_km").alias("y"), F.col("year").alias("t"), "z")
+    return P.pair_distances(rows, ["mutation"])
+
+
+@query(f"WITH {OBS}, {_PLACED}, {_ALL} SELECT mutation, ind1, ind2, round(dist_space, 6) AS dist_space, dist_time, round(dist_z, 6) AS dist_z FROM p")
+def pair_distances(spark, sf_dir):
+    return _rounded(_pairs(spark, sf_dir), "dist_space", "dist_z")
+
+
+@query(f"WITH {OBS}, {_PLACED}, {_ALL} SELECT mutation, ind1, ind2, round(exp(-((dist_space / 300.0) ** 1)) * exp(-((dist_time / 2.0) ** 2)), 6) AS cor FROM p")
+def vario_cor(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("mutation", "ind1", "ind2", F.round(X.vario_cor(F.col("dist_space"), F.col("dist_time"), 300.0, 2.0), 6).alias("cor"))
+
+
+@query(f"WITH {OBS}, {_PLACED}, {_ALL}, c AS (SELECT *, 0.1 + 0.9 * (1 - exp(-(dist_space / 300.0)) * exp(-((dist_time / 2.0) ** 2))) AS c FROM p) SELECT mutation, round(sum(-0.5 * (ln(2 * pi() * c) + dist_z ** 2 / c)), 4) AS loglike, count(dist_z) AS n_pairs FROM c GROUP BY mutation")
+def vario_loglike(spark, sf_dir):
+    return _rounded(P.vario_loglike(_pairs(spark, sf_dir), 300.0, 2.0, 0.1, 0.9, ["mutation"]), "loglike", digits=4)
+
+
+def rectangles(spark) -> DataFrame:
+    """Four rectangles, two with a shared border, as polygons."""
+    ring = lambda a, b, c, d: "array(" + ", ".join(f"struct(CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y)" for x, y in ((a, c), (b, c), (b, d), (a, d), (a, c))) + ")"
+    rows = " UNION ALL ".join(f"SELECT '{i}' AS id_1, '{n}' AS name_1, array({ring(*r)}) AS rings" for i, (n, r) in enumerate(RECTANGLES.items()))
+    return spark.sql(rows)
+
+
+RECTANGLES = {"west": (26, 35, -6, 6), "east": (35, 44, -6, 6), "north": (30, 40, 9, 16), "empty": (-10, -5, 0, 5)}
+_RECT = "rect(id_1, name_1, x1, x2, y1, y2) AS (VALUES " + ", ".join(f"('{i}', '{n}', {a}, {b}, {c}, {d})" for i, (n, (a, b, c, d)) in enumerate(RECTANGLES.items())) + ")"
+
+
+@query(f"WITH {OBS}, {_LONG}, {_RECT} SELECT x, y, t, mutation, round(p, 6) AS p, id_1, name_1 FROM l JOIN rect ON x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2")
+def spatial_join_rect(spark, sf_dir):
+    return _rounded(S.spatial_join(_long(spark, sf_dir), rectangles(spark), ["id_1", "name_1"], rectangles=True), "p").select("x", "y", "t", "mutation", "p", "id_1", "name_1")
+
+
+@query(f"WITH {OBS}, {_LONG}, {_RECT} SELECT x, y, t, mutation, id_1, name_1 FROM l LEFT JOIN rect ON x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2")
+def spatial_join_left(spark, sf_dir):
+    """The general path: exact test on Arrow batches, unmatched points kept."""
+    return S.spatial_join(_long(spark, sf_dir), rectangles(spark), ["id_1", "name_1"], how="left").select("x", "y", "t", "mutation", "id_1", "name_1")
+
+
+@query(f"WITH {OBS}, {_LONG}, {_RECT} SELECT x, y, t, mutation, CASE WHEN EXISTS (SELECT 1 FROM rect WHERE x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2) THEN round(p, 6) END AS p FROM l")
+def mask_rect(spark, sf_dir):
+    return _rounded(S.mask(_long(spark, sf_dir), rectangles(spark)), "p").select("x", "y", "t", "mutation", "p")
+
+
+@query(f"WITH {OBS}, a AS (SELECT survey_id, year, mutation, denominator AS n, {LOGIT} AS z FROM obs) SELECT survey_id, year, mutation, round(CASE WHEN z IS NULL OR abs(z) < 1e-6 THEN n / 4 ELSE 0.5 * n / abs(z) * (exp(abs(z)) - 1) / (exp(abs(z)) + 1) END, 6) AS w FROM a")
+def pg_weights(spark, sf_dir):
+    rows = O.with_logit(surveys(spark, sf_dir))
+    return rows.select("survey_id", "year", "mutation", F.round(X.pg_weight(F.col("denominator"), F.col("z")), 6).alias("w"))
+
+
+_FEATURES = ", ".join([f"round({f}({wx} * x_km + {wy} * y_km) / sqrt({len(OMEGA)}), 6) AS {f}_{i}" for f in ("cos", "sin") for i, (wx, wy) in enumerate(OMEGA)])
+
+
+@query(f"WITH {OBS}, {_PLACED} SELECT DISTINCT id, {_FEATURES} FROM a")
+def rff_features_small(spark, sf_dir):
+    angle = lambda w: F.lit(w[0]) * F.col("x_km") + F.lit(w[1]) * F.col("y_km")
+    cols = [F.round(f(angle(w)) / math.sqrt(len(OMEGA)), 6).alias(f"{f.__name__}_{i}") for f in (F.cos, F.sin) for i, w in enumerate(OMEGA)]
+    return _placed(spark, sf_dir).select("id", *cols).distinct()
+
+
+@query(f"WITH {OBS} SELECT median(longitude) AS lon0, median(latitude) AS lat0, round(median(numerator / denominator), 6) AS p_mid, min(year) AS first_year, max(year) AS last_year, bool_or(numerator > denominator) AS any_over, bool_and(denominator > 0) AS all_positive, count(DISTINCT mutation) AS n_mutations FROM obs")
+def survey_summary(spark, sf_dir):
+    """Medians, extent, any and all, distinct counts in one pass."""
+    return surveys(spark, sf_dir).agg(
+        F.median("longitude").alias("lon0"), F.median("latitude").alias("lat0"), F.round(F.median(F.col("numerator") / F.col("denominator")), 6).alias("p_mid"),
+        F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.bool_or(F.col("numerator") > F.col("denominator")).alias("any_over"),
+        F.bool_and(F.col("denominator") > 0).alias("all_positive"), F.count_distinct("mutation").alias("n_mutations"))
+
+
+@query(f"WITH {OBS} SELECT survey_id, mutation, year FROM obs WHERE country_name NOT IN ('FRANCE', 'GERMANY') AND NOT (country_name = 'KENYA' AND mutation IN ('crt:76:T'))")
+def exclusions(spark, sf_dir):
+    rows = O.not_in(surveys(spark, sf_dir), "country_name", ["FRANCE", "GERMANY"])
+    return O.excluding(rows, [("KENYA", ["crt:76:T"])], "country_name").select("survey_id", "mutation", "year")
+
+
+@query(f"WITH {OBS}, {COMBINED} SELECT DISTINCT mutation, year, CAST(CASE WHEN mutation = 'k13:comb' THEN make_date(year, 7, 1) ELSE make_date(year, 3, 15) END AS VARCHAR) AS day FROM com")
+def survey_days(spark, sf_dir):
+    day = X.survey_day(F.col("mutation"), F.col("year"), F.make_date("year", F.lit(3), F.lit(15)))
+    return combined(spark, sf_dir).select("mutation", "year", day.cast("string").alias("day")).distinct()
+
+
+@query(f"WITH {OBS} SELECT row_number() OVER (ORDER BY mutation, year, CAST(survey_id AS BIGINT)) AS id, mutation, year, CAST(survey_id AS BIGINT) AS survey FROM obs")
+def row_numbers(spark, sf_dir):
+    return G.with_row_number(surveys(spark, sf_dir).select("mutation", "year", F.col("survey_id").cast("long").alias("survey")), ["mutation", "year", "survey"])
+
+
+@query(f"WITH {OBS} SELECT survey_id, mutation, year, round(prevalence, 6) AS prevalence FROM obs ORDER BY prevalence DESC, mutation, survey_id, year LIMIT 20")
+def top_rows(spark, sf_dir):
+    rows = surveys(spark, sf_dir).orderBy(F.col("prevalence").desc(), "mutation", "survey_id", "year").limit(20)
+    return _rounded(rows.select("survey_id", "mutation", "year", "prevalence"), "prevalence")
+
+
+@query(f"WITH {OBS} SELECT DISTINCT country_name, CASE country_name WHEN 'KENYA' THEN '#1b9e77' WHEN 'ETHIOPIA' THEN '#d95f02' END AS colour FROM obs")
+def country_colours(spark, sf_dir):
+    return surveys(spark, sf_dir).select("country_name", R.named(F.col("country_name"), {"KENYA": "#1b9e77", "ETHIOPIA": "#d95f02"}).alias("colour")).distinct()
+
+
+@query(f"WITH {OBS} SELECT count(*) FILTER (denominator <= 0) = 0 AS denominator, bool_and(numerator >= 0) AS numerator, bool_and(year BETWEEN 1995 AND 2025) AS year, bool_and(longitude BETWEEN -180 AND 180) AS longitude, bool_and(prevalence <= 50) AS prevalence FROM obs")
+def column_checks(spark, sf_dir):
+    rules = {"denominator": V.column_rules(low=1e-9, required=True), "numerator": V.column_rules(low=0, whole=True), "year": V.column_rules(1995, 2025, required=True), "longitude": V.column_rules(-180, 180), "prevalence": V.column_rules(high=50)}
+    return V.check_columns(surveys(spark, sf_dir), rules)
+
+
+@query("SELECT CAST(date_trunc('week', ts) AS VARCHAR)[:10] AS week, event_type, count(*) AS n, round(avg(value), 5) AS mean_value FROM events GROUP BY ALL")
+def event_weeks(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.groupBy(F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd").alias("week"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 5).alias("mean_value"))
+
+
+@query(f"WITH {OBS}, {_LONG} SELECT x, y, t, mutation, round(100 * p, 6) AS fill FROM l")
+def map_layers(spark, sf_dir):
+    layers = R.map_layers(_long(spark, sf_dir), None, 5.0, 5.0)
+    return _rounded(layers["raster"], "fill").select("x", "y", "t", "mutation", "fill")
+
+
+SMALL = model.Settings(features=12, rounds=3, draws=40, first_year=2014, last_year=2021, nx=16, ny=16, block=64)
+HYPER = "SELECT mutation, CAST(600 AS DOUBLE) AS ell_km, CAST(0.05 AS DOUBLE) AS tau2_year FROM VALUES " + ", ".join(f"('{m}')" for m in MUTATIONS) + " AS v(mutation)"
+
+
+def _fits(spark, sf_dir):
+    return model.fit_models(_placed(spark, sf_dir), spark.sql(HYPER), SMALL)
+
+
+@query()
+def kalman_smooth(spark, sf_dir):
+    """Posterior weights by mutation and year, summarised: mean and spread over draws of the first weight."""
+    f = _fits(spark, sf_dir)
+    first = F.slice("weights", 1, SMALL.draws)
+    return f.select("mutation", "t", F.aggregate(first, F.lit(0.0), lambda s, x: s + x / SMALL.draws).alias("mean_weight"))
+
+
+def _cells(spark):
+    cells = model.prediction_cells(spark, BOX, SMALL, (35.0, 5.0)).drop("id_1")
+    return S.spatial_join(cells, rectangles(spark), ["id_1"], how="left", rectangles=True)
+
+
+@query()
+def posterior_surface(spark, sf_dir):
+    return model.surface(_fits(spark, sf_dir), model.prediction_cells(spark, BOX, SMALL, (35.0, 5.0)), SMALL)
+
+
+@query()
+def region_series(spark, sf_dir):
+    """Interval of the regional mean by mutation, region and year."""
+    return R.region_interval(model.region_draws(_fits(spark, sf_dir), _cells(spark), SMALL), ["mutation", "id_1", "t"])
+
+
+@query()
+def variogram_fit(spark, sf_dir):
+    return variogram.hyperparameters(_placed(spark, sf_dir), 600.0).drop("fitted_at")
+
+
+@query()
+def sim_field(spark, sf_dir):
+    return simulate.sim_field(spark, list(range(8)), list(range(8)), list(range(6)), [1, 2, 3], length_space=2.0, length_time=2.0)
+
+
+@query()
+def sample_cells(spark, sf_dir):
+    return simulate.draw_surveys(sim_field(spark, sf_dir).filter("seed = 1"), 100, 50)
+
+
