@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from geoprev.llm import decontaminate, language_id, mixing, simhash, token_store
 from geoprev.llm.queries import word_tokenizer
-from geoprev.llm.util import stored, table
+from geoprev.llm.util import small, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text whose language is less sure than this is rejected.
@@ -28,23 +28,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates (five-word shingles, similarity 0.8) one row: of the least doc_id."""
-    groups = simhash.near_duplicates(docs, shingle=5, scheme=simhash.WIDE)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.select(COLUMNS).join(first.hint("merge"), "doc_id", "left_semi")
-    # a doc_id may repeat; one row of it stays
-    twice = stored(kept.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
-    if twice.isEmpty():
-        return kept
-    single = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("one"))
-    return kept.join(twice, "doc_id", "left_anti").unionByName(single.select("doc_id", "one.*"))
+    """Keeps of each group of near-duplicates (five-word shingles, similarity 0.8) one row: of the least doc_id.
+
+    A row is known by its doc_id (null counts as one) and the hash of its text; of rows equal in both one stays.
+    """
+    docs = docs.select(COLUMNS).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    groups = simhash.near_duplicates(docs.select(F.struct("doc_id", "th").alias("key"), "text"), shingle=5, scheme=simhash.WIDE, id_col="key")
+    first = stored(groups.filter("doc_id <=> component_id").groupBy("doc_id").count().select(
+        F.col("doc_id.doc_id").alias("of"), F.col("doc_id.th").alias("of_th"), "count"), "near-dedup-first")
+    kept = docs.join(first.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("of_th")))
+    once = kept.filter("count = 1").select(COLUMNS)
+    again = kept.filter("count > 1").groupBy("of", "of_th").agg(F.min(F.struct(COLUMNS)).alias("one"))
+    return once if first.filter("count > 1").isEmpty() else once.unionByName(again.select("one.*"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which benchmark windows of 13 words cover at least a twentieth."""
-    found = decontaminate.contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    bad = found.filter(decontaminate.is_contaminated(F.col("n_hit"), F.col("n_words"))).select("doc_id").distinct()
-    return docs.select(COLUMNS).join(stored(bad, "contaminated"), "doc_id", "left_anti")
+    """Drops documents of which benchmark windows of 13 words cover at least a twentieth; a text is known by its hash."""
+    docs = docs.select(COLUMNS).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    found = decontaminate.contamination(docs.select(F.col("th").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    bad = stored(found.filter(decontaminate.is_contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("th")).distinct(), "contaminated")
+    return docs.join(small(bad, 1_000_000), "th", "left_anti").select(COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

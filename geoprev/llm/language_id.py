@@ -6,7 +6,7 @@ distinct). The statistics are then frozen, so the exact code length of every byt
 bytes: the trees become tables, and a text is scored by summing table entries over all its bytes. The
 language with the shortest code wins; the score is its posterior under equal priors.
 
-Defined results: null text or a text without a letter gives `und` with score 0; ties go to the first language
+Defined results: null text, a text without a letter, or a model without languages gives `und` with score 0; ties go to the first language
 in code-point order; repeated rows count each; an empty table gives no rows; any other column is ignored.
 """
 
@@ -114,11 +114,11 @@ def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = frozen.value
         for batch in pieces(batches, text):
-            data, offsets = text_bytes(batch.column(text))
-            bits = code_lengths(model, data, offsets)
-            best = bits.argmin(1) if len(model["languages"]) else np.zeros(len(bits), int)
-            sure = 1 / np.exp2(np.clip(bits.min(1, keepdims=True) - bits, -1000, 0)).sum(1)
-            und = [x is None or not LETTER.search(x) for x in batch.column(text).to_pylist()]
+            und = np.array([not model["languages"] or x is None or not LETTER.search(x) for x in batch.column(text).to_pylist()])
+            best, sure = np.zeros(len(und), int), np.zeros(len(und))
+            if model["languages"]:
+                bits = code_lengths(model, *text_bytes(batch.column(text)))
+                best, sure = bits.argmin(1), 1 / np.exp2(np.clip(bits.min(1, keepdims=True) - bits, -1000, 0)).sum(1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(["und" if u else model["languages"][k] for u, k in zip(und, best)], pa.string()), pa.array(np.where(und, 0.0, sure)), *(batch.column(n) for n in names)],
                 names=["lang_pred", "score", *names])

@@ -96,6 +96,8 @@ def mix(docs: DataFrame, sources: Column, size: Column, id_col: str = "doc_id",
 
     sources: array of a document's sources; quotas: words by source from the words of all its documents.
     """
+    if clash := {"doc_id", "sources", "size", "pattern_size", "flow", "copies", "taken", "routes", "h", "bucket", "at", "base", "mids"}.intersection(carry or []):
+        raise ValueError(f"columns of these names can't be carried: {sorted(clash)}")
     rows = stored(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.array_sort(F.array_distinct(sources)).alias("sources"),
                               size.alias("size"), *[F.col(f"`{c}`") for c in carry or []]), "mix-sizes")
     sums = rows.groupBy("sources").agg(F.sum("size").alias("n")).limit(max_patterns + 1).collect()

@@ -262,7 +262,7 @@ def recipes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/rows/kind=chunk").select(F.col("key").alias("digest"), "n", "data")
+    return spark.read.schema("key binary, n int, data binary, kind string").parquet(f"{path}/rows").filter("kind = 'chunk'").select(F.col("key").alias("digest"), "n", "data")
 
 
 def _load(name: bytes, data: bytes) -> bytes:
