@@ -27,8 +27,9 @@ import hashlib
 import json
 import os
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from itertools import compress
+from itertools import accumulate, chain, compress
 from operator import not_
 
 import numpy as np
@@ -45,7 +46,7 @@ WINDOW = 12
 MEAN = 10  # a chunk has about 2 ** MEAN ids
 LONGEST = 1 << 13
 GEAR = np.random.default_rng(97).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
-CACHE = 500_000
+CACHE, HOT = 600_000, 1 << 14
 TAIL = b".,;:!?&%$#*)"
 _ENCODERS: dict = {}
 
@@ -89,6 +90,7 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer, self.width, self.known = Tokenizer.from_file(path), width, {}
         self.older: dict = {}
+        self.often: dict = {}
         mark = self._ids(self.MARK)
         self.mark = int(mark[0]) if len(mark) == 1 else None
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -122,13 +124,11 @@ class WordEncoder:
     def _learn_letters(self, words: list[bytes]) -> None:
         """Encode words of letters only: of each, the last token and no other ends a word."""
         ids = self._ids(b" ".join(words).decode())
-        ends = np.flatnonzero(self.last[ids]) + 1
+        ends = self.width * (np.flatnonzero(self.last[ids]) + 1)
         if len(ends) != len(words):
             return self._learn(words)
-        raw, at, known = ids.tobytes(), 0, self.known
-        for w, e in zip(words, (self.width * ends).tolist()):
-            known[w] = raw[at:e]
-            at = e
+        raw, ends = ids.tobytes(), ends.tolist()
+        self.known.update(zip(words, [raw[a:e] for a, e in zip([0, *ends], ends)]))
 
     def _learn_all(self, words: set[bytes]) -> None:
         known, older = self.known, self.older
@@ -136,15 +136,19 @@ class WordEncoder:
         for w in words:
             if w in older:
                 known[w] = older[w]
-                continue
-            core = w.rstrip(TAIL)
-            if b"<|" in w or not core.decode().isalpha():
-                others.append(w)
-            elif core is w or len(core) == len(w):
+            elif w.isalpha():
                 letters.append(w)
-            else:  # letters, then punctuation: two pieces that no token crosses
-                joined.append((w, core, w[len(core) :]))
-        parts = {x for _, core, tail in joined for x in (core, tail)}.difference(known).difference(letters)
+            elif b"<|" in w:
+                others.append(w)
+            else:
+                core = w.rstrip(TAIL)
+                if not core.decode().isalpha():
+                    others.append(w)
+                elif len(core) == len(w):
+                    letters.append(w)
+                else:  # letters, then punctuation: two pieces that no token crosses
+                    joined.append((w, core, w[len(core) :]))
+        parts = {x for _, core, tail in joined for x in (core, tail)}.difference(known, letters)
         for x in parts:
             (letters if x.decode().isalpha() else others).append(x)
         for k in range(0, len(letters), 1024):
@@ -157,15 +161,24 @@ class WordEncoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         # lower-casing A-Z is the tokenizer's own doing; ahead of it, it is safe where nothing composes and no special token is spelt
         split = [(t.lower() if t.isascii() and b"<|" not in t else t).split() for t in texts]
-        get = self.known.get
-        ids = [list(map(get, ws)) for ws in split]
-        new = set()
-        for ws, xs in zip(split, ids):
-            new.update(compress(ws, map(not_, xs)))
+        words = list(chain.from_iterable(split))
+        if not self.often and len(words) > HOT:  # the commonest words of the first texts, in a table that stays in a CPU's cache
+            common = [w for w, _ in Counter(words).most_common(HOT)]
+            self._learn_all(set(common).difference(self.known))
+            self.often = {w: self.known[w] for w in common}
+        ids = list(map(self.often.get, words))
+        at = list(compress(range(len(ids)), map(not_, ids)))
+        rest = [words[i] for i in at]
+        found = list(map(self.known.get, rest))
+        new = set(compress(rest, map(not_, found)))
         if new:
             self._learn_all(new)
-            ids = [list(map(get, ws)) if None in xs else xs for ws, xs in zip(split, ids)]
-        out = list(map(b"".join, ids))
+            for j in compress(range(len(found)), map(not_, found)):
+                found[j] = self.known[rest[j]]
+        for i, x in zip(at, found):
+            ids[i] = x
+        ends = list(accumulate(map(len, split)))
+        out = [b"".join(ids[a:e]) for a, e in zip([0, *ends], ends)]
         if len(self.known) > CACHE:  # what two generations have not met is forgotten
             self.known, self.older = {}, self.known
         return out
@@ -265,10 +278,13 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("key binary, n int, data binary, kind string").parquet(f"{path}/rows").filter("kind = 'chunk'").select(F.col("key").alias("digest"), "n", "data")
 
 
-def _load(name: bytes, data: bytes) -> bytes:
-    raw = zstandard.decompress(data)
-    if digest(raw) != name:
-        raise ValueError(f"chunk {name.hex()} does not match its digest")
+def _load(names: list[bytes], data: list[bytes]) -> list[bytes]:
+    """The ids of chunks, each checked against its digest."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    raw = list(map(unpack, data))
+    for name, x in zip(names, raw):
+        if digest(x) != name:
+            raise ValueError(f"chunk {name.hex()} does not match its digest")
     return raw
 
 
@@ -304,9 +320,11 @@ def checksums(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names = b.column("digest").to_pylist()
-            raw = [np.frombuffer(_load(n, d), f"<u{width}") for n, d in zip(names, b.column("data").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array([len(x) for x in raw], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in raw], pa.int64())], names=["digest", "n", "crc"])
+            raw = _load(b.column("digest").to_pylist(), b.column("data").to_pylist())
+            n = [len(x) // width for x in raw]
+            wide = memoryview(np.frombuffer(b"".join(raw), f"<u{width}").astype("<u4").tobytes())
+            ends = list(accumulate(4 * k for k in n))
+            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(n, pa.int64()), pa.array([zlib.crc32(wide[a:e]) for a, e in zip([0, *ends], ends)], pa.int64())], names=["digest", "n", "crc"])
 
     def shift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -320,7 +338,7 @@ def checksums(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
                     raise ValueError("a recipe does not match its root")
             lengths = b.column("lengths").to_pylist()
             doc = np.repeat(np.arange(b.num_rows), [len(x) for x in lengths])
-            after = [a for x in lengths for a in (np.sum(x) - np.cumsum(x)).tolist()]
+            after = [n - a for x in lengths for n in (sum(x),) for a in accumulate(x)]
             take = pa.array(doc)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("start").take(take), b.column("digests").flatten(), b.column("lengths").flatten(), pa.array(after, pa.int64())], names=["doc_id", "start", "digest", "length", "after"])
 
@@ -339,7 +357,7 @@ def read_ids(spark: SparkSession, path: str, docs: DataFrame | None = None, widt
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [np.frombuffer(_load(n, d), f"<u{width}").astype(np.int32) for n, d in zip(b.column("digest").to_pylist(), b.column("data").to_pylist())]
+            ids = [np.frombuffer(x, f"<u{width}").astype(np.int32) for x in _load(b.column("digest").to_pylist(), b.column("data").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(ids, pa.list_(pa.int32()))], names=["digest", "ids"])
 
     table = recipes(spark, path)
