@@ -112,8 +112,10 @@ def fit(ordinary: list[str], toxic: list[str], ordinary_bytes: int = 96 << 10, t
     if not ordinary or not toxic:
         return None
     docs = [[windows(t.encode()) for t in dict.fromkeys(texts)] for texts in (ordinary, toxic)]
-    seen = [Counter(w for d in texts for w in set(d) if len(w) > 2) for texts in docs]
-    odds = lambda w: math.log((seen[1][w] + 0.5) / (len(docs[1]) + 1)) - math.log((seen[0][w] + 0.5) / (len(docs[0]) + 1))
+    # a word counts once for each pair of neighbours, so copies of a text don't make its words characteristic
+    seen = [Counter(w for _, w, _ in {x for d in texts for x in zip([b"", *d], d, [*d[1:], b""])} if len(w) > 2) for texts in docs]
+    total = [sum(c.values()) + 1 for c in seen]
+    odds = lambda w: math.log((seen[1][w] + 0.5) / total[1]) - math.log((seen[0][w] + 0.5) / total[0])
     marked = sorted((w for w, n in seen[1].items() if n > max(3, len(docs[1]) / 100) and odds(w) > lift), key=lambda w: (-odds(w) * math.sqrt(seen[1][w]), w))
     usual = sorted((w for w in seen[0] if odds(w) < 0.7), key=lambda w: (-seen[0][w], w))
     toxic_part, hard = _content(marked, toxic_bytes), {}
