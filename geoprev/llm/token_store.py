@@ -27,27 +27,26 @@ import hashlib
 import json
 import os
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate, chain, compress
-from operator import not_
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrow import bytes_list, pieces
+from .arrow import pieces
 from .util import bound_batches, shared_dir
 
 WINDOW = 12
 MEAN = 10  # a chunk has about 2 ** MEAN ids
 LONGEST = 1 << 13
 GEAR = np.random.default_rng(97).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
-CACHE, HOT = 600_000, 1 << 14
-TAIL = b".,;:!?&%$#*)"
+CACHE = 1_000_000
+TAIL, LETTERS = ".,;:!?&%$#*)", r"^\pL+$"
 _ENCODERS: dict = {}
 
 
@@ -79,24 +78,40 @@ def cuts(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return at
 
 
+def _data(strings: pa.Array) -> pa.Buffer:
+    """The bytes of all strings in a row."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    return strings.buffers()[2].slice(int(offsets[0]), int(offsets[-1] - offsets[0])) if len(strings) and strings.buffers()[2] else pa.py_buffer(b"")
+
+
+def _gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of values, one behind the other."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.repeat((start - ends + size).astype(np.int32 if max(len(values), total) < 1 << 31 else np.int64), size) + np.arange(total, dtype=np.int32 if total < 1 << 31 else np.int64)]
+
+
 class WordEncoder:
-    """Ids of texts as bytes; words between ASCII white space are encoded once and kept while the worker lives."""
+    """Ids of texts; words between ASCII white space are encoded once and kept while the worker lives.
+
+    A word of letters with punctuation behind it counts as two pieces, which no token crosses. Words are split, told apart and
+    looked up by Arrow; only new pieces meet the tokenizer, many at a time.
+    """
 
-    MARK = "\x02"  # between words that are encoded together
+    MARK = "\x02"  # between pieces that are encoded together
 
     def __init__(self, path: str, width: int):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        self.tokenizer, self.width, self.known = Tokenizer.from_file(path), width, {}
-        self.older: dict = {}
-        self.often: dict = {}
+        self.tokenizer, self.width = Tokenizer.from_file(path), width
         mark = self._ids(self.MARK)
         self.mark = int(mark[0]) if len(mark) == 1 else None
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") or "\x00"
         self.last = np.zeros(max(self.tokenizer.get_vocab_size(), *vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self._forget()
 
     @classmethod
     def of(cls, path: str, width: int) -> WordEncoder:
@@ -104,84 +119,75 @@ class WordEncoder:
             _ENCODERS[path, width] = cls(path, width)
         return _ENCODERS[path, width]
 
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.large_string())  # pieces, and of each the first of its ids and their number
+        self.start = self.size = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, f"<u{self.width}")
+
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, f"<u{self.width}")
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Encode words, each of them between marks."""
-        texts = [w.decode() for w in words]
-        ids = self._ids(f" {self.MARK} ".join([*texts, ""])) if self.mark is not None else np.zeros(0)
+    def _apart(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces with marks between them, and how many each has."""
+        ids = self._ids(f" {self.MARK} ".join([*pieces, ""])) if self.mark is not None else np.zeros(0)
         ends = np.flatnonzero(ids == self.mark)
-        if len(ends) == len(words):
-            raw, at = ids.tobytes(), 0
-            for w, e in zip(words, (self.width * ends).tolist()):
-                self.known[w] = raw[at:e]
-                at = e + self.width
-        else:  # a word holds the mark
-            for w, t in zip(words, texts):
-                self.known[w] = self._ids(t).tobytes()
-
-    def _learn_letters(self, words: list[bytes]) -> None:
-        """Encode words of letters only: of each, the last token and no other ends a word."""
-        ids = self._ids(b" ".join(words).decode())
-        ends = self.width * (np.flatnonzero(self.last[ids]) + 1)
-        if len(ends) != len(words):
-            return self._learn(words)
-        raw, ends = ids.tobytes(), ends.tolist()
-        self.known.update(zip(words, [raw[a:e] for a, e in zip([0, *ends], ends)]))
-
-    def _learn_all(self, words: set[bytes]) -> None:
-        known, older = self.known, self.older
-        letters, others, joined = [], [], []
-        for w in words:
-            if w in older:
-                known[w] = older[w]
-            elif w.isalpha():
-                letters.append(w)
-            elif b"<|" in w:
-                others.append(w)
-            else:
-                core = w.rstrip(TAIL)
-                if not core.decode().isalpha():
-                    others.append(w)
-                elif len(core) == len(w):
-                    letters.append(w)
-                else:  # letters, then punctuation: two pieces that no token crosses
-                    joined.append((w, core, w[len(core) :]))
-        parts = {x for _, core, tail in joined for x in (core, tail)}.difference(known, letters)
-        for x in parts:
-            (letters if x.decode().isalpha() else others).append(x)
-        for k in range(0, len(letters), 1024):
-            self._learn_letters(letters[k : k + 1024])
-        for k in range(0, len(others), 1024):
-            self._learn(others[k : k + 1024])
-        for w, core, tail in joined:
-            known[w] = known[core] + known[tail]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+        if len(ends) == len(pieces):
+            return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
+        each = [self._ids(x) for x in pieces]  # a piece holds the mark
+        return np.concatenate(each), np.array([len(x) for x in each])
+
+    def _letters(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces of letters only: of each, the last token and no other ends a word."""
+        ids = self._ids(" ".join(pieces))
+        ends = np.flatnonzero(self.last[ids]) + 1
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(pieces) else self._apart(pieces)
+
+    def _learn(self, pieces: pa.Array) -> None:
+        if len(self.known) + len(pieces) > CACHE:
+            self._forget()
+        letters = pc.match_substring_regex(pieces, LETTERS)
+        for part, encode in ((pieces.filter(letters), self._letters), (pieces.filter(pc.invert(letters)), self._apart)):
+            found = [encode(part.slice(k, 1024).to_pylist()) for k in range(0, len(part), 1024)]
+            if found:
+                size = np.concatenate([n for _, n in found])
+                self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+                self.size = np.concatenate([self.size, size])
+                self.ids = np.concatenate([self.ids, *(x for x, _ in found)])
+                self.known = pa.concat_arrays([self.known, part])
+
+    def _halves(self, words: pa.Array) -> pa.Array:
+        """Each word as two pieces, one behind the other: letters and the punctuation behind them, or the word and nothing."""
+        core = pc.ascii_rtrim(words, characters=TAIL)
+        cut = pc.and_(pc.match_substring_regex(core, LETTERS), pc.invert(pc.match_substring(words, "<|")))
+        core = pc.if_else(cut, core, words)
+        n = np.stack([pc.binary_length(x).to_numpy(zero_copy_only=False) for x in (core, words)], axis=1)
+        n[:, 1] -= n[:, 0]
+        offsets = np.concatenate([[0], np.cumsum(n.ravel())]).astype(np.int64)
+        return pa.LargeStringArray.from_buffers(2 * len(words), pa.py_buffer(offsets.tobytes()), _data(words))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each text has."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = pa.concat_arrays([texts, texts.slice(0, 0)])  # a copy of its own: ascii_lower errs on slices
         # lower-casing A-Z is the tokenizer's own doing; ahead of it, it is safe where nothing composes and no special token is spelt
-        split = [(t.lower() if t.isascii() and b"<|" not in t else t).split() for t in texts]
-        words = list(chain.from_iterable(split))
-        if not self.often and len(words) > HOT:  # the commonest words of the first texts, in a table that stays in a CPU's cache
-            common = [w for w, _ in Counter(words).most_common(HOT)]
-            self._learn_all(set(common).difference(self.known))
-            self.often = {w: self.known[w] for w in common}
-        ids = list(map(self.often.get, words))
-        at = list(compress(range(len(ids)), map(not_, ids)))
-        rest = [words[i] for i in at]
-        found = list(map(self.known.get, rest))
-        new = set(compress(rest, map(not_, found)))
-        if new:
-            self._learn_all(new)
-            for j in compress(range(len(found)), map(not_, found)):
-                found[j] = self.known[rest[j]]
-        for i, x in zip(at, found):
-            ids[i] = x
-        ends = list(accumulate(map(len, split)))
-        out = [b"".join(ids[a:e]) for a, e in zip([0, *ends], ends)]
-        if len(self.known) > CACHE:  # what two generations have not met is forgotten
-            self.known, self.older = {}, self.known
-        return out
+        plain = pc.and_(pc.string_is_ascii(texts), pc.invert(pc.match_substring(texts, "<|")))
+        split = pc.ascii_split_whitespace(pc.if_else(plain, pc.ascii_lower(texts), texts))
+        words = split.flatten().dictionary_encode()
+        pieces = self._halves(words.dictionary).dictionary_encode()
+        at = pc.index_in(pieces.dictionary, value_set=self.known)
+        if at.null_count:
+            self._learn(pieces.dictionary.filter(pc.is_null(at)))
+            at = pc.index_in(pieces.dictionary, value_set=self.known)
+            if at.null_count:  # all was forgotten
+                self._learn(pieces.dictionary.filter(pc.is_null(at)))
+                at = pc.index_in(pieces.dictionary, value_set=self.known)
+        half = at.to_numpy(zero_copy_only=False).astype(np.int64)[pieces.indices.to_numpy(zero_copy_only=False)]
+        size = self.size[half].reshape(-1, 2).sum(1)
+        every = _gather(self.ids, self.start[half], self.size[half])
+        word = words.indices.to_numpy(zero_copy_only=False)
+        out = _gather(every, (np.cumsum(size) - size)[word], size[word])
+        ends = np.concatenate([[0], np.cumsum(size[word])])
+        return out, np.diff(ends[np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))], prepend=0)
 
 
 def drops_space(path: str) -> bool:
@@ -199,19 +205,18 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int = 2
     path = path or shared_dir(spark, "token-store")
     if not drops_space(tokenizer):
         raise ValueError("the tokenizer keeps white space; its words can't be encoded one by one")
-    end = np.array([end_id], f"<u{width}").tobytes()
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, press, seen = WordEncoder.of(tokenizer, width), zstandard.ZstdCompressor(level=1), {}
         part, row = TaskContext.get().partitionId(), 0
-        for batch in pieces(batches, "text", 2 << 20):
-            ids = encoder.encode(bytes_list(batch.column("text")))
+        for batch in pieces(batches, "text", 8 << 20):
+            ids, counts = encoder.encode(batch.column("text"))
             recipe: dict = {"key": [], "digests": [], "lengths": [], "root": []}
             chunk: dict = {"key": [], "n": [], "data": []}
-            stream = b"".join(x + end for x in ids)
-            ends = np.cumsum([len(x) // width + 1 for x in ids])
-            at = cuts(np.frombuffer(stream, f"<u{width}"), ends)
+            ids = np.insert(ids, np.cumsum(counts), end_id)
+            ends = np.cumsum(counts + 1)
+            at, stream = cuts(ids, ends), ids.tobytes()
             lengths = np.diff(at, prepend=0).tolist()
             names, a = [], 0
             for e, n in zip((width * at).tolist(), lengths):
@@ -233,7 +238,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int = 2
                 a = e
             if len(seen) > CACHE:
                 seen.clear()
-            n, m = len(ids), len(chunk["key"])
+            n, m = len(counts), len(chunk["key"])
             doc = batch.column("doc_id")
             yield pa.RecordBatch.from_arrays([
                 pa.array(["recipe"] * n + ["chunk"] * m), pa.array(recipe["key"] + chunk["key"], pa.binary()),
