@@ -22,6 +22,9 @@ class Box:
     ymin: float
     ymax: float
 
+    def padded(self, degrees: float) -> Box:
+        return Box(self.xmin - degrees, self.xmax + degrees, self.ymin - degrees, self.ymax + degrees)
+
 
 EAST_AFRICA = Box(27.0, 44.5, -5.0, 17.5)
 #: Map windows of single markers.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..parameters import PREVALENCE_COLOURS
 from .grid import pivot_years
 
 
@@ -116,4 +117,4 @@ def map_layers(raster: DataFrame, points: DataFrame | None, x_step: float, y_ste
     """What a map needs: fill (percent), points in the order of p, ticks, colour stops and the legend's label."""
     box = raster.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     fill = raster.withColumn("fill", 100 * F.col("p"))
-    return {"raster": fill, "points": points.orderBy("p") if points is not None else None, "x_ticks": X.axis_ticks(box[0], box[1], x_step), "y_ticks": X.axis_ticks(box[2], box[3], y_step), "stops": X.prev_vals(), "label": label}
+    return {"raster": fill, "points": points.orderBy("p") if points is not None else None, "x_ticks": X.axis_ticks(box[0], box[1], x_step), "y_ticks": X.axis_ticks(box[2], box[3], y_step), "stops": X.prev_vals(), "colours": PREVALENCE_COLOURS, "label": label}

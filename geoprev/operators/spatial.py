@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import Box, clip_ring, inside
+from ..functions.geo import Box, clip_ring, from_mercator, inside, mercator
 
 
 def with_box(polygons: DataFrame) -> DataFrame:
@@ -78,3 +78,20 @@ def clip(polygons: DataFrame, box: Box) -> DataFrame:
 
 def extent(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.agg(F.min(x).alias("xmin"), F.max(x).alias("xmax"), F.min(y).alias("ymin"), F.max(y).alias("ymax"))
+
+
+def map_window(land: DataFrame, water: DataFrame | None = None, buffer_km: float = 200.0) -> dict:
+    """Limits of a polygon table buffered in the metric projection, and land and water clipped to them.
+
+    Six numbers come to the driver. The clipped polygons are not dissolved: a point lies in their union if it lies in any.
+    """
+    corners = with_box(land).select(F.explode(F.array(F.struct(F.col("xmin").alias("x"), F.col("ymin").alias("y")), F.struct(F.col("xmax").alias("x"), F.col("ymax").alias("y")))).alias("c"))
+    x, y = mercator(F.col("c.x"), F.col("c.y"))
+    e = extent(corners.select(x.alias("x"), y.alias("y")), "x", "y")
+    d = 1000.0 * buffer_km
+    lo, hi = from_mercator(F.col("xmin") - d, F.col("ymin") - d), from_mercator(F.col("xmax") + d, F.col("ymax") + d)
+    row = e.select(lo[0].alias("a"), hi[0].alias("b"), lo[1].alias("c"), hi[1].alias("d")).first()
+    if any(v is None for v in row):
+        raise ValueError("the polygons have no extent")
+    box = Box(*row)
+    return {"box": box, "x_limits": (box.xmin, box.xmax), "y_limits": (box.ymin, box.ymax), "land": clip(land, box), "water": None if water is None else clip(water, box)}

@@ -138,3 +138,23 @@ def test_map_layers(spark):
     raster = spark.createDataFrame([(27.0, 1.0, 0.5)], "x double, y double, p double")
     layers = R.map_layers(raster, raster, 5, 5)
     assert layers["raster"].first().fill == 50 and layers["x_ticks"] == [25, 30] and layers["points"].count() == 1
+
+
+def test_map_window(spark):
+    square = [[(30.0, 0.0), (31.0, 0.0), (31.0, 1.0), (30.0, 1.0)]]
+    land = spark.createDataFrame([("a", square)], POLYGONS)
+    lake = spark.createDataFrame([("l", [[(0.0, 0.0), (60.0, 0.0), (60.0, 1.0), (0.0, 1.0)]])], POLYGONS)
+    w = S.map_window(land, lake, 200)
+    box = w["box"]
+    assert box.xmin == pytest.approx(30 - 200 / 111.3195, abs=1e-3) and box.ymax == pytest.approx(1 + 200 / 111.3, abs=2e-2)
+    assert min(p.x for p in w["water"].first().rings[0]) == pytest.approx(box.xmin) and w["land"].count() == 1
+    with pytest.raises(ValueError):
+        S.map_window(land.limit(0))
+
+
+def test_fixed_values():
+    from geoprev import parameters
+    from geoprev.functions.geo import EAST_AFRICA
+
+    assert len(parameters.ALL_MUTATIONS) == 24 and set(parameters.AREA_MUTATIONS) <= set(parameters.ALL_MUTATIONS)
+    assert len(parameters.PREVALENCE_COLOURS) == 10 and EAST_AFRICA.padded(2).xmin == 25
