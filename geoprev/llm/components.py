@@ -10,12 +10,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import stored
+from .util import drop_dir, shared_dir
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, label) of every node in links (a, b); label is the least node reachable. Nulls and loops are ignored."""
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("a <> b").distinct(), "components")
+    spark = links.sparkSession
+
+    def round_of(df: DataFrame, last: str | None) -> tuple[DataFrame, str]:
+        """Write a round, read it back and drop the one before."""
+        path = shared_dir(spark, "components")
+        df.write.parquet(path)
+        if last:
+            drop_dir(spark, last)
+        return spark.read.schema(df.schema).parquet(path), path
+
+    edges, path = round_of(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("a <> b").distinct(), None)
     sign = None
     for _ in range(max_rounds):
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -28,5 +38,5 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(lower.hint("merge"), "u")
-        edges = stored(star.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(lower.select("u", "m")).distinct(), "components")
+        edges, path = round_of(star.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(lower.select("u", "m")).distinct(), path)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -235,5 +235,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, block_byte
     return out.select("doc_id", "n_words", "n_hit", "hits", "items")
 
 
+def proximity_matches(docs: DataFrame, queries: DataFrame, within: int, max_bytes: int = 8 << 20) -> DataFrame:
+    """doc_id, item_id, position of each span of at most `within` words that begins with, and holds, all words of a query.
+
+    docs: doc_id, text; queries: item_id, text, at most max_bytes in all. Queries without words match nothing.
+    """
+    rows = queries.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text IS NOT NULL AND item_id IS NOT NULL")
+    if (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > max_bytes:
+        raise ValueError(f"queries of more than {max_bytes} bytes: search them in blocks")
+    items = [(r["item_id"], ws) for r in rows.collect() if (ws := words(r["text"].encode()))]
+    terms = vocabulary({str(i): ws for i, (_, ws) in enumerate(items)})
+    index = build_index(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), terms)
+    shared = docs.sparkSession.sparkContext.broadcast([(name, sorted({terms[w] for w in ws})) for name, ws in items])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for seg in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
+                hits = [(seg["doc_ids"][d], name, p) for name, ts in shared.value for d, p in near(seg, ts, within)]
+                if hits:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*hits), (pa.int64(), pa.string(), pa.int64()))], names=["doc_id", "item_id", "position"])
+
+    return index.mapInArrow(run, "doc_id long, item_id string, position long")
+
+
 def is_contaminated(n_hit, n_words):
     return ((n_hit > 0) & (20 * n_hit >= n_words)).cast(BooleanType())

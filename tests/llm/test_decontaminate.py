@@ -67,6 +67,16 @@ def test_proximity():
     assert D.near(seg, [v[b"a"], v[b"c"]], 2) == []
 
 
+def test_proximity_matches(spark, edge, empty):
+    docs = spark.createDataFrame([(1, "a x B x x c"), (2, "b, a!"), (3, "a x x x x x b"), (4, None)], "doc_id long, text string").repartition(2)
+    q = spark.createDataFrame([(7, "A b"), (8, "..."), (9, None), (10, "c")], "item_id long, text string")
+    got = sorted(map(tuple, D.proximity_matches(docs, q, 3).collect()))
+    assert got == [(1, "10", 5), (1, "7", 0), (2, "7", 0)]
+    assert D.proximity_matches(empty, q, 3).count() == 0 and D.proximity_matches(docs, q.limit(0), 3).count() == 0
+    with pytest.raises(ValueError, match="blocks"):
+        D.proximity_matches(docs, q, 3, max_bytes=2)
+
+
 def test_phrases_do_not_cross_documents():
     v = D.vocabulary({"i": [b"a", b"b"]})
     seg = D.segment([1, 2], [b"x a", b"b a b"], v)
