@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +11,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+try:
+    _malloc_trim = ctypes.CDLL(ctypes.util.find_library("c")).malloc_trim
+except (OSError, AttributeError, TypeError):  # not glibc
+    _malloc_trim = None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on after its task and would keep what its largest batch took."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim:
+        _malloc_trim(0)
+
+
 def bytes_list(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8 bytes; null counts as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
@@ -34,6 +49,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 4 << 2
             to = max(at + 1, int(np.searchsorted(size, base + max_bytes, side="right")))
             yield batch.slice(at, to - at)
             at = to
+        give_back()
 
 
 def complete_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

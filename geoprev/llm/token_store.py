@@ -45,7 +45,7 @@ WINDOW = 12
 MEAN = 10  # a chunk has about 2 ** MEAN ids
 LONGEST = 1 << 13
 GEAR = np.random.default_rng(97).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
-CACHE = 1_000_000
+CACHE = 700_000
 TAIL, LETTERS = ".,;:!?&%$#*)", r"^\pL+$"
 _ENCODERS: dict = {}
 
@@ -210,7 +210,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int = 2
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, press, seen = WordEncoder.of(tokenizer, width), zstandard.ZstdCompressor(level=1), {}
         part, row = TaskContext.get().partitionId(), 0
-        for batch in pieces(batches, "text", 8 << 20):
+        for batch in pieces(batches, "text", 6 << 20):
             ids, counts = encoder.encode(batch.column("text"))
             recipe: dict = {"key": [], "digests": [], "lengths": [], "root": []}
             chunk: dict = {"key": [], "n": [], "data": []}
