@@ -45,7 +45,7 @@ WINDOW = 12
 MEAN = 10  # a chunk has about 2 ** MEAN ids
 LONGEST = 1 << 13
 GEAR = np.random.default_rng(97).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
-CACHE = 700_000
+CACHE = 1_000_000
 TAIL, LETTERS = ".,;:!?&%$#*)", r"^\pL+$"
 _ENCODERS: dict = {}
 
@@ -86,7 +86,7 @@ def _data(strings: pa.Array) -> pa.Buffer:
 
 def _gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The stretches of values, one behind the other."""
-    ends = np.cumsum(size)
+    ends = np.cumsum(size, dtype=np.int64)
     total = int(ends[-1]) if len(ends) else 0
     return values[np.repeat((start - ends + size).astype(np.int32 if max(len(values), total) < 1 << 31 else np.int64), size) + np.arange(total, dtype=np.int32 if total < 1 << 31 else np.int64)]
 
@@ -121,7 +121,7 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.known = pa.array([], pa.large_string())  # pieces, and of each the first of its ids and their number
-        self.start = self.size = np.zeros(0, np.int64)
+        self.start = self.size = np.zeros(0, np.int32)
         self.ids = np.zeros(0, f"<u{self.width}")
 
     def _ids(self, text: str) -> np.ndarray:
@@ -150,8 +150,8 @@ class WordEncoder:
             found = [encode(part.slice(k, 1024).to_pylist()) for k in range(0, len(part), 1024)]
             if found:
                 size = np.concatenate([n for _, n in found])
-                self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
-                self.size = np.concatenate([self.size, size])
+                self.start = np.concatenate([self.start, (len(self.ids) + np.cumsum(size) - size).astype(np.int32)])
+                self.size = np.concatenate([self.size, size.astype(np.int32)])
                 self.ids = np.concatenate([self.ids, *(x for x, _ in found)])
                 self.known = pa.concat_arrays([self.known, part])
 
@@ -182,7 +182,7 @@ class WordEncoder:
                 self._learn(pieces.dictionary.filter(pc.is_null(at)))
                 at = pc.index_in(pieces.dictionary, value_set=self.known)
         half = at.to_numpy(zero_copy_only=False).astype(np.int64)[pieces.indices.to_numpy(zero_copy_only=False)]
-        size = self.size[half].reshape(-1, 2).sum(1)
+        size = self.size[half].reshape(-1, 2).sum(1, dtype=np.int64)
         every = _gather(self.ids, self.start[half], self.size[half])
         word = words.indices.to_numpy(zero_copy_only=False)
         out = _gather(every, (np.cumsum(size) - size)[word], size[word])
