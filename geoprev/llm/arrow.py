@@ -18,7 +18,7 @@ except (OSError, AttributeError, TypeError):  # not glibc
 
 
 def give_back() -> None:
-    """Return freed memory to the system, at the end of a task: its worker lives on and would keep what the largest batch took."""
+    """Return freed memory to the system: a worker lives on after its task and would keep what its largest batch took."""
     pa.default_memory_pool().release_unused()
     if _malloc_trim:
         _malloc_trim(0)
@@ -49,7 +49,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 4 << 2
             to = max(at + 1, int(np.searchsorted(size, base + max_bytes, side="right")))
             yield batch.slice(at, to - at)
             at = to
-    give_back()
+        give_back()
 
 
 def complete_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

@@ -45,8 +45,10 @@ WINDOW = 12
 MEAN = 10  # a chunk has about 2 ** MEAN ids
 LONGEST = 1 << 13
 GEAR = np.random.default_rng(97).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
-CACHE = 1_000_000
+CACHE = 600_000
 TAIL, LETTERS = ".,;:!?&%$#*)", r"^\pL+$"
+#: Letters, the last of them one that stays a letter when normalised and lower-cased (Latin without the dotted capital I).
+CUT = r"^\pL*[A-Za-z\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{012F}\x{0131}-\x{017F}]$"
 _ENCODERS: dict = {}
 
 
@@ -142,11 +144,12 @@ class WordEncoder:
         ends = np.flatnonzero(self.last[ids]) + 1
         return (ids, np.diff(ends, prepend=0)) if len(ends) == len(pieces) else self._apart(pieces)
 
-    def _learn(self, pieces: pa.Array) -> None:
-        if len(self.known) + len(pieces) > CACHE:
-            self._forget()
+    def _learn(self, pieces: pa.Array) -> np.ndarray:
+        """Encode new pieces; the place of each among the known ones."""
         letters = pc.match_substring_regex(pieces, LETTERS)
-        for part, encode in ((pieces.filter(letters), self._letters), (pieces.filter(pc.invert(letters)), self._apart)):
+        place, base = np.zeros(len(pieces), np.int64), len(self.known)
+        for mask, encode in ((letters, self._letters), (pc.invert(letters), self._apart)):
+            part = pieces.filter(mask)
             found = [encode(part.slice(k, 1024).to_pylist()) for k in range(0, len(part), 1024)]
             if found:
                 size = np.concatenate([n for _, n in found])
@@ -154,11 +157,14 @@ class WordEncoder:
                 self.size = np.concatenate([self.size, size.astype(np.int32)])
                 self.ids = np.concatenate([self.ids, *(x for x, _ in found)])
                 self.known = pa.concat_arrays([self.known, part])
+                place[mask.to_numpy(zero_copy_only=False)] = base + np.arange(len(part))
+                base += len(part)
+        return place
 
     def _halves(self, words: pa.Array) -> pa.Array:
         """Each word as two pieces, one behind the other: letters and the punctuation behind them, or the word and nothing."""
         core = pc.ascii_rtrim(words, characters=TAIL)
-        cut = pc.and_(pc.match_substring_regex(core, LETTERS), pc.invert(pc.match_substring(words, "<|")))
+        cut = pc.and_(pc.match_substring_regex(core, CUT), pc.invert(pc.match_substring(words, "<|")))
         core = pc.if_else(cut, core, words)
         n = np.stack([pc.binary_length(x).to_numpy(zero_copy_only=False) for x in (core, words)], axis=1)
         n[:, 1] -= n[:, 0]
@@ -175,13 +181,14 @@ class WordEncoder:
         words = split.flatten().dictionary_encode()
         pieces = self._halves(words.dictionary).dictionary_encode()
         at = pc.index_in(pieces.dictionary, value_set=self.known)
+        if len(self.known) + at.null_count > CACHE:
+            self._forget()
+            at = pa.nulls(len(at), pa.int32())
+        new = pc.is_null(at)
+        place = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
         if at.null_count:
-            self._learn(pieces.dictionary.filter(pc.is_null(at)))
-            at = pc.index_in(pieces.dictionary, value_set=self.known)
-            if at.null_count:  # all was forgotten
-                self._learn(pieces.dictionary.filter(pc.is_null(at)))
-                at = pc.index_in(pieces.dictionary, value_set=self.known)
-        half = at.to_numpy(zero_copy_only=False).astype(np.int64)[pieces.indices.to_numpy(zero_copy_only=False)]
+            place[new.to_numpy(zero_copy_only=False)] = self._learn(pieces.dictionary.filter(new))
+        half = place[pieces.indices.to_numpy(zero_copy_only=False)]
         size = self.size[half].reshape(-1, 2).sum(1, dtype=np.int64)
         every = _gather(self.ids, self.start[half], self.size[half])
         word = words.indices.to_numpy(zero_copy_only=False)
@@ -210,7 +217,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int = 2
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, press, seen = WordEncoder.of(tokenizer, width), zstandard.ZstdCompressor(level=1), {}
         part, row = TaskContext.get().partitionId(), 0
-        for batch in pieces(batches, "text", 6 << 20):
+        for batch in pieces(batches, "text", 4 << 20):
             ids, counts = encoder.encode(batch.column("text"))
             recipe: dict = {"key": [], "digests": [], "lengths": [], "root": []}
             chunk: dict = {"key": [], "n": [], "data": []}

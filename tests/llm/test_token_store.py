@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from geoprev.llm import token_store as S
@@ -20,6 +20,7 @@ ALPHABET = st.sampled_from(list("abcXYZ019 .,'!<|>\t\n \u0085\x1c\x02éÉ́̌J
 
 
 @settings(max_examples=300, deadline=None)
+@example(["İ...", "क़.", "שׁ,", "ñ.", "ŉ!", "Ǆ."])
 @given(st.lists(st.lists(ALPHABET, max_size=12).map("".join), min_size=1, max_size=4))
 def test_words_give_the_ids_of_whole_texts(tokenizer, texts):
     e = S.WordEncoder.of(word_tokenizer(), 2)
@@ -28,6 +29,15 @@ def test_words_give_the_ids_of_whole_texts(tokenizer, texts):
     assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_forgetting_changes_nothing(tokenizer, words, monkeypatch):
+    monkeypatch.setattr(S, "CACHE", 300)
+    e = S.WordEncoder(word_tokenizer(), 2)
+    for i in range(12):
+        texts = [" ".join(words(90, 10 * i + k)) + ", 42!" for k in range(3)]
+        ids, counts = e.encode(S.pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def expected(tokenizer, rows):
     at, out = 0, []
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
