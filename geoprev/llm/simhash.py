@@ -16,6 +16,12 @@ by hash, and every two parts meet in a task of their own, so no task holds more
 exact and gives up nothing. An anchor emits a star for each group it finds, not all pairs. The stars are joined
 by connected components on tables.
 
+With `similarity` the components of fingerprints are candidates only. Texts are then told apart by a digest of their
+set of shingle hashes (equal fingerprints can belong to different texts), the sets of the candidates of a group meet, and
+links of a Jaccard similarity of at least that much are searched breadth-first: each text that is reached meets those not
+reached yet, so no link is lost, and a group of near copies isn't compared pair by pair. A group of many shingles
+is cut into parts as crowded anchors are. Components of these links are the result.
+
 Defined results: null text counts as empty; texts without words have fingerprint zero and link like others;
 a null identifier is kept and never names a component unless all identifiers of it are null; repeated rows
 are kept; an empty table gives no rows.
@@ -99,6 +105,30 @@ def fingerprints(docs: DataFrame, shingle: int, words: int = 1, id_col: str = "d
     return rows.mapInArrow(run, StructType().add("doc_id", rows.schema["doc_id"].dataType).add("fp", BinaryType()))
 
 
+def described(docs: DataFrame, shingle: int, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp, digest of the set of shingle hashes, n (hashes in the set) and th (hash of the text) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            hashes = [shingle_hashes(x, shingle) for x in bytes_list(batch.column("text"))]
+            sets = [np.unique(h) for h in hashes]
+            columns = [pa.array([fingerprint(h, words) for h in hashes], pa.binary()), pa.array(map(_digest, sets), pa.binary()), pa.array(map(len, sets), pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, batch.column("th")], names=["doc_id", "fp", "digest", "n", "th"])
+
+    bound_batches(docs.sparkSession)
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), _text_hash(text_col).alias("th"))
+    schema = StructType().add("doc_id", rows.schema["doc_id"].dataType).add("fp", BinaryType()).add("digest", BinaryType()).add("n", "long").add("th", "long")
+    return rows.mapInArrow(run, schema)
+
+
+def _digest(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
+def _text_hash(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+
+
 def _words(column, words: int) -> np.ndarray:
     """Fingerprints of a column as rows of 64-bit words."""
     return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
@@ -248,11 +278,98 @@ def links(fps: DataFrame, scheme: Scheme = EXACT, crowd: int = 2048) -> DataFram
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a binary, b binary").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, scheme: Scheme = WIDE, id_col: str = "doc_id", text_col: str = "text", crowd: int = 2048) -> DataFrame:
-    """doc_id, fp, component_id of every row; component_id is the least doc_id that links reach."""
+def similar_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (row, row) of a spanning forest of all pairs of sets (sorted, distinct) with at least this Jaccard similarity."""
+    size = np.array([len(x) for x in sets], np.int64)
+    hashes, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(hashes, kind="stable")
+    hashes, who = hashes[order], who[order]
+    new, left, indexed, found = np.ones(len(sets), bool), len(sets), len(sets), []
+    for start in range(len(sets)):
+        if not new[start]:
+            continue
+        new[start], left, reached = False, left - 1, [start]
+        while reached and left:
+            if 2 * left < indexed:  # the index holds those not reached yet, and as many others at most
+                kept = new[who]
+                hashes, who, indexed = hashes[kept], who[kept], left
+            at = reached.pop()
+            low, high = np.searchsorted(hashes, sets[at], "left"), np.searchsorted(hashes, sets[at], "right")
+            m = high - low
+            other, shared = np.unique(who[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(low, m)], return_counts=True)
+            near = other[new[other] & (shared >= similarity * (size[at] + size[other] - shared) - 1e-9)]
+            new[near], left = False, left - len(near)
+            found += [(at, int(x)) for x in near]
+            reached += near.tolist()
+    return found
+
+
+def verified_links(docs: DataFrame, candidates: DataFrame, shingle: int, similarity: float, text_col: str = "text", part_size: int = 1 << 22) -> DataFrame:
+    """Links (a, b) of digests; candidates: gid (group), digest, n and th, one row a group and digest.
+
+    Each text with one of these th gives its set of hashes once a task; groups of over part_size hashes are cut into parts.
+    """
+    groups = candidates.groupBy("gid").agg(F.count(F.lit(1)).alias("members"), F.ceil(F.sum("n") / part_size).cast("long").alias("parts")).filter("members > 1")
+    wanted = stored(candidates.join(groups, "gid").select("gid", "digest", "th", F.greatest("parts", F.lit(1)).alias("parts")), "simhash-candidates")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in pieces(batches, "text"):
+            keep, data = [], []
+            for i, (gid, digest, text) in enumerate(zip(batch.column("gid").to_pylist(), batch.column("digest").to_pylist(), bytes_list(batch.column("text")))):
+                if (gid, digest) not in seen and _digest(h := np.unique(shingle_hashes(text, shingle))) == digest:
+                    seen.add((gid, digest))
+                    keep.append(i)
+                    data.append(h.tobytes())
+            some = batch.select(["gid", "digest", "parts"]).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(data, pa.binary())], names=["gid", "digest", "parts", "hashes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in complete_groups(batches, keys):
+            key = list(zip(*(t.column(c).to_pylist() for c in keys)))
+            digest, hashes, a, b, start = t.column("digest").to_pylist(), t.column("hashes"), [], [], 0
+            for end in range(1, len(key) + 1):
+                if end < len(key) and key[end] == key[start]:
+                    continue
+                row = [i for i in range(start, end) if i == start or digest[i] != digest[i - 1]]
+                if len(row) > 1:
+                    for x, y in similar_links([np.frombuffer(hashes[i].as_py(), np.uint64) for i in row], similarity):
+                        a.append(digest[row[x]])
+                        b.append(digest[row[y]])
+                start = end
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    bound_batches(docs.sparkSession)
+    texts = docs.select(F.col(f"`{text_col}`").alias("text"), _text_hash(text_col).alias("th")).join(small(wanted, 1_000_000), "th")
+    made = texts.select("gid", "digest", "parts", "text").mapInArrow(sets, "gid long, digest binary, parts long, hashes binary")
+    keys = ["gid", "lo", "hi"]
+    part, other = F.pmod(F.xxhash64("digest"), "parts"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    dealt = made.select("gid", "digest", "hashes", part.alias("part"), other.alias("other")).select("gid", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "digest", "hashes")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "digest").mapInArrow(run, "a binary, b binary")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, scheme: Scheme = WIDE, id_col: str = "doc_id", text_col: str = "text", crowd: int = 2048, similarity: float | None = None) -> DataFrame:
+    """doc_id, fp, component_id of every row; component_id is the least doc_id that links reach.
+
+    With similarity, links between texts are those of fingerprints only where the sets of shingles are as similar.
+    """
+    if similarity is not None:
+        return _similar(docs, shingle, scheme, id_col, text_col, crowd, similarity)
     rows = stored(fingerprints(docs, shingle, scheme.words, id_col, text_col), "simhash-fingerprints")
     fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     label = components(links(fps, scheme, crowd))
     linked = fps.join(label, fps.fp == label.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     least = linked.groupBy("label").agg(F.min("first").alias("component_id"))
     return rows.join(linked.join(least, "label").select("fp", "component_id").hint("merge"), "fp").select("doc_id", "fp", "component_id")
+
+
+def _similar(docs: DataFrame, shingle: int, scheme: Scheme, id_col: str, text_col: str, crowd: int, similarity: float) -> DataFrame:
+    rows = stored(described(docs, shingle, scheme.words, id_col, text_col), "simhash-described")
+    nodes = stored(rows.groupBy("digest", "fp").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.min("th").alias("th")), "simhash-distinct")
+    group = components(links(nodes.select("fp").distinct(), scheme, crowd))
+    of = nodes.join(group, nodes.fp == group.node, "left").select("digest", "n", "th", F.xxhash64(F.coalesce("label", "fp")).alias("gid"))
+    candidates = stored(of.groupBy("gid", "digest").agg(F.min("n").alias("n"), F.min("th").alias("th")), "simhash-groups")
+    label = components(verified_links(docs, candidates, shingle, similarity, text_col))
+    linked = nodes.groupBy("digest").agg(F.min("first").alias("first")).join(label, F.col("digest") == label.node, "left").select("digest", "first", F.coalesce("label", "digest").alias("label"))
+    least = linked.groupBy("label").agg(F.min("first").alias("component_id"))
+    return rows.join(linked.join(least, "label").select("digest", "component_id").hint("merge"), "digest").select("doc_id", "fp", "component_id")

@@ -68,3 +68,11 @@ def test_stages_and_run(spark, sf_dir):
 def test_stages_take_empty_and_odd_tables(spark, sf_dir, empty, edge, stage):
     assert stage(spark, empty, sf_dir).count() == 0
     stage(spark, edge.selectExpr("doc_id", "text", "lang", "source", "n_chars", "'c' AS th", "'c' AS count"), sf_dir).count()
+
+
+def test_near_dedup_stage_keeps_what_is_less_similar(spark, sf_dir, words):
+    """A line that fills most of a text gives equal fingerprints; texts that share it and less than 0.8 of their shingles stay."""
+    line = "the same line of a page again and again " * 60
+    rows = [(i, line + " ".join(words(60, 500 + i)), "en", "s", 1) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in P.near_dedup(spark, docs, sf_dir).collect()) == [0, 1, 2]

@@ -106,3 +106,72 @@ def test_wide_scheme_finds_similar_texts(spark, words):
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, simhash.WIDE).collect()}
     assert all(c // 10 == i // 10 for i, c in got.items())
     assert sum(c != i for i, c in got.items()) >= 0.95 * 360
+
+
+def shingles(text):
+    w = text.lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def components_of(sets, similarity):
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= similarity and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return label
+
+
+def test_similar_links_equal_all_pairs():
+    """Chains whose ends are apart, tight groups with an outlier, an empty set."""
+    r = random.Random(3)
+    sets = [set(range(k * 10, k * 10 + 100)) for k in range(12)] + [set(range(5000, 5100)) - {5000 + k} for k in range(30)] + [set(range(5050, 5150)), set()]
+    r.shuffle(sets)
+    found = simhash.similar_links([np.array(sorted(x), np.uint64) for x in sets], 0.8)
+    label = list(range(len(sets)))
+    for a, b in found:
+        label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+    assert label == components_of([x or {-1} for x in sets], 0.8) and len(found) < len(sets)
+
+
+@pytest.mark.parametrize("part_size", [500, 1 << 22])
+def test_verified_links_equal_all_pairs(spark, words, part_size):
+    texts = []
+    for i in range(4):
+        w = words(200, i)
+        for k in range(8):
+            w = list(w)
+            w[20 * k + 10] = f"x{i}{k}"  # a chain: 10 of about 196 shingles a step
+            texts.append(" ".join(w))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 2)], "doc_id long, text string")
+    rows = simhash.described(docs, 5, 4).selectExpr("pmod(doc_id, 32) DIV 16 AS gid", "digest", "n", "th").distinct()
+    name = {bytes(r.digest): r.doc_id for r in simhash.described(docs.filter("doc_id < 32"), 5, 4).collect()}
+    got = components.components(simhash.verified_links(docs, rows, 5, 0.8, part_size=part_size))
+    label = {name[bytes(r.node)]: bytes(r.label) for r in got.collect()}
+    want = components_of([shingles(t) for t in texts], 0.8)
+    assert len(label) == 32 and all((label[i] == label[j]) == (want[i] == want[j]) for i in range(32) for j in range(32))
+
+
+def test_similar_texts_only(spark, words):
+    """No link below a similarity of 0.8, though fingerprints are near (0.6 to 0.8) or equal (a line that prevails)."""
+    rows = []
+    for i in range(60):
+        w = words(300, i)
+        rows.append((10 * i, " ".join(w)))
+        for k, n in enumerate((4, 8, 10, 12, 14)):
+            v = list(w)
+            for at in random.Random(i).sample(range(0, 300, 5), n):
+                v[at] = f"x{k}{at}"
+            rows.append((10 * i + 1 + k, " ".join(v)))
+    line = "the same line of a page again and again " * 60
+    rows += [(10000 + i, line + " ".join(words(60, 500 + i))) for i in range(3)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.8).collect()}
+    sets = [shingles(t) for _, t in rows]
+    of = {rows[i][0]: rows[x][0] for i, x in enumerate(components_of(sets, 0.8))}
+    assert len(got) == len(rows) and all(of[c] == of[i] for i, c in got.items())
+    assert sum(c != i for i, c in got.items()) >= 0.9 * sum(c != i for i, c in of.items())
