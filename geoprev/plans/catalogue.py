@@ -289,6 +289,13 @@ def mutations_with_positives(spark, sf_dir):
     return _rounded(O.with_positives(rows, "above").select("survey_id", "mutation", "year", "prevalence"), "prevalence")
 
 
+@query()
+def mutations_with_positives_all(spark, sf_dir):
+    """All years."""
+    rows = surveys(spark, sf_dir).withColumn("above", F.col("prevalence") - 44)
+    return _rounded(O.with_positives(rows, "above").select("survey_id", "mutation", "year", "prevalence"), "prevalence")
+
+
 _PEAK = "k AS (SELECT *, row_number() OVER (PARTITION BY mutation, t ORDER BY p DESC, name_0, name_1) AS k FROM g)"
 
 
@@ -418,6 +425,27 @@ def vario_loglike(spark, sf_dir):
     return _rounded(P.vario_loglike(_pairs(spark, sf_dir), 300.0, 2.0, 0.1, 0.9, ["mutation"]), "loglike", digits=4)
 
 
+def _all_pairs(spark, sf_dir):
+    """All pairs of surveys of a marker, of all years; a survey's number is its row by marker, year and nation."""
+    rows = _placed(spark, sf_dir).select("mutation", "year", F.col("id").alias("survey"), F.col("x_km").alias("x"), F.col("y_km").alias("y"), F.col("year").alias("t"), "z")
+    return P.pair_distances(G.with_row_number(rows, ["mutation", "year", "survey"]), ["mutation"])
+
+
+@query()
+def pair_distances_all(spark, sf_dir):
+    return _rounded(_all_pairs(spark, sf_dir), "dist_space", "dist_z")
+
+
+@query()
+def vario_cor_all(spark, sf_dir):
+    return _all_pairs(spark, sf_dir).select("mutation", "ind1", "ind2", F.round(X.vario_cor(F.col("dist_space"), F.col("dist_time"), 300.0, 2.0), 6).alias("cor"))
+
+
+@query()
+def vario_loglike_all(spark, sf_dir):
+    return _rounded(P.vario_loglike(_all_pairs(spark, sf_dir), 300.0, 2.0, 0.1, 0.9, ["mutation"]), "loglike", digits=4)
+
+
 def rectangles(spark) -> DataFrame:
     """Four rectangles, two with a shared border, as polygons."""
     ring = lambda a, b, c, d: "array(" + ", ".join(f"struct(CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y)" for x, y in ((a, c), (b, c), (b, d), (a, d), (a, c))) + ")"
