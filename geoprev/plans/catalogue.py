@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -544,36 +546,51 @@ def map_layers(spark, sf_dir):
     return _rounded(layers["raster"], "fill").select("x", "y", "t", "mutation", "fill")
 
 
-SMALL = model.Settings(features=12, rounds=3, draws=40, first_year=2014, last_year=2021, nx=16, ny=16, block=64)
 HYPER = "SELECT mutation, CAST(600 AS DOUBLE) AS ell_km, CAST(0.05 AS DOUBLE) AS tau2_year FROM VALUES " + ", ".join(f"('{m}')" for m in MUTATIONS) + " AS v(mutation)"
 
 
-def _fits(spark, sf_dir):
-    return model.fit_models(_placed(spark, sf_dir), spark.sql(HYPER), SMALL)
+def _settings(rows: DataFrame) -> model.Settings:
+    """The default settings, from the first to the last year that has surveys."""
+    r = rows.agg(F.min("year"), F.max("year")).first()
+    return model.Settings(first_year=r[0], last_year=r[1])
+
+
+def _fits(spark, sf_dir) -> tuple[DataFrame, model.Settings]:
+    rows = _placed(spark, sf_dir)
+    s = _settings(rows)
+    return model.fit_models(rows, spark.sql(HYPER), s), s
 
 
 @query()
 def kalman_smooth(spark, sf_dir):
-    """Posterior weights by mutation and year, summarised: mean and spread over draws of the first weight."""
-    f = _fits(spark, sf_dir)
-    first = F.slice("weights", 1, SMALL.draws)
-    return f.select("mutation", "t", F.aggregate(first, F.lit(0.0), lambda s, x: s + x / SMALL.draws).alias("mean_weight"))
+    """Posterior weights by mutation, year and weight (numbered from 1): mean and spread over draws."""
+    fits, s = _fits(spark, sf_dir)
+
+    def run(batches):
+        for b in batches:
+            for row in b.to_dict("records"):
+                w = np.asarray(row["weights"], float).reshape(2 * s.features, s.draws)
+                yield pd.DataFrame({"mutation": row["mutation"], "t": row["t"], "weight": np.arange(1, len(w) + 1), "mean_weight": w.mean(1), "sd_weight": w.std(1, ddof=1)})
+
+    return fits.mapInPandas(run, "mutation string, t int, weight int, mean_weight double, sd_weight double")
 
 
-def _cells(spark):
-    cells = model.prediction_cells(spark, BOX, SMALL, (35.0, 5.0)).drop("id_1")
+def _cells(spark, s: model.Settings):
+    cells = model.prediction_cells(spark, BOX, s, (35.0, 5.0)).drop("id_1")
     return S.spatial_join(cells, rectangles(spark), ["id_1"], how="left", rectangles=True)
 
 
 @query()
 def posterior_surface(spark, sf_dir):
-    return model.surface(_fits(spark, sf_dir), model.prediction_cells(spark, BOX, SMALL, (35.0, 5.0)), SMALL)
+    fits, s = _fits(spark, sf_dir)
+    return model.surface(fits, model.prediction_cells(spark, BOX, s, (35.0, 5.0)), s)
 
 
 @query()
 def region_series(spark, sf_dir):
     """Interval of the regional mean by mutation, region and year."""
-    return R.region_interval(model.region_draws(_fits(spark, sf_dir), _cells(spark), SMALL), ["mutation", "id_1", "t"])
+    fits, s = _fits(spark, sf_dir)
+    return R.region_interval(model.region_draws(fits, _cells(spark, s), s), ["mutation", "id_1", "t"])
 
 
 @query()
