@@ -6,15 +6,22 @@ every anchor within covering radius plus one; two fingerprints of which some blo
 at the anchor nearest to either. Fingerprints that meet are compared on all bits.
 
 `EXACT` (64 bits, 3 blocks, 4 bits of difference): four differing bits leave a block with at most one, so no link is
-lost. `WIDE` (256 bits, 12 blocks, 44 bits): word-shingle sets with a Jaccard similarity J differ in about
-acos(2J / (1 + J)) / pi of the bits, 15 % at J = 0.8; of such pairs 98 % share a block up to one bit, of pairs at 0.85
-99.6 %. Its threshold lets most pairs of J = 0.8 pass (the estimate has a spread of 6 bits) and is far from the 128 bits
-of unrelated texts.
-
-Equal fingerprints are one row before that. An anchor with more than `crowd` fingerprints is cut into parts
-by hash, and every two parts meet in a task of their own, so no task holds more than about two parts; that is
-exact and gives up nothing. An anchor emits a star for each group it finds, not all pairs. The stars are joined
-by connected components on tables.
+lost. `wide(n)` (256 bits, 44 bits of difference) is for word-shingle sets with a Jaccard similarity J, which differ in
+about acos(2J / (1 + J)) / pi of the bits, 15 % at J = 0.8. Blocks of k bits differ in at most one bit with a chance that
+falls with k, so a scheme has as many blocks as let 98 % of such pairs share one; of pairs at 0.85 it is over 99 %.
+
+Growth: k is the least whose anchors hold few enough of the n fingerprints, so anchors grow in number with the input:
+12 blocks of 16 bits (108 rows a fingerprint) up to 15 million fingerprints, 25 of 20 bits (325) up to 165 million, 49 of
+24 bits (833) up to 2 billion, 95 of 28 bits (1,995) up to 26 billion. Rows so grow as n to the power of about 1.4;
+comparisons are at most 33,000 a block and fingerprint at every size.
+
+Equal fingerprints are one row before that. A pair needs only one of the two at home (at the anchor nearest to it). An
+anchor with more than `crowd` rows is cut into a grid: its rows are dealt over p parts, its homes, one row in nine or
+fewer, over q; rows go to q cells and homes to p. No cell holds more than about crowd rows; that is exact and gives up
+nothing. A cell emits for each group it finds a star whose centre is the least fingerprint, not all pairs; as most anchors
+of a group hold the same least ones, distinct links are a small multiple of the fingerprints (about 20 in a tight group). Four fingerprints of a cut anchor (the least
+and greatest, by value and by hash) go to all its cells and are centres there first, so its cells name the same ones.
+Links are joined by connected components on tables.
 
 With `similarity` the components of fingerprints are candidates only. Texts are then told apart by a digest of their
 set of shingle hashes (equal fingerprints can belong to different texts), the sets of the candidates of a group meet, and
@@ -29,6 +36,7 @@ are kept; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,15 +54,33 @@ from .util import bound_batches, small, stored
 
 @dataclass(frozen=True)
 class Scheme:
-    """words: 64-bit words of a fingerprint; blocks: (word, lowest bit, bits) of each; threshold: differing bits that link."""
+    """words: 64-bit words of a fingerprint; blocks: the places of the bits of each; threshold: differing bits that link."""
 
     words: int
-    blocks: tuple[tuple[int, int, int], ...]
+    blocks: tuple[tuple[int, ...], ...]
     threshold: int
 
 
-EXACT = Scheme(1, ((0, 42, 22), (0, 21, 21), (0, 0, 21)), 4)
-WIDE = Scheme(4, tuple((k // 4, k % 4 * 16, 16) for k in range(12)), 44)
+EXACT = Scheme(1, (tuple(range(22)), tuple(range(22, 43)), tuple(range(43, 64))), 4)
+#: Rows of an anchor that meet in one task.
+CROWD = 1 << 15
+
+
+def apart(jaccard: float) -> float:
+    """The share of bits in which fingerprints of sets of this Jaccard similarity differ."""
+    return math.acos(2 * jaccard / (1 + jaccard)) / math.pi
+
+
+def wide(n: int, jaccard: float = 0.8, missed: float = 0.022, load: int = CROWD) -> Scheme:
+    """256 bits and 44 of difference for n fingerprints: the shortest blocks whose anchors hold at most `load` of them on average.
+
+    Blocks beyond the 256th bit take the bits again in another order; since they depend on the first, more of them are taken.
+    """
+    k = next((k for k in (16, 20, 24, 28) if n * (1 + 7 + k - 15) <= load << (k - 4)), 32)
+    q = apart(jaccard)
+    m = math.ceil(math.log(missed / 2 ** (k / 4 - 4)) / math.log(1 - (1 - q) ** k - k * q * (1 - q) ** (k - 1)))
+    a_pass = 256 // k
+    return Scheme(4, tuple(tuple((i % a_pass * k + j) * (1 + 38 * (i // a_pass)) % 256 for j in range(k)) for i in range(m)), 44)
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = 42) -> np.ndarray:
@@ -142,13 +168,18 @@ def _column(fp: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(fp), [None, offsets, data])
 
 
+def _bits(fp: np.ndarray) -> np.ndarray:
+    """The bits of rows of words, the highest first."""
+    return np.unpackbits(fp.astype(">u8").view(np.uint8), axis=1)
+
+
 class Cover:
-    """Anchors of one block of n bits: a Hamming code on the leading 2**r - 1 bits, the tail as it is."""
+    """Anchors of one block of bits: a Hamming code on the leading 2**r - 1 bits, the tail as it is."""
 
-    def __init__(self, block: int, word: int, shift: int, n: int):
-        self.block, self.word, self.shift, self.n = block, word, shift, n
-        self.code = next(2**r - 1 for r in (4, 3, 2) if 2**r - 1 <= n)
-        self.tail = n - self.code
+    def __init__(self, block: int, places: tuple[int, ...]):
+        self.block, self.places, self.n = block, list(places), len(places)
+        self.code = next(2**r - 1 for r in (4, 3, 2) if 2**r - 1 <= self.n)
+        self.tail = self.n - self.code
         values, syndrome = np.arange(1 << self.code), np.zeros(1 << self.code, np.int64)
         for p in range(1, self.code + 1):
             syndrome ^= np.where(values >> (p - 1) & 1, p, 0)
@@ -156,8 +187,10 @@ class Cover:
         #: Besides the flip of the syndrome's own bit: the pairs of bits whose flips lead to a code word.
         self.pairs = np.array([[(1 << (i - 1)) | (1 << ((i ^ s) - 1)) for i in range(1, self.code + 1) if i < i ^ s <= self.code] if s else [0] * ((self.code - 1) // 2) for s in range(self.code + 1)])
 
-    def _split(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        v = (fp[:, self.word] >> np.uint64(self.shift) & np.uint64((1 << self.n) - 1)).astype(np.int64)
+    def _split(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = np.zeros((len(bits), 32), np.uint8)
+        own[:, 32 - self.n :] = bits[:, self.places]
+        v = np.packbits(own, axis=1).view(">u4")[:, 0].astype(np.int64)
         return v >> self.tail, v & ((1 << self.tail) - 1)
 
     def _name(self, word: np.ndarray, tail: np.ndarray) -> np.ndarray:
@@ -167,15 +200,15 @@ class Cover:
         s = self.syndrome[code]
         return np.where(s > 0, code ^ (1 << np.maximum(s - 1, 0)), code)
 
-    def home(self, fp: np.ndarray) -> np.ndarray:
+    def home(self, bits: np.ndarray) -> np.ndarray:
         """The anchor within the covering radius."""
-        code, tail = self._split(fp)
+        code, tail = self._split(bits)
         return self._name(self._nearest(code), tail)
 
-    def within(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row and anchor of every anchor within covering radius plus one."""
-        code, tail = self._split(fp)
-        near, row = self._nearest(code), np.arange(len(fp))
+    def within(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and anchor of every anchor within covering radius plus one; the homes of all rows come first."""
+        code, tail = self._split(bits)
+        near, row = self._nearest(code), np.arange(len(bits))
         rows, names = [row], [self._name(near, tail)]
         for k in range(self.tail):
             rows.append(row)
@@ -188,22 +221,23 @@ class Cover:
 
 
 def covers(scheme: Scheme) -> list[Cover]:
-    return [Cover(i, *b) for i, b in enumerate(scheme.blocks)]
+    return [Cover(i, b) for i, b in enumerate(scheme.blocks)]
 
 
 def replicate(fps: DataFrame, scheme: Scheme) -> DataFrame:
-    """(anchor, fp) for each anchor of each fingerprint."""
+    """(anchor, fp, home) for each anchor of each fingerprint; home: it is the nearest one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = covers(scheme)
         for batch in batches:
             for k in range(0, batch.num_rows, 4096):
                 fp = _words(batch.column("fp").slice(k, 4096), scheme.words)
+                bits = _bits(fp)
                 for c in blocks:
-                    row, name = c.within(fp)
-                    yield pa.RecordBatch.from_arrays([pa.array(name), _column(fp[row])], names=["anchor", "fp"])
+                    row, name = c.within(bits)
+                    yield pa.RecordBatch.from_arrays([pa.array(name), _column(fp[row]), pa.array(np.arange(len(row)) < len(fp))], names=["anchor", "fp", "home"])
 
-    return fps.select("fp").mapInArrow(run, "anchor long, fp binary")
+    return fps.select("fp").mapInArrow(run, "anchor long, fp binary, home boolean")
 
 
 def _stars(edge: np.ndarray, n: int) -> np.ndarray:
@@ -219,63 +253,87 @@ def _stars(edge: np.ndarray, n: int) -> np.ndarray:
             return label
 
 
-def _compare(table: pa.Table, blocks: list[Cover], scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fp, fp of the star's centre) among the rows that share an anchor and a pair of parts."""
-    key = [table.column(c).to_numpy() for c in ("anchor", "lo", "hi")]
+def _pairs(fp: np.ndarray, start: np.ndarray, size: np.ndarray, group: np.ndarray, row: np.ndarray, threshold: int, at_once: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows within threshold: each of `row` with all rows of its group, so many comparisons at a time."""
+    large = size[group[row]] > 2048
+    r = row[~large]
+    ends = np.cumsum(size[group[r]])
+    at = 0
+    while at < len(r):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + at_once, side="right")))
+        own = r[at:to]
+        m = size[group[own]]
+        yield np.repeat(own, m), np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(start[group[own]], m)
+        at = to
+    head = min(2, fp.shape[1])
+    words = [np.ascontiguousarray(fp[:, w]) for w in range(head)]
+    for g in np.unique(group[row[large]]):
+        s, e = start[g], start[g] + size[g]
+        own = row[large & (group[row] == g)]
+        for k in range(0, len(own), max(1, 4 * at_once // int(e - s))):
+            mine = own[k : k + max(1, 4 * at_once // int(e - s))]
+            apart = np.bitwise_count(words[0][mine, None] ^ words[0][None, s:e])
+            for w in words[1:]:
+                apart += np.bitwise_count(w[mine, None] ^ w[None, s:e])
+            a, b = np.nonzero(apart <= threshold)
+            yield mine[a], b + s
+
+
+def _compare(table: pa.Table, keys: list[str], scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
+    """Links (fp, fp of the first row of its group) among the rows of a cell."""
+    key = [table.column(c).to_numpy() for c in keys]
     fp = _words(table.column("fp"), scheme.words)
     cut = np.ones(len(fp), bool)
-    cut[1:] = (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])
+    cut[1:] = np.any([k[1:] != k[:-1] for k in key], axis=0)
     start = np.flatnonzero(cut)
     size = np.diff(np.append(start, len(fp)))
     group = np.repeat(np.arange(len(start)), size)
-    home = np.zeros(len(fp), bool)
-    for c in blocks:
-        home |= c.home(fp) == key[0]
-    row = np.flatnonzero(home & (size[group] > 1))
-    found = []
-    ends = np.cumsum(size[group[row]])
-    at = 0
-    while at < len(row):  # so many comparisons at a time
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 19), side="right")))
-        r = row[at:to]
-        m = size[group[r]]
-        a = np.repeat(r, m)
-        b = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(start[group[r]], m)
+    row = np.flatnonzero(table.column("home").to_numpy() & (size[group] > 1))
+    label = np.arange(len(fp))
+    for a, b in _pairs(fp, start, size, group, row, scheme.threshold):
+        new = np.flatnonzero(label[a] != label[b])
+        a, b = a[new], b[new]
         apart = np.zeros(len(a), np.uint16)
         for w in range(scheme.words):
             apart += np.bitwise_count(fp[a, w] ^ fp[b, w])
             near = np.flatnonzero(apart <= scheme.threshold)
             if len(near) < len(a):
                 a, b, apart = a[near], b[near], apart[near]
-        if (a != b).any():
-            label = _stars(np.stack([a, b]), len(fp))
-            own = np.flatnonzero(label != np.arange(len(fp)))
-            found.append(np.stack([own, label[own]]))
-        at = to
-    if not found:
-        return fp[:0], fp[:0]
-    label = _stars(np.concatenate(found, axis=1), len(fp))
+        if len(a):
+            label = _stars(np.stack([label[a], label[b]]), len(fp))[label]
     own = np.flatnonzero(label != np.arange(len(fp)))
     return fp[own], fp[label[own]]
 
 
-def links(fps: DataFrame, scheme: Scheme = EXACT, crowd: int = 2048) -> DataFrame:
+def links(fps: DataFrame, scheme: Scheme = EXACT, crowd: int = CROWD) -> DataFrame:
     """Distinct links (a, b) whose components are those of all pairs found within threshold; fps has one row a fingerprint."""
     at = replicate(fps, scheme)
-    crowded = stored(at.groupBy("anchor").count().filter(F.col("count") > crowd).select("anchor", F.ceil(F.col("count") / crowd).cast("long").alias("parts")), "simhash-crowded")
-    part = F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1)))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))
-    dealt = at.join(small(crowded, 200_000), "anchor", "left").select("anchor", "fp", part.alias("part"), other.alias("other")).select(
-        "anchor", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "fp")
-    keys = ["anchor", "lo", "hi"]
+    mixed = F.xxhash64(F.lit(1), "fp")
+    crowded = stored(at.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("home").cast("long")).alias("homes"), F.min("fp").alias("a"), F.max("fp").alias("b"),
+                                              F.min(F.struct(mixed, "fp")).alias("c"), F.max(F.struct(mixed, "fp")).alias("d")).filter(F.col("n") > crowd).select(
+        "anchor", F.ceil(F.col("n") / crowd).alias("p"), F.greatest(F.ceil(F.col("homes") * 8 / crowd), F.lit(1)).alias("q"), F.array("a", "b", "c.fp", "d.fp").alias("centres")), "simhash-crowded")
+    zero = F.lit(0).cast("long")
+    if crowded.isEmpty():
+        dealt = at.select("anchor", zero.alias("x"), zero.alias("y"), F.lit(1).alias("rank"), "fp", "home")
+    else:
+        own_x, own_y = F.pmod(F.xxhash64("fp"), "p"), F.pmod(mixed, "q")
+        cell = lambda x, y, home: F.struct(x.alias("x"), y.alias("y"), home.alias("home"))
+        xs, ys = F.sequence(zero, F.col("p") - 1), F.sequence(zero, F.col("q") - 1)
+        centre = F.coalesce(F.array_contains("centres", F.col("fp")), F.lit(False))
+        as_row = F.transform(ys, lambda y: cell(own_x, y, F.col("home") & (y == own_y)))
+        as_home = F.transform(F.filter(xs, lambda x: F.col("home") & (x != own_x)), lambda x: cell(x, own_y, F.lit(True)))
+        everywhere = F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: cell(x, y, F.lit(True)))))
+        cells = F.when(F.col("p").isNull(), F.array(cell(zero, zero, F.col("home")))).when(centre, everywhere).otherwise(F.concat(as_row, as_home))
+        dealt = at.join(small(crowded, 200_000), "anchor", "left").select("anchor", "fp", F.when(centre, 0).otherwise(1).alias("rank"), F.explode(cells).alias("cell")).select(
+            "anchor", "cell.x", "cell.y", "rank", "fp", "cell.home")
+    keys = ["anchor", "x", "y"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = covers(scheme)
         for t in complete_groups(batches, keys):
-            a, b = _compare(t, blocks, scheme)
+            a, b = _compare(t, keys, scheme)
             yield pa.RecordBatch.from_arrays([_column(a), _column(b)], names=["a", "b"])
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a binary, b binary").distinct()
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "rank", "fp").mapInArrow(run, "a binary, b binary").distinct()
 
 
 def similar_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -348,25 +406,26 @@ def verified_links(docs: DataFrame, candidates: DataFrame, shingle: int, similar
     return dealt.repartition(*keys).sortWithinPartitions(*keys, "digest").mapInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, scheme: Scheme = WIDE, id_col: str = "doc_id", text_col: str = "text", crowd: int = 2048, similarity: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, scheme: Scheme | None = None, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD, similarity: float | None = None) -> DataFrame:
     """doc_id, fp, component_id of every row; component_id is the least doc_id that links reach.
 
-    With similarity, links between texts are those of fingerprints only where the sets of shingles are as similar.
+    Without a scheme it is wide() for the number of distinct fingerprints. With similarity, links between texts are those of fingerprints only where the sets of shingles are as similar.
     """
     if similarity is not None:
         return _similar(docs, shingle, scheme, id_col, text_col, crowd, similarity)
-    rows = stored(fingerprints(docs, shingle, scheme.words, id_col, text_col), "simhash-fingerprints")
+    rows = stored(fingerprints(docs, shingle, scheme.words if scheme else wide(0).words, id_col, text_col), "simhash-fingerprints")
     fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    label = components(links(fps, scheme, crowd))
+    label = components(links(fps, scheme or wide(fps.count()), crowd))
     linked = fps.join(label, fps.fp == label.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     least = linked.groupBy("label").agg(F.min("first").alias("component_id"))
     return rows.join(linked.join(least, "label").select("fp", "component_id").hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
-def _similar(docs: DataFrame, shingle: int, scheme: Scheme, id_col: str, text_col: str, crowd: int, similarity: float) -> DataFrame:
-    rows = stored(described(docs, shingle, scheme.words, id_col, text_col), "simhash-described")
+def _similar(docs: DataFrame, shingle: int, scheme: Scheme | None, id_col: str, text_col: str, crowd: int, similarity: float) -> DataFrame:
+    rows = stored(described(docs, shingle, scheme.words if scheme else wide(0).words, id_col, text_col), "simhash-described")
     nodes = stored(rows.groupBy("digest", "fp").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.min("th").alias("th")), "simhash-distinct")
-    group = components(links(nodes.select("fp").distinct(), scheme, crowd))
+    fps = nodes.select("fp").distinct()
+    group = components(links(fps, scheme or wide(fps.count()), crowd))
     of = nodes.join(group, nodes.fp == group.node, "left").select("digest", "n", "th", F.xxhash64(F.coalesce("label", "fp")).alias("gid"))
     candidates = stored(of.groupBy("gid", "digest").agg(F.min("n").alias("n"), F.min("th").alias("th")), "simhash-groups")
     label = components(verified_links(docs, candidates, shingle, similarity, text_col))

@@ -35,13 +35,13 @@ def linked(fps, threshold):
 def test_every_anchor_within_reach():
     """A value and any value one bit away share the anchor nearest to the first."""
     r = random.Random(1)
-    for block in simhash.covers(simhash.EXACT) + simhash.covers(simhash.WIDE):
-        x = np.array([[r.getrandbits(64) for _ in range(4)] for _ in range(200)], np.uint64)
+    for block in [*simhash.covers(simhash.EXACT), *simhash.covers(simhash.wide(1))[:3], *simhash.covers(simhash.wide(10**9))[:30:6]]:
+        x = np.array([[r.getrandbits(1) for _ in range(256)] for _ in range(200)], np.uint8)
         home = block.home(x)
-        for bit in range(-1, block.n):
+        for place in [None, *block.places]:
             y = x.copy()
-            if bit >= 0:
-                y[:, block.word] ^= np.uint64(1 << (block.shift + bit))
+            if place is not None:
+                y[:, place] ^= 1
             row, anchor = block.within(y)
             reached = set(zip(row.tolist(), anchor.tolist()))
             assert len(reached) == len(row)
@@ -60,7 +60,31 @@ def test_first_word_of_a_wide_fingerprint_is_the_narrow_one():
     assert simhash.fingerprint(h, 4)[:8] == simhash.fingerprint(h, 1) and len(simhash.fingerprint(h, 4)) == 32
 
 
-@pytest.mark.parametrize("crowd", [4, 2048])
+@pytest.mark.parametrize("n", [1, 10**8, 10**9, 10**10, 10**11])
+def test_blocks_for_any_number_of_fingerprints(n):
+    """Anchors grow with the input, and of pairs as apart as sets of a similarity of 0.8 nearly all share a block up to one bit."""
+    scheme, r = simhash.wide(n), np.random.default_rng(1)
+    k = len(scheme.blocks[0])
+    assert all(len(set(b)) == k and max(b) < 256 for b in scheme.blocks) and n * (k - 7) / 2 ** (k - 4) <= (simhash.CROWD if n < 10**11 else 10**4)
+    differ = r.random((4000, 256)) < simhash.apart(0.8)
+    share = np.any([differ[:, list(b)].sum(1) <= 1 for b in scheme.blocks], axis=0)
+    assert share.mean() >= 0.95
+
+
+@pytest.mark.parametrize("crowd", [64, simhash.CROWD])
+def test_links_are_few_a_fingerprint(spark, crowd):
+    """One large group of near copies gives a few links a fingerprint, not one for each anchor or pair of parts."""
+    r = np.random.default_rng(5)
+    base = r.integers(0, 2, 256).astype(np.uint8)
+    per_node = []
+    for n in (400, 1600):
+        fps = np.packbits(base ^ (r.random((n, 256)) < 0.04), axis=1)
+        found = simhash.links(spark.createDataFrame([(x.tobytes(),) for x in fps], "fp binary"), simhash.wide(n), crowd).collect()
+        per_node.append(len(found) / n)
+    assert max(per_node) <= 24 and per_node[1] <= 1.3 * per_node[0], per_node
+
+
+@pytest.mark.parametrize("crowd", [4, simhash.CROWD])
 def test_links_equal_all_pairs(spark, crowd):
     """Clouds of near fingerprints, chains and strangers; a small crowd cuts every busy anchor into parts."""
     r = random.Random(7)
@@ -88,7 +112,7 @@ def test_near_duplicates_edge_cases(spark, edge, empty):
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(edge, 4, simhash.EXACT).collect()}
     assert (got[1], got[2], got[3]) == (1, 1, 1) and got[9] == 8 and got[5] == 4 and got[7] == 6
     assert simhash.near_duplicates(edge, 4, simhash.EXACT).count() == edge.count()
-    assert simhash.near_duplicates(empty, 5, simhash.WIDE).count() == 0
+    assert simhash.near_duplicates(empty, 5, simhash.wide(1)).count() == 0
 
 
 def test_wide_scheme_finds_similar_texts(spark, words):
@@ -103,7 +127,7 @@ def test_wide_scheme_finds_similar_texts(spark, words):
             for at in r.sample(range(300), 4):
                 v[at] = f"x{k}{at}"
             rows.append((10 * i + 1 + k, " ".join(v)))
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, simhash.WIDE).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()}
     assert all(c // 10 == i // 10 for i, c in got.items())
     assert sum(c != i for i, c in got.items()) >= 0.95 * 360
 
