@@ -33,7 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A row is known by its doc_id (null counts as one) and the hash of its text; of rows equal in both one stays.
     """
     docs = docs.select(COLUMNS).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    groups = simhash.near_duplicates(docs.select(F.struct("doc_id", "th").alias("key"), "text"), shingle=5, scheme=simhash.WIDE, id_col="key", similarity=0.8)
+    groups = simhash.near_duplicates(docs.select(F.struct("doc_id", "th").alias("key"), "text"), shingle=5, id_col="key", similarity=0.8)
     first = stored(groups.filter("doc_id <=> component_id").groupBy("doc_id").count().select(
         F.col("doc_id.doc_id").alias("of"), F.col("doc_id.th").alias("of_th"), "count"), "near-dedup-first")
     kept = docs.join(first.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("of_th")))
