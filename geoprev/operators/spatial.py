@@ -37,23 +37,25 @@ def candidates(points: DataFrame, polygons: DataFrame, keep: list[str], x: str,
 def spatial_join(points: DataFrame, polygons: DataFrame, keep: list[str], x: str = "x", y: str = "y", how: str = "inner", size: float = 5.0, rectangles: bool = False) -> DataFrame:
     """Points with the attributes of each polygon that holds them; how='left' keeps unmatched points.
 
-    rectangles: every polygon is its own bounding box, so the box test is the exact one and nothing leaves the JVM.
+    Coordinates are tested once each, not once a row, and rows take the result by their coordinates; so how='left' needs
+    no row number, which could differ between two evaluations of its input. rectangles: every polygon is its own bounding
+    box, so the box test is the exact one and nothing leaves the JVM.
     """
-    key = points
-    if how == "left":
-        key = points.withColumn("_row", F.monotonically_increasing_id())
-    met = candidates(key, polygons, keep, x, y, size)
+    if how not in ("inner", "left"):
+        raise ValueError(f"how must be inner or left, not {how!r}")
+    places = points.select(F.col(x).alias("_x"), F.col(y).alias("_y")).filter("_x IS NOT NULL AND _y IS NOT NULL").distinct()
+    met = candidates(places, polygons, keep, "_x", "_y", size)
     if not rectangles:
+        met = met.withColumn("_shape", F.xxhash64(F.to_json("rings")))
+
         def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                ok = [bool(inside([px], [py], rings)[0]) for px, py, rings in zip(b[x], b[y], b["rings"])]
-                yield b[ok]
+                for _, one in b.groupby("_shape", sort=False):  # one polygon, many points
+                    yield one[inside(one["_x"].to_numpy(), one["_y"].to_numpy(), one["rings"].iloc[0])]
 
-        met = met.mapInPandas(exact, met.schema)
+        met = met.mapInPandas(exact, met.schema).drop("_shape")
     met = met.drop("rings")
-    if how == "inner":
-        return met
-    return key.join(met.select("_row", *keep), "_row", "left").drop("_row")
+    return points.join(met, (points[x] == met["_x"]) & (points[y] == met["_y"]), how).drop("_x", "_y")
 
 
 def mask(points: DataFrame, polygons: DataFrame, value: str = "p", x: str = "x", y: str = "y", size: float = 5.0, rectangles: bool = False) -> DataFrame:

@@ -158,3 +158,36 @@ def test_fixed_values():
 
     assert len(parameters.ALL_MUTATIONS) == 24 and set(parameters.AREA_MUTATIONS) <= set(parameters.ALL_MUTATIONS)
     assert len(parameters.PREVALENCE_COLOURS) == 10 and EAST_AFRICA.padded(2).xmin == 25
+
+
+@pytest.mark.parametrize("rectangles", [True, False])
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_left_spatial_join_of_shuffled_points(spark, rectangles, adaptive):
+    """Points behind a shuffle, with small partitions that adaptive execution merges as it likes: every point has its own regions."""
+    own = {"spark.sql.adaptive.enabled": adaptive, "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.shuffle.partitions": "9"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        points = spark.range(6000).select("id", ((F.col("id") * 7919) % 2000 / 100).alias("x"), ((F.col("id") * 104729) % 1500 / 100).alias("y")).repartition("id")
+        box = lambda a, b, c, d: [[{"x": x, "y": y} for x, y in ((a, c), (b, c), (b, d), (a, d))]]
+        boxes = {"p": (1, 8, 1, 6), "q": (6, 12, 4, 11), "r": (30, 31, 0, 1)}
+        polygons = spark.createDataFrame([(n, box(*map(float, b))) for n, b in boxes.items()], "name string, rings array<array<struct<x: double, y: double>>>")
+        got = sorted(((r.id, r.name) for r in S.spatial_join(points, polygons, ["name"], how="left", rectangles=rectangles).cache().collect()), key=str)
+        want = []
+        for r in points.collect():
+            held = [n for n, (a, b, c, d) in boxes.items() if a <= r.x <= b and c <= r.y <= d]
+            want += [(r.id, n) for n in held or [None]]
+        assert got == sorted(want, key=str)
+    finally:
+        spark.catalog.clearCache()
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_left_spatial_join_keeps_points_without_a_place(spark):
+    points = spark.createDataFrame([(1, None, 2.0), (2, float("nan"), 2.0), (3, 2.0, 2.0)], "id long, x double, y double")
+    square = spark.createDataFrame([("s", [[{"x": 0.0, "y": 0.0}, {"x": 3.0, "y": 0.0}, {"x": 3.0, "y": 3.0}, {"x": 0.0, "y": 3.0}]])], "name string, rings array<array<struct<x: double, y: double>>>")
+    assert sorted((r.id, r.name) for r in S.spatial_join(points, square, ["name"], how="left").collect()) == [(1, None), (2, None), (3, "s")]
+    with pytest.raises(ValueError):
+        S.spatial_join(points, square, ["name"], how="outer")
