@@ -1,7 +1,9 @@
 """State-space model over years: Polya-Gamma weights, Kalman filter, RTS smoother, EM and posterior paths.
 
 State: weights of the random features, a random walk with variance tau2 a year. All matrices live in one task for each
-mutation (`fit_models` groups by it); a state of 2D weights and T years keeps 2 T covariances of (2D)^2 doubles.
+mutation (`fit_models` groups by it); a state of 2D weights and T years keeps 2 T covariances of (2D)^2 doubles. The
+surveys of a year enter an update as sums (Phi' W Phi, Phi' W z and three numbers), made some surveys at a time, so its cost
+in memory does not depend on how many there are.
 """
 
 from __future__ import annotations
@@ -39,8 +41,34 @@ def pg_weights(n: np.ndarray, z: np.ndarray) -> np.ndarray:
     return np.maximum(w, 1e-10)
 
 
+@dataclass
+class Information:
+    """What the surveys of a year say: sums over surveys of w phi phi', w z phi, w z z, log w, and their number."""
+
+    s: np.ndarray
+    h: np.ndarray
+    q: float
+    log_w: float
+    n: int
+
+
+def information(year: Year, target: np.ndarray, omega: np.ndarray, at_once: int = 4096) -> Information:
+    d = year.phi.shape[1]
+    out = Information(np.zeros((d, d)), np.zeros(d), 0.0, 0.0, len(year.y))
+    for k in range(0, len(year.y), at_once):
+        phi, z, w = year.phi[k : k + at_once], target[k : k + at_once], omega[k : k + at_once]
+        out.s += phi.T @ (w[:, None] * phi)
+        out.h += phi.T @ (w * z)
+        out.q += float(z @ (w * z))
+        out.log_w += float(np.log(w).sum())
+    return out
+
+
 def kalman_filter(years: list[Year], target: list[np.ndarray], omega: list[np.ndarray], tau2: float) -> Passes:
-    """Filter of pseudo-observations target = phi b + N(0, 1/omega), from b_0 = 0 exactly."""
+    """Filter of pseudo-observations target = phi b + N(0, 1/omega), from b_0 = 0 exactly.
+
+    A year of fewer surveys than weights is a solve in its surveys, any other in the weights (information form).
+    """
     s = years[0].phi.shape[1]
     t = len(years)
     out = Passes(np.zeros((t, s)), np.zeros((t, s, s)), np.zeros((t, s)), np.zeros((t, s, s)), 0.0)
@@ -48,16 +76,26 @@ def kalman_filter(years: list[Year], target: list[np.ndarray], omega: list[np.nd
     for i, yr in enumerate(years):
         c = c + tau2 * np.eye(s)
         out.m_pred[i], out.c_pred[i] = m, c
-        if len(yr.y):
+        if 0 < len(yr.y) < s:
             pc = yr.phi @ c
             root = np.linalg.cholesky(pc @ yr.phi.T + np.diag(1 / omega[i]) + JITTER * np.eye(len(yr.y)))
             miss = target[i] - yr.phi @ m
-            half = np.linalg.solve(root, pc)
-            white = np.linalg.solve(root, miss)
+            both = np.linalg.solve(root, np.column_stack([pc, miss]))
+            half, white = both[:, :-1], both[:, -1]
             m = m + half.T @ white
             c = c - half.T @ half
-            c = (c + c.T) / 2
             out.loglik -= np.log(np.diag(root)).sum() + 0.5 * (white @ white + len(yr.y) * np.log(2 * np.pi))
+        elif len(yr.y):
+            info = information(yr, target[i], omega[i])
+            root = np.linalg.cholesky(c)
+            inner = np.linalg.cholesky(np.eye(s) + root.T @ info.s @ root)
+            half = np.linalg.solve(inner, root.T)
+            g = info.h - info.s @ m  # sum of w phi (z - phi m)
+            miss = info.q - 2 * m @ info.h + m @ info.s @ m
+            c = half.T @ half
+            out.loglik -= np.log(np.diag(inner)).sum() + 0.5 * (miss - g @ c @ g - info.log_w + info.n * np.log(2 * np.pi))
+            m = m + c @ g
+        c = (c + c.T) / 2
         out.m_filt[i], out.c_filt[i] = m, c
     return out
 

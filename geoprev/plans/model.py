@@ -1,4 +1,8 @@
-"""The model as DataFrame plans: fit by mutation, map draws to cells in blocks, reduce, write the output tables."""
+"""The model as DataFrame plans: fit by mutation, map draws to cells in blocks, reduce, write the output tables.
+
+Cells come to the fits, not fits to the cells: a fit (8 MB a year at the reference size) is dealt once, by mutation and
+year; cells go out in slices of bounded size, each broadcast, and a task goes through them block by block.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +18,9 @@ from ..functions.geo import Box, laea_km
 from ..operators import grid as G
 from ..operators.obs import valid_counts
 from . import kalman, rff
+from .blas import one_thread
+
+SLICE = 1 << 20  # cells that are broadcast at a time
 
 
 @dataclass(frozen=True)
@@ -48,41 +55,93 @@ def local_km(df: DataFrame, centre: tuple[float, float] | None = None, lon: str
 
 
 def fit_models(obs: DataFrame, hyper: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(mutation, t, draws array<array<double>> by weight, ell_km): joint posterior draws of the weights of each year.
+    """(mutation, t, ell_km, weights array<double> by weight and draw): joint posterior draws of the weights of each year.
 
-    obs: mutation, year, x_km, y_km, numerator, denominator; hyper: mutation, ell_km, tau2_year. A mutation is a group.
+    obs: mutation, year, x_km, y_km, numerator, denominator; hyper: mutation, ell_km, tau2_year. Counts of one place and
+    year are summed first, which changes no result: a group is the places of a mutation. Tasks are as many as mutations:
+    the planner would merge them by their few bytes, but they are long.
     """
-    years = s.years
+    years, spark = s.years, obs.sparkSession
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        ell, tau2 = float(pdf["ell_km"].iloc[0]), float(pdf["tau2_year"].iloc[0])
-        omega = rff.frequencies(s.features, ell, s.seed)
-        pdf = pdf.sort_values(["year", "x_km", "y_km", "numerator", "denominator"])
-        rows = []
-        for y in years:
-            d = pdf[pdf["year"] == y]
-            rows.append(kalman.Year(rff.features(d[["x_km", "y_km"]].to_numpy(float), omega), d["numerator"].to_numpy(float), d["denominator"].to_numpy(float)))
-        _, passes, _ = kalman.em(rows, tau2, s.rounds)
+        one_thread()
+        _, passes, ell = _em(pdf, s)
         paths = kalman.posterior_paths(passes, s.draws, s.seed + 1, s.factor)
         keep = [i for i, y in enumerate(years) if not s.years_out or y in s.years_out]
         return pd.DataFrame({"mutation": pdf["mutation"].iloc[0], "t": [years[i] for i in keep], "ell_km": ell, "weights": [paths[i].ravel() for i in keep]})
 
-    data = valid_counts(obs).join(F.broadcast(hyper.select("mutation", "ell_km", "tau2_year")), "mutation")
-    data = data.select("mutation", "year", "x_km", "y_km", "numerator", "denominator", "ell_km", "tau2_year")
-    return data.groupBy("mutation").applyInPandas(fit, "mutation string, t int, ell_km double, weights array<double>")
+    n = hyper.count()
+    fits = _grouped(obs, hyper, n).applyInPandas(fit, "mutation string, t int, ell_km double, weights array<double>")
+    return fits.repartition(_tasks(spark, n * len(s.years_out or years)), "mutation", "t")
+
+
+def smoothed(obs: DataFrame, hyper: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(mutation, t, ell_km, loglik, mean array<double>, cov array<double>): smoothed weights and their covariance by row, no draws."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        one_thread()
+        _, passes, ell = _em(pdf, s)
+        mean, cov = kalman.rts_smoother(passes, covariances=True)
+        return pd.DataFrame({"mutation": pdf["mutation"].iloc[0], "t": s.years, "ell_km": ell, "loglik": passes.loglik, "mean": list(mean), "cov": [c.ravel() for c in cov]})
+
+    return _grouped(obs, hyper, hyper.count()).applyInPandas(fit, "mutation string, t int, ell_km double, loglik double, mean array<double>, cov array<double>")
+
+
+def _em(pdf: pd.DataFrame, s: Settings) -> tuple[np.ndarray, kalman.Passes, float]:
+    ell, tau2 = float(pdf["ell_km"].iloc[0]), float(pdf["tau2_year"].iloc[0])
+    omega = rff.frequencies(s.features, ell, s.seed)
+    pdf = pdf.sort_values(["year", "x_km", "y_km"])
+    rows = []
+    for y in s.years:
+        d = pdf[pdf["year"] == y]
+        rows.append(kalman.Year(rff.features(d[["x_km", "y_km"]].to_numpy(float), omega), d["numerator"].to_numpy(float), d["denominator"].to_numpy(float)))
+    b, passes, _ = kalman.em(rows, tau2, s.rounds)
+    return b, passes, ell
+
+
+def _grouped(obs: DataFrame, hyper: DataFrame, mutations: int):
+    places = valid_counts(obs).groupBy("mutation", "year", "x_km", "y_km").agg(F.sum("numerator").alias("numerator"), F.sum("denominator").alias("denominator"))
+    data = places.join(hyper.select("mutation", "ell_km", "tau2_year"), "mutation")
+    return data.repartition(_tasks(obs.sparkSession, mutations), "mutation").groupBy("mutation")
 
 
-def _blocks(cells: DataFrame, block: int) -> DataFrame:
-    """Cells of a block in one row."""
-    return cells.withColumn("block", F.floor(F.col("pixel") / block)).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("pixel", "x", "y", "x_km", "y_km", "id_1"))).alias("cells"))
+def _tasks(spark: SparkSession, groups: int) -> int:
+    """Partitions for some long groups: twice as many, so that few meet in one."""
+    return max(1, 2 * min(groups, 2 * spark.sparkContext.defaultParallelism))
 
 
-def _prevalence(row, s: Settings) -> tuple[list, np.ndarray]:
-    cells = row["cells"]
-    omega = rff.frequencies(s.features, row["ell_km"], s.seed)
-    phi = rff.features(np.array([(c["x_km"], c["y_km"]) for c in cells], float), omega)
-    beta = np.asarray(row["weights"], float).reshape(2 * s.features, s.draws)
-    return cells, 1 / (1 + np.exp(-(kalman.Z0 + phi @ beta)))
+def _slices(cells: DataFrame) -> Iterator[pd.DataFrame]:
+    """All cells, at most SLICE at a time, in the order of their pixels."""
+    last = cells.agg(F.max("pixel")).first()[0]
+    for k in range(0, 0 if last is None else last + 1, SLICE):
+        yield cells.filter(F.col("pixel").between(k, k + SLICE - 1)).select("pixel", "x", "y", "x_km", "y_km", "id_1").toPandas().sort_values("pixel", kind="stable")
+
+
+def _mapped(fits: DataFrame, cells: DataFrame, s: Settings, reduce, schema: str) -> DataFrame:
+    """reduce(row, block of cells, prevalence by cell and draw) for every fit and block of s.block cells."""
+    spark = fits.sparkSession
+
+    def one(part: pd.DataFrame) -> DataFrame:
+        shared = spark.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            one_thread()
+            for b in batches:
+                for mutation, t, ell, weights in zip(b["mutation"], b["t"], b["ell_km"], b["weights"]):
+                    omega = rff.frequencies(s.features, ell, s.seed)
+                    beta = np.asarray(weights, float).reshape(2 * s.features, -1)
+                    for k in range(0, len(shared.value), s.block):
+                        at = shared.value.iloc[k : k + s.block]
+                        p = 1 / (1 + np.exp(-(kalman.Z0 + rff.features(at[["x_km", "y_km"]].to_numpy(float), omega) @ beta)))
+                        yield pd.DataFrame({"mutation": mutation, "t": t} | reduce(at, p))
+
+        return fits.mapInPandas(run, schema)
+
+    parts = [one(part) for part in _slices(cells)]
+    out = parts[0] if parts else spark.createDataFrame([], schema)
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def surface(fits: DataFrame, cells: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -90,38 +149,59 @@ def surface(fits: DataFrame, cells: DataFrame, s: Settings = Settings()) -> Data
 
     The draws of all cells and years are never stored; a block holds block x draws doubles.
     """
-    jobs = fits.crossJoin(_blocks(cells, s.block)).repartition("mutation", "t", "block")
     names = [f"ex_{round(100 * t)}" for t in s.thresholds]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for row in b.to_dict("records"):
-                at, p = _prevalence(row, s)
-                q = np.quantile(p, [0.025, 0.5, 0.975], axis=1)
-                out = {"mutation": row["mutation"], "t": row["t"], "pixel": [c["pixel"] for c in at], "x": [c["x"] for c in at], "y": [c["y"] for c in at], "mean": p.mean(1), "median": q[1], "ci_width": q[2] - q[0]}
-                yield pd.DataFrame(out | {n: (p > t).mean(1) for n, t in zip(names, s.thresholds)})
+    def reduce(at: pd.DataFrame, p: np.ndarray) -> dict:
+        q = np.quantile(p, [0.025, 0.5, 0.975], axis=1)
+        out = {"pixel": at["pixel"].to_numpy(), "x": at["x"].to_numpy(), "y": at["y"].to_numpy(), "mean": p.mean(1), "median": q[1], "ci_width": q[2] - q[0]}
+        return out | {n: (p > t).mean(1) for n, t in zip(names, s.thresholds)}
 
-    return jobs.mapInPandas(run, "mutation string, t int, pixel long, x double, y double, mean double, median double, ci_width double, " + ", ".join(f"{n} double" for n in names))
+    return _mapped(fits, cells, s, reduce, "mutation string, t int, pixel long, x double, y double, mean double, median double, ci_width double, " + ", ".join(f"{n} double" for n in names))
 
 
 def region_draws(fits: DataFrame, cells: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(mutation, id_1, t, draw, mean_p): sums and counts by block, combined by a grouped sum."""
-    jobs = fits.crossJoin(_blocks(cells.filter("id_1 IS NOT NULL"), s.block)).repartition("mutation", "t", "block")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for row in b.to_dict("records"):
-                at, p = _prevalence(row, s)
-                regions, index = np.unique([c["id_1"] for c in at], return_inverse=True)
-                sums = np.zeros((len(regions), p.shape[1]))
-                np.add.at(sums, index, p)
-                n = np.bincount(index)
-                yield pd.DataFrame({"mutation": row["mutation"], "t": row["t"], "id_1": np.repeat(regions, p.shape[1]), "draw": np.tile(np.arange(1, p.shape[1] + 1), len(regions)), "s": sums.ravel(), "n": np.repeat(n, p.shape[1])})
-
-    parts = jobs.mapInPandas(run, "mutation string, t int, id_1 string, draw int, s double, n long")
+
+    def reduce(at: pd.DataFrame, p: np.ndarray) -> dict:
+        regions, index = np.unique(at["id_1"].to_numpy(str), return_inverse=True)
+        order = np.argsort(index, kind="stable")
+        n = np.bincount(index)
+        sums = np.add.reduceat(p[order], np.cumsum(n) - n, axis=0)
+        draws = p.shape[1]
+        return {"id_1": np.repeat(regions, draws), "draw": np.tile(np.arange(1, draws + 1), len(regions)), "s": sums.ravel(), "n": np.repeat(n, draws)}
+
+    parts = _mapped(fits, cells.filter("id_1 IS NOT NULL"), s, reduce, "mutation string, t int, id_1 string, draw int, s double, n long")
     return parts.groupBy("mutation", "id_1", "t", "draw").agg((F.sum("s") / F.sum("n")).alias("mean_p"))
 
 
+def pointwise(means: DataFrame, cells: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(mutation, t, pixel, x, y, mean_z, low, high) from smoothed means and covariances (smoothed()), without draws."""
+    spark = means.sparkSession
+    schema = "mutation string, t int, pixel long, x double, y double, mean_z double, low double, high double"
+
+    def one(part: pd.DataFrame) -> DataFrame:
+        shared = spark.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            one_thread()
+            for b in batches:
+                for mutation, t, ell, mean, cov in zip(b["mutation"], b["t"], b["ell_km"], b["mean"], b["cov"]):
+                    omega, mean = rff.frequencies(s.features, ell, s.seed), np.asarray(mean, float)
+                    for k in range(0, len(shared.value), s.block):
+                        at = shared.value.iloc[k : k + s.block]
+                        phi = rff.features(at[["x_km", "y_km"]].to_numpy(float), omega)
+                        band = kalman.pointwise_interval(phi, mean, np.asarray(cov, float).reshape(len(mean), -1))
+                        yield pd.DataFrame({"mutation": mutation, "t": t, "pixel": at["pixel"].to_numpy(), "x": at["x"].to_numpy(), "y": at["y"].to_numpy(), "mean_z": kalman.Z0 + phi @ mean, "low": band[:, 0], "high": band[:, 1]})
+
+        return means.mapInPandas(run, schema)
+
+    parts = [one(part) for part in _slices(cells)]
+    out = parts[0] if parts else spark.createDataFrame([], schema)
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def prediction_cells(spark: SparkSession, box: Box, s: Settings, centre: tuple[float, float]) -> DataFrame:
     """pixel, x, y, x_km, y_km of a grid, with id_1 NULL until a spatial join gives it."""
     cells, _ = local_km(G.grid(spark, box, s.nx, s.ny), centre, "x", "y")

@@ -136,3 +136,37 @@ def test_surveys_are_repeatable(spark):
     assert a == b and len(a) == 9 and all(0 <= r[6] <= 30 for r in a)
     with pytest.raises(ValueError):
         simulate.draw_surveys(f, 99, 30)
+
+
+def test_information_form_equals_the_solve_in_surveys():
+    """Years of more surveys than weights, in one go and some at a time."""
+    rng = np.random.default_rng(3)
+    omega = rff.frequencies(3, 100.0, 1)
+    years = [kalman.Year(rff.features(rng.normal(size=(n, 2)) * 100, omega), np.floor(20 * rng.random(n)), np.full(n, 20.0)) for n in (40, 0, 3, 25)]
+    target, w = pseudo(years)
+    p = kalman.kalman_filter(years, target, w, 0.3)
+    smooth, _ = kalman.rts_smoother(p)
+    assert np.allclose(smooth, kalman.gp_equivalent(years, target, w, 0.3), atol=1e-7)
+    at, phi = np.repeat([1, 2, 3, 4], [40, 0, 3, 25]), np.concatenate([y.phi for y in years])
+    k = 0.3 * np.minimum(at[:, None], at[None]) * (phi @ phi.T) + np.diag(1 / np.concatenate(w))
+    z = np.concatenate(target)
+    assert p.loglik == pytest.approx(-0.5 * (np.linalg.slogdet(k)[1] + z @ np.linalg.solve(k, z) + len(z) * np.log(2 * np.pi)))
+    whole, cut = (kalman.information(years[0], target[0], w[0], n) for n in (4096, 7))
+    assert np.allclose(whole.s, cut.s) and np.allclose(whole.h, cut.h) and whole.q == pytest.approx(cut.q) and whole.n == cut.n == 40
+
+
+def test_surface_plan_has_no_product(spark, monkeypatch):
+    """Cells are broadcast in slices, whatever their number; results don't depend on the slices."""
+    from geoprev.functions.geo import Box
+
+    obs = spark.range(20).select(F.substring(F.concat(F.lit("m"), "id"), 1, 1).alias("mutation"), F.lit(2014).alias("year"), (F.col("id") * 3.0).alias("x_km"), (F.col("id") * 2.0).alias("y_km"), F.lit(2.0).alias("numerator"), F.lit(20.0).alias("denominator"))
+    fits = model.fit_models(obs, spark.createDataFrame([("m", 80.0, 0.1)], "mutation string, ell_km double, tau2_year double"), SMALL)
+    cells = model.prediction_cells(spark, Box(30, 31, 0, 1), SMALL, (30.5, 0.5))
+    one = model.surface(fits, cells, SMALL)
+    monkeypatch.setattr(model, "SLICE", 7)
+    many = model.surface(fits, cells, SMALL)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    a, b = (d.toPandas().sort_values(["t", "pixel"]).reset_index(drop=True) for d in (one, many))
+    assert len(a) == 4 * 30 and np.allclose(a.drop(columns="mutation"), b.drop(columns="mutation"))
+    assert model.surface(fits, cells.filter("pixel < 0"), SMALL).count() == 0
