@@ -6,6 +6,7 @@ positives are returned lines. Draws come from the embeddings: pixel, position an
 
 from __future__ import annotations
 
+import dataclasses
 import math
 
 import numpy as np
@@ -21,7 +22,7 @@ from ..operators import obs as O
 from ..operators import pairs as P
 from ..operators import report as R
 from ..operators import spatial as S
-from . import model, simulate, variogram
+from . import kalman, model, rff, simulate, variogram
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -285,15 +286,8 @@ def R_ever(spark, sf_dir):
     return O.ever_above(_regions(spark, sf_dir), ["id_1", "mutation"], "p", 0.4).select("id_1", "mutation", "t", "p")
 
 
-@query(f"WITH {OBS} SELECT survey_id, mutation, year, round(prevalence, 6) AS prevalence FROM obs WHERE year <= 2016 AND mutation IN (SELECT mutation FROM obs WHERE year <= 2016 AND prevalence > 44)")
+@query(f"WITH {OBS} SELECT survey_id, mutation, year, round(prevalence, 6) AS prevalence FROM obs WHERE mutation IN (SELECT mutation FROM obs WHERE prevalence > 44)")
 def mutations_with_positives(spark, sf_dir):
-    rows = surveys(spark, sf_dir).filter("year <= 2016").withColumn("above", F.col("prevalence") - 44)
-    return _rounded(O.with_positives(rows, "above").select("survey_id", "mutation", "year", "prevalence"), "prevalence")
-
-
-@query()
-def mutations_with_positives_all(spark, sf_dir):
-    """All years."""
     rows = surveys(spark, sf_dir).withColumn("above", F.col("prevalence") - 44)
     return _rounded(O.with_positives(rows, "above").select("survey_id", "mutation", "year", "prevalence"), "prevalence")
 
@@ -404,12 +398,13 @@ def variogram_curve(spark, sf_dir):
     return _rounded(variogram.fitted_curve(spark, 1500.0, 0.5, 400.0), "dist", "gamma")
 
 
-_ALL = f"p AS (SELECT a.mutation, a.id AS ind1, b.id AS ind2, {_DIST} AS dist_space, CAST(abs(a.year - b.year) AS INTEGER) AS dist_time, a.z - b.z AS dist_z FROM a JOIN a b ON a.mutation = b.mutation AND a.id > b.id AND a.year = 2016 AND b.year = 2016)"
+#: All pairs of surveys of a marker; a survey's number is its row by marker, year and nation.
+_ALL = f"r AS (SELECT *, row_number() OVER (ORDER BY mutation, year, id) AS row FROM a), p AS (SELECT a.mutation, a.row AS ind1, b.row AS ind2, {_DIST} AS dist_space, CAST(abs(a.year - b.year) AS INTEGER) AS dist_time, a.z - b.z AS dist_z FROM r a JOIN r b ON a.mutation = b.mutation AND a.row > b.row)"
 
 
 def _pairs(spark, sf_dir):
-    rows = _placed(spark, sf_dir).filter("year = 2016").select("mutation", "id", F.col("x_km").alias("x"), F.col("y_km").alias("y"), F.col("year").alias("t"), "z")
-    return P.pair_distances(rows, ["mutation"])
+    rows = _placed(spark, sf_dir).select("mutation", "year", F.col("id").alias("survey"), F.col("x_km").alias("x"), F.col("y_km").alias("y"), F.col("year").alias("t"), "z")
+    return P.pair_distances(G.with_row_number(rows, ["mutation", "year", "survey"]), ["mutation"])
 
 
 @query(f"WITH {OBS}, {_PLACED}, {_ALL} SELECT mutation, ind1, ind2, round(dist_space, 6) AS dist_space, dist_time, round(dist_z, 6) AS dist_z FROM p")
@@ -427,27 +422,6 @@ def vario_loglike(spark, sf_dir):
     return _rounded(P.vario_loglike(_pairs(spark, sf_dir), 300.0, 2.0, 0.1, 0.9, ["mutation"]), "loglike", digits=4)
 
 
-def _all_pairs(spark, sf_dir):
-    """All pairs of surveys of a marker, of all years; a survey's number is its row by marker, year and nation."""
-    rows = _placed(spark, sf_dir).select("mutation", "year", F.col("id").alias("survey"), F.col("x_km").alias("x"), F.col("y_km").alias("y"), F.col("year").alias("t"), "z")
-    return P.pair_distances(G.with_row_number(rows, ["mutation", "year", "survey"]), ["mutation"])
-
-
-@query()
-def pair_distances_all(spark, sf_dir):
-    return _rounded(_all_pairs(spark, sf_dir), "dist_space", "dist_z")
-
-
-@query()
-def vario_cor_all(spark, sf_dir):
-    return _all_pairs(spark, sf_dir).select("mutation", "ind1", "ind2", F.round(X.vario_cor(F.col("dist_space"), F.col("dist_time"), 300.0, 2.0), 6).alias("cor"))
-
-
-@query()
-def vario_loglike_all(spark, sf_dir):
-    return _rounded(P.vario_loglike(_all_pairs(spark, sf_dir), 300.0, 2.0, 0.1, 0.9, ["mutation"]), "loglike", digits=4)
-
-
 def rectangles(spark) -> DataFrame:
     """Four rectangles, two with a shared border, as polygons."""
     ring = lambda a, b, c, d: "array(" + ", ".join(f"struct(CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y)" for x, y in ((a, c), (b, c), (b, d), (a, d), (a, c))) + ")"
@@ -470,6 +444,27 @@ def spatial_join_left(spark, sf_dir):
     return S.spatial_join(_long(spark, sf_dir), rectangles(spark), ["id_1", "name_1"], how="left").select("x", "y", "t", "mutation", "id_1", "name_1")
 
 
+#: A horseshoe, a square with a hole, and a triangle that overlaps both; no survey lies on an edge.
+SHAPES = {
+    "horseshoe": [[(25.5, -6.5), (38.5, -6.5), (38.5, 12.5), (32.5, 12.5), (32.5, -1.5), (29.5, -1.5), (29.5, 12.5), (25.5, 12.5)]],
+    "ring": [[(33.2, -5.7), (44.6, -5.7), (44.6, 16.3), (33.2, 16.3)], [(37.1, 2.3), (41.7, 2.3), (41.7, 11.9), (37.1, 11.9)]],
+    "wedge": [[(26.3, 17.2), (45.1, 9.7), (30.9, -7.4)]],
+}
+_EDGES = "edge(id_1, x1, y1, x2, y2) AS (VALUES " + ", ".join(
+    f"('{i}', {a[0]}, {a[1]}, {b[0]}, {b[1]})" for i, rings in SHAPES.items() for r in rings for a, b in zip(r, [*r[1:], r[0]])) + ")"
+
+
+def shapes(spark) -> DataFrame:
+    """Polygons that aren't their own bounding boxes: concave, with a hole, overlapping."""
+    return spark.createDataFrame([(i, [[{"x": x, "y": y} for x, y in r] for r in rings]) for i, rings in SHAPES.items()], "id_1 string, rings array<array<struct<x: double, y: double>>>")
+
+
+@query(f"WITH {OBS}, {_LONG}, {_EDGES}, spot AS (SELECT DISTINCT x, y FROM l), h AS (SELECT x, y, id_1 FROM spot CROSS JOIN edge GROUP BY x, y, id_1 HAVING count(*) FILTER ((y1 > y) <> (y2 > y) AND x < x1 + (y - y1) * (x2 - x1) / nullif(y2 - y1, 0)) % 2 = 1) SELECT x, y, t, mutation, id_1 FROM l LEFT JOIN h USING (x, y)")
+def spatial_join_shapes(spark, sf_dir):
+    """Even-odd test against concave polygons and holes; points may lie in several, or in none."""
+    return S.spatial_join(_long(spark, sf_dir), shapes(spark), ["id_1"], how="left").select("x", "y", "t", "mutation", "id_1")
+
+
 @query(f"WITH {OBS}, {_LONG}, {_RECT} SELECT x, y, t, mutation, CASE WHEN EXISTS (SELECT 1 FROM rect WHERE x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2) THEN round(p, 6) END AS p FROM l")
 def mask_rect(spark, sf_dir):
     return _rounded(S.mask(_long(spark, sf_dir), rectangles(spark)), "p").select("x", "y", "t", "mutation", "p")
@@ -477,8 +472,15 @@ def mask_rect(spark, sf_dir):
 
 @query(f"WITH {OBS}, a AS (SELECT survey_id, year, mutation, denominator AS n, {LOGIT} AS z FROM obs) SELECT survey_id, year, mutation, round(CASE WHEN z IS NULL OR abs(z) < 1e-6 THEN n / 4 ELSE 0.5 * n / abs(z) * (exp(abs(z)) - 1) / (exp(abs(z)) + 1) END, 6) AS w FROM a")
 def pg_weights(spark, sf_dir):
-    rows = O.with_logit(surveys(spark, sf_dir))
-    return rows.select("survey_id", "year", "mutation", F.round(X.pg_weight(F.col("denominator"), F.col("z")), 6).alias("w"))
+    """The weights that the model uses; the column form of the same formula is exprs.pg_weight."""
+    rows = O.with_logit(surveys(spark, sf_dir)).select("survey_id", "year", "mutation", "denominator", "z")
+
+    def run(batches):
+        for b in batches:
+            w = kalman.pg_weights(b["denominator"].to_numpy(float), b["z"].to_numpy(float))
+            yield b[["survey_id", "year", "mutation"]].assign(w=w)
+
+    return _rounded(rows.mapInPandas(run, "survey_id string, year int, mutation string, w double"), "w")
 
 
 _FEATURES = ", ".join([f"round({f}({wx} * x_km + {wy} * y_km) / sqrt({len(OMEGA)}), 6) AS {f}_{i}" for f in ("cos", "sin") for i, (wx, wy) in enumerate(OMEGA)])
@@ -486,9 +488,15 @@ _FEATURES = ", ".join([f"round({f}({wx} * x_km + {wy} * y_km) / sqrt({len(OMEGA)
 
 @query(f"WITH {OBS}, {_PLACED} SELECT DISTINCT id, {_FEATURES} FROM a")
 def rff_features_small(spark, sf_dir):
-    angle = lambda w: F.lit(w[0]) * F.col("x_km") + F.lit(w[1]) * F.col("y_km")
-    cols = [F.round(f(angle(w)) / math.sqrt(len(OMEGA)), 6).alias(f"{f.__name__}_{i}") for f in (F.cos, F.sin) for i, w in enumerate(OMEGA)]
-    return _placed(spark, sf_dir).select("id", *cols).distinct()
+    names = [f"{f}_{i}" for f in ("cos", "sin") for i in range(len(OMEGA))]
+
+    def run(batches):
+        for b in batches:
+            phi = rff.features(b[["x_km", "y_km"]].to_numpy(float), np.array(OMEGA))
+            yield pd.concat([b[["id"]].reset_index(drop=True), pd.DataFrame(phi, columns=names)], axis=1)
+
+    rows = _placed(spark, sf_dir).select("id", "x_km", "y_km").distinct()
+    return _rounded(rows.mapInPandas(run, "id long, " + ", ".join(f"{n} double" for n in names)), *names)
 
 
 @query(f"WITH {OBS} SELECT median(longitude) AS lon0, median(latitude) AS lat0, round(median(numerator / denominator), 6) AS p_mid, min(year) AS first_year, max(year) AS last_year, bool_or(numerator > denominator) AS any_over, bool_and(denominator > 0) AS all_positive, count(DISTINCT mutation) AS n_mutations FROM obs")
@@ -568,9 +576,9 @@ def kalman_smooth(spark, sf_dir):
 
     def run(batches):
         for b in batches:
-            for row in b.to_dict("records"):
-                w = np.asarray(row["weights"], float).reshape(2 * s.features, s.draws)
-                yield pd.DataFrame({"mutation": row["mutation"], "t": row["t"], "weight": np.arange(1, len(w) + 1), "mean_weight": w.mean(1), "sd_weight": w.std(1, ddof=1)})
+            for mutation, t, weights in zip(b["mutation"], b["t"], b["weights"]):
+                w = np.asarray(weights, float).reshape(2 * s.features, s.draws)
+                yield pd.DataFrame({"mutation": mutation, "t": t, "weight": np.arange(1, len(w) + 1), "mean_weight": w.mean(1), "sd_weight": w.std(1, ddof=1)})
 
     return fits.mapInPandas(run, "mutation string, t int, weight int, mean_weight double, sd_weight double")
 
@@ -593,6 +601,105 @@ def region_series(spark, sf_dir):
     return R.region_interval(model.region_draws(fits, _cells(spark, s), s), ["mutation", "id_1", "t"])
 
 
+#: One frequency, so a state of two weights, whose filter and smoother SQL can follow survey by survey.
+EXACT = model.Settings(features=1, rounds=5, nx=12, ny=10)
+EXACT_ELL, EXACT_TAU2 = 600.0, 0.05
+
+
+def _exact_sql() -> str:
+    """All rounds of EM: places with their features, then a recursion over updates and one back over years in each round."""
+    wx, wy = map(float, rff.frequencies(1, EXACT_ELL, EXACT.seed)[0])
+    z0, tau = kalman.Z0, EXACT_TAU2
+    parts = [
+        f"pl AS (SELECT mutation, year, {_X} AS x_km, {_Y} AS y_km, sum(numerator) AS y, sum(denominator) AS n FROM obs WHERE denominator > 0 GROUP BY mutation, year, longitude, latitude)",
+        f"st AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY mutation ORDER BY year, kind, x_km, y_km) AS step FROM (SELECT mutation, year, 1 AS kind, x_km, y_km, y, n, cos({wx!r} * x_km + {wy!r} * y_km) AS f1, sin({wx!r} * x_km + {wy!r} * y_km) AS f2 FROM pl"
+        " UNION ALL SELECT m.mutation, s.year, 0, NULL, NULL, NULL, NULL, NULL, NULL FROM (SELECT DISTINCT mutation FROM pl) m, (SELECT CAST(unnest(range(min(year), max(year) + 1)) AS INTEGER) AS year FROM pl) s))",
+        "e AS MATERIALIZED (SELECT mutation, year, max(step) AS step FROM st GROUP BY ALL)",
+        "b0 AS (SELECT mutation, year, CAST(0 AS DOUBLE) AS m1, CAST(0 AS DOUBLE) AS m2 FROM e)",
+    ]
+    for r in range(1, EXACT.rounds + 1):
+        eta = f"({z0!r} + f1 * m1 + f2 * m2)"
+        w = f"greatest(CASE WHEN abs({eta}) >= 1e-6 THEN 0.5 * n / abs({eta}) * (exp(abs({eta})) - 1) / (exp(abs({eta})) + 1) ELSE n / 4 END, 1e-10)"
+        parts += [
+            f"u{r} AS MATERIALIZED (SELECT mutation, year, step, kind, f1, f2, w, (y - n / 2) / w - {z0!r} AS z FROM (SELECT *, {w} AS w FROM st JOIN b{r - 1} USING (mutation, year)))",
+            f"f{r} AS (SELECT DISTINCT mutation, CAST(0 AS BIGINT) AS step, CAST(0 AS DOUBLE) AS m1, CAST(0 AS DOUBLE) AS m2, CAST(0 AS DOUBLE) AS c11, CAST(0 AS DOUBLE) AS c12, CAST(0 AS DOUBLE) AS c22 FROM e UNION ALL"
+            f" SELECT mutation, step, CASE kind WHEN 0 THEN m1 ELSE m1 + g1 * miss / s END, CASE kind WHEN 0 THEN m2 ELSE m2 + g2 * miss / s END,"
+            f" CASE kind WHEN 0 THEN c11 + {tau} ELSE c11 - g1 * g1 / s END, CASE kind WHEN 0 THEN c12 ELSE c12 - g1 * g2 / s END, CASE kind WHEN 0 THEN c22 + {tau} ELSE c22 - g2 * g2 / s END"
+            f" FROM (SELECT f.*, u.step AS next, kind, c11 * f1 + c12 * f2 AS g1, c12 * f1 + c22 * f2 AS g2, f1 * (c11 * f1 + c12 * f2) + f2 * (c12 * f1 + c22 * f2) + 1 / w AS s, z - f1 * m1 - f2 * m2 AS miss FROM f{r} f JOIN u{r} u ON u.mutation = f.mutation AND u.step = f.step + 1) t(mutation, before, m1, m2, c11, c12, c22, step, kind, g1, g2, s, miss))",
+            f"k{r} AS MATERIALIZED (SELECT mutation, year, m1, m2, c11, c12, c22 FROM f{r} JOIN e USING (mutation, step))",
+            f"b{r} AS (SELECT * FROM k{r} WHERE year = (SELECT max(year) FROM e) UNION ALL"
+            f" SELECT mutation, year, m1 + j11 * d1 + j12 * d2, m2 + j21 * d1 + j22 * d2, c11 + j11 * (j11 * d11 + j12 * d12) + j12 * (j11 * d12 + j12 * d22),"
+            f" c12 + j21 * (j11 * d11 + j12 * d12) + j22 * (j11 * d12 + j12 * d22), c22 + j21 * (j21 * d11 + j22 * d12) + j22 * (j21 * d12 + j22 * d22)"
+            f" FROM (SELECT k.*, b.m1 - k.m1 AS d1, b.m2 - k.m2 AS d2, b.c11 - k.c11 - {tau} AS d11, b.c12 - k.c12 AS d12, b.c22 - k.c22 - {tau} AS d22,"
+            f" (k.c11 * (k.c22 + {tau}) - k.c12 * k.c12) / det AS j11, (k.c12 * (k.c11 + {tau}) - k.c11 * k.c12) / det AS j12,"
+            f" (k.c12 * (k.c22 + {tau}) - k.c22 * k.c12) / det AS j21, (k.c22 * (k.c11 + {tau}) - k.c12 * k.c12) / det AS j22"
+            f" FROM (SELECT *, (c11 + {tau}) * (c22 + {tau}) - c12 * c12 AS det FROM k{r}) k JOIN b{r} b ON b.mutation = k.mutation AND b.year = k.year + 1))",
+        ]
+    return ", ".join(parts)
+
+
+_EM = _exact_sql()
+
+
+def _smoothed(spark, sf_dir) -> tuple[DataFrame, model.Settings]:
+    rows = _placed(spark, sf_dir)
+    s = dataclasses.replace(EXACT, **{k: getattr(_settings(rows), k) for k in ("first_year", "last_year")})
+    hyper = rows.select("mutation", F.lit(EXACT_ELL).alias("ell_km"), F.lit(EXACT_TAU2).alias("tau2_year")).distinct()
+    return model.smoothed(rows, hyper, s), s
+
+
+@query(f"WITH RECURSIVE {OBS}, {_EM} SELECT mutation, CAST(year AS INTEGER) AS t, round(m1, 5) AS m1, round(m2, 5) AS m2, round(c11, 6) AS c11, round(c12, 6) AS c12, round(c22, 6) AS c22 FROM b{EXACT.rounds}")
+def kalman_exact(spark, sf_dir):
+    """Smoothed weights and covariances after all rounds of EM, for one frequency, over all surveys."""
+    out, _ = _smoothed(spark, sf_dir)
+    return out.select("mutation", "t", *[F.round(F.col("mean")[i], 5).alias(f"m{i + 1}") for i in range(2)], *[F.round(F.col("cov")[i], 6).alias(n) for i, n in ((0, "c11"), (1, "c12"), (3, "c22"))])
+
+
+def _cells_sql(s: model.Settings) -> str:
+    """cell: the grid with kilometres and the features of the one frequency."""
+    wx, wy = map(float, rff.frequencies(1, EXACT_ELL, s.seed)[0])
+    x, y = _laea_sql("x", "y", 35.0, 5.0)
+    dx, dy = (BOX.xmax - BOX.xmin) / (s.nx - 1), (BOX.ymax - BOX.ymin) / (s.ny - 1)
+    return (f"cell AS MATERIALIZED (SELECT pixel, x, y, cos({wx!r} * {x} + {wy!r} * {y}) AS f1, sin({wx!r} * {x} + {wy!r} * {y}) AS f2"
+            f" FROM (SELECT i + 1 AS pixel, {BOX.xmin!r} + (i % {s.nx}) * {dx!r} AS x, {BOX.ymin!r} + (i // {s.nx}) * {dy!r} AS y FROM range({s.nx * s.ny}) r(i)))")
+
+
+@query(f"WITH RECURSIVE {OBS}, {_EM}, {_cells_sql(EXACT)}, v AS (SELECT mutation, CAST(year AS INTEGER) AS t, pixel, x, y, {kalman.Z0!r} + f1 * m1 + f2 * m2 AS mean_z, sqrt(greatest(f1 * f1 * c11 + 2 * f1 * f2 * c12 + f2 * f2 * c22, 0)) AS sd FROM b{EXACT.rounds}, cell)"
+       " SELECT mutation, t, pixel, round(x, 6) AS x, round(y, 6) AS y, round(mean_z, 5) AS mean_z, round(1 / (1 + exp(-(mean_z - 1.96 * sd))), 6) AS low, round(1 / (1 + exp(-(mean_z + 1.96 * sd))), 6) AS high FROM v")
+def pointwise_surface(spark, sf_dir):
+    """Mean and 95 % band of every cell and year from the smoothed weights, for one frequency."""
+    means, s = _smoothed(spark, sf_dir)
+    out = model.pointwise(means, model.prediction_cells(spark, BOX, s, (35.0, 5.0)), s)
+    return _rounded(_rounded(out, "x", "y", "low", "high"), "mean_z", digits=5)
+
+
+#: Draws that a formula gives: two weights, nine draws.
+DRAWS = 9
+_DRAWN = (f"drawn AS (SELECT mutation, year AS t, d, 2 * sin(0.7 * d + 0.11 * (year - 2000)) AS w1, 2 * sin(1.3 + 0.7 * d + 0.11 * (year - 2000)) AS w2 FROM (SELECT DISTINCT mutation, year FROM obs), range({DRAWS}) r(d)),"
+          f" v AS (SELECT mutation, t, d, pixel, x, y, 1 / (1 + exp(-({kalman.Z0!r} + f1 * w1 + f2 * w2))) AS p FROM drawn, cell)")
+
+
+def _drawn(spark, sf_dir) -> tuple[DataFrame, model.Settings]:
+    rows = surveys(spark, sf_dir).select("mutation", F.col("year").alias("t")).distinct()
+    one = lambda k: 2 * F.sin(1.3 * F.floor(k / DRAWS) + 0.7 * (k % DRAWS) + 0.11 * (F.col("t") - 2000))
+    return rows.select("mutation", "t", F.lit(EXACT_ELL).alias("ell_km"), F.transform(F.sequence(F.lit(0), F.lit(2 * DRAWS - 1)), one).alias("weights")), EXACT
+
+
+@query(f"WITH {OBS}, {_cells_sql(EXACT)}, {_DRAWN} SELECT mutation, t, pixel, round(x, 6) AS x, round(y, 6) AS y, round(avg(p), 6) AS mean, round(median(p), 6) AS median, round(quantile_cont(p, 0.975) - quantile_cont(p, 0.025), 6) AS ci_width,"
+       " round(avg(CAST(p > 0.01 AS INTEGER)), 6) AS ex_1, round(avg(CAST(p > 0.05 AS INTEGER)), 6) AS ex_5, round(avg(CAST(p > 0.1 AS INTEGER)), 6) AS ex_10 FROM v GROUP BY ALL")
+def surface_of_draws(spark, sf_dir):
+    """The surface's reduction of draws, on draws that SQL can make too."""
+    fits, s = _drawn(spark, sf_dir)
+    return _rounded(model.surface(fits, model.prediction_cells(spark, BOX, s, (35.0, 5.0)), s), "x", "y", "mean", "median", "ci_width", "ex_1", "ex_5", "ex_10")
+
+
+@query(f"WITH {OBS}, {_RECT}, {_cells_sql(EXACT)}, {_DRAWN} SELECT mutation, id_1, t, CAST(d + 1 AS INTEGER) AS draw, round(avg(p), 6) AS mean_p FROM v JOIN rect ON x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2 GROUP BY ALL")
+def region_draws(spark, sf_dir):
+    """Regional means of every draw, on draws that SQL can make too."""
+    fits, s = _drawn(spark, sf_dir)
+    return _rounded(model.region_draws(fits, _cells(spark, s), s), "mean_p")
+
+
 @query()
 def variogram_fit(spark, sf_dir):
     return variogram.hyperparameters(_placed(spark, sf_dir), 600.0).drop("fitted_at")

@@ -22,7 +22,7 @@ def pairs(spark, sf_dir):
 
 
 def test_pairs_of_all_years(spark, sf_dir, pairs):
-    got = {(r.mutation, r.ind1, r.ind2): r for r in catalogue.QUERIES["pair_distances_all"](spark, sf_dir).collect()}
+    got = {(r.mutation, r.ind1, r.ind2): r for r in catalogue.QUERIES["pair_distances"](spark, sf_dir).collect()}
     assert got.keys() == pairs.keys() and any(r.dist_time > 0 for r in got.values())
     for k, (d, t, z) in pairs.items():
         r = got[k]
@@ -30,7 +30,7 @@ def test_pairs_of_all_years(spark, sf_dir, pairs):
 
 
 def test_variogram_of_all_years(spark, sf_dir, pairs):
-    cor = {(r.mutation, r.ind1, r.ind2): r.cor for r in catalogue.QUERIES["vario_cor_all"](spark, sf_dir).collect()}
+    cor = {(r.mutation, r.ind1, r.ind2): r.cor for r in catalogue.QUERIES["vario_cor"](spark, sf_dir).collect()}
     total, n = defaultdict(float), defaultdict(int)
     assert cor.keys() == pairs.keys()
     for k, (d, t, z) in pairs.items():
@@ -40,7 +40,7 @@ def test_variogram_of_all_years(spark, sf_dir, pairs):
             c = 0.1 + 0.9 * (1 - rho)
             total[k[0]] -= 0.5 * (math.log(2 * math.pi * c) + z**2 / c)
             n[k[0]] += 1
-    got = {r.mutation: r for r in catalogue.QUERIES["vario_loglike_all"](spark, sf_dir).collect()}
+    got = {r.mutation: r for r in catalogue.QUERIES["vario_loglike"](spark, sf_dir).collect()}
     assert got.keys() == total.keys()
     assert all(got[m].n_pairs == n[m] and abs(got[m].loglike - total[m]) < 1e-3 for m in total)
 
@@ -48,6 +48,6 @@ def test_variogram_of_all_years(spark, sf_dir, pairs):
 def test_positives_of_all_years(spark, sf_dir):
     rows = catalogue.surveys(spark, sf_dir).collect()
     some = {r.mutation for r in rows if r.prevalence > 44}
-    got = catalogue.QUERIES["mutations_with_positives_all"](spark, sf_dir).collect()
+    got = catalogue.QUERIES["mutations_with_positives"](spark, sf_dir).collect()
     assert {(r.survey_id, r.mutation, r.year) for r in got} == {(r.survey_id, r.mutation, r.year) for r in rows if r.mutation in some}
     assert max(r.year for r in got) > 2016
