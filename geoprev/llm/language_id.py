@@ -1,18 +1,23 @@
 """Language ID by prediction by partial matching.
 
-For each language a variable-order byte context tree (orders 2, 1, 0 and a uniform floor) is counted on a
-bounded sample of labelled texts; escape probabilities follow method C (distinct symbols over total plus
-distinct). The statistics are then frozen, so the exact code length of every byte is a function of three
-bytes: the trees become tables, and a text is scored by summing table entries over all its bytes. The
-language with the shortest code wins; the score is its posterior under equal priors.
+For each language a variable-order byte context tree (orders ORDER to 0 and a uniform floor over all 256 bytes) is counted
+on a bounded sample of labelled texts; escape probabilities follow method C (distinct symbols over total plus
+distinct). The statistics are then frozen, so the exact code length of a byte is a function of it and the ORDER bytes
+before it (fewer at the beginning of a text): for each order the trees become a sorted table of the (context, byte) that any
+language has, with its code length in every language, and one of the contexts, with their escapes. A text is scored by
+looking up all its bytes, at a shorter context where no language knows the longer one. The language with the
+shortest code wins; the score is its posterior under equal priors.
+
+The tables hold at most `max_cells` entries: where languages are many, contexts of an order that occur too seldom in the
+sample are left out (a pruned tree, whose code lengths are as exact).
 
 Defined results: null text, a text without a letter, or a model without languages gives `und` with score 0; ties go to the first language
-in code-point order; repeated rows count each; an empty table gives no rows; any other column is ignored.
+in code-point order; repeated rows count each; an empty table gives no rows; any other column is ignored. Rows of one
+doc_id are rows of their own, each with its text and lang; of more than 256 lang values the commonest are learnt.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -26,72 +31,104 @@ from .arrow import pieces, text_bytes
 from .sampling import labelled_sample
 from .util import bound_batches
 
-SYMBOLS = 128  # 0 marks the beginning of a text, 127 stands for bytes that the sample has hardly
-BLOCK = 1 << 19
+ORDER = 3
+BLOCK = 1 << 18
 LETTER = re.compile(r"[^\W\d_]")
-_TABLES: dict[str, np.ndarray] = {}
-
-
-def fit(samples: dict[str, list[str]]) -> dict:
-    """Frozen statistics: the symbol of each byte, and for each language the counted (two before, one before, byte)."""
-    texts = {k: [x.encode() for x in v] for k, v in samples.items()}
-    seen = np.zeros(256, np.int64)
-    for v in texts.values():
-        seen += np.bincount(np.frombuffer(b"".join(v), np.uint8), minlength=256)
-    symbol = np.full(256, SYMBOLS - 1, np.uint8)
-    order = [b for b in np.argsort(-seen, kind="stable") if seen[b]][: SYMBOLS - 2]
-    symbol[order] = np.arange(1, len(order) + 1)
-    counts = []
-    for v in texts.values():
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in v])])
-        key = _keys(symbol, np.frombuffer(b"".join(v), np.uint8), offsets, 0, int(offsets[-1]))
-        counts.append(np.unique(key, return_counts=True))
-    return {"languages": list(texts), "symbol": symbol, "counts": counts, "id": hashlib.sha256(b"".join(k.tobytes() + c.tobytes() for k, c in counts)).hexdigest()}
-
-
-def _keys(symbol: np.ndarray, data: np.ndarray, offsets: np.ndarray, a: int, b: int) -> np.ndarray:
-    """Of each byte in data[a:b]: symbol two before, one before and its own, in one number."""
-    lead = min(a, 2)
-    s = np.zeros(b - a + 2, np.uint32)
-    s[2 - lead :] = symbol[data[a - lead : b]]
-    two, one, own = s[:-2].copy(), s[1:-1].copy(), s[2:]
-    starts = offsets[np.searchsorted(offsets, a - 1) : np.searchsorted(offsets, b)] - a  # texts that begin in a-1 .. b-1
-    first = starts[starts >= 0]
-    one[first] = two[first] = 0
-    second = starts[starts + 1 < b - a] + 1
-    two[second] = 0
-    return (two * SYMBOLS + one) * SYMBOLS + own
-
-
-def code_table(model: dict) -> np.ndarray:
-    """Bits of each (two before, one before, byte) under each language."""
-    if model["id"] in _TABLES:
-        return _TABLES[model["id"]]
-    table = np.empty((SYMBOLS**3, len(model["languages"])), np.float32)
-    for k, (key, n) in enumerate(model["counts"]):
-        c = np.zeros(SYMBOLS**3, np.float32)
-        c[key] = n
-        bits = np.full(SYMBOLS, np.log2(SYMBOLS))
-        for shape in ((SYMBOLS,), (SYMBOLS, SYMBOLS), (SYMBOLS, SYMBOLS, SYMBOLS)):
-            own = c.reshape(-1, *shape).sum(0)  # counts of this order: the longer contexts summed
-            total, distinct = own.sum(-1, keepdims=True), (own > 0).sum(-1, keepdims=True)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(total > 0, -np.log2(distinct / (total + distinct)), 0)
-                bits = np.where(own > 0, -np.log2(own / (total + distinct)), escape + bits)
-        table[:, k] = bits.reshape(-1)
-    _TABLES.clear()
-    _TABLES[model["id"]] = table
-    return table
+
+
+def _keys(data: np.ndarray, order: int) -> np.ndarray:
+    """Of each byte: the `order` bytes before it and its own in one number; meaningless where there are fewer."""
+    out = data.astype(np.uint32)
+    for k in range(1, order + 1):
+        out[k:] |= data[:-k].astype(np.uint32) << np.uint32(8 * k)
+    return out
+
+
+def _places(offsets: np.ndarray) -> np.ndarray:
+    """Of each byte: how many lie before it in its text, up to ORDER."""
+    out = np.full(int(offsets[-1]), ORDER, np.uint8)
+    starts = offsets[:-1][np.diff(offsets) > 0]
+    for k in range(ORDER):
+        at = starts + k
+        at = at[at < np.append(starts[1:], offsets[-1])]
+        out[at] = k
+    return out
+
+
+def fit(samples: dict[str, list[str]], max_cells: int = 1 << 24) -> dict:
+    """Frozen statistics: for each order the keys and code lengths, the contexts and escapes, by language."""
+    counted: list[list[tuple]] = []  # by order: keys and counts of each language
+    for texts in samples.values():
+        data = np.frombuffer(b"".join(x.encode() for x in texts), np.uint8)
+        place = _places(np.concatenate([[0], np.cumsum([len(x.encode()) for x in texts])]).astype(np.int64))
+        counted.append([np.unique(_keys(data, d)[place >= d], return_counts=True) for d in range(ORDER + 1)])
+    n, lower, levels = len(samples), None, []
+    for d in range(ORDER + 1):
+        keys = np.unique(np.concatenate([c[d][0] for c in counted])) if n else np.zeros(0, np.uint32)
+        count = np.zeros((len(keys), n), np.float32)
+        for k, c in enumerate(counted):
+            count[np.searchsorted(keys, c[d][0]), k] = c[d][1]
+        context, first = np.unique(keys >> np.uint32(8), return_index=True) if d else (np.zeros(min(1, len(keys)), np.uint32), np.zeros(min(1, len(keys)), np.int64))
+        if len(keys) * n > max_cells // (ORDER + 1):  # leave out the rarest contexts of this order
+            size = np.diff(np.append(first, len(keys)))
+            seen = np.add.reduceat(count.sum(1), first)
+            by = np.argsort(-seen, kind="stable")
+            kept = np.zeros(len(first), bool)
+            kept[by[np.cumsum(size[by]) * n <= max_cells // (ORDER + 1)]] = True
+            keys, count = keys[np.repeat(kept, size)], count[np.repeat(kept, size)]
+            context = context[kept]
+            first = np.searchsorted(keys >> np.uint32(8), context) if d else first[kept]
+        if not len(keys):
+            break
+        size = np.diff(np.append(first, len(keys)))
+        total, distinct = np.add.reduceat(count, first), np.add.reduceat((count > 0).astype(np.float32), first)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            escape = np.where(total > 0, -np.log2(distinct / (total + distinct)), 0).astype(np.float32)
+            own = -np.log2(count / np.repeat(total + distinct, size, axis=0))
+        if d == 0:
+            below = np.full_like(count, 8.0)
+        else:
+            below = _look(levels, keys & np.uint32((1 << 8 * d) - 1), d - 1, n)
+        levels.append((keys, np.where(count > 0, own, np.repeat(escape, size, axis=0) + below).astype(np.float32), context, escape))
+    return {"languages": list(samples), "levels": levels}
+
+
+def _look(levels: list, keys: np.ndarray, order: int, n: int) -> np.ndarray:
+    """Code lengths by language of (context, byte) keys of an order."""
+    out, left = np.zeros((len(keys), n), np.float32), np.arange(len(keys))
+    for d in range(order, -1, -1):
+        if d >= len(levels):
+            continue
+        known, bits, context, escape = levels[d]
+        own = keys[left] & np.uint32((1 << 8 * (d + 1)) - 1)
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        met = known[at] == own
+        out[left[met]] += bits[at[met]]
+        left, own = left[~met], own[~met]
+        if not len(left):
+            return out
+        at = np.minimum(np.searchsorted(context, own >> np.uint32(8)), len(context) - 1)
+        met = context[at] == own >> np.uint32(8) if d else np.ones(len(left), bool)
+        out[left[met]] += escape[at[met]]
+    out[left] += 8.0
+    return out
 
 
 def code_lengths(model: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Bits of each text under each language."""
-    table = code_table(model)
-    out = np.zeros((len(offsets) - 1, len(model["languages"])))
+    n, levels = len(model["languages"]), model["levels"]
+    out = np.zeros((len(offsets) - 1, n))
+    place = _places(offsets)
     for a in range(0, len(data), BLOCK):
         b = min(a + BLOCK, len(data))
-        sums = np.zeros((b - a + 1, out.shape[1]))
-        np.cumsum(table[_keys(model["symbol"], data, offsets, a, b)], axis=0, dtype=np.float64, out=sums[1:])
+        lead = min(a, ORDER)
+        keys, own = _keys(data[a - lead : b], ORDER)[lead:], place[a:b]
+        bits = np.empty((b - a, n), np.float32)
+        for d in range(ORDER + 1):  # the first bytes of a text have shorter contexts
+            of = np.flatnonzero(own == d)
+            bits[of] = _look(levels, keys[of], d, n)
+        sums = np.zeros((b - a + 1, n))
+        np.cumsum(bits, axis=0, dtype=np.float64, out=sums[1:])
         lo = max(int(np.searchsorted(offsets, a, side="right")) - 1, 0)
         hi = int(np.searchsorted(offsets, b, side="left"))
         out[lo:hi] += sums[np.clip(offsets[lo + 1 : hi + 1], a, b) - a] - sums[np.clip(offsets[lo:hi], a, b) - a]
@@ -100,7 +137,7 @@ def code_lengths(model: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
 
 def language_model(docs: DataFrame, per_language: int = 400, max_bytes: int = 20_000) -> dict:
     """Fit on at most per_language whole texts of at most max_bytes each; docs has doc_id, text, lang."""
-    return fit(labelled_sample(docs.select("doc_id", F.col("lang").alias("label")), docs, per_language, max_bytes))
+    return fit(labelled_sample(docs.select("doc_id", "text", F.col("lang").alias("label")), per_language, max_bytes))
 
 
 def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:

@@ -5,25 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .util import small, stored
 
-def labelled_sample(labels: DataFrame, docs: DataFrame, per_label: int, max_bytes: int, max_labels: int = 64, seed: int = 11) -> dict:
-    """At most per_label whole texts of at most max_bytes each, by label; labels: doc_id, label; docs: doc_id, text.
 
-    Picked are the documents with the least seeded hash of doc_id; longer, empty and null texts are passed over. Only
-    the ids picked (about 2 * per_label a label) meet the texts, by a broadcast of that bound.
+def labelled_sample(rows: DataFrame, per_label: int, max_bytes: int, max_labels: int = 256, seed: int = 11) -> dict:
+    """At most per_label whole texts of at most max_bytes each, by label; rows: doc_id, text, label.
+
+    Text and label come from the same row. Labels are the max_labels commonest. Taken are the rows with the least seeded
+    hash of doc_id (then of the text), whatever else has the same doc_id; longer, empty and null texts are passed over. A
+    first cut by the hash leaves about 2 * per_label rows a label; of what it leaves, each label sends its least per_label rows.
+    """
+    h = F.xxhash64(F.lit(seed), "doc_id")
+    rows = rows.filter("label IS NOT NULL AND doc_id IS NOT NULL").select("label", "text", h.alias("h"))
+    counts = rows.groupBy("label").count().orderBy(F.col("count").desc(), "label").limit(max_labels).collect()
+    share = F.lit(0.0)
+    for r in counts:
+        share = F.when(F.col("label") == r["label"], min(1.0, (2 * per_label + 40) / r["count"])).otherwise(share)
+    fits = F.octet_length("text").between(1, max_bytes)
+    near = rows.filter(((F.col("h") / F.lit(2.0**64) + 0.5) < share) & fits)
+    if len(counts) == 0:
+        return {}
+    near = stored(near.select("label", "text", "h", F.xxhash64(F.lit(seed), "text").alias("t")), "labelled-sample")
+    least = [near.filter(F.col("label") == F.lit(r["label"])).orderBy("h", "t", "text").limit(per_label) for r in counts]
+    got = {r["label"]: [x["text"] for x in part.collect()] for r, part in zip(counts, least)}
+    return {k: got[k] for k in sorted(got) if got[k]}
+
+
+def label_rows(labels: DataFrame, docs: DataFrame, per_label: int, seed: int = 11, broadcast_rows: int = 200_000) -> DataFrame:
+    """doc_id, text, label of documents whose labels are in another table (doc_id, label); the greatest label of a doc_id counts.
+
+    Only ids that the sample can take (by the same hash) meet the texts, by a broadcast if they are few enough.
     """
-    rows = labels.filter("label IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "label", F.xxhash64(F.lit(seed), "doc_id").alias("h"))
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().limit(max_labels + 1).collect()}
-    if len(counts) > max_labels:
-        raise ValueError(f"more than {max_labels} labels")
+    one = labels.filter("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
+    counts = one.groupBy("label").count().collect()
     share = F.lit(0.0)
-    for label, n in counts.items():
-        share = F.when(F.col("label") == label, min(1.0, (2 * per_label + 40) / n)).otherwise(share)
-    picked = F.broadcast(rows.filter((F.col("h") / F.lit(2.0**64) + 0.5) < share))
-    near = docs.select("doc_id", "text").filter(f"octet_length(text) BETWEEN 1 AND {max_bytes}").join(picked, "doc_id").collect()
-    near.sort(key=lambda r: (r["h"], r["doc_id"], r["text"]))
-    out: dict = {label: [] for label in sorted(counts)}
-    for r in near:
-        if len(out[r["label"]]) < per_label:
-            out[r["label"]].append(r["text"])
-    return {k: v for k, v in out.items() if v}
+    for r in counts:
+        share = F.when(F.col("label") == r["label"], min(1.0, (2 * per_label + 40) / r["count"])).otherwise(share)
+    picked = stored(one.filter((F.xxhash64(F.lit(seed), "doc_id") / F.lit(2.0**64) + 0.5) < share), "labelled-ids")
+    return docs.select("doc_id", "text").join(small(picked, broadcast_rows), "doc_id")

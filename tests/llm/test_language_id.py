@@ -20,43 +20,66 @@ def model():
     return L.fit({k: [text(k, i) for i in range(30)] for k in SYLLABLES})
 
 
-def plain_bits(samples, symbol, data):
+def plain_bits(samples, data, order=L.ORDER):
     """Code length of a text by walking the contexts, longest first, with escapes."""
-    counts = [Counter(), Counter(), Counter()]
+    counts = [Counter() for _ in range(order + 1)]
     for s in samples:
-        c = [0, 0] + [int(symbol[b]) for b in s.encode()]
-        for i in range(2, len(c)):
-            for k in range(3):
-                counts[k][tuple(c[i - k : i + 1])] += 1
-    below = [{}, {}, {}]
-    for k in range(3):
-        for key, n in counts[k].items():
+        c = s.encode()
+        for i in range(len(c)):
+            for k in range(min(i, order) + 1):
+                counts[k][c[i - k : i + 1]] += 1
+    below = [{} for _ in counts]
+    for k, found in enumerate(counts):
+        for key, n in found.items():
             below[k].setdefault(key[:-1], []).append(n)
-    c, total = [0, 0] + [int(symbol[b]) for b in data.encode()], 0.0
-    for i in range(2, len(c)):
-        for k in (2, 1, 0, -1):
+    c, total = data.encode(), 0.0
+    for i in range(len(c)):
+        for k in range(min(i, order), -2, -1):
             if k < 0:
-                total += math.log2(L.SYMBOLS)
+                total += 8
                 break
-            seen = below[k].get(tuple(c[i - k : i]))
+            seen = below[k].get(c[i - k : i])
             if not seen:
                 continue
             n, d = sum(seen), len(seen)
-            if hit := counts[k].get(tuple(c[i - k : i + 1])):
+            if hit := counts[k].get(c[i - k : i + 1]):
                 total -= math.log2(hit / (n + d))
                 break
             total -= math.log2(d / (n + d))
     return total
 
 
-def test_code_lengths_equal_the_walk(model, monkeypatch):
-    texts = [text("aa", 99, 9), "", "zzz ción 7", text("cc", 7, 5), "a"]
+ODD = ["zzz ción 7", "", "漢字とかな交じり文 ελληνικά кириллица 🙂", "a", "\x00\x7f ÿ"]
+
+
+@pytest.mark.parametrize("block", [L.BLOCK, 7, 1])
+def test_code_lengths_equal_the_walk(model, monkeypatch, block):
+    """Of texts in known and unknown scripts, also where they cross blocks."""
+    texts = [text("aa", 99, 9), *ODD, text("cc", 7, 5)]
     data = np.frombuffer("".join(texts).encode(), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
-    want = [[plain_bits([text(k, i) for i in range(30)], model["symbol"], t) for k in SYLLABLES] for t in texts]
-    assert np.allclose(L.code_lengths(model, data, offsets), want, rtol=1e-4)
-    monkeypatch.setattr(L, "BLOCK", 7)  # texts that cross blocks
-    assert np.allclose(L.code_lengths(model, data, offsets), want, rtol=1e-4)
+    want = [[plain_bits([text(k, i) for i in range(30)], t) for k in SYLLABLES] for t in texts]
+    monkeypatch.setattr(L, "BLOCK", block)
+    assert np.allclose(L.code_lengths(model, data, offsets), want, rtol=1e-4, atol=1e-3)
+
+
+def test_all_bytes_keep_their_identity():
+    """Languages in many scripts: more than 126 byte values, none merged."""
+    samples = {"el": ["αβγδεζηθικλμνξοπρστυφχψω " * 3], "ru": ["абвгдежзийклмнопрстуфхцчшщъыьэюя " * 3], "zh": ["".join(chr(0x4E00 + 7 * i) for i in range(900))], "en": ["the quick brown fox jumps over a lazy dog", "".join(map(chr, range(33, 127)))], "ko": ["".join(chr(0xAC00 + 11 * i) for i in range(900))]}
+    assert len({b for v in samples.values() for x in v for b in x.encode()}) > 126
+    m = L.fit(samples)
+    for t in ["ζηθ", "щъы", chr(0x4E00 + 7 * 800) + chr(0x4E00 + 7 * 801), "lazy fox", ""]:
+        want = [plain_bits(v, t) for v in samples.values()]
+        assert np.allclose(L.code_lengths(m, np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])), [want], rtol=1e-4, atol=1e-3)
+
+
+def test_pruned_tables_are_bounded():
+    samples = {f"l{k:03}": [text(lang, k)] for k in range(100) for lang in SYLLABLES}
+    m = L.fit(samples, max_cells=40_000)
+    assert sum(bits.size for _, bits, _, _ in m["levels"]) <= 40_000
+    t = text("bb", 1).encode()
+    bits = L.code_lengths(m, np.frombuffer(t, np.uint8), np.array([0, len(t)]))
+    assert bits.shape == (1, 100) and np.isfinite(bits).all()
 
 
 def test_predictions(spark, model, edge, empty):
@@ -75,6 +98,28 @@ def test_model_of_labelled_rows(spark, empty, edge):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     m = L.language_model(docs, per_language=10)
     assert m["languages"] == list(SYLLABLES)
-    assert L.language_model(docs, per_language=10)["id"] == m["id"]
+    again = L.language_model(docs, per_language=10)
+    assert all(np.array_equal(a, b) for x, y in zip(m["levels"], again["levels"]) for a, b in zip(x, y))
     none = L.language_model(empty)
     assert {r.lang_pred for r in L.predict(edge, none).collect()} == {"und"}
+
+
+def test_sample_takes_text_and_label_from_one_row(spark):
+    """Repeated doc_ids with other texts and labels; no label sends more than its bound."""
+    from geoprev.llm.sampling import label_rows, labelled_sample
+
+    rows = [(1, "aaa", "en"), (1, "bbb", "fr"), (2, "", "en"), (3, None, "fr"), (None, "x", "en"), (4, "y", None)] + [(7, f"t{i}", "de") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    got = labelled_sample(docs, 20, 100)
+    assert got["en"] == ["aaa"] and got["fr"] == ["bbb"] and len(got["de"]) == 20 == len(set(got["de"]))
+    assert labelled_sample(docs, 20, 100) == got and labelled_sample(docs.limit(0), 20, 100) == {}
+    assert list(labelled_sample(docs, 20, 100, max_labels=1)) == ["de"]
+    labels = spark.createDataFrame([(1, 0), (1, 1), (7, 0), (None, 1), (5, None)], "doc_id long, label int")
+    met = label_rows(labels, docs, 1000).groupBy("doc_id", "label").count().collect()
+    assert sorted(map(tuple, met)) == [(1, 1, 2), (7, 0, 300)]
+
+
+def test_many_languages_do_not_raise(spark):
+    rows = [(i, text("aa", i, 5), f"l{i:03}") for i in range(70)]
+    m = L.language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(m["languages"]) == 70
