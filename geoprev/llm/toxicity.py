@@ -1,22 +1,26 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on toxic text. Both end in the same ordinary
-segments; the toxic one has, nearest to the text, the segments that documents labelled toxic have far oftener. Every
-window of a text (a word with its blanks, followed by a carrier that both dictionaries hold, so that short
-blocks are not stored raw) is compressed with both; what the toxic dictionary saves is the window's distance. Training
-goes some rounds: ordinary words that the toxic dictionary shortens by chance join the ordinary segments.
-A document's score is a logistic function, calibrated on the training sample, of how many of its windows are
-at or above each of some thresholds.
-
-All windows of the whole text count; equal windows are compressed once per task.
+Two zstandard dictionaries are trained (COVER): one on windows of ordinary texts, one on windows of toxic texts. A window
+is WIDTH words one behind the other; every word of a text is in one. Of a toxic text most windows are ordinary, so the toxic
+dictionary is trained on those around words that toxic texts have far oftener, whatever their number; its size follows how
+many such words there are. Ordinary windows (without those words)
+that it shortens by chance are added to the ordinary dictionary, in some rounds. Every window is compressed with both (followed by a carrier that both hold, so that a short block isn't stored
+raw), and what the toxic dictionary saves is its distance. A document's score is a logistic function of how many of its
+windows are at or above each of some thresholds, and of how many it has. The function is calibrated on
+distances from dictionaries that have not seen the document: the sample is cut into parts, and each part is
+measured with dictionaries of the others.
+
+All windows of the whole text count.
 
 Defined results: null and empty texts have no windows and get the score of a text without distance; a model without
-examples of both labels gives 0.5; repeated rows count each; an empty table gives no rows.
+examples of both labels gives 0.5; repeated rows count each; an empty table gives no rows. A doc_id that has both
+labels is learnt from as toxic.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,20 +33,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from .arrow import bytes_list, pieces
-from .sampling import labelled_sample
+from .sampling import label_rows, labelled_sample
 from .util import bound_batches
 
 CUT = re.compile(rb"[\x00-\x60\x7b-\x7f]+")
+WIDTH = 2
 #: Longer than the 16 bytes at the end of a block in which zstandard looks for no match.
 CARRIER = b" " + bytes(range(1, 9)) + bytes(range(14, 32)) + bytes(range(14, 22))
-LEVEL = 3
+LEVEL = 9
 THRESHOLDS = (2, 3, 4, 5, 7)
-KEPT = 400_000
-_PRESSES: dict[bytes, tuple] = {}
+FIT_WINDOWS = 100_000  # ordinary windows that a dictionary is trained on
+LONGEST = 96  # bytes of a window; longer ones go in pieces
+
 
+def words(text: bytes) -> list[bytes]:
+    return [w for w in CUT.split(text.lower()) if w]
 
-def windows(text: bytes) -> list[bytes]:
-    return CUT.split(text.lower())
+
+def windows(ws: list[bytes]) -> list[bytes]:
+    """All words, WIDTH at a time."""
+    out = [b" " + b" ".join(ws[i : i + WIDTH]) for i in range(0, len(ws), WIDTH)]
+    return out if max(map(len, out), default=0) <= LONGEST else [x[k : k + LONGEST] for x in out for k in range(0, len(x), LONGEST)]
 
 
 def press(content: bytes):
@@ -51,45 +62,37 @@ def press(content: bytes):
     return zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress
 
 
-class Distance(dict):
-    """Bytes that the toxic dictionary saves on a window, by window."""
+class Distance:
+    """Bytes that the toxic dictionary saves on a window."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        super().__init__({b"": 0})
-        # the filler keeps the ordinary segments at the same distance from the text in both
-        self.toxic, self.ordinary = press(ordinary + toxic), press(ordinary + b"\x00" * (len(toxic) - len(CARRIER)) + CARRIER)
-
-    def __missing__(self, word: bytes) -> int:
-        x = b" " + word[:64] + CARRIER
-        saved = len(self.ordinary(x)) - len(self.toxic(x))
-        for k in range(64, len(word), 64):  # a long word goes in pieces
-            x = word[k - 16 : k + 64] + CARRIER
-            saved = max(saved, len(self.ordinary(x)) - len(self.toxic(x)))
-        if len(self) < KEPT:
-            self[word] = saved
-        return saved
-
-
-def _content(words: list[bytes], size: int) -> bytes:
-    """Words joined, the first ones last: near the text, where a match costs least."""
-    out, n = [], 0
-    for w in words:
-        n += len(w) + 1 + len(CARRIER)
-        if n > size:
-            break
-        out.append(b" " + w + CARRIER)
-    return b"".join(reversed(out))
+        # the filler keeps the ordinary content at the same distance from the window in both
+        self.toxic, self.ordinary = press(ordinary + toxic + CARRIER), press(ordinary + bytes(len(toxic)) + CARRIER)
+
+    def __call__(self, window: bytes) -> int:
+        x = window + CARRIER
+        return len(self.ordinary(x)) - len(self.toxic(x))
+
+
+def train(samples: list[bytes], size: int) -> bytes:
+    """A trained dictionary; of samples too few to train on, the samples themselves."""
+    if sum(map(len, samples)) > 4 * size:
+        try:
+            return zstandard.train_dictionary(size, samples, k=32, d=8).as_bytes()
+        except zstandard.ZstdError:  # too few samples, or too much alike
+            pass
+    return b"".join(dict.fromkeys(samples))[-size:]
 
 
 def features(saved: list[int]) -> list[float]:
-    """Logarithms of how many windows lie between each threshold and the next."""
+    """Logarithms of how many windows lie between each threshold and the next, and of how many there are."""
     top = [x for x in saved if x >= THRESHOLDS[0]]
     counts = [sum(x >= k for x in top) for k in THRESHOLDS] + [0]
-    return [1.0, *(math.log1p(a - b) for a, b in zip(counts, counts[1:]))]
+    return [1.0, math.log1p(len(saved)), *(math.log1p(a - b) for a, b in zip(counts, counts[1:]))]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> np.ndarray:
-    """Weights of a logistic regression, none but the first below zero: more savings never lower a score."""
+    """Weights of a logistic regression, none but the first two below zero: more savings never lower a score."""
     used = list(range(x.shape[1]))
     while True:
         w, part = np.zeros(len(used)), x[:, used]
@@ -100,46 +103,61 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> np.ndarray:
             w += np.clip(step, -2, 2)
             if np.abs(step).max() < 1e-6:
                 break
-        if (w[1:] >= 0).all():
+        if (w[2:] >= 0).all():
             out = np.zeros(x.shape[1])
             out[used] = w
             return out
-        used = [k for k, v in zip(used, w) if k == 0 or v >= 0]
+        used = [k for k, v in zip(used, w) if k < 2 or v >= 0]
 
 
-def fit(ordinary: list[str], toxic: list[str], ordinary_bytes: int = 96 << 10, toxic_bytes: int = 8 << 10, rounds: int = 4, lift: float = 2.0) -> dict | None:
-    """Dictionaries and calibration; None without examples of both."""
-    if not ordinary or not toxic:
-        return None
-    docs = [[windows(t.encode()) for t in dict.fromkeys(texts)] for texts in (ordinary, toxic)]
+def dictionaries(docs: list[list[list[bytes]]], ordinary_bytes: int, rounds: int, lift: float, seed: int = 5) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary of some texts as words; docs: ordinary ones, toxic ones."""
     # a word counts once for each pair of neighbours, so copies of a text don't make its words characteristic
     seen = [Counter(w for _, w, _ in {x for d in texts for x in zip([b"", *d], d, [*d[1:], b""])} if len(w) > 2) for texts in docs]
     total = [sum(c.values()) + 1 for c in seen]
     odds = lambda w: math.log((seen[1][w] + 0.5) / total[1]) - math.log((seen[0][w] + 0.5) / total[0])
-    marked = sorted((w for w, n in seen[1].items() if n > max(3, len(docs[1]) / 100) and odds(w) > lift), key=lambda w: (-odds(w) * math.sqrt(seen[1][w]), w))
-    usual = sorted((w for w in seen[0] if odds(w) < 0.7), key=lambda w: (-seen[0][w], w))
-    toxic_part, hard = _content(marked, toxic_bytes), {}
+    marked = {w for w, n in seen[1].items() if n > max(3, len(docs[1]) / 100) and odds(w) > lift}
+    about = [b" " + b" ".join(d[max(0, i - 1) : i + WIDTH - 1]) + b" " for d in docs[1] for i, w in enumerate(d) if w in marked]
+    toxic = train(about, 32 * max(32, len(marked)))
+    usual = [x for d in docs[0] for x in windows([w for w in d if w not in marked])]
+    if len(usual) > FIT_WINDOWS:
+        usual = random.Random(seed).sample(usual, FIT_WINDOWS)
+    trained = train(usual, ordinary_bytes)
+    ordinary, hard = trained, Counter()
     for _ in range(rounds):
-        first = sorted(hard, key=lambda w: (-hard[w], w))
-        ordinary_part = _content([*first, *(w for w in usual if w not in hard)], ordinary_bytes)
-        distance = Distance(ordinary_part, toxic_part)
-        for w in seen[0]:
-            if odds(w) < 0.7 and distance[w] > 2:
-                hard[w] = hard.get(w, 0) + seen[0][w]
-    saved = [[[distance[w] for w in d] for d in texts] for texts in docs]
-    x = np.array([features(d) for texts in saved for d in texts])
-    y = np.repeat([0.0, 1.0], [len(docs[0]), len(docs[1])])
-    return {"ordinary": ordinary_part, "toxic": toxic_part, "weights": _logistic(x, y)}
+        distance = Distance(ordinary, toxic)
+        hard.update(x for x in usual if distance(x) >= THRESHOLDS[0])
+        first = b"".join(x for x, _ in sorted(hard.items(), key=lambda x: (x[1], x[0])))  # the commonest last, near the window
+        ordinary = trained + first[-ordinary_bytes // 2 :]
+    return ordinary, toxic
+
+
+def fit(ordinary: list[str], toxic: list[str], ordinary_bytes: int = 96 << 10, rounds: int = 2, lift: float = 2.0, parts: int = 3) -> dict | None:
+    """Dictionaries and calibration; None without examples of both."""
+    if not ordinary or not toxic:
+        return None
+    docs = [[words(t.encode()) for t in dict.fromkeys(texts)] for texts in (ordinary, toxic)]
+    x, y = [], []
+    for k in range(parts):
+        own = [texts[k::parts] for texts in docs]
+        rest = [[d for i, d in enumerate(texts) if i % parts != k] or texts for texts in docs]
+        distance = Distance(*dictionaries(rest, ordinary_bytes, rounds, lift))
+        for label, texts in enumerate(own):
+            x += [features([distance(w) for w in windows(d)]) for d in texts]
+            y += [float(label)] * len(texts)
+    content = dictionaries(docs, ordinary_bytes, rounds, lift)
+    return {"ordinary": content[0], "toxic": content[1], "weights": _logistic(np.array(x), np.array(y))}
 
 
 def toxicity_model(labels: DataFrame, docs: DataFrame, per_label: int = 3000, max_bytes: int = 20_000) -> dict | None:
     """Fit on at most per_label whole texts of at most max_bytes of each label; labels: doc_id, toxic (0 or 1); docs: doc_id, text."""
-    s = labelled_sample(labels.filter("toxic IN (0, 1)").select("doc_id", F.col("toxic").alias("label")), docs, per_label, max_bytes)
+    rows = label_rows(labels.filter("toxic IN (0, 1)").select("doc_id", F.col("toxic").alias("label")), docs, per_label)
+    s = labelled_sample(rows, per_label, max_bytes)
     return fit(s.get(0, []), s.get(1, []))
 
 
 def score_text(text: bytes, model: dict, distance: Distance) -> float:
-    z = float(np.dot(model["weights"], features(list(map(distance.__getitem__, windows(text))))))
+    z = float(np.dot(model["weights"], features(list(map(distance, windows(words(text)))))))
     return 1 / (1 + math.exp(-max(min(z, 30.0), -30.0)))
 
 
