@@ -158,10 +158,12 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Besides the contract's columns: has_repeats, whether the document loses any byte, and n_kept, the bytes that remain."""
     out = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), length=400)
+    removed = F.col("n_bytes") - F.octet_length("kept")
     return out.select(
-        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
-        (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+        "doc_id", "n_bytes", removed.alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        (removed > 0).alias("has_repeats"), F.octet_length("kept").cast("long").alias("n_kept"))
 
 
 QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op4_decontaminate": op4_decontaminate,
