@@ -3,16 +3,20 @@
 A rolling hash over 12 ids cuts each document's ids into chunks where the content says so, so equal passages
 become equal chunks. A chunk is named by a digest of its ids and stored once (zstandard, little-endian ids of
 `width` bytes). A document's recipe lists its chunks; recipes lie in ascending doc_id order and carry the
-number of ids before them. Digests form Merkle trees: chunks to a document's root, documents to a part's root,
-parts to the root of the store; reading checks all of them.
+number of ids before them. Digests form a Merkle tree: chunks to a document's root; index, doc_id, start, length and root of
+a document to a leaf; each FANOUT leaves to a node, each FANOUT nodes to one of the next level, up to the root of the store.
+Reading makes the tree anew from the recipes and compares all its nodes; a recipe's chunks are checked against its root
+and every chunk against its digest when they are read.
 
-    chunks/   digest, n, data
-    recipes/  part, doc_id, start, n_tokens, digests, lengths, root
-    manifest/ part, n_docs, base, n_tokens, root
+    rows/     kind=chunk: key (digest), n, data
+    recipes/  index, doc_id, start, n_tokens, digests, lengths, root
+    manifest/ level, node, root: all nodes of the tree
+    root/     n_docs, n_tokens, root of the store
 
 Skew: a chunk that a third of all documents share leaves a task once (recently seen digests are kept) and is met
 by digest only as a row of a few bytes; reading a document's checksum moves checksums of chunks, not chunks.
-Chunks are written by one shuffle, recipes by a range of (doc_id, row), so no document id fills a task.
+Chunks are written by one shuffle, recipes by a range of (doc_id, row), so no document id fills a task. No group of the
+tree has more than FANOUT members.
 
 Tokenizing splits at ASCII white space, which no token of a tokenizer that drops white space crosses, and encodes
 each distinct word once per worker; the ids are those of encoding whole texts.
@@ -39,11 +43,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrow import pieces
-from .util import bound_batches, shared_dir
+from .util import bound_batches, drop_dir, shared_dir
 
 WINDOW = 12
 MEAN = 10  # a chunk has about 2 ** MEAN ids
 LONGEST = 1 << 13
+FANOUT = 1 << 10
 GEAR = np.random.default_rng(97).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
 CACHE = 600_000
 TAIL, LETTERS = ".,;:!?&%$#*)", r"^\pL+$"
@@ -261,28 +266,63 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int = 2
     recipes.repartitionByRange(F.col("doc_id").asc_nulls_first(), "key").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "key").withColumn(
         "part", F.spark_partition_id()).write.parquet(f"{path}/sorted")
     placed = spark.read.parquet(f"{path}/sorted")
-    parts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"),
-                                       F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "key", "root"))), lambda x: F.hex(x["root"]))), 256).alias("root"))
-    table, base = [], 0
-    for r in sorted(parts.collect(), key=lambda r: r["part"]):  # a row for each range of documents
-        table.append((r["part"], r["n_docs"], base, r["n_tokens"], r["root"]))
-        base += r["n_tokens"]
-    manifest = spark.createDataFrame(table, "part int, n_docs long, base long, n_tokens long, root string")
-    manifest.coalesce(1).write.parquet(f"{path}/manifest")
-    before = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "key").rowsBetween(Window.unboundedPreceding, -1)
-    placed.withColumn("local", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).join(F.broadcast(manifest.select("part", "base")), "part").select(
-        "part", "doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "digests", "lengths", "root").write.parquet(f"{path}/recipes")
+    parts, tokens, docs_before = [], 0, 0
+    for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).orderBy("part").collect():  # a row for each range of documents
+        parts.append((r["part"], tokens, docs_before))
+        tokens, docs_before = tokens + r["n_tokens"], docs_before + r["n_docs"]
+    ranges = spark.createDataFrame(parts, "part int, tokens long, docs long")
+    inside = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "key")
+    local = F.coalesce(F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed.withColumns({"local": local, "nth": F.row_number().over(inside) - 1}).join(F.broadcast(ranges), "part").select(
+        (F.col("docs") + F.col("nth")).alias("index"), "doc_id", (F.col("tokens") + F.col("local")).alias("start"), "n_tokens", "digests", "lengths", "root").write.parquet(f"{path}/recipes")
+    drop_dir(spark, f"{path}/sorted")
+    level, nodes = 1, _nodes(_leaves(spark.read.parquet(f"{path}/recipes")))
+    while True:
+        nodes.write.parquet(f"{path}/manifest/level={level}")
+        stored = spark.read.schema(NODE).parquet(f"{path}/manifest/level={level}")
+        if stored.count() <= 1:
+            break
+        level, nodes = level + 1, _nodes(stored)
+    top = stored.first()
+    spark.createDataFrame([(docs_before, tokens, top["root"] if top else b"")], "n_docs long, n_tokens long, root binary").coalesce(1).write.parquet(f"{path}/root")
     return path
 
 
+NODE = "node long, root binary"
+
+
+def _leaves(recipes: DataFrame) -> DataFrame:
+    """A digest of what the store says of each document, by its place."""
+    said = F.concat_ws("|", "index", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "start", "n_tokens", F.hex("root"))
+    return recipes.select(F.col("index").alias("node"), F.unhex(F.sha2(said, 256)).alias("root"))
+
+
+def _nodes(below: DataFrame) -> DataFrame:
+    """Nodes over FANOUT members each."""
+    members = F.transform(F.array_sort(F.collect_list(F.struct("node", "root"))), lambda x: F.concat_ws(":", x["node"].cast("string"), F.hex(x["root"])))
+    return below.groupBy(F.floor(F.col("node") / FANOUT).alias("up")).agg(F.unhex(F.sha2(F.concat_ws(",", members), 256)).alias("root")).select(F.col("up").alias("node"), "root")
+
+
+def _differ(a: DataFrame, b: DataFrame) -> int:
+    """Nodes that only one of two levels has, or that have other roots."""
+    return a.join(b.withColumnRenamed("root", "other"), "node", "full").filter("NOT (root <=> other)").count()
+
+
 def recipes(spark: SparkSession, path: str) -> DataFrame:
-    """The recipes of a store, checked against their parts' roots and counts."""
-    table, manifest = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/manifest")
-    now = table.groupBy("part").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"),
-                                    F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("start", "root"))), lambda x: F.hex(x["root"]))), 256).alias("root"))
-    wrong = manifest.join(now, ["part", "n_docs", "n_tokens", "root"], "left_anti").count() + now.join(manifest, "part", "left_anti").count()
-    if wrong:
-        raise ValueError(f"{wrong} parts of the store differ from its manifest")
+    """The recipes of a store, checked against all nodes of its tree and its root."""
+    table, top = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/root").first()
+    below, level = _nodes(_leaves(table)), 1
+    while True:
+        stored = spark.read.schema(NODE).parquet(f"{path}/manifest/level={level}")
+        if wrong := _differ(stored, below):
+            raise ValueError(f"{wrong} nodes of the store differ from its manifest (level {level})")
+        if stored.count() <= 1:
+            break
+        below, level = _nodes(stored), level + 1
+    first = stored.first()
+    n = table.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    if bytes(first["root"] if first else b"") != bytes(top["root"]) or tuple(n) != (top["n_docs"], top["n_tokens"]):
+        raise ValueError("the store differs from its root")
     return table
 
 
@@ -300,6 +340,12 @@ def _load(names: list[bytes], data: list[bytes]) -> list[bytes]:
     return raw
 
 
+def _check_roots(b: pa.RecordBatch) -> None:
+    for names, root in zip(b.column("digests").to_pylist(), b.column("root").to_pylist()):
+        if merkle(names) != root:
+            raise ValueError("a recipe does not match its root")
+
+
 POLY = 0xEDB88320
 
 
@@ -345,9 +391,7 @@ def checksums(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
 
     def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for names, root in zip(b.column("digests").to_pylist(), b.column("root").to_pylist()):
-                if merkle(names) != root:
-                    raise ValueError("a recipe does not match its root")
+            _check_roots(b)
             lengths = b.column("lengths").to_pylist()
             doc = np.repeat(np.arange(b.num_rows), [len(x) for x in lengths])
             after = [n - a for x in lengths for n in (sum(x),) for a in accumulate(x)]
@@ -372,9 +416,15 @@ def read_ids(spark: SparkSession, path: str, docs: DataFrame | None = None, widt
             ids = [np.frombuffer(x, f"<u{width}").astype(np.int32) for x in _load(b.column("digest").to_pylist(), b.column("data").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(ids, pa.list_(pa.int32()))], names=["digest", "ids"])
 
+    def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _check_roots(b)
+            yield b
+
     table = recipes(spark, path)
     if docs is not None:
         table = table.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    used = table.select("doc_id", "start", F.posexplode("digests").alias("i", "digest"))
+    table = table.select("doc_id", "start", "digests", "root")
+    used = table.mapInArrow(rooted, table.schema).select("doc_id", "start", F.posexplode("digests").alias("i", "digest"))
     return used.join(chunks(spark, path).mapInArrow(load, "digest binary, ids array<int>"), "digest").groupBy("doc_id", "start").agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "ids"))), lambda x: x["ids"])).alias("ids"))

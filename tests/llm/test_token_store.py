@@ -70,6 +70,30 @@ def test_damage_is_found(spark, tmp_path):
         S.checksums(spark, path).collect()
 
 
+@pytest.mark.parametrize("part", ["doc_id", "start", "n_tokens", "digests", "root", "manifest", "store root", "lost recipe"])
+def test_damage_of_recipes_and_tree_is_found(spark, tmp_path, monkeypatch, words, part):
+    """Three levels of nodes; each kind of damage stops every way of reading."""
+    monkeypatch.setattr(S, "FANOUT", 4)
+    path = S.write_store(spark.createDataFrame([(i, " ".join(words(5, i))) for i in range(30)], "doc_id long, text string").repartition(3), word_tokenizer(), path=str(tmp_path / "s"))
+    levels = sorted((tmp_path / "s" / "manifest").glob("level=*"))
+    assert len(levels) == 3 and S.checksums(spark, path).count() == 30
+    hit = S.F.col("index") == 7
+    kept = spark.read.parquet(f"{path}/recipes")
+    if part == "manifest":
+        rows = spark.read.schema(S.NODE).parquet(str(levels[1])).collect()
+        spark.createDataFrame([(r.node, bytes(32) if r.node == 0 else bytes(r.root)) for r in rows], S.NODE).write.mode("overwrite").parquet(str(levels[1]))
+    elif part == "store root":
+        r = spark.read.parquet(f"{path}/root").first()
+        spark.createDataFrame([(r.n_docs, r.n_tokens, bytes(32))], "n_docs long, n_tokens long, root binary").write.mode("overwrite").parquet(f"{path}/root")
+    else:
+        change = {"doc_id": S.F.col("doc_id") + 1000, "start": S.F.col("start") + 1, "n_tokens": S.F.col("n_tokens") + 1, "digests": S.F.array(S.F.lit(b"0" * 16)), "root": S.F.lit(b"0" * 16)}
+        bad = kept.filter(~hit) if part == "lost recipe" else kept.withColumn(part, S.F.when(hit, change[part]).otherwise(S.F.col(part)))
+        spark.createDataFrame(bad.collect(), kept.schema).write.mode("overwrite").parquet(f"{path}/recipes")
+    for read in (S.checksums, S.read_ids):
+        with pytest.raises(Exception, match="differ|root"):
+            read(spark, path).collect()
+
+
 def test_empty(spark, empty):
     assert S.checksums(spark, S.write_store(empty, word_tokenizer())).count() == 0
 
