@@ -6,12 +6,14 @@ segment with a gap between documents, so no phrase crosses a document. A search
 every segment, starts each phrase from the postings of its rarest term there, shifts them by the term's offset and
 intersects them with the shifted postings of the other terms, rarest first. Matches are merged by document.
 
-An index for given test items holds only terms that occur in them: no phrase can ask for others. Items go out in
-blocks of bounded size, so what is broadcast does not grow with the benchmark. A term with a third of all postings
+The index is built once, whatever the number of test items. With few items it holds only words that occur in them: no
+phrase can ask for others; with more it holds all words, named by a hash, and items go out in blocks of bounded size, so
+neither what is broadcast nor the work on the corpus grows with the benchmark. A term with a third of all postings
 is spread over all segments.
 
 Words are runs of digits, letters and non-ASCII bytes after lower-casing A-Z. Defined results: null text has no
-words; a phrase in no document gives nothing; repeated rows are documents of their own; an empty table gives no rows.
+words; a phrase in no document gives nothing; repeated rows are documents of their own; an empty table gives no rows; an
+item without an id hits words like any other, but names no item.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructType
@@ -38,45 +41,57 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(WORDS).split()
 
 
-class _Vocabulary(dict):
-    def __missing__(self, key):
-        return -1
+def code(word: bytes) -> int:
+    """The name of a term: a signed 64-bit hash, never 0."""
+    h = xxhash.xxh64_intdigest(word)
+    return h - (1 << 64) if h >> 63 else h or 1
 
 
-def vocabulary(items: dict[str, list[bytes]]) -> _Vocabulary:
-    return _Vocabulary((w, i) for i, w in enumerate(sorted({w for ws in items.values() for w in ws})))
+class Codes(dict):
+    """Names of words: of given ones only (0 for all others), or of any, kept for a while."""
 
+    def __init__(self, words: set[bytes] | None = None):
+        super().__init__((w, code(w)) for w in words or ())
+        self.every = words is None
 
-def segment(ids: list, texts: list[bytes], vocabulary: _Vocabulary) -> dict:
+    def __missing__(self, word: bytes) -> int:
+        if not self.every:
+            return 0
+        if len(self) > 400_000:
+            self.clear()
+        self[word] = c = code(word)
+        return c
+
+
+def segment(name: str, ids: list, texts: list[bytes], codes: Codes) -> dict:
     """The positional index of some documents: postings of each term as sorted positions."""
     rows = [words(x) for x in texts]
     n = np.fromiter(map(len, rows), np.int64, len(rows))
     start = np.concatenate([[0], np.cumsum(n + 1)])  # the gap of 1 parts documents
-    get = vocabulary.__getitem__
-    term = np.full(start[-1], -1, np.int32)
+    get = codes.__getitem__
+    term = np.zeros(start[-1], np.int64)
     for s, ws in zip(start, rows):
-        term[s : s + len(ws)] = np.fromiter(map(get, ws), np.int32, len(ws))
-    at = np.flatnonzero(term >= 0)
+        term[s : s + len(ws)] = np.fromiter(map(get, ws), np.int64, len(ws))
+    at = np.flatnonzero(term)
     at = at[np.argsort(term[at], kind="stable")]
     found, counts = np.unique(term[at], return_counts=True)
     delta = np.diff(at, prepend=0).astype(np.int32)
-    name = xxhash.xxh3_128_hexdigest(b"\x00".join([*texts, str(ids).encode()]))
     return {"name": name, "doc_ids": ids, "n_words": n.tolist(), "terms": found.tolist(), "counts": counts.tolist(), "postings": zstandard.compress(delta.tobytes(), 1)}
 
 
-def search(seg: dict, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(phrase, position) of every occurrence; phrases: term numbers in rows padded with -2, lengths: of each row."""
+def search(seg: dict, phrases: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(phrase, position) of every occurrence; phrases: rows of places in codes (names of terms), lengths: of each row."""
     none = np.zeros(0, np.int64)
     terms, counts = np.asarray(seg["terms"], np.int64), np.asarray(seg["counts"], np.int64)
     if not len(terms) or not len(phrases):
         return none, none
     pos = np.cumsum(np.frombuffer(zstandard.decompress(seg["postings"]), np.int32), dtype=np.int64)
-    freq = np.zeros(max(int(phrases.max()), int(terms[-1])) + 2, np.int64)
-    first = freq.copy()
-    freq[terms], first[terms] = counts, np.cumsum(counts) - counts
+    rank = np.minimum(np.searchsorted(terms, codes), len(terms) - 1)
+    freq = np.where(terms[rank] == codes, counts[rank], 0)
+    first = (np.cumsum(counts) - counts)[rank]
     width = phrases.shape[1]
     used = np.arange(width) < lengths[:, None]
-    f = np.where(used, freq[np.maximum(phrases, 0)], np.iinfo(np.int64).max)
+    f = np.where(used, freq[phrases], np.iinfo(np.int64).max)
     live = np.flatnonzero(f.min(1) > 0)
     order = np.argsort(f[live], axis=1, kind="stable")  # rarest term first
     at = order[:, 0]
@@ -85,13 +100,13 @@ def search(seg: dict, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndar
     phrase = np.repeat(np.arange(len(live)), m)
     where = pos[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(first[t], m)] - np.repeat(at, m)
     span = int(pos.max()) + width + 2
-    postings = np.repeat(terms, counts) * span + pos
+    postings = np.repeat(np.arange(len(terms)), counts) * span + pos
     for k in range(1, width):
         if not len(phrase):
             break
         off = order[phrase, k]
         due = off < lengths[live[phrase]]
-        key = phrases[live[phrase], off].astype(np.int64) * span + where + off
+        key = rank[phrases[live[phrase], off]] * span + where + off
         hit = np.searchsorted(postings, key)
         ok = (postings[np.minimum(hit, len(postings) - 1)] == key) & (where + off >= 0)
         keep = ok | ~due
@@ -123,52 +138,55 @@ def near(seg: dict, terms: list[int], within: int) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def windows(items: dict[str, list[bytes]], vocabulary: _Vocabulary, n: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Item names, and of each distinct (item, window): terms, length and item number."""
-    names, rows, item = sorted(items), [], []
-    for i, name in enumerate(names):
-        t = [vocabulary[w] for w in items[name]]
+def windows(items: list[tuple[str | None, list[bytes]]], n: int) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Item names, names of terms, and of each distinct (item, window): places of its terms, length and item number."""
+    vocabulary = sorted({w for _, ws in items for w in ws})
+    number = {w: i for i, w in enumerate(vocabulary)}
+    names, rows, item = [name for name, _ in items], [], []
+    for i, (_, ws) in enumerate(items):
+        t = [number[w] for w in ws]
         for row in dict.fromkeys(tuple(t[k : k + n]) for k in range(max(1, len(t) - n + 1))):
             rows.append(row)
             item.append(i)
-    out = np.full((len(rows), n), -2, np.int64)
+    out = np.zeros((len(rows), n), np.int64)
     for r, row in enumerate(rows):
         out[r, : len(row)] = row
-    return names, out, np.array([len(r) for r in rows], np.int64), np.array(item, np.int64)
+    return names, np.array([code(w) for w in vocabulary], np.int64), out, np.array([len(r) for r in rows], np.int64), np.array(item, np.int64)
 
 
-SEGMENT = (StructType().add("name", StringType()).add("doc_ids", ArrayType(LongType())).add("n_words", ArrayType(LongType())).add("terms", ArrayType(IntegerType()))
+SEGMENT = (StructType().add("name", StringType()).add("doc_ids", ArrayType(LongType())).add("n_words", ArrayType(LongType())).add("terms", ArrayType(LongType()))
            .add("counts", ArrayType(IntegerType())).add("postings", BinaryType()))
 
 
-def build_index(docs: DataFrame, terms: _Vocabulary) -> DataFrame:
-    """The stored index, one row a segment; docs has doc_id (long) and text."""
+def build_index(docs: DataFrame, words: set[bytes] | None = None) -> DataFrame:
+    """The stored index of these words, or of all, one row a segment; docs has doc_id (long) and text."""
     bound_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", SEGMENT_BYTES):
-            seg = segment(batch.column("doc_id").to_pylist(), bytes_list(batch.column("text")), shared.value)
+        codes, part = Codes(shared.value), TaskContext.get().partitionId()
+        for k, batch in enumerate(pieces(batches, "text", SEGMENT_BYTES)):
+            seg = segment(f"{part}-{k}", batch.column("doc_id").to_pylist(), bytes_list(batch.column("text")), codes)
             yield pa.RecordBatch.from_pylist([seg], schema=ARROW)
 
     return stored(docs.select("doc_id", "text").mapInArrow(run, SEGMENT), "positional-index")
 
 
-ARROW = pa.schema([("name", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("postings", pa.binary())])
+ARROW = pa.schema([("name", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("terms", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("postings", pa.binary())])
 HITS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("hits", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("segment", pa.string()), ("row", pa.int64())])
 
 
-def _spans(index: DataFrame, items: dict[str, list[bytes]], terms: _Vocabulary, n: int) -> DataFrame:
+def _spans(index: DataFrame, items: list[tuple[str | None, list[bytes]]], n: int) -> DataFrame:
     """Of every document: hit spans (start and end in turn) and items with windows in it."""
-    shared = index.sparkSession.sparkContext.broadcast(windows(items, terms, n))
+    shared = index.sparkSession.sparkContext.broadcast(windows(items, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, phrases, lengths, item = shared.value
+        names, codes, phrases, lengths, item = shared.value
         for batch in batches:
             for seg in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
                 words = np.asarray(seg["n_words"], np.int64)
                 start = np.concatenate([[0], np.cumsum(words + 1)])
-                phrase, at = search(seg, phrases, lengths)
+                phrase, at = search(seg, phrases, lengths, codes)
                 order = np.argsort(at, kind="stable")
                 phrase, at = phrase[order], at[order]
                 doc = np.searchsorted(start, at, side="right") - 1
@@ -178,7 +196,7 @@ def _spans(index: DataFrame, items: dict[str, list[bytes]], terms: _Vocabulary,
                     a, b = cut[d], cut[d + 1]
                     spans, of = [], []
                     if b > a:
-                        of = sorted({names[i] for i in item[phrase[a:b]]})
+                        of = sorted({names[i] for i in item[phrase[a:b]]} - {None})
                         for s, e in zip((at[a:b] - start[d]).tolist(), (at[a:b] - start[d] + lengths[phrase[a:b]]).tolist()):
                             if spans and s <= spans[-1]:
                                 spans[-1] = max(spans[-1], e)
@@ -201,52 +219,57 @@ def merged(spans: list[list[int]]) -> list[int]:
     return out
 
 
+def _blocks(table: DataFrame, block_bytes: int) -> Iterator[tuple[int, list[tuple[str | None, list[bytes]]]]]:
+    """How many blocks there are, and the items of each, as words; items without words are left out."""
+    rows = table.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text IS NOT NULL")
+    blocks = -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes) or 1
+    for k in range(blocks):
+        own = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
+        yield blocks, [(r["item_id"], ws) for r in sorted(own, key=lambda r: (r["item_id"] is None, r["item_id"] or "", r["text"])) if (ws := words(r["text"].encode()))]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, block_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_words, n_hit, hits, items of every document; docs: doc_id, text; benchmark: item_id, text.
 
     hits: starts and ends of the hit spans in words, in turn. Items of the benchmark go out in blocks of about
     block_bytes of text; with more than one block, spans are merged by document.
     """
-    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text IS NOT NULL AND item_id IS NOT NULL")
-    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // block_bytes) or 1
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
-    for k in range(blocks):
-        rows = bench.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
-        items: dict[str, list[bytes]] = {}
-        phrases = {}
-        for j, r in enumerate(sorted((r["item_id"], r["text"]) for r in rows)):
-            if ws := words(r[1].encode()):
-                phrases[f"{r[0]}\x00{j}"] = ws  # an item_id may repeat
-        items = phrases
-        terms = vocabulary(items)
-        found = _spans(build_index(docs, terms), items, terms, n)
-        found = found.withColumn("items", F.array_sort(F.array_distinct(F.transform("items", lambda x: F.substring_index(x, "\x00", 1)))))
+    index, out, many = None, None, False
+    for blocks, items in _blocks(benchmark, block_bytes):
+        if index is None:
+            many = blocks > 1
+            index = build_index(docs, None if many else {w for _, ws in items for w in ws})
+        found = _spans(index, items, n)
         out = found if out is None else out.unionByName(found)
-    if blocks > 1:
-        # segments are cut alike for every block; rows that are equal in all of this count as often as they come
-        join = F.udf(merged, ArrayType(LongType()))
-        out = out.groupBy("doc_id", "n_words", "segment", "row").agg(
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), join(F.collect_list("hits")).alias("hits"), (F.count(F.lit(1)) / blocks).cast("int").alias("n"))
-        out = out.withColumn("n", F.explode(F.sequence(F.lit(1), "n")))
-        ends = F.aggregate("hits", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("sign")), lambda s, x: F.struct((s["n"] + s["sign"] * x).alias("n"), (-s["sign"]).alias("sign")))["n"]
-        out = out.withColumn("n_hit", ends)
+    if many:
+        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                hits = [merged(x) for x in b.column("hits").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array([sum(x[1::2]) - sum(x[::2]) for x in hits], pa.int64()), pa.array(hits, pa.list_(pa.int64())), b.column("items")], names=["doc_id", "n_words", "n_hit", "hits", "items"])
+
+        by = out.groupBy("segment", "row", "doc_id", "n_words").agg(F.collect_list("hits").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        out = by.select("doc_id", "n_words", "hits", "items").mapInArrow(join, "doc_id long, n_words long, n_hit long, hits array<long>, items array<string>")
     return out.select("doc_id", "n_words", "n_hit", "hits", "items")
 
 
-def proximity_matches(docs: DataFrame, queries: DataFrame, within: int, max_bytes: int = 8 << 20) -> DataFrame:
+def proximity_matches(docs: DataFrame, queries: DataFrame, within: int, block_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, item_id, position of each span of at most `within` words that begins with, and holds, all words of a query.
 
-    docs: doc_id, text; queries: item_id, text, at most max_bytes in all. Queries without words match nothing.
+    docs: doc_id, text; queries: item_id, text, searched in blocks of about block_bytes. Queries without words match nothing.
     """
-    rows = queries.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text IS NOT NULL AND item_id IS NOT NULL")
-    if (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > max_bytes:
-        raise ValueError(f"queries of more than {max_bytes} bytes: search them in blocks")
-    items = [(r["item_id"], ws) for r in rows.collect() if (ws := words(r["text"].encode()))]
-    terms = vocabulary({str(i): ws for i, (_, ws) in enumerate(items)})
-    index = build_index(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), terms)
-    shared = docs.sparkSession.sparkContext.broadcast([(name, sorted({terms[w] for w in ws})) for name, ws in items])
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    index, out = None, None
+    for blocks, items in _blocks(queries, block_bytes):
+        if index is None:
+            index = build_index(docs, None if blocks > 1 else {w for _, ws in items for w in ws})
+        found = _near(index, [(name, sorted({code(w) for w in ws})) for name, ws in items], within)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _near(index: DataFrame, queries: list[tuple[str | None, list[int]]], within: int) -> DataFrame:
+    shared = index.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -25,7 +25,7 @@ def plain(docs, items, n):
         for size in {len(x) for x in wins}:
             for k in range(len(w) - size + 1):
                 if found := wins.get(tuple(w[k : k + size])):
-                    of |= found
+                    of |= found - {"None"}
                     hit.update(range(k, k + size))
         out.append((i, len(w), len(hit), sorted(of)))
     return sorted(out, key=repr)
@@ -33,10 +33,10 @@ def plain(docs, items, n):
 
 @pytest.fixture(scope="module")
 def data(words):
-    items = [(i, " ".join(words(20, 900 + i))) for i in range(12)] + [(50, "Short ITEM"), (51, None), (52, "... !"), (53, " ".join(words(20, 900)))]
+    items = [(i, " ".join(words(20, 900 + i))) for i in range(12)] + [(None, " ".join(words(20, 950))), (50, "Short ITEM"), (51, None), (52, "... !"), (53, " ".join(words(20, 900)))]
     docs = [(i, " ".join(words(80, i))) for i in range(60)]
     docs += [(100 + i, " ".join([*words(30, i), *words(20, 900 + i)[i % 5 : i % 5 + 14], *words(9, i + 1), "a short-item"])) for i in range(12)]
-    docs += [(200, " ".join(words(20, 903)[:12])), (201, None), (202, ""), (203, " ".join(words(20, 904) + words(20, 905))), (203, " ".join(words(20, 904) + words(20, 905))), (None, "ÄÖ " + " ".join(words(20, 906)).upper())]
+    docs += [(200, " ".join(words(20, 903)[:12])), (201, None), (202, ""), (203, " ".join(words(20, 904) + words(20, 905))), (203, " ".join(words(20, 904) + words(20, 905))), (204, " ".join(words(20, 950))), (None, "ÄÖ " + " ".join(words(20, 906)).upper())]
     return docs, items
 
 
@@ -60,8 +60,8 @@ def test_edge_cases(spark, edge, empty):
 
 def test_proximity():
     texts = [b"a x b x x c", b"b a", b"a x x x x x b", b""]
-    v = D.vocabulary({"i": [b"a", b"b", b"c"]})
-    seg = D.segment([1, 2, 3, 4], texts, v)
+    v = D.Codes()
+    seg = D.segment("s", [1, 2, 3, 4], texts, v)
     assert D.near(seg, [v[b"a"], v[b"b"]], 3) == [(0, 0), (1, 0)]
     assert D.near(seg, [v[b"a"], v[b"b"], v[b"c"]], 6) == [(0, 0)]
     assert D.near(seg, [v[b"a"], v[b"c"]], 2) == []
@@ -73,12 +73,21 @@ def test_proximity_matches(spark, edge, empty):
     got = sorted(map(tuple, D.proximity_matches(docs, q, 3).collect()))
     assert got == [(1, "10", 5), (1, "7", 0), (2, "7", 0)]
     assert D.proximity_matches(empty, q, 3).count() == 0 and D.proximity_matches(docs, q.limit(0), 3).count() == 0
-    with pytest.raises(ValueError, match="blocks"):
-        D.proximity_matches(docs, q, 3, max_bytes=2)
+    assert sorted(map(tuple, D.proximity_matches(docs, q, 3, block_bytes=2).collect())) == got
 
 
 def test_phrases_do_not_cross_documents():
-    v = D.vocabulary({"i": [b"a", b"b"]})
-    seg = D.segment([1, 2], [b"x a", b"b a b"], v)
-    phrase, at = D.search(seg, np.array([[v[b"a"], v[b"b"]]]), np.array([2]))
-    assert at.tolist() == [4]
+    for known in (None, {b"a", b"b"}):
+        seg = D.segment("s", [1, 2], [b"x a", b"b a b"], D.Codes(known))
+        assert (D.code(b"x") in seg["terms"]) == (known is None)
+        phrase, at = D.search(seg, np.array([[0, 1], [0, 2]]), np.array([2, 2]), np.array([D.code(w) for w in (b"a", b"b", b"q")]))
+        assert at.tolist() == [4] and phrase.tolist() == [0]
+
+
+def test_one_index_for_any_number_of_blocks(spark, data, monkeypatch):
+    built = []
+    make = D.build_index
+    monkeypatch.setattr(D, "build_index", lambda *a: built.append(1) or make(*a))
+    docs, items = data
+    out = D.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_bytes=400)
+    assert len(built) == 1 and "PythonUDF" not in out._jdf.queryExecution().optimizedPlan().toString()
