@@ -5,7 +5,8 @@ is WIDTH words one behind the other; every word of a text is in one. Of a toxic
 dictionary is trained on those around words that toxic texts have far oftener, whatever their number; its size follows how
 many such words there are. Ordinary windows (without those words)
 that it shortens by chance are added to the ordinary dictionary, in some rounds. Every window is compressed with both (followed by a carrier that both hold, so that a short block isn't stored
-raw), and what the toxic dictionary saves is its distance. A document's score is a logistic function of how many of its
+raw), and what the toxic dictionary saves is its distance; a window without GRAM bytes in a row that the toxic dictionary
+has and the ordinary one has not is not compressed and has distance 0. A document's score is a logistic function of how many of its
 windows are at or above each of some thresholds, and of how many it has. The function is calibrated on
 distances from dictionaries that have not seen the document: the sample is cut into parts, and each part is
 measured with dictionaries of the others.
@@ -38,6 +39,7 @@ from .util import bound_batches
 
 CUT = re.compile(rb"[\x00-\x60\x7b-\x7f]+")
 WIDTH = 2
+GRAM = 5
 #: Longer than the 16 bytes at the end of a block in which zstandard looks for no match.
 CARRIER = b" " + bytes(range(1, 9)) + bytes(range(14, 32)) + bytes(range(14, 22))
 LEVEL = 9
@@ -62,16 +64,42 @@ def press(content: bytes):
     return zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress
 
 
+def _grams(data: bytes) -> np.ndarray:
+    """Each GRAM bytes of data as a number."""
+    x = np.frombuffer(data, np.uint8).astype(np.uint64)
+    n = max(len(x) - GRAM + 1, 0)
+    out = np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        out |= x[k : k + n] << np.uint64(8 * k)
+    return out
+
+
 class Distance:
-    """Bytes that the toxic dictionary saves on a window."""
+    """Bytes that the toxic dictionary saves on windows."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         # the filler keeps the ordinary content at the same distance from the window in both
         self.toxic, self.ordinary = press(ordinary + toxic + CARRIER), press(ordinary + bytes(len(toxic)) + CARRIER)
-
-    def __call__(self, window: bytes) -> int:
-        x = window + CARRIER
-        return len(self.ordinary(x)) - len(self.toxic(x))
+        self.own = np.setdiff1d(_grams(toxic), _grams(ordinary))
+        self.mark = np.zeros(1 << 16, bool)
+        self.mark[self._slot(self.own)] = True
+
+    @staticmethod
+    def _slot(grams: np.ndarray) -> np.ndarray:
+        return (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+
+    def __call__(self, windows: list[bytes]) -> list[int]:
+        out = [0] * len(windows)
+        grams = _grams(b"".join(windows))
+        at = np.flatnonzero(self.mark[self._slot(grams)])
+        at = at[np.isin(grams[at], self.own)]
+        if len(at):
+            ends = np.cumsum(np.fromiter(map(len, windows), np.int64, len(windows)))
+            of = np.searchsorted(ends, at, side="right")
+            for i in np.unique(of[at + GRAM <= ends[of]]).tolist():  # the bytes lie in one window
+                x = windows[i] + CARRIER
+                out[i] = len(self.ordinary(x)) - len(self.toxic(x))
+        return out
 
 
 def train(samples: list[bytes], size: int) -> bytes:
@@ -126,7 +154,7 @@ def dictionaries(docs: list[list[list[bytes]]], ordinary_bytes: int, rounds: int
     ordinary, hard = trained, Counter()
     for _ in range(rounds):
         distance = Distance(ordinary, toxic)
-        hard.update(x for x in usual if distance(x) >= THRESHOLDS[0])
+        hard.update(x for x, saved in zip(usual, distance(usual)) if saved >= THRESHOLDS[0])
         first = b"".join(x for x, _ in sorted(hard.items(), key=lambda x: (x[1], x[0])))  # the commonest last, near the window
         ordinary = trained + first[-ordinary_bytes // 2 :]
     return ordinary, toxic
@@ -143,7 +171,7 @@ def fit(ordinary: list[str], toxic: list[str], ordinary_bytes: int = 96 << 10, r
         rest = [[d for i, d in enumerate(texts) if i % parts != k] or texts for texts in docs]
         distance = Distance(*dictionaries(rest, ordinary_bytes, rounds, lift))
         for label, texts in enumerate(own):
-            x += [features([distance(w) for w in windows(d)]) for d in texts]
+            x += [features(distance(windows(d))) for d in texts]
             y += [float(label)] * len(texts)
     content = dictionaries(docs, ordinary_bytes, rounds, lift)
     return {"ordinary": content[0], "toxic": content[1], "weights": _logistic(np.array(x), np.array(y))}
@@ -157,7 +185,7 @@ def toxicity_model(labels: DataFrame, docs: DataFrame, per_label: int = 3000, ma
 
 
 def score_text(text: bytes, model: dict, distance: Distance) -> float:
-    z = float(np.dot(model["weights"], features(list(map(distance, windows(words(text)))))))
+    z = float(np.dot(model["weights"], features(distance(windows(words(text))))))
     return 1 / (1 + math.exp(-max(min(z, 30.0), -30.0)))
 
 

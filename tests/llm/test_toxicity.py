@@ -46,7 +46,8 @@ def test_score_is_the_two_lengths(texts):
         ws = re.findall("[a-z\x80-\U0010ffff]+", t.lower())
         pairs = [" " + " ".join(ws[i : i + 2]) for i in range(0, len(ws), 2)]
         parts = [x[k : k + 96].encode() for x in pairs for k in range(0, len(x), 96)]
-        saved = [length(m["ordinary"] + bytes(len(m["toxic"])) + T.CARRIER, x + T.CARRIER) - length(m["ordinary"] + m["toxic"] + T.CARRIER, x + T.CARRIER) for x in parts]
+        own = lambda x: any(g in m["toxic"] and g not in m["ordinary"] for g in (x[k : k + 5] for k in range(len(x) - 4)))  # noqa: E731, B023
+        saved = [0 if not own(x) else length(m["ordinary"] + bytes(len(m["toxic"])) + T.CARRIER, x + T.CARRIER) - length(m["ordinary"] + m["toxic"] + T.CARRIER, x + T.CARRIER) for x in parts]
         counts = [sum(lo <= v and (hi is None or v < hi) for v in saved) for lo, hi in zip(T.THRESHOLDS, [*T.THRESHOLDS[1:], None])]
         z = float(np.dot(m["weights"], [1, math.log1p(len(parts)), *map(math.log1p, counts)]))
         assert T.score_text(t.encode(), m, d) == pytest.approx(1 / (1 + math.exp(-max(min(z, 30), -30))))
