@@ -18,6 +18,8 @@ rows; columns other than the identifier and the text are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,11 @@ def _keyed(df: DataFrame, id_col: str, text_col: str, digest: str) -> DataFrame:
     ).withColumn("digest", F.expr(digest.format("norm")))
 
 
+def escaped(path: str) -> str:
+    """A path as a pattern that matches only it."""
+    return re.sub(r"([{}\[\]*?])", r"\\\1", path.rstrip("/"))
+
+
 def dedup_state(spark: SparkSession, path: str, checkpoint: str, id_col: str = "doc_id", text_col: str = "text", digest: str = "sha2({}, 256)") -> DataFrame:
     """Run the stream until all present files are in the state; (digest, keep, group_size) read from the state.
 
@@ -51,8 +58,9 @@ def dedup_state(spark: SparkSession, path: str, checkpoint: str, id_col: str = "
     for k, v in ROCKS.items():
         spark.conf.set(k, v)
     try:
+        path = escaped(path)
         # as a pattern, the path may also be a single file
-        stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+        stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]" if path[-1].isalnum() else path)
         state = _keyed(stream, id_col, text_col, digest).groupBy("digest").agg(
             F.max(F.struct("doc_id", "file", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
         query = (state.writeStream.outputMode("update").format("noop")
@@ -71,7 +79,7 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     """doc_id, keep_id, group_size, kept, digest for every row of the parquet table at path."""
     checkpoint = shared_dir(spark, "exact-dedup-state")
     state = dedup_state(spark, path, checkpoint, id_col, text_col, digest)
-    docs = _keyed(spark.read.parquet(path), id_col, text_col, digest)
+    docs = _keyed(spark.read.parquet(escaped(path)), id_col, text_col, digest)
     rows = stored(
         docs.drop("norm").join(state.hint("merge"), "digest").select(
             "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size",
@@ -79,8 +87,9 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
             "digest", "file", "row"),
         "exact-dedup-rows")
     drop_dir(spark, checkpoint)
-    hits = small(rows.filter("group_size > 1").select("file", "row"), broadcast_rows)
-    same = (docs.select("digest", "norm", "file", "row").join(hits, ["file", "row"])
+    # a file is known by a hash here: 16 bytes a hit; if two files had one hash, some rows more would be compared
+    hits = small(rows.filter("group_size > 1").select(F.xxhash64("file").alias("of"), "row"), broadcast_rows)
+    same = (docs.select("digest", "norm", F.xxhash64("file").alias("of"), "row").join(hits, ["of", "row"])
             .groupBy("digest").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")))
     collided = stored(same.filter("lo <> hi").select("digest"), "exact-dedup-collided")
     out = ["doc_id", "keep_id", "group_size", "kept", "digest"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,13 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_base(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temp folder where it is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a temp folder of a run in one
+    process (master local), else a folder in the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = tempfile.mkdtemp(prefix="geoprev-")
-        base = _OWN[app]
+        sc = spark.sparkContext
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/geoprev-shared"
+        if sc.applicationId not in _OWN:
+            _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="geoprev-")
+        base = _OWN[sc.applicationId]
     return base.rstrip("/")
 
 

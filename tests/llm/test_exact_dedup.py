@@ -46,3 +46,13 @@ def test_state_takes_only_new_files(spark, tmp_path):
 def test_empty(spark, empty, tmp_path):
     empty.write.parquet(str(tmp_path / "e.parquet"))
     assert exact_dedup(spark, str(tmp_path / "e.parquet")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["a{b,c}[1]*?d", "plain.parquet", "ends]"])
+def test_odd_paths_and_single_files(spark, tmp_path, name):
+    rows = spark.createDataFrame([(1, "a"), (2, "A"), (3, None)], "doc_id long, text string").coalesce(1)
+    rows.write.parquet(str(tmp_path / "plain"))
+    (tmp_path / "plain").rename(tmp_path / name)
+    (tmp_path / "ab").mkdir()
+    for path in [tmp_path / name, *(tmp_path / name).glob("part-*.parquet")]:
+        assert {(r.doc_id, r.keep_id, r.kept) for r in exact_dedup(spark, str(path)).collect()} == {(1, 2, False), (2, 2, True), (3, 3, True)}
