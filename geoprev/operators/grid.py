@@ -61,3 +61,14 @@ def with_row_number(df: DataFrame, order: list[str], name: str = "id") -> DataFr
     counts = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_k"))
     base = counts.alias("a").join(counts.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy(F.col("a._part").alias("_part")).agg(F.coalesce(F.sum("b._k"), F.lit(0)).alias("_base"))
     return local.join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + F.col("_n")).drop("_part", "_n", "_base")
+
+
+def with_level(df: DataFrame, column: str, name: str = "level", levels: list | None = None) -> DataFrame:
+    """An ordered factor: the place (from 1) of each value among the given levels, or among all values in order; NULL has none.
+
+    Without levels, the distinct values are numbered, not the rows.
+    """
+    if levels is not None:
+        return df.withColumn(name, F.nullif(F.array_position(F.array(*map(F.lit, levels)), F.col(column)), F.lit(0)).cast("int"))
+    values = with_row_number(df.select(column).filter(F.col(column).isNotNull()).distinct(), [column], name).withColumn(name, F.col(name).cast("int"))
+    return df.join(values, column, "left").select(*df.columns, name)

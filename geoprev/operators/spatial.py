@@ -7,12 +7,14 @@ is broadcast by the planner, a large one is shuffled by tile. Points on a shared
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import overlay
 from ..functions.geo import Box, clip_ring, from_mercator, inside, mercator
 
 
@@ -48,12 +50,16 @@ def spatial_join(points: DataFrame, polygons: DataFrame, keep: list[str], x: str
     if not rectangles:
         met = met.withColumn("_shape", F.xxhash64(F.to_json("rings")))
 
-        def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for _, one in b.groupby("_shape", sort=False):  # one polygon, many points
-                    yield one[inside(one["_x"].to_numpy(), one["_y"].to_numpy(), one["rings"].iloc[0])]
-
-        met = met.mapInPandas(exact, met.schema).drop("_shape")
+                px, py, shape = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_x", "_y", "_shape"))
+                ok = np.zeros(b.num_rows, bool)
+                for one in np.unique(shape):  # one polygon, many points
+                    rows = np.flatnonzero(shape == one)
+                    ok[rows] = inside(px[rows], py[rows], b.column("rings")[int(rows[0])].as_py())
+                yield b.filter(pa.array(ok))
+
+        met = met.mapInArrow(exact, met.schema).drop("_shape")
     met = met.drop("rings")
     return points.join(met, (points[x] == met["_x"]) & (points[y] == met["_y"]), how).drop("_x", "_y")
 
@@ -69,23 +75,85 @@ def clip(polygons: DataFrame, box: Box) -> DataFrame:
     """Rings cut to a rectangle; polygons of which nothing remains drop out."""
     keep = polygons.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(rings: list) -> list:
+        return [c for c in (clip_ring([(p["x"], p["y"]) for p in r], box) for r in rings) if len(c) > 2]
+
+    return _mapped(polygons, cut).select(keep)
+
+
+def _mapped(polygons: DataFrame, change: Callable[[list], list]) -> DataFrame:
+    """Polygons with other rings; those without any drop out. Rings go by Arrow: as pandas cells they would have to be of equal length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cut = [[[{"x": p[0], "y": p[1]} for p in c] for c in (clip_ring([(p["x"], p["y"]) for p in r], box) for r in rings) if len(c) > 2] for rings in b["rings"]]
-            b = b.assign(rings=cut)
-            yield b[[len(c) > 0 for c in cut]]
+            k = b.schema.get_field_index("rings")
+            rings = [change(r) if r is not None else [] for r in b.column(k).to_pylist()]
+            yield b.set_column(k, b.schema.field(k), pa.array(map(_as_rings, rings), b.schema.field(k).type)).filter(pa.array([len(r) > 0 for r in rings]))
 
-    return polygons.mapInPandas(run, polygons.schema).select(keep)
+    return polygons.mapInArrow(run, polygons.schema)
 
 
 def extent(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.agg(F.min(x).alias("xmin"), F.max(x).alias("xmax"), F.min(y).alias("ymin"), F.max(y).alias("ymax"))
 
 
+def _as_rings(rings: list) -> list:
+    return [[{"x": p[0], "y": p[1]} for p in r] for r in rings]
+
+
+def repaired(polygons: DataFrame) -> DataFrame:
+    """The same polygons with valid rings; polygons without an inside drop out."""
+
+    return _mapped(polygons, overlay.repair)
+
+
+def dissolve(polygons: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """One polygon (by, rings) for the polygons of each group, or for all of them.
+
+    Polygons of a batch are united before the shuffle, so a group sends a polygon a batch, not one a row.
+    """
+    keys = by or ["_all"]
+    rows = polygons.select(*by, "rings") if by else polygons.select(F.lit(0).alias("_all"), "rings")
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            groups: dict = {}
+            for i, key in enumerate(zip(*(b.column(c).to_pylist() for c in keys))):
+                groups.setdefault(key, []).append(i)
+            first, rings = [rows[0] for rows in groups.values()], b.column("rings")
+            made = [overlay.union([rings[i].as_py() or [] for i in rows]) for rows in groups.values()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(first, pa.int64())) for c in keys), pa.array(map(_as_rings, made), rings.type)], names=[*keys, "rings"])
+
+    parts = rows.mapInArrow(part, rows.schema).groupBy(*keys).agg(F.collect_list("rings").alias("parts"))
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kind = b.schema.field("parts").type.value_type
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keys), pa.array((_as_rings(overlay.union(x)) for x in b.column("parts").to_pylist()), kind)], names=[*keys, "rings"])
+
+    out = parts.mapInArrow(one, rows.schema)
+    return out if by else out.drop("_all")
+
+
+def intersect(polygons: DataFrame, others: DataFrame, keep: list[str], keep_others: list[str], size: float = 5.0) -> DataFrame:
+    """(keep, keep_others, rings) for each pair of polygons that overlap; pairs meet on the tiles that both touch."""
+    a = _tiled(polygons.withColumn("_a", F.xxhash64(F.to_json("rings"), *keep)), size).select("tx", "ty", "_a", *keep, "rings")
+    b = _tiled(others.withColumn("_b", F.xxhash64(F.to_json("rings"), *keep_others)), size).select("tx", "ty", "_b", *keep_others, F.col("rings").alias("_rings"))
+    pairs = a.join(b, ["tx", "ty"]).drop("tx", "ty").dropDuplicates(["_a", "_b"]).select(*keep, *keep_others, "rings", "_rings")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            made = [overlay.intersection([p, q]) for p, q in zip(x.column("rings").to_pylist(), x.column("_rings").to_pylist())]
+            out = [*(x.column(c) for c in (*keep, *keep_others)), pa.array(map(_as_rings, made), x.schema.field("rings").type)]
+            yield pa.RecordBatch.from_arrays(out, names=[*keep, *keep_others, "rings"]).filter(pa.array([len(r) > 0 for r in made]))
+
+    return pairs.mapInArrow(run, pairs.drop("_rings").schema)
+
+
 def map_window(land: DataFrame, water: DataFrame | None = None, buffer_km: float = 200.0) -> dict:
     """Limits of a polygon table buffered in the metric projection, and land and water clipped to them.
 
-    Six numbers come to the driver. The clipped polygons are not dissolved: a point lies in their union if it lies in any.
+    Six numbers come to the driver. mask: the union of the clipped land.
     """
     corners = with_box(land).select(F.explode(F.array(F.struct(F.col("xmin").alias("x"), F.col("ymin").alias("y")), F.struct(F.col("xmax").alias("x"), F.col("ymax").alias("y")))).alias("c"))
     x, y = mercator(F.col("c.x"), F.col("c.y"))
@@ -96,4 +164,4 @@ def map_window(land: DataFrame, water: DataFrame | None = None, buffer_km: float
     if any(v is None for v in row):
         raise ValueError("the polygons have no extent")
     box = Box(*row)
-    return {"box": box, "x_limits": (box.xmin, box.xmax), "y_limits": (box.ymin, box.ymax), "land": clip(land, box), "water": None if water is None else clip(water, box)}
+    return {"box": box, "x_limits": (box.xmin, box.xmax), "y_limits": (box.ymin, box.ymax), "land": clip(repaired(land), box), "water": None if water is None else clip(repaired(water), box), "mask": dissolve(clip(repaired(land), box))}

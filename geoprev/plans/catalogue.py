@@ -700,6 +700,47 @@ def region_draws(spark, sf_dir):
     return _rounded(model.region_draws(fits, _cells(spark, s), s), "mean_p")
 
 
+_HELD = "held AS (SELECT x, y, id_1 FROM (SELECT DISTINCT x, y FROM l) CROSS JOIN edge GROUP BY x, y, id_1 HAVING count(*) FILTER ((y1 > y) <> (y2 > y) AND x < x1 + (y - y1) * (x2 - x1) / nullif(y2 - y1, 0)) % 2 = 1)"
+
+
+@query(f"WITH {OBS}, {_LONG}, {_EDGES}, {_HELD} SELECT x, y, t, mutation, CASE WHEN (x, y) IN (SELECT (x, y) FROM held) THEN round(p, 6) END AS p FROM l")
+def mask_dissolved(spark, sf_dir):
+    """The mask of a union of overlapping polygons: its rings are made first, then points are tested against them."""
+    return _rounded(S.mask(_long(spark, sf_dir), S.dissolve(shapes(spark))), "p").select("x", "y", "t", "mutation", "p")
+
+
+@query(f"WITH {OBS}, {_LONG}, {_EDGES}, {_HELD}, {_RECT} SELECT x, y, t, mutation, held.id_1, name_1 FROM l JOIN held USING (x, y) JOIN rect ON x BETWEEN rect.x1 AND rect.x2 AND y BETWEEN rect.y1 AND rect.y2")
+def spatial_join_intersection(spark, sf_dir):
+    """Points in the intersections of two polygon tables."""
+    both = S.intersect(S.repaired(shapes(spark)), rectangles(spark).drop("id_1"), ["id_1"], ["name_1"])
+    return S.spatial_join(_long(spark, sf_dir), both, ["id_1", "name_1"]).select("x", "y", "t", "mutation", "id_1", "name_1")
+
+
+@query(f"WITH {OBS} SELECT survey_id, mutation, year, country_name, CAST(dense_rank() OVER (ORDER BY country_name) AS INTEGER) AS country_level, CASE mutation WHEN 'crt:76:T' THEN 1 WHEN 'k13:561:H' THEN 2 ELSE 0 END AS mutation_level FROM obs")
+def factor_levels(spark, sf_dir):
+    rows = surveys(spark, sf_dir).select("survey_id", "mutation", "year", "country_name")
+    out = G.with_level(G.with_level(rows, "country_name", "country_level"), "mutation", "mutation_level", ["crt:76:T", "k13:561:H"])
+    return out.withColumn("mutation_level", F.coalesce("mutation_level", F.lit(0)))
+
+
+def _ticks_sql(axis: str, step: float) -> str:
+    return f"SELECT '{axis}' AS axis, unnest(range(CAST(floor(min({axis}) / {step}) AS BIGINT), CAST(ceil(max({axis}) / {step}) AS BIGINT) + 1)) * {step} AS tick FROM l"
+
+
+@query(f"WITH {OBS}, {_LONG} {_ticks_sql('x', 2.0)} UNION ALL {_ticks_sql('y', 3.0)}")
+def map_ticks(spark, sf_dir):
+    layers = R.map_layers(_long(spark, sf_dir), None, 2.0, 3.0)
+    return spark.createDataFrame([(a, float(t)) for a in ("x", "y") for t in layers[f"{a}_ticks"]], "axis string, tick double")
+
+
+@query(f"WITH {OBS} SELECT CAST(row_number() OVER (ORDER BY 100 * numerator / denominator, longitude, latitude, year, mutation) AS BIGINT) AS nth, longitude AS x, latitude AS y, year AS t, round(100 * numerator / denominator, 6) AS p, mutation FROM obs WHERE longitude BETWEEN {BOX.xmin} AND {BOX.xmax} AND latitude BETWEEN {BOX.ymin} AND {BOX.ymax}")
+def map_points(spark, sf_dir):
+    """Observed points of a map in the order in which they are drawn: the greatest on top, ties by place, year and marker."""
+    points = O.observed_points(surveys(spark, sf_dir), BOX, 1900, 2100)
+    drawn = R.map_layers(_long(spark, sf_dir), points, 2.0, 3.0)["points"]
+    return _rounded(G.with_row_number(drawn, ["p", "x", "y", "t", "mutation"], "nth"), "p").select("nth", "x", "y", "t", "p", "mutation")
+
+
 @query()
 def variogram_fit(spark, sf_dir):
     return variogram.hyperparameters(_placed(spark, sf_dir), 600.0).drop("fitted_at")
