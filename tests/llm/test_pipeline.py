@@ -1,13 +1,19 @@
 """Each stage against a plain version of it, on its own input."""
 
+import random
 import re
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
+from test_decontaminate import plain
+from test_simhash import components_of, jaccard, shingles
+from tokenizers import Tokenizer
 
 import corpus_pipeline as P
-from geoprev.llm import mixing
-from test_decontaminate import plain
+from geoprev.llm import language_id, mixing
+from geoprev.llm.queries import word_tokenizer
 
 
 def collect(df):
@@ -23,6 +29,65 @@ def test_language_stage_keeps_all_but_the_unsure(spark, sf_dir):
     assert len(ids) >= 0.99 * docs.count()
 
 
+def test_language_stage_equals_the_kernel(spark, sf_dir):
+    """A model fitted here on the same rows judges every text the same."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(120).collect()
+    extra = [(900001, None, "en", "s", 0), (900002, "", "de", "s", 0), (900003, "123 !?", "fr", "s", 6), (900004, "x", None, None, 1), (rows[0].doc_id, rows[0].text, rows[0].lang, "s", 1)]
+    docs = spark.createDataFrame([tuple(r[c] for c in P.COLUMNS) for r in rows] + extra, "doc_id long, text string, lang string, source string, n_chars long")
+    samples = {}
+    for r in docs.collect():
+        if r.lang and r.text and len(r.text.encode()) <= 20_000:
+            samples.setdefault(r.lang, []).append(r.text)
+    model = language_id.fit({k: samples[k] for k in sorted(samples)})
+    want = []
+    for r in docs.collect():
+        if any(c.isalpha() for c in r.text or ""):
+            data = np.frombuffer(r.text.encode(), np.uint8)
+            bits = language_id.code_lengths(model, data, np.array([0, len(data)]))[0]
+            if 1 / np.exp2(np.clip(bits.min() - bits, -1000, 0)).sum() >= P.SURE:
+                want.append(r)
+    assert collect(P.language(spark, docs, sf_dir)) == sorted((tuple(r[c] for c in P.COLUMNS) for r in want), key=repr)
+
+
+def test_near_dedup_stage_equals_all_pairs(spark, sf_dir, words):
+    """Similarities well above and well below 0.8 of five-word shingles: one row of each component, of the least doc_id."""
+    rows, r = [], random.Random(4)
+    for i in range(25):
+        base = words(150, 3000 + i)
+        for k, changes in enumerate((0, 1, 1, 9, 14)):
+            w = list(base)
+            for at in r.sample(range(0, 150, 6), changes):
+                w[at] = f"y{i}{k}{at}"
+            rows.append((1000 - 10 * i + k, " ".join(w)))
+    sets = [shingles(t) for _, t in rows]
+    pairs = [jaccard(a, b) for i, a in enumerate(sets) for b in sets[:i]]
+    assert not any(0.72 < x < 0.86 for x in pairs) and sum(x >= 0.86 for x in pairs) > 50
+    label = components_of(sets, 0.8)
+    least = {}
+    for (i, _), c in zip(rows, label):
+        least[c] = min(least.get(c, i), i)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(x.doc_id for x in P.near_dedup(spark, docs, sf_dir).collect()) == sorted(least.values())
+
+
+def test_token_stage_equals_the_tokenizer(spark, sf_dir, words):
+    rows = [(i % 30, " ".join(words(40, i % 25))) for i in range(50)] + [(None, "a b"), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = P.token_output(spark, docs, sf_dir).collect()
+    tokenizer = Tokenizer.from_file(word_tokenizer())
+    each = Counter()
+    for i, t in rows:
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        each[i, len(ids), zlib.crc32(ids.tobytes())] += 1
+    assert Counter((x.doc_id, x.n_tokens, x.ids_crc32) for x in got) == each
+    at = 0
+    for x in sorted(got, key=lambda x: x.start):
+        assert x.start == at
+        at += x.n_tokens
+    order = [x.doc_id for x in sorted(got, key=lambda x: x.start)]
+    assert order == sorted(order, key=lambda i: (i is not None, i or 0))
+
+
 def test_near_dedup_stage_keeps_one_of_each_group(spark, sf_dir, words):
     rows = []
     for i in range(40):
