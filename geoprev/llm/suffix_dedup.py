@@ -9,8 +9,10 @@ directly, all others are induced by scanning the buckets of their first bytes, a
 `length` bytes mark the starts that repeat.
 
 Skew: equal fragments are combined before any shuffle of texts. A gram with more than `crowd` distinct fragments (a
-passage in a third of all documents, with other text around each) does not go to one task: the strings at its starts
-are counted by 128-bit digest instead, in buckets of digests that spread over all tasks.
+passage in a third of all documents, with other text around each) does not go to one task and is not suffix-sorted: the
+strings at its starts are counted by 128-bit digest instead. A task counts its own strings first, so a digest that all these
+fragments share is an entry a task, not one a fragment; buckets of digests spread over all tasks. The digests
+that come more than once go back to the fragments, by a broadcast if they are few enough, else by another shuffle.
 
 Texts are handled as UTF-8 bytes; a cut may fall inside a character, so the kept text is binary. Defined results: null
 text counts as empty; texts shorter than `length` stay whole; rows with equal doc_id and text are documents of their
@@ -215,9 +217,92 @@ def _digest(x: bytes) -> tuple[int, int]:
 FRAGMENT = ["gram", "fa", "fb"]
 #: Strings of a bucket, on average, and fragments of a row, where strings are counted by digest.
 STRINGS, ROW = 200_000, 256
+COUNTED = np.dtype([("xa", "<i8"), ("xb", "<i8"), ("n", "u1")])
 STRING = np.dtype([("xa", "<i8"), ("xb", "<i8"), ("part", "<u4"), ("at", "<u4")])
 
 
+def _digests(part: bytes, length: int) -> np.ndarray:
+    """Digests of the strings at all starts of a fragment, as two numbers each."""
+    d = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([d(part[j : j + length]) for j in range(len(part) - length + 1)]), "<i8").reshape(-1, 2)
+
+
+def _tally(length: int, buckets: int, held: int = 1 << 19):
+    """The distinct digests of the strings of many fragments, each with 1 or 2 (more than once, or in a fragment that repeats whole)."""
+
+    def send(digests: list, weights: list) -> pa.RecordBatch:
+        x, w = np.concatenate(digests), np.concatenate(weights)
+        order = np.lexsort((x[:, 1], x[:, 0]))
+        x, w = x[order], w[order]
+        first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]).any(1)]))
+        row = np.zeros(len(first), COUNTED)
+        row["xa"], row["xb"], row["n"] = x[first, 0], x[first, 1], np.minimum(np.add.reduceat(w, first), 2)
+        bucket = row["xa"] % buckets
+        row = row[np.argsort(bucket, kind="stable")]
+        ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+        used = [i for i in range(buckets) if ends[i] > (ends[i - 1] if i else 0)]
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([row[(ends[i - 1] if i else 0) : ends[i]].tobytes() for i in used], pa.binary())], names=["bucket", "strings"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digests, weights, n = [], [], 0
+        for b in batches:
+            for i, full in enumerate(b.column("full").to_pylist()):
+                d = _digests(b.column("part")[i].as_py(), length)
+                digests.append(d)
+                weights.append(np.full(len(d), 1 + full))
+                n += len(d)
+                if n >= held:
+                    yield send(digests, weights)
+                    digests, weights, n = [], [], 0
+        if n:
+            yield send(digests, weights)
+
+    return run
+
+
+def _repeated_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each bucket, the digests that come more than once."""
+    for t in complete_groups(batches, ["bucket"]):
+        x = np.frombuffer(b"".join(t.column("strings").to_pylist()), COUNTED)
+        x = x[np.lexsort((x["xb"], x["xa"]))]
+        first = np.flatnonzero(np.concatenate([[True], (x["xa"][1:] != x["xa"][:-1]) | (x["xb"][1:] != x["xb"][:-1])]))
+        again = first[np.add.reduceat(x["n"].astype(np.int64), first) > 1]
+        yield pa.RecordBatch.from_arrays([pa.array([np.stack([x["xa"][again], x["xb"][again]], axis=1).astype("<i8").tobytes()], pa.binary())], names=["strings"])
+
+
+def _among(d: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which digests are among the known ones, which are sorted."""
+    out, at = np.zeros(len(d), bool), np.searchsorted(known[:, 0], d[:, 0])
+    live = np.arange(len(d))
+    while len(live):  # once more only where two known digests begin alike
+        live, at = live[at < len(known)], at[at < len(known)]
+        same = known[at, 0] == d[live, 0]
+        live, at = live[same], at[same]
+        hit = known[at, 1] == d[live, 1]
+        out[live[hit]] = True
+        live, at = live[~hit], at[~hit] + 1
+    return out
+
+
+def _mark(length: int, shared):
+    """Spans, by fragment, of the strings whose digest is among the shared ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(shared.value, "<i8").reshape(-1, 2)
+        for b in batches:
+            row, found = [], []
+            for i, (s, full) in enumerate(zip(b.column("s").to_pylist(), b.column("full").to_pylist())):
+                if not full:
+                    flags = _among(_digests(b.column("part")[i].as_py(), length), known)
+                    if flags.any():
+                        row.append(i)
+                        found.append([s + k + (length - 1) * (j % 2) for j, k in enumerate(_runs(flags))])
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("th").take(take), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "th", "spans"])
+
+    return run
+
+
 def _pack(length: int, buckets: int):
     """The strings at all starts of crowded fragments: a row for some fragments and each bucket of digests."""
 
@@ -225,8 +310,10 @@ def _pack(length: int, buckets: int):
         for batch in batches:
             for k in range(0, batch.num_rows, ROW):
                 b = batch.slice(k, ROW)
-                rows = [(*_digest(p[j : j + length]), i, j) for i, p in enumerate(b.column("part").to_pylist()) for j in range(len(p) - length + 1)]
-                strings = np.array(rows, STRING)
+                parts = [_digests(p, length) for p in b.column("part").to_pylist()]
+                strings = np.zeros(sum(map(len, parts)), STRING)
+                strings["xa"], strings["xb"] = np.concatenate(parts).T
+                strings["part"], strings["at"] = np.repeat(np.arange(len(parts)), [len(d) for d in parts]), np.concatenate([np.arange(len(d)) for d in parts])
                 bucket = (strings["xa"] % buckets).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 ends = np.cumsum(np.bincount(bucket, minlength=buckets))
@@ -271,7 +358,7 @@ def _count(length: int):
     return run
 
 
-def dedup_spans(docs: DataFrame, length: int, crowd: int, broadcast_rows: int) -> DataFrame:
+def dedup_spans(docs: DataFrame, length: int, crowd: int, broadcast_bytes: int) -> DataFrame:
     """doc_id, th, spans (starts and ends in turn) of the documents that lose bytes; docs: doc_id, th, text."""
     kind = docs.schema["doc_id"].dataType
     kind_sql = kind.simpleString()
@@ -314,7 +401,7 @@ def dedup_spans(docs: DataFrame, length: int, crowd: int, broadcast_rows: int) -
             types = {"full": pa.bool_(), "crowded": pa.bool_()}
             yield pa.RecordBatch.from_arrays([ids.take(take), batch.column("th").take(take), *(pa.array(v, types.get(k, pa.int64())) for k, v in out.items()), pa.array(part, pa.binary())], names=["doc_id", "th", *out, "part"])
 
-    wanted = _checked(wanted, "suffix-wanted", "parts", broadcast_rows)
+    wanted = _checked(wanted, "suffix-wanted", "parts", 80, broadcast_bytes)
     texts = docs.join(wanted, docs.th.eqNullSafe(wanted.th) & docs.doc_id.eqNullSafe(wanted.doc_id)).select(docs.doc_id, docs.th, "text", "parts")
     texts = stored(texts.mapInArrow(fetch, f"doc_id {kind_sql}, th long, gram long, fa long, fb long, s long, n long, full boolean, crowded boolean, part binary"), "suffix-texts")
     # rows with equal doc_id and text fetch the same fragment more than once
@@ -360,9 +447,16 @@ def dedup_spans(docs: DataFrame, length: int, crowd: int, broadcast_rows: int) -
     found = [whole, usual]
     crowded = known.filter(F.col("kinds") > crowd).agg(F.sum("one.n")).first()[0]
     if crowded:
-        buckets = -(-crowded // STRINGS)
-        packed = texts.filter("crowded").mapInArrow(_pack(length, buckets), f"bucket int, doc_id array<{kind_sql}>, th array<long>, s array<long>, full array<boolean>, strings binary")
-        found.append(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(length), spans))
+        buckets, some = -(-crowded // STRINGS), texts.filter("crowded")
+        counted = some.mapInArrow(_tally(length, buckets), "bucket int, strings binary").repartition("bucket").sortWithinPartitions("bucket")
+        again = stored(counted.mapInArrow(_repeated_digests, "strings binary"), "suffix-repeated")
+        if (again.agg(F.sum(F.octet_length("strings"))).first()[0] or 0) <= broadcast_bytes:
+            known = np.concatenate([np.zeros((0, 2), "<i8"), *(np.frombuffer(r["strings"], "<i8").reshape(-1, 2) for r in again.collect())])
+            shared = docs.sparkSession.sparkContext.broadcast(known[np.lexsort((known[:, 1], known[:, 0]))].tobytes())
+            found.append(some.mapInArrow(_mark(length, shared), spans))
+        else:
+            packed = some.mapInArrow(_pack(length, buckets), f"bucket int, doc_id array<{kind_sql}>, th array<long>, s array<long>, full array<boolean>, strings binary")
+            found.append(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(length), spans))
     marks = found[0]
     for more in found[1:]:
         marks = marks.unionByName(more)
@@ -374,21 +468,21 @@ def dedup_spans(docs: DataFrame, length: int, crowd: int, broadcast_rows: int) -
     return marks.groupBy("doc_id", "th").agg(F.collect_list("spans").alias("spans")).mapInArrow(join, StructType().add("doc_id", kind).add("th", LongType()).add("spans", ArrayType(LongType())))
 
 
-def _checked(df: DataFrame, name: str, items: str, max_items: int) -> DataFrame:
-    """Stored, and marked for broadcast if its arrays have at most max_items entries in all."""
+def _checked(df: DataFrame, name: str, items: str, item_bytes: int, max_bytes: int) -> DataFrame:
+    """Stored, and marked for broadcast if it has at most max_bytes: 64 a row and item_bytes an entry of its arrays."""
     df = stored(df, name)
-    n = df.agg(F.sum(F.size(items) + 1)).first()[0] or 0
-    return F.broadcast(df) if n <= max_items else df.hint("merge")
+    n = df.agg(F.sum(F.size(items) * item_bytes + 64)).first()[0] or 0
+    return F.broadcast(df) if n <= max_bytes else df.hint("merge")
 
 
-def suffix_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", crowd: int = 1024, broadcast_rows: int = 1_000_000) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", crowd: int = 1024, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, n_bytes, spans (removed: starts and ends in turn), kept (binary) of every row."""
     if length < GRAM + 8 or length % 8:
         raise ValueError(f"length must be a multiple of 8 from {GRAM + 8}")
     bound_batches(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    spans = _checked(dedup_spans(docs, length, crowd, broadcast_rows), "suffix-spans", "spans", broadcast_rows)
+    spans = _checked(dedup_spans(docs, length, crowd, broadcast_bytes), "suffix-spans", "spans", 8, broadcast_bytes)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 2 << 20):

@@ -64,12 +64,29 @@ def rows(words):
     return out
 
 
-@pytest.mark.parametrize(("crowd", "broadcast"), [(1024, 1_000_000), (3, 0)])
+@pytest.mark.parametrize(("crowd", "broadcast"), [(1024, 64 << 20), (3, 64 << 20), (3, 0)])
 def test_equals_brute_force(spark, rows, crowd, broadcast, monkeypatch):
     """A small crowd sends busy grams to the count by digest, in many buckets; broadcast 0 to joins that shuffle."""
     monkeypatch.setattr(S, "STRINGS", 500)
     df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, spans string").repartition(4)
-    assert got(suffix_dedup(df, LENGTH, crowd=crowd, broadcast_rows=broadcast)) == plain(rows, LENGTH)
+    assert got(suffix_dedup(df, LENGTH, crowd=crowd, broadcast_bytes=broadcast)) == plain(rows, LENGTH)
+
+
+def test_known_digests():
+    """Digests that begin alike are told apart."""
+    known = np.array([[-5, 1], [3, 7], [3, 9], [8, 0]])
+    assert S._among(np.array([[3, 9], [3, 8], [-5, 1], [9, 9], [8, 0], [-9, 0], [3, 7]]), known).tolist() == [True, False, True, False, True, False, True]
+    assert S._among(np.zeros((2, 2), int), known[:0]).tolist() == [False, False]
+
+
+def test_a_shared_digest_is_counted_before_the_shuffle(words):
+    """One passage in many fragments: each of its strings leaves a task once, whatever the number of fragments."""
+    passage = " ".join(words(30, 1)).encode()
+    parts = [b"%04d" % i + passage[:LENGTH + 20] for i in range(500)]
+    batch = S.pa.RecordBatch.from_arrays([S.pa.array(parts, S.pa.binary()), S.pa.array([False] * 500)], names=["part", "full"])
+    out = list(S._tally(LENGTH, 4)(iter([batch])))
+    sent = np.concatenate([np.frombuffer(x, S.COUNTED) for b in out for x in b.column("strings").to_pylist()])
+    assert sum(sent["n"] == 2) == 21 + 110 and len(sent) == 21 + 110 + 2 * 500  # the last digits repeat too
 
 
 def test_edge_cases(spark, edge, empty):
