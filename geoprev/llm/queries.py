@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, language_id, mixing, simhash, suffix_dedup, token_store, toxicity, url_filter
+from . import chat_format, decontaminate, exact_dedup, language_id, mixing, simhash, spelling, suffix_dedup, token_store, toxicity, url_filter
 from .util import table
 
 
@@ -166,7 +166,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         (removed > 0).alias("has_repeats"), F.octet_length("kept").cast("long").alias("n_kept"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), every=97).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op4_decontaminate": op4_decontaminate,
            "op5_language_id": op5_language_id, "op6_url_filter": op6_url_filter, "op7_mixing": op7_mixing, "op8_chat_format": op8_chat_format, "op9_token_store": op9_token_store,
-           "op10_suffix_dedup": op10_suffix_dedup}
+           "op10_suffix_dedup": op10_suffix_dedup, "op11_spelling": op11_spelling}
 ORACLE = {"op1_exact_dedup": OP1_SQL, "op6_url_filter": OP6_SQL, "op8_chat_format": OP8_SQL}
