@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, language_id, mixing, simhash, spelling, suffix_dedup, token_store, toxicity, url_filter
+from . import chat_format, decontaminate, embedding_dedup, exact_dedup, language_id, mixing, simhash, spelling, suffix_dedup, token_store, toxicity, url_filter, whitening
 from .util import table
 
 
@@ -170,7 +170,18 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"), every=97).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation of over 63 bits is null here; the operator's own column holds it."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors)).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op4_decontaminate": op4_decontaminate,
            "op5_language_id": op5_language_id, "op6_url_filter": op6_url_filter, "op7_mixing": op7_mixing, "op8_chat_format": op8_chat_format, "op9_token_store": op9_token_store,
-           "op10_suffix_dedup": op10_suffix_dedup, "op11_spelling": op11_spelling}
+           "op10_suffix_dedup": op10_suffix_dedup, "op11_spelling": op11_spelling, "op12_whitening": op12_whitening,
+           "op13_embedding_dedup": op13_embedding_dedup}
 ORACLE = {"op1_exact_dedup": OP1_SQL, "op6_url_filter": OP6_SQL, "op8_chat_format": OP8_SQL}
