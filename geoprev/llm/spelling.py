@@ -2,8 +2,8 @@
 
 Runs of letters are counted in Arrow batches (RE2 splits whole texts, a dictionary of a batch holds its words once, CRCs of
 `<doc_id>:<run>` are put together from a part for the word and one for the document), then by a grouped sum. The words
-that are long and common enough are dealt by ranges; every range is built into compact tries of bounded size. One trie
-after the other is broadcast (at most SHARD_WORDS words and SHARD_LETTERS letters, whatever the input); each task intersects
+that are long and common enough are sorted by ranges; consecutive ranges are built into compact tries of bounded size. One trie
+after the other is made and broadcast (at most SHARD_WORDS words and SHARD_LETTERS letters, whatever the input); each task intersects
 the distance-one Levenshtein automaton of its words with it, depth first, and sends for a word the number of neighbours
 and the best one only, which grouped aggregates combine over the tries. Forms are followed to the last by doubling.
 
@@ -92,12 +92,13 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _tries(words: DataFrame, n_words: int, shard_words: int, shard_letters: int) -> DataFrame:
-    """(first, trie): compact tries of ranges of words, each within the bounds."""
+def _lists(words: DataFrame, n_words: int, shard_words: int, shard_letters: int) -> DataFrame:
+    """(first, n_words, letters, words, counts): sorted lists of ranges of words, each within the bounds, joined by line breaks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(held[:1], pa.string()), pa.array([trie.build(held, np.array(count)).dumps()], pa.binary())], names=["first", "trie"])
+            columns = [pa.array(held[:1], pa.string()), pa.array([len(held)]), pa.array([letters]), pa.array(["\n".join(held)], pa.string()), pa.array([np.array(count, np.int64).tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["first", "n_words", "letters", "words", "counts"])
 
         held, count, letters = [], [], 0
         for batch in batches:
@@ -112,7 +113,21 @@ def _tries(words: DataFrame, n_words: int, shard_words: int, shard_letters: int)
             yield made()
 
     parts = max(1, math.ceil(n_words / (0.8 * shard_words)))
-    return words.repartitionByRange(parts, "word").sortWithinPartitions("word").mapInArrow(run, "first string, trie binary")
+    return words.repartitionByRange(parts, "word").sortWithinPartitions("word").mapInArrow(run, "first string, n_words long, letters long, words string, counts binary")
+
+
+def _tries(words: DataFrame, n_words: int, shard_words: int, shard_letters: int) -> Iterator[trie.Trie]:
+    """Tries of consecutive ranges of words, each within the bounds; one at a time is on the driver."""
+    lists = stored(_lists(words, n_words, shard_words, shard_letters), "spelling-lists")
+    shards: list[list] = []
+    for r in lists.select("first", "n_words", "letters").orderBy("first").collect():
+        if shards and shards[-1][2] + r["n_words"] <= shard_words and shards[-1][3] + r["letters"] <= shard_letters:
+            shards[-1] = [shards[-1][0], r["first"], shards[-1][2] + r["n_words"], shards[-1][3] + r["letters"]]
+        else:
+            shards.append([r["first"], r["first"], r["n_words"], r["letters"]])
+    for lo, hi, *_ in shards:
+        some = lists.filter(F.col("first").between(lo, hi)).orderBy("first").collect()
+        yield trie.build([w for r in some for w in r["words"].split("\n")], np.concatenate([np.frombuffer(r["counts"], np.int64) for r in some]))
 
 
 def near_words(words: DataFrame, shard_words: int = SHARD_WORDS, shard_letters: int = SHARD_LETTERS, a_task: int = 1 << 14) -> DataFrame:
@@ -122,7 +137,6 @@ def near_words(words: DataFrame, shard_words: int = SHARD_WORDS, shard_letters:
     """
     spark = words.sparkSession
     n_words = words.count()
-    shards = stored(_tries(words, n_words, shard_words, shard_letters), "spelling-tries")
     tasks = max(1, math.ceil(n_words / a_task))
 
     def against(shared):
@@ -142,8 +156,8 @@ def near_words(words: DataFrame, shard_words: int = SHARD_WORDS, shard_letters:
 
     schema, path = "word string, n_near long, form_n long, form string", shared_dir(spark, "spelling-near")
     dealt = words.select("word").repartition(tasks, "word")
-    for first in [r["first"] for r in shards.select("first").orderBy("first").collect()]:
-        shared = spark.sparkContext.broadcast(bytes(shards.filter(F.col("first") == first).first()["trie"]))
+    for t in _tries(words, n_words, shard_words, shard_letters):
+        shared = spark.sparkContext.broadcast(t.dumps())
         dealt.mapInArrow(against(shared), schema).write.mode("append").parquet(path)
         shared.destroy()
     found = spark.read.schema(schema).parquet(path) if n_words else spark.createDataFrame([], schema)
