@@ -1,21 +1,23 @@
 """Spatial joins and masks over polygon tables (attributes, rings).
 
-Polygons meet points by tiles: each polygon goes to the tiles of its box, a point to its own tile, and an equality on the
-tile precedes the exact test, which runs on Arrow batches. No polygon table is collected; a polygon table of checked size
-is broadcast by the planner, a large one is shuffled by tile. Points on a shared border match every polygon that has it.
+Polygons meet points by tiles. Rectangles go to the tiles of their box and are tested there; other polygons are cut into an index of
+edges by tile (`tiles`), so a place meets the edges of its tile and rings stay where they are. No polygon table is collected; a
+polygon's attributes come back by its number. Points on a shared border match every polygon that has it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import exprs as X
 from ..functions import overlay
-from ..functions.geo import Box, clip_ring, from_mercator, inside, mercator
+from ..functions.geo import Box, clip_ring, from_mercator, mercator
+from ..shared import stored
+from . import tiles
 
 
 def with_box(polygons: DataFrame) -> DataFrame:
@@ -36,35 +38,30 @@ def candidates(points: DataFrame, polygons: DataFrame, keep: list[str], x: str,
     return at.join(boxes, ["tx", "ty"]).filter(F.col(x).between(F.col("xmin"), F.col("xmax")) & F.col(y).between(F.col("ymin"), F.col("ymax"))).drop("tx", "ty", "xmin", "xmax", "ymin", "ymax")
 
 
-def spatial_join(points: DataFrame, polygons: DataFrame, keep: list[str], x: str = "x", y: str = "y", how: str = "inner", size: float = 5.0, rectangles: bool = False) -> DataFrame:
+def _numbered(polygons: DataFrame) -> DataFrame:
+    """Polygons with a number (pid) each, written once so that it stays."""
+    return stored(polygons.withColumn("pid", F.monotonically_increasing_id()), "polygons")
+
+
+def spatial_join(points: DataFrame, polygons: DataFrame, keep: list[str], x: str = "x", y: str = "y", how: str = "inner", size: float | None = None, rectangles: bool = False) -> DataFrame:
     """Points with the attributes of each polygon that holds them; how='left' keeps unmatched points.
 
     Coordinates are tested once each, not once a row, and rows take the result by their coordinates; so how='left' needs
     no row number, which could differ between two evaluations of its input. rectangles: every polygon is its own bounding
-    box, so the box test is the exact one and nothing leaves the JVM.
+    box, so the box test is the exact one and nothing leaves the JVM. size: of tiles; by default from the polygons.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how must be inner or left, not {how!r}")
-    places = points.select(F.col(x).alias("_x"), F.col(y).alias("_y")).filter("_x IS NOT NULL AND _y IS NOT NULL").distinct()
-    met = candidates(places, polygons, keep, "_x", "_y", size)
-    if not rectangles:
-        met = met.withColumn("_shape", F.xxhash64(F.to_json("rings")))
-
-        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                px, py, shape = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_x", "_y", "_shape"))
-                ok = np.zeros(b.num_rows, bool)
-                for one in np.unique(shape):  # one polygon, many points
-                    rows = np.flatnonzero(shape == one)
-                    ok[rows] = inside(px[rows], py[rows], b.column("rings")[int(rows[0])].as_py())
-                yield b.filter(pa.array(ok))
-
-        met = met.mapInArrow(exact, met.schema).drop("_shape")
-    met = met.drop("rings")
+    places = points.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).filter(X.is_finite(F.col("_x")) & X.is_finite(F.col("_y"))).distinct()
+    if rectangles:
+        met = candidates(places, polygons, keep, "_x", "_y", size or 5.0).drop("rings")
+    else:
+        own = _numbered(polygons.select("rings", *keep))
+        met = tiles.located(places, own.select("pid", "rings"), size).join(own.select("pid", *keep), "pid").drop("pid")
     return points.join(met, (points[x] == met["_x"]) & (points[y] == met["_y"]), how).drop("_x", "_y")
 
 
-def mask(points: DataFrame, polygons: DataFrame, value: str = "p", x: str = "x", y: str = "y", size: float = 5.0, rectangles: bool = False) -> DataFrame:
+def mask(points: DataFrame, polygons: DataFrame, value: str = "p", x: str = "x", y: str = "y", size: float | None = None, rectangles: bool = False) -> DataFrame:
     """All rows; the value is NULL outside every polygon. Coordinates are tested once each, not once a row."""
     cells = points.select(x, y).distinct()
     held = spatial_join(cells, polygons, [], x, y, "inner", size, rectangles).select(x, y).distinct().withColumn("_in", F.lit(True))
@@ -136,10 +133,12 @@ def dissolve(polygons: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def intersect(polygons: DataFrame, others: DataFrame, keep: list[str], keep_others: list[str], size: float = 5.0) -> DataFrame:
-    """(keep, keep_others, rings) for each pair of polygons that overlap; pairs meet on the tiles that both touch."""
-    a = _tiled(polygons.withColumn("_a", F.xxhash64(F.to_json("rings"), *keep)), size).select("tx", "ty", "_a", *keep, "rings")
-    b = _tiled(others.withColumn("_b", F.xxhash64(F.to_json("rings"), *keep_others)), size).select("tx", "ty", "_b", *keep_others, F.col("rings").alias("_rings"))
-    pairs = a.join(b, ["tx", "ty"]).drop("tx", "ty").dropDuplicates(["_a", "_b"]).select(*keep, *keep_others, "rings", "_rings")
+    """(keep, keep_others, rings) for each pair of polygons that overlap; pairs meet on the tiles that both touch, by number, and then fetch their rings."""
+    a, b = _numbered(polygons.select("rings", *keep)), _numbered(others.select("rings", *keep_others))
+    met = _tiled(a, size).select("tx", "ty", F.col("pid").alias("_a"), "xmin", "xmax", "ymin", "ymax").join(
+        _tiled(b, size).select("tx", "ty", F.col("pid").alias("_b"), *[F.col(c).alias(f"_{c}") for c in ("xmin", "xmax", "ymin", "ymax")]), ["tx", "ty"])
+    met = met.filter("xmin <= _xmax AND _xmin <= xmax AND ymin <= _ymax AND _ymin <= ymax").select("_a", "_b").distinct()
+    pairs = met.join(a.withColumnRenamed("pid", "_a"), "_a").join(b.withColumnRenamed("rings", "_rings").withColumnRenamed("pid", "_b"), "_b").select(*keep, *keep_others, "rings", "_rings")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:

@@ -1,13 +1,14 @@
 """State-space model over years: Polya-Gamma weights, Kalman filter, RTS smoother, EM and posterior paths.
 
-State: weights of the random features, a random walk with variance tau2 a year. All matrices live in one task for each
-mutation (`fit_models` groups by it); a state of 2D weights and T years keeps 2 T covariances of (2D)^2 doubles. The
-surveys of a year enter an update as sums (Phi' W Phi, Phi' W z and three numbers), made some surveys at a time, so its cost
-in memory does not depend on how many there are.
+State: weights of the random features, a random walk with variance tau2 a year. The surveys of a year enter an update either as
+rows of features (fewer rows than weights) or as sums (Phi' W Phi, Phi' W z and three numbers), which add up over blocks
+of rows; `fitting` makes these sums in many tasks. A pass keeps one covariance of (2D)^2 doubles a year, as the
+prediction for a year is the filter of the year before plus tau2.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,11 +28,18 @@ class Year:
 
 @dataclass
 class Passes:
-    m_pred: np.ndarray
-    c_pred: np.ndarray
+    """Filtered means and covariances by year; those predicted for a year follow from the year before."""
+
     m_filt: np.ndarray
     c_filt: np.ndarray
-    loglik: float
+    tau2: float
+    loglik: float = 0.0
+
+    def m_pred(self, t: int) -> np.ndarray:
+        return self.m_filt[t - 1] if t else np.zeros_like(self.m_filt[0])
+
+    def c_pred(self, t: int) -> np.ndarray:
+        return (self.c_filt[t - 1] if t else 0) + self.tau2 * np.eye(self.m_filt.shape[1])
 
 
 def pg_weights(n: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -52,57 +60,97 @@ class Information:
     n: int
 
 
+    @staticmethod
+    def zero(d: int) -> Information:
+        return Information(np.zeros((d, d)), np.zeros(d), 0.0, 0.0, 0)
+
+    def add(self, phi: np.ndarray, z: np.ndarray, w: np.ndarray) -> Information:
+        wphi = w[:, None] * phi
+        self.s += phi.T @ wphi
+        self.h += wphi.T @ z
+        self.q += float(z @ (w * z))
+        self.log_w += float(np.log(w).sum())
+        self.n += len(z)
+        return self
+
+    def merge(self, other: Information) -> Information:
+        self.s += other.s
+        self.h += other.h
+        self.q, self.log_w, self.n = self.q + other.q, self.log_w + other.log_w, self.n + other.n
+        return self
+
+
 def information(year: Year, target: np.ndarray, omega: np.ndarray, at_once: int = 4096) -> Information:
-    d = year.phi.shape[1]
-    out = Information(np.zeros((d, d)), np.zeros(d), 0.0, 0.0, len(year.y))
+    out = Information.zero(year.phi.shape[1])
     for k in range(0, len(year.y), at_once):
-        phi, z, w = year.phi[k : k + at_once], target[k : k + at_once], omega[k : k + at_once]
-        out.s += phi.T @ (w[:, None] * phi)
-        out.h += phi.T @ (w * z)
-        out.q += float(z @ (w * z))
-        out.log_w += float(np.log(w).sum())
+        out.add(year.phi[k : k + at_once], target[k : k + at_once], omega[k : k + at_once])
     return out
 
 
-def kalman_filter(years: list[Year], target: list[np.ndarray], omega: list[np.ndarray], tau2: float) -> Passes:
-    """Filter of pseudo-observations target = phi b + N(0, 1/omega), from b_0 = 0 exactly.
+def pseudo(phi: np.ndarray, y: np.ndarray, n: np.ndarray, b: np.ndarray, z0: float = Z0) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and pseudo-observations of surveys at weights b."""
+    w = pg_weights(n, z0 + phi @ b)
+    return w, (y - n / 2) / w - z0
+
+
+def update_rows(m: np.ndarray, c: np.ndarray, phi: np.ndarray, z: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Mean and covariance after surveys z = phi b + N(0, 1/w), as a solve in the surveys; and their log-likelihood."""
+    pc = phi @ c
+    root = np.linalg.cholesky(pc @ phi.T + np.diag(1 / w) + JITTER * np.eye(len(z)))
+    both = np.linalg.solve(root, np.column_stack([pc, z - phi @ m]))
+    half, white = both[:, :-1], both[:, -1]
+    return m + half.T @ white, c - half.T @ half, -float(np.log(np.diag(root)).sum() + 0.5 * (white @ white + len(z) * np.log(2 * np.pi)))
 
-    A year of fewer surveys than weights is a solve in its surveys, any other in the weights (information form).
-    """
-    s = years[0].phi.shape[1]
-    t = len(years)
-    out = Passes(np.zeros((t, s)), np.zeros((t, s, s)), np.zeros((t, s)), np.zeros((t, s, s)), 0.0)
-    m, c = np.zeros(s), np.zeros((s, s))
-    for i, yr in enumerate(years):
-        c = c + tau2 * np.eye(s)
-        out.m_pred[i], out.c_pred[i] = m, c
-        if 0 < len(yr.y) < s:
-            pc = yr.phi @ c
-            root = np.linalg.cholesky(pc @ yr.phi.T + np.diag(1 / omega[i]) + JITTER * np.eye(len(yr.y)))
-            miss = target[i] - yr.phi @ m
-            both = np.linalg.solve(root, np.column_stack([pc, miss]))
-            half, white = both[:, :-1], both[:, -1]
-            m = m + half.T @ white
-            c = c - half.T @ half
-            out.loglik -= np.log(np.diag(root)).sum() + 0.5 * (white @ white + len(yr.y) * np.log(2 * np.pi))
-        elif len(yr.y):
-            info = information(yr, target[i], omega[i])
-            root = np.linalg.cholesky(c)
-            inner = np.linalg.cholesky(np.eye(s) + root.T @ info.s @ root)
-            half = np.linalg.solve(inner, root.T)
-            g = info.h - info.s @ m  # sum of w phi (z - phi m)
-            miss = info.q - 2 * m @ info.h + m @ info.s @ m
-            c = half.T @ half
-            out.loglik -= np.log(np.diag(inner)).sum() + 0.5 * (miss - g @ c @ g - info.log_w + info.n * np.log(2 * np.pi))
-            m = m + c @ g
-        c = (c + c.T) / 2
-        out.m_filt[i], out.c_filt[i] = m, c
-    return out
+
+def update_sums(m: np.ndarray, c: np.ndarray, info: Information) -> tuple[np.ndarray, np.ndarray, float]:
+    """The same in the weights (information form)."""
+    root = np.linalg.cholesky(c)
+    inner = np.linalg.cholesky(np.eye(len(m)) + root.T @ info.s @ root)
+    half = np.linalg.solve(inner, root.T)
+    g = info.h - info.s @ m  # sum of w phi (z - phi m)
+    miss = info.q - 2 * m @ info.h + m @ info.s @ m
+    c = half.T @ half
+    return m + c @ g, c, -float(np.log(np.diag(inner)).sum() + 0.5 * (miss - g @ c @ g - info.log_w + info.n * np.log(2 * np.pi)))
+
+
+def filter_years(d: int, years: Iterable, tau2: float) -> Passes:
+    """The filter from b_0 = 0 exactly; years gives for each year, in order, None, Information or (phi, z, w)."""
+    means, covariances, loglik = [], [], 0.0
+    m, c = np.zeros(d), np.zeros((d, d))
+    for said in years:
+        c = c + tau2 * np.eye(d)
+        if said is not None:
+            m, c, new = update_sums(m, c, said) if isinstance(said, Information) else update_rows(m, c, *said)
+            c = (c + c.T) / 2
+            loglik += new
+        means.append(m)
+        covariances.append(c)
+    return Passes(np.array(means), np.array(covariances), tau2, loglik)
+
+
+def said_by(phi: np.ndarray, z: np.ndarray, w: np.ndarray):
+    """What filter_years takes for surveys in memory: rows if they are fewer than weights, else their sums."""
+    if len(z) == 0:
+        return None
+    return (phi, z, w) if len(z) < phi.shape[1] else information(Year(phi, z, w), z, w)
+
+
+def kalman_filter(years: list[Year], target: list[np.ndarray], omega: list[np.ndarray], tau2: float) -> Passes:
+    """Filter of pseudo-observations target = phi b + N(0, 1/omega)."""
+    return filter_years(years[0].phi.shape[1], (said_by(y.phi, z, w) for y, z, w in zip(years, target, omega)), tau2)
 
 
 def gain(p: Passes, t: int) -> np.ndarray:
     """Smoother gain C_filt(t) C_pred(t+1)^-1."""
-    return np.linalg.solve(p.c_pred[t + 1], p.c_filt[t]).T
+    return np.linalg.solve(p.c_pred(t + 1), p.c_filt[t]).T
+
+
+def smoothed_means(p: Passes) -> np.ndarray:
+    """The smoother's means alone: a solve for one vector a year instead of a gain."""
+    m = p.m_filt.copy()
+    for t in range(len(m) - 2, -1, -1):
+        m[t] += p.c_filt[t] @ np.linalg.solve(p.c_pred(t + 1), m[t + 1] - p.m_pred(t + 1))
+    return m
 
 
 def rts_smoother(p: Passes, covariances: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
@@ -110,9 +158,9 @@ def rts_smoother(p: Passes, covariances: bool = False) -> tuple[np.ndarray, np.n
     c = p.c_filt.copy() if covariances else None
     for t in range(len(m) - 2, -1, -1):
         j = gain(p, t)
-        m[t] += j @ (m[t + 1] - p.m_pred[t + 1])
+        m[t] += j @ (m[t + 1] - p.m_pred(t + 1))
         if c is not None:
-            c[t] += j @ (c[t + 1] - p.c_pred[t + 1]) @ j.T
+            c[t] += j @ (c[t + 1] - p.c_pred(t + 1)) @ j.T
     return m, c
 
 
@@ -121,13 +169,9 @@ def em(years: list[Year], tau2: float, rounds: int = 5, z0: float = Z0) -> tuple
     b = np.zeros((len(years), years[0].phi.shape[1]))
     change = []
     for _ in range(rounds):
-        omega, target = [], []
-        for i, yr in enumerate(years):
-            w = pg_weights(yr.n, z0 + yr.phi @ b[i])
-            omega.append(w)
-            target.append((yr.y - yr.n / 2) / w - z0)
+        omega, target = zip(*(pseudo(yr.phi, yr.y, yr.n, b[i], z0) for i, yr in enumerate(years)))
         p = kalman_filter(years, target, omega, tau2)
-        new, _ = rts_smoother(p)
+        new = smoothed_means(p)
         change.append(float(np.linalg.norm(new - b) / np.sqrt(np.linalg.norm(b) ** 2 + 1e-12)))
         b = new
     return b, p, change
@@ -149,8 +193,8 @@ def posterior_paths(p: Passes, n: int, seed: int, factor: str = "lower") -> np.n
     out[-1] = p.m_filt[-1][:, None] + _root(p.c_filt[-1], factor) @ rng.normal(size=(s, n))
     for i in range(t - 2, -1, -1):
         j = gain(p, i)
-        var = p.c_filt[i] - j @ p.c_pred[i + 1] @ j.T
-        out[i] = p.m_filt[i][:, None] + j @ (out[i + 1] - p.m_pred[i + 1][:, None]) + _root((var + var.T) / 2, factor) @ rng.normal(size=(s, n))
+        var = p.c_filt[i] - j @ p.c_pred(i + 1) @ j.T
+        out[i] = p.m_filt[i][:, None] + j @ (out[i + 1] - p.m_pred(i + 1)[:, None]) + _root((var + var.T) / 2, factor) @ rng.normal(size=(s, n))
     return out
 
 

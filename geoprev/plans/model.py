@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import Box, laea_km
 from ..operators import grid as G
-from ..operators.obs import valid_counts
-from . import kalman, rff
+from ..shared import stored
+from . import fitting, kalman, rff
 from .blas import one_thread
 
 SLICE = 1 << 20  # cells that are broadcast at a time
@@ -57,57 +57,28 @@ def local_km(df: DataFrame, centre: tuple[float, float] | None = None, lon: str
 def fit_models(obs: DataFrame, hyper: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(mutation, t, ell_km, weights array<double> by weight and draw): joint posterior draws of the weights of each year.
 
-    obs: mutation, year, x_km, y_km, numerator, denominator; hyper: mutation, ell_km, tau2_year. Counts of one place and
-    year are summed first, which changes no result: a group is the places of a mutation. Tasks are as many as mutations:
-    the planner would merge them by their few bytes, but they are long.
+    obs: mutation, year, x_km, y_km, numerator, denominator; hyper: mutation, ell_km, tau2_year. The fits are stored, dealt by mutation and year.
     """
     years, spark = s.years, obs.sparkSession
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        one_thread()
-        _, passes, ell = _em(pdf, s)
+    def draws(mutation: str, ell: float, passes: kalman.Passes) -> pd.DataFrame:
         paths = kalman.posterior_paths(passes, s.draws, s.seed + 1, s.factor)
         keep = [i for i, y in enumerate(years) if not s.years_out or y in s.years_out]
-        return pd.DataFrame({"mutation": pdf["mutation"].iloc[0], "t": [years[i] for i in keep], "ell_km": ell, "weights": [paths[i].ravel() for i in keep]})
+        return pd.DataFrame({"mutation": mutation, "t": np.array([years[i] for i in keep], np.int32), "ell_km": ell, "weights": [paths[i].ravel() for i in keep]})
 
-    n = hyper.count()
-    fits = _grouped(obs, hyper, n).applyInPandas(fit, "mutation string, t int, ell_km double, weights array<double>")
-    return fits.repartition(_tasks(spark, n * len(s.years_out or years)), "mutation", "t")
+    fits = fitting.em(obs, hyper, s.features, s.seed, years, s.rounds, draws, "mutation string, t int, ell_km double, weights array<double>")
+    tasks = max(1, 4 * min(hyper.count() * len(s.years_out or years), spark.sparkContext.defaultParallelism))
+    return stored(fits, "fits").repartition(tasks, "mutation", "t")
 
 
 def smoothed(obs: DataFrame, hyper: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(mutation, t, ell_km, loglik, mean array<double>, cov array<double>): smoothed weights and their covariance by row, no draws."""
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        one_thread()
-        _, passes, ell = _em(pdf, s)
+    def moments(mutation: str, ell: float, passes: kalman.Passes) -> pd.DataFrame:
         mean, cov = kalman.rts_smoother(passes, covariances=True)
-        return pd.DataFrame({"mutation": pdf["mutation"].iloc[0], "t": s.years, "ell_km": ell, "loglik": passes.loglik, "mean": list(mean), "cov": [c.ravel() for c in cov]})
+        return pd.DataFrame({"mutation": mutation, "t": np.array(s.years, np.int32), "ell_km": ell, "loglik": passes.loglik, "mean": list(mean), "cov": [c.ravel() for c in cov]})
 
-    return _grouped(obs, hyper, hyper.count()).applyInPandas(fit, "mutation string, t int, ell_km double, loglik double, mean array<double>, cov array<double>")
-
-
-def _em(pdf: pd.DataFrame, s: Settings) -> tuple[np.ndarray, kalman.Passes, float]:
-    ell, tau2 = float(pdf["ell_km"].iloc[0]), float(pdf["tau2_year"].iloc[0])
-    omega = rff.frequencies(s.features, ell, s.seed)
-    pdf = pdf.sort_values(["year", "x_km", "y_km"])
-    rows = []
-    for y in s.years:
-        d = pdf[pdf["year"] == y]
-        rows.append(kalman.Year(rff.features(d[["x_km", "y_km"]].to_numpy(float), omega), d["numerator"].to_numpy(float), d["denominator"].to_numpy(float)))
-    b, passes, _ = kalman.em(rows, tau2, s.rounds)
-    return b, passes, ell
-
-
-def _grouped(obs: DataFrame, hyper: DataFrame, mutations: int):
-    places = valid_counts(obs).groupBy("mutation", "year", "x_km", "y_km").agg(F.sum("numerator").alias("numerator"), F.sum("denominator").alias("denominator"))
-    data = places.join(hyper.select("mutation", "ell_km", "tau2_year"), "mutation")
-    return data.repartition(_tasks(obs.sparkSession, mutations), "mutation").groupBy("mutation")
-
-
-def _tasks(spark: SparkSession, groups: int) -> int:
-    """Partitions for some long groups: twice as many, so that few meet in one."""
-    return max(1, 2 * min(groups, 2 * spark.sparkContext.defaultParallelism))
+    return stored(fitting.em(obs, hyper, s.features, s.seed, s.years, s.rounds, moments, "mutation string, t int, ell_km double, loglik double, mean array<double>, cov array<double>"), "smoothed")
 
 
 def _slices(cells: DataFrame) -> Iterator[pd.DataFrame]:
