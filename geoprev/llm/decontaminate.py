@@ -7,9 +7,9 @@ every segment, starts each phrase from the postings of its rarest term there, sh
 intersects them with the shifted postings of the other terms, rarest first. Matches are merged by document.
 
 The index is built once, whatever the number of test items. With few items it holds only words that occur in them: no
-phrase can ask for others; with more it holds all words, named by a hash, and items go out in blocks of bounded size, so
-neither what is broadcast nor the work on the corpus grows with the benchmark. A term with a third of all postings
-is spread over all segments.
+phrase can ask for others; with more it holds all words, named by a hash, and different items go out in blocks of about block_bytes, so
+what is collected and broadcast at a time doesn't grow with the benchmark; each block is a scan of the index. A term with a third of all
+postings is spread over all segments.
 
 Words are runs of digits, letters and non-ASCII bytes after lower-casing A-Z. Defined results: null text has no
 words; a phrase in no document gives nothing; repeated rows are documents of their own; an empty table gives no rows; an
@@ -220,8 +220,8 @@ def merged(spans: list[list[int]]) -> list[int]:
 
 
 def _blocks(table: DataFrame, block_bytes: int) -> Iterator[tuple[int, list[tuple[str | None, list[bytes]]]]]:
-    """How many blocks there are, and the items of each, as words; items without words are left out."""
-    rows = table.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text IS NOT NULL")
+    """How many blocks there are, and the items of each, as words; items without words are left out, equal ones are one."""
+    rows = table.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text IS NOT NULL").distinct()
     blocks = -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes) or 1
     for k in range(blocks):
         own = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()

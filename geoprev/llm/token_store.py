@@ -30,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate
@@ -43,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrow import pieces
-from .util import bound_batches, drop_dir, shared_dir
+from .util import bound_batches, drop_dir, shared_dir, stored
 
 WINDOW = 12
 MEAN = 10  # a chunk has about 2 ** MEAN ids
@@ -210,8 +211,18 @@ def drops_space(path: str) -> bool:
     return any(s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert") and "[^\\s" in s["pattern"].get("Regex", "") for s in steps)
 
 
+def settled(docs: DataFrame) -> DataFrame:
+    """docs itself if its tasks read the same rows whenever they run (files, or literal rows), else a written copy."""
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    steps = set(re.findall(r"^[\s:+\-*()\d]*([A-Z][A-Za-z]+)", plan, re.M))
+    return docs if steps <= {"FileScan", "LocalTableScan", "Range", "ColumnarToRow", "Project", "Filter", "Union"} else stored(docs, "token-input")
+
+
 def write_store(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int = 2, path: str | None = None) -> str:
-    """Encode docs (doc_id, text), write the store and return its path; ids must fit width bytes."""
+    """Encode docs (doc_id, text), write the store and return its path; ids must fit width bytes.
+
+    Recipes are named by task and row, so a task that runs again has to read the same rows: input that isn't read from files is written first.
+    """
     spark = docs.sparkSession
     bound_batches(spark)
     path = path or shared_dir(spark, "token-store")
@@ -259,7 +270,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int = 2
                 pa.array([None] * n + chunk["n"], pa.int32()), pa.array([None] * n + chunk["data"], pa.binary()),
             ], names=["kind", "key", "doc_id", "digests", "lengths", "root", "n", "data"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, f"kind string, key binary, doc_id {id_type}, digests array<binary>, lengths array<int>, root binary, n int, data binary")
+    rows = settled(docs.select("doc_id", "text")).mapInArrow(run, f"kind string, key binary, doc_id {id_type}, digests array<binary>, lengths array<int>, root binary, n int, data binary")
     rows.repartition("kind", "key").dropDuplicates(["kind", "key"]).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/rows")
     stored = spark.read.schema(rows.schema).parquet(f"{path}/rows")
     recipes = stored.filter("kind = 'recipe'").select("doc_id", "key", "digests", "lengths", "root", F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x).alias("n_tokens"))

@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from geoprev.llm import decontaminate as D
 
@@ -91,3 +92,14 @@ def test_one_index_for_any_number_of_blocks(spark, data, monkeypatch):
     docs, items = data
     out = D.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_bytes=400)
     assert len(built) == 1 and "PythonUDF" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_equal_items_are_one(spark):
+    """Repeated items fill no block, and blocks stay near their size."""
+    many = spark.range(30_000).select(F.lit(1).alias("item_id"), F.lit("one two three four five").alias("text")).unionByName(
+        spark.range(600).select((F.col("id") + 2).cast("int").alias("item_id"), F.concat(F.lit("item number "), F.col("id").cast("string")).alias("text")))
+    blocks = [items for _, items in D._blocks(many, 2000)]
+    assert len(blocks) > 3 and sum(map(len, blocks)) == 601 and max(map(len, blocks)) < 200
+    docs = spark.createDataFrame([(1, "x one two three four five y"), (2, "no item here"), (3, "item number 77")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in D.contamination(docs, many, block_bytes=4000).collect()}
+    assert got == {1: (5, ["1"]), 2: (0, []), 3: (3, ["79"])}

@@ -123,3 +123,20 @@ def test_many_languages_do_not_raise(spark):
     rows = [(i, text("aa", i, 5), f"l{i:03}") for i in range(70)]
     m = L.language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert len(m["languages"]) == 70
+
+
+def test_labels_of_long_texts_only(spark):
+    """Long texts make up for short ones that a label hasn't got; one job ranks all labels."""
+    from geoprev.llm.sampling import labelled_sample
+
+    de = "der hund schläft nicht über die straße " * 1000
+    rows = [(i, de[i:], "de") for i in range(30)] + [(100 + i, f"the dog sleeps on the street number {i}", "en") for i in range(30)] + [(200, de, "en"), (300, "x", None), (301, None, "fr"), (302, "", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = labelled_sample(docs.withColumnRenamed("lang", "label"), 20, 20_000)
+    assert sorted(got) == ["de", "en"] and [len(v) for v in got.values()] == [20, 20]
+    assert all(len(t) == 5000 and t in de for t in got["de"]) and len({t[:30] for t in got["de"]}) > 1 and all(t.startswith("the dog") for t in got["en"])
+    assert len(labelled_sample(docs.withColumnRenamed("lang", "label"), 400, 20_000)["en"]) == 31
+    model = L.language_model(docs)
+    assert model["languages"] == ["de", "en"]
+    out = {r.doc_id: r.lang_pred for r in L.predict(docs, model).collect()}
+    assert out[3] == "de" and out[103] == "en"

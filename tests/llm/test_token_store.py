@@ -114,3 +114,13 @@ def test_cuts_follow_the_content():
     assert len(set((b - 1).tolist()) & set(a.tolist())) >= 0.9 * len(a)
     assert S.cuts(ids[:4], np.array([1, 4])).tolist() == [1, 4]
     assert S.merkle([b"a", b"b", b"c"]) != S.merkle([b"a", b"c", b"b"])
+
+
+def test_input_that_a_rerun_could_deal_otherwise_is_written_first(spark, tmp_path):
+    from geoprev.llm import token_store as T
+
+    spark.range(50).selectExpr("id AS doc_id", "concat('word ', id) AS text").write.parquet(str(tmp_path / "docs"))
+    scan = spark.read.parquet(str(tmp_path / "docs"))
+    assert T.settled(scan) is scan
+    dealt = scan.repartition(3, "doc_id")
+    assert T.settled(dealt) is not dealt and T.settled(dealt).count() == 50
