@@ -64,7 +64,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that the words of each source come to its target; a copy is a row of its own.
 
     A null source is a source of its own. Null and empty texts have no words: they are taken where their place in the order of
-    their source lies inside the target, and cost nothing. Ties of the order go by doc_id and size; repeated rows count each.
+    their source lies inside the target, and cost nothing. The order is by a hash of all columns; repeated rows count each.
     """
     mixed = mixing.mix(docs, F.array("source"), mixing.word_count(F.col("text")), carry=["text", "lang", "source", "n_chars"])
     return mixed.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(COLUMNS)
