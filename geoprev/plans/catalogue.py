@@ -22,7 +22,9 @@ from ..operators import obs as O
 from ..operators import pairs as P
 from ..operators import report as R
 from ..operators import spatial as S
-from . import kalman, model, rff, simulate, variogram
+from ..operators.quantiles import exact_quantile
+from ..shared import stored
+from . import kalman, model, rff, ridge, simulate, variogram
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -118,17 +120,22 @@ def emplogit(spark, sf_dir):
     return surveys(spark, sf_dir).select("survey_id", "year", "mutation", F.round(X.emplogit(F.col("numerator"), F.col("denominator")), 6).alias("z"))
 
 
-_YEARS = "y AS (SELECT CAST(range AS INTEGER) AS year FROM range(1995, 2031))"
+#: Every year from 20 before a survey to 10 after it.
+_YEARS = "y AS (SELECT DISTINCT CAST(year + d AS INTEGER) AS year FROM obs, range(-20, 11) r(d))"
 
 
-@query(f"WITH {_YEARS} SELECT year, {_group_sql('year')} AS year_group FROM y")
+def _years(spark, sf_dir):
+    return surveys(spark, sf_dir).select("year").distinct().select(F.explode(F.sequence(F.col("year") - 20, F.col("year") + 10)).alias("year")).distinct()
+
+
+@query(f"WITH {OBS}, {_YEARS} SELECT year, {_group_sql('year')} AS year_group FROM y")
 def year_group(spark, sf_dir):
-    return O.add_year_group(spark.range(1995, 2031).select(F.col("id").cast("int").alias("year")))
+    return O.add_year_group(_years(spark, sf_dir))
 
 
-@query(f"WITH {_YEARS} SELECT year, {_group_sql('year', True)} AS year_group FROM y")
+@query(f"WITH {OBS}, {_YEARS} SELECT year, {_group_sql('year', True)} AS year_group FROM y")
 def year_group_pd(spark, sf_dir):
-    return O.add_year_group(spark.range(1995, 2031).select(F.col("id").cast("int").alias("year")), odd=True)
+    return O.add_year_group(_years(spark, sf_dir), odd=True)
 
 
 def _long(spark, sf_dir):
@@ -177,15 +184,21 @@ def observed_points_2y(spark, sf_dir):
     return _rounded(O.points_by_block(O.observed_points(surveys(spark, sf_dir), BOX, 2015, 2020), [2016, 2017, 2019]), "p")
 
 
-@query("SELECT CAST(27 + (i % 20) * (17.5 / 19) AS DOUBLE) AS x0, CAST(i + 1 AS BIGINT) AS pixel, CAST(i % 20 AS INTEGER) AS ix, CAST(i // 20 AS INTEGER) AS iy, round(27 + (i % 20) * (17.5 / 19), 6) AS x, round(-5 + (i // 20) * (22.5 / 19), 6) AS y FROM range(400) r(i)".replace("CAST(27 + (i % 20) * (17.5 / 19) AS DOUBLE) AS x0, ", ""))
+_EXTENT = "e AS (SELECT min(longitude) - 1.0 AS x0, max(longitude) + 1.0 AS x1, min(latitude) - 1.0 AS y0, max(latitude) + 1.0 AS y1 FROM obs)"
+
+
+@query(f"WITH {OBS}, {_EXTENT} SELECT CAST(i + 1 AS BIGINT) AS pixel, CAST(i % 20 AS INTEGER) AS ix, CAST(i // 20 AS INTEGER) AS iy, round(x0 + (i % 20) * ((x1 - x0) / 19), 6) AS x, round(y0 + (i // 20) * ((y1 - y0) / 19), 6) AS y FROM range(400) r(i), e")
 def grid_cells(spark, sf_dir):
-    return _rounded(G.grid(spark, BOX, 20, 20), "x", "y")
+    """A grid over the surveys, a degree wider on every side."""
+    r = S.extent(surveys(spark, sf_dir), "longitude", "latitude").first()
+    return _rounded(G.grid(spark, geo.Box(r["xmin"], r["xmax"], r["ymin"], r["ymax"]).padded(1.0), 20, 20), "x", "y")
 
 
-@query("SELECT CAST((i % 3 + 1) * 10 AS DOUBLE) AS x, CAST(i // 3 % 2 + 1 AS DOUBLE) AS y, CAST(2012 + t AS INTEGER) AS t, CAST(t * 6 + i + 1 AS DOUBLE) AS p FROM range(6) r(i), range(3) s(t)")
+@query("SELECT CAST((i % 8 + 1) * 10 AS DOUBLE) AS x, CAST(i // 8 + 1 AS DOUBLE) AS y, vec_id AS t, round(CAST(embedding[i + 1] AS DOUBLE), 6) AS p FROM embeddings, range(64) r(i)")
 def raster_long(spark, sf_dir):
-    flat = spark.range(3).select((F.col("id") + 2012).cast("int").alias("t"), F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: (F.col("id") * 6 + i).cast("double")).alias("values"))
-    return G.raster_long(flat, [10, 20, 30], [1, 2])
+    """Vectors as flat arrays of 8 x 8 cells, x fastest, one a time."""
+    flat = _read(spark, sf_dir, "embeddings", F.col("vec_id").alias("t"), F.col("embedding").cast("array<double>").alias("values"))
+    return _rounded(G.raster_long(flat, [10 * k for k in range(1, 9)], list(range(1, 9))), "p")
 
 
 def _draws(spark, sf_dir):
@@ -370,13 +383,13 @@ def pairs_one_year(spark, sf_dir):
 
 @query(f"WITH {OBS}, {_PLACED} SELECT a.mutation, round(avg((b.z - a.z) ** 2), 6) AS tau2_year, count(b.z - a.z) AS n_pairs FROM a JOIN a b ON b.year = a.year + 1 AND a.mutation = b.mutation WHERE {_DIST} <= 600 GROUP BY a.mutation")
 def tau2(spark, sf_dir):
-    return _rounded(P.tau2(P.one_year_pairs(_placed(spark, sf_dir), 600.0)), "tau2_year")
+    return _rounded(P.tau2_near(_placed(spark, sf_dir), 600.0), "tau2_year")
 
 
 @query(f"WITH {OBS}, {_PLACED} SELECT round(avg((b.z - a.z) ** 2), 6) AS tau2_year, count(b.z - a.z) AS n_pairs FROM (SELECT * FROM a WHERE mutation IN ('crt:76:T', 'mdr1:86:Y')) a JOIN (SELECT * FROM a WHERE mutation IN ('crt:76:T', 'mdr1:86:Y')) b ON b.year = a.year + 1 WHERE {_DIST} <= 600")
 def tau2_pooled(spark, sf_dir):
     rows = _placed(spark, sf_dir).filter(F.col("mutation").isin("crt:76:T", "mdr1:86:Y"))
-    return _rounded(P.tau2(P.one_year_pairs(rows, 600.0, same=()), by=()), "tau2_year")
+    return _rounded(P.tau2_near(rows, 600.0, by=()), "tau2_year")
 
 
 _VAR = f"v AS (SELECT a.mutation, {_DIST} AS d, a.z - b.z AS dz FROM (SELECT *, make_date(year, 7, 1) AS day FROM a) a JOIN (SELECT *, make_date(year, 7, 1) AS day FROM a) b ON b.day = a.day + 365 AND a.mutation = b.mutation)"
@@ -388,14 +401,22 @@ def variogram_bins(spark, sf_dir):
     return _rounded(P.variogram_bins(_placed(spark, sf_dir)), "dist", "gamma")
 
 
+@query(f"WITH {OBS}, {_PLACED}, {_VAR}, {_BINS.replace('dz IS NOT NULL', 'dz IS NOT NULL AND d <= 700')} SELECT mutation, bin, round(dist, 6) AS dist, round(gamma, 6) AS gamma, np FROM n")
+def variogram_bins_near(spark, sf_dir):
+    """Bins up to a cutoff, whose pairs meet on cells of its size."""
+    return _rounded(P.variogram_bins(_placed(spark, sf_dir), cutoff_km=700.0), "dist", "gamma")
+
+
 @query(f"WITH {OBS}, {_PLACED}, {_VAR}, {_BINS} SELECT mutation, round(sum(sqrt(np) * (gamma - (0.8 + 0.5 * (1 - exp(-((dist / 400.0) ** 2))))) ** 2), 5) AS loss FROM n WHERE dist > 0 GROUP BY mutation")
 def variogram_loss(spark, sf_dir):
     return _rounded(variogram.weighted_loss(P.variogram_bins(_placed(spark, sf_dir)), 0.5, 400.0), "loss", digits=5)
 
 
-@query("SELECT round(i * (1500.0 / 499), 6) AS dist, round(0.8 + 0.5 * (1 - exp(-((i * (1500.0 / 499) / 400.0) ** 2))), 6) AS gamma FROM range(500) r(i)")
+@query(f"WITH {OBS}, {_PLACED}, {_VAR}, {_BINS}, c AS (SELECT mutation, i * (max(dist) / 499) AS dist FROM n, range(500) r(i) GROUP BY mutation, i) SELECT mutation, round(dist, 6) AS dist, round(0.8 + 0.5 * (1 - exp(-((dist / 400.0) ** 2))), 6) AS gamma FROM c")
 def variogram_curve(spark, sf_dir):
-    return _rounded(variogram.fitted_curve(spark, 1500.0, 0.5, 400.0), "dist", "gamma")
+    """A curve for each marker, up to its farthest bin."""
+    far = P.variogram_bins(_placed(spark, sf_dir)).groupBy("mutation").agg(F.max("dist").alias("far"))
+    return _rounded(variogram.curves(far, 0.5, 400.0), "dist", "gamma")
 
 
 #: All pairs of surveys of a marker; a survey's number is its row by marker, year and nation.
@@ -419,7 +440,8 @@ def vario_cor(spark, sf_dir):
 
 @query(f"WITH {OBS}, {_PLACED}, {_ALL}, c AS (SELECT *, 0.1 + 0.9 * (1 - exp(-(dist_space / 300.0)) * exp(-((dist_time / 2.0) ** 2))) AS c FROM p) SELECT mutation, round(sum(-0.5 * (ln(2 * pi() * c) + dist_z ** 2 / c)), 4) AS loglike, count(dist_z) AS n_pairs FROM c GROUP BY mutation")
 def vario_loglike(spark, sf_dir):
-    return _rounded(P.vario_loglike(_pairs(spark, sf_dir), 300.0, 2.0, 0.1, 0.9, ["mutation"]), "loglike", digits=4)
+    rows = _placed(spark, sf_dir).select("mutation", F.col("x_km").alias("x"), F.col("y_km").alias("y"), F.col("year").alias("t"), "z")
+    return _rounded(P.loglike_of_blocks(rows, 300.0, 2.0, 0.1, 0.9, ["mutation"]), "loglike", digits=4)
 
 
 def rectangles(spark) -> DataFrame:
@@ -501,9 +523,11 @@ def rff_features_small(spark, sf_dir):
 
 @query(f"WITH {OBS} SELECT median(longitude) AS lon0, median(latitude) AS lat0, round(median(numerator / denominator), 6) AS p_mid, min(year) AS first_year, max(year) AS last_year, bool_or(numerator > denominator) AS any_over, bool_and(denominator > 0) AS all_positive, count(DISTINCT mutation) AS n_mutations FROM obs")
 def survey_summary(spark, sf_dir):
-    """Medians, extent, any and all, distinct counts in one pass."""
-    return surveys(spark, sf_dir).agg(
-        F.median("longitude").alias("lon0"), F.median("latitude").alias("lat0"), F.round(F.median(F.col("numerator") / F.col("denominator")), 6).alias("p_mid"),
+    """Medians by refined histograms; extent, any and all, distinct counts in one pass."""
+    rows = stored(surveys(spark, sf_dir).withColumn("p", F.col("numerator") / F.col("denominator")), "surveys")
+    lon, lat, p = (F.lit(exact_quantile(rows, c)).cast("double") for c in ("longitude", "latitude", "p"))
+    return rows.agg(
+        F.max(lon).alias("lon0"), F.max(lat).alias("lat0"), F.round(F.max(p), 6).alias("p_mid"),
         F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.bool_or(F.col("numerator") > F.col("denominator")).alias("any_over"),
         F.bool_and(F.col("denominator") > 0).alias("all_positive"), F.count_distinct("mutation").alias("n_mutations"))
 
@@ -748,7 +772,10 @@ def variogram_fit(spark, sf_dir):
 
 @query()
 def sim_field(spark, sf_dir):
-    return simulate.sim_field(spark, list(range(8)), list(range(8)), list(range(6)), [1, 2, 3], length_space=2.0, length_time=2.0)
+    """Fields on the places and years of the surveys, one a marker."""
+    rows = surveys(spark, sf_dir)
+    axis = lambda c: sorted(r[0] for r in rows.select(c).distinct().collect())  # noqa: E731  axes of a grid
+    return simulate.sim_field(spark, axis("longitude"), axis("latitude"), axis("year"), list(range(1, len(axis("mutation")) + 1)), length_space=8.0, length_time=2.0)
 
 
 @query()
@@ -756,3 +783,31 @@ def sample_cells(spark, sf_dir):
     return simulate.draw_surveys(sim_field(spark, sf_dir).filter("seed = 1"), 100, 50)
 
 
+#: Terms of a trend surface; folds go by the survey's number and year.
+TERMS = ("1.0", "x", "y", "t", "x * y", "x * x", "y * y", "t * t")
+_TREND = f"f AS (SELECT *, [{', '.join(TERMS)}] AS v, (CAST(survey_id AS BIGINT) * 7 + year) % 5 AS fold FROM (SELECT *, (longitude - 35) / 10 AS x, (latitude - 5) / 10 AS y, (year - 2018) / 4.0 AS t, {LOGIT} AS z FROM obs WHERE denominator > 0))"
+
+
+def _trend(spark, sf_dir) -> dict[int, ridge.Sums]:
+    rows = O.with_logit(O.valid_counts(surveys(spark, sf_dir)))
+    x, y, t = (F.col("longitude") - 35) / 10, (F.col("latitude") - 5) / 10, (F.col("year") - 2018) / 4.0
+    fold = (F.col("survey_id").cast("long") * 7 + F.col("year")) % 5
+    terms = F.array(F.lit(1.0), x, y, t, x * y, x * x, y * y, t * t)
+    return ridge.fold_sums(rows, terms, F.col("z"), fold, len(TERMS))
+
+
+@query(f"WITH {OBS}, {_TREND} SELECT CAST(fold AS INTEGER) AS fold, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum(v[i] * v[j]), 5) AS xx, round(sum(v[i] * z), 5) AS xy, count(*) AS n FROM f, range(1, {len(TERMS) + 1}) a(i), range(1, {len(TERMS) + 1}) b(j) WHERE z IS NOT NULL GROUP BY ALL")
+def ridge_sums(spark, sf_dir):
+    """X'X and X'y of every fold of the trend surface, from one pass."""
+    rows = [(f, i + 1, j + 1, float(s.xx[i, j]), float(s.xy[i]), s.n) for f, s in _trend(spark, sf_dir).items() for i in range(len(TERMS)) for j in range(len(TERMS))]
+    return _rounded(spark.createDataFrame(rows, "fold int, i int, j int, xx double, xy double, n long"), "xx", "xy", digits=5)
+
+
+@query()
+def ridge_trend(spark, sf_dir):
+    """Cross-validated error of 100 penalties, which one is best, and the weights of all."""
+    folds = _trend(spark, sf_dir)
+    errors, best, _ = ridge.cross_validated(folds)
+    weights = ridge.path(sum(folds.values(), ridge.Sums(0.0, 0.0, 0.0, 0)))
+    rows = [(float(p), float(e), bool(p == best), [float(x) for x in w]) for p, e, w in zip(ridge.PENALTIES, errors, weights.T)]
+    return spark.createDataFrame(rows, "penalty double, error double, best boolean, weights array<double>")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import Box, laea_km
 from ..operators import grid as G
+from ..operators.quantiles import exact_quantile
 from ..shared import stored
 from . import fitting, kalman, rff
 from .blas import one_thread
@@ -46,10 +47,9 @@ class Settings:
 
 
 def local_km(df: DataFrame, centre: tuple[float, float] | None = None, lon: str = "longitude", lat: str = "latitude") -> tuple[DataFrame, tuple[float, float]]:
-    """x_km, y_km around a centre (default: the median position; two numbers come to the driver)."""
+    """x_km, y_km around a centre (default: the median position)."""
     if centre is None:
-        r = df.agg(F.median(lon), F.median(lat)).first()
-        centre = (r[0], r[1])
+        centre = (exact_quantile(df, lon), exact_quantile(df, lat))
     x, y = laea_km(F.col(lon), F.col(lat), *centre)
     return df.withColumn("x_km", x).withColumn("y_km", y), centre
 

@@ -62,7 +62,7 @@ def hyperparameters(obs: DataFrame, radius_km: float = 75.0, width_km: float = 2
     """One row a mutation: ell_km = range / sqrt(2), tau2_year, psill, range_km; obs: mutation, id, year, day, x_km, y_km, z."""
     spark = obs.sparkSession
     bins = P.variogram_bins(obs, width_km).collect()
-    tau = {r["mutation"]: r["tau2_year"] for r in P.tau2(P.one_year_pairs(obs, radius_km)).collect()}
+    tau = {r["mutation"]: r["tau2_year"] for r in P.tau2_near(obs, radius_km).collect()}
     rows = []
     for m in sorted({r["mutation"] for r in bins}):
         own = sorted((r for r in bins if r["mutation"] == m), key=lambda r: r["bin"])
@@ -79,6 +79,12 @@ def fitted_curve(spark, longest: float, psill: float, range_km: float, nugget: f
     return h.withColumn("gamma", X.gauss_variogram(F.col("dist"), psill, range_km, nugget))
 
 
+def curves(far: DataFrame, psill: float, range_km: float, nugget: float = NUGGET, n: int = 500) -> DataFrame:
+    """The fitted curve at n distances up to `far` of each row (mutation, far)."""
+    h = far.withColumn("dist", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i * (F.col("far") / (n - 1))))).drop("far")
+    return h.withColumn("gamma", X.gauss_variogram(F.col("dist"), psill, range_km, nugget))
+
+
 def weighted_loss(bins: DataFrame, psill: float, range_km: float, nugget: float = NUGGET, by: tuple[str, ...] = ("mutation",)) -> DataFrame:
     e = F.col("gamma") - X.gauss_variogram(F.col("dist"), psill, range_km, nugget)
     return bins.filter("dist > 0").groupBy(*by).agg(F.sum(F.sqrt("np") * e * e).alias("loss"))
