@@ -264,3 +264,43 @@ def assert_columns(df: DataFrame, rules: dict) -> bool:
     row = check_columns(df, rules).first().asDict()
     bad = [c for c, ok in row.items() if not ok]
     return _say(not bad, None, f"columns break their rules: {bad}", "table")
+
+
+ORDER = "part int, n long, first double, last double, up boolean, down boolean"
+
+
+def check_order(df: DataFrame, column: str, order: list[str]) -> DataFrame:
+    """One row: whether a numeric column increases and decreases (equal neighbours allowed) in the order of others, and has no duplicates.
+
+    Ranges of the order are checked each in one task, batch by batch, and send their first and last value; these, a row a range, are
+    compared with their neighbours'. Duplicates are found by a grouped count. A NULL or NaN breaks both orders; an empty table breaks nothing.
+    """
+    import pyarrow as pa
+    from pyspark import TaskContext
+    from pyspark.sql import Window
+
+    def run(batches):
+        n, first, last, up, down = 0, None, None, True, True
+        for b in batches:
+            x = b.column("v").to_numpy(zero_copy_only=False).astype(float)
+            if not len(x):
+                continue
+            step = np.diff(x if last is None else np.append(last, x))
+            ok = not np.isnan(x).any()
+            up, down = bool(up and ok and (step >= 0).all()), bool(down and ok and (step <= 0).all())
+            first, last, n = x[0] if n == 0 else first, x[-1], n + len(x)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((TaskContext.get().partitionId(), n, first, last, up, down), (pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_()))], names=["part", "n", "first", "last", "up", "down"])
+
+    value = F.col(column).cast("double").alias("v")
+    ranges = df.select(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], value).repartitionByRange(*[f"o{i}" for i in range(len(order))]).sortWithinPartitions(*[f"o{i}" for i in range(len(order))]).mapInArrow(run, ORDER)
+    before = F.lag("last").over(Window.orderBy("part"))
+    sides = ranges.withColumn("before", before).agg(
+        F.coalesce(F.bool_and(F.col("up") & F.coalesce(F.col("first") >= F.col("before"), F.lit(True))), F.lit(True)).alias("increasing"),
+        F.coalesce(F.bool_and(F.col("down") & F.coalesce(F.col("first") <= F.col("before"), F.lit(True))), F.lit(True)).alias("decreasing"))
+    return sides.join(check_unique(df, [column]))
+
+
+def check_unique(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: whether no values of the columns together come twice (NULL counts as a value)."""
+    return df.groupBy(*columns).count().agg(F.coalesce(F.bool_and(F.col("count") == 1), F.lit(True)).alias("noduplicates"))

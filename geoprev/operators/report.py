@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -59,15 +59,23 @@ def prevalence_per_year(df: DataFrame, keys: list[str], first: int, last: int) -
     return wide.withColumn("prev_per_year", rise * 100).withColumn("percent_per_year", rise)
 
 
+def _holds(bad: Column, message: Column | str) -> Column:
+    """A condition that is true, or stops the job with a message where a row is bad."""
+    return F.when(bad, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+
+
 def lookup_join(df: DataFrame, lookup: DataFrame, key: str, columns: list[str], strict: bool = True) -> DataFrame:
-    """Left join to a distinct lookup; with strict, raises if a key of the lookup repeats or a key of df is missing."""
+    """Left join to a distinct lookup; with strict, the job stops at a row whose key repeats in the lookup or isn't in it.
+
+    The check is part of the join's own job: rows of the lookup carry how often their key comes, and no row is read twice.
+    """
     right = lookup.select(key, *columns).distinct()
-    if strict:
-        if not right.groupBy(key).count().filter("count > 1").isEmpty():
-            raise ValueError(f"{key} repeats in the lookup: rows would multiply")
-        if not missing(df, right, key).isEmpty():
-            raise ValueError(f"values of {key} are not in the lookup")
-    return df.join(right, key, "left")
+    if not strict:
+        return df.join(right, key, "left")
+    once = right.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in columns])
+    out = df.join(once, key, "left")
+    name = F.coalesce(F.col(key).cast("string"), F.lit("NULL"))
+    return out.filter(_holds(F.col("_n").isNull(), F.concat(F.lit(f"{key} is not in the lookup: "), name)) & _holds(F.col("_n") > 1, F.concat(F.lit(f"{key} repeats in the lookup: "), name))).drop("_n")
 
 
 def missing(df: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
@@ -99,8 +107,15 @@ def named(column: Column, names: dict[str, str]) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), column)
 
 
-def checked_equal_rows(a: DataFrame, b: DataFrame, what: str) -> None:
-    n, m = a.count(), b.count()
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """df with its rows counted by whatever job reads it; the count is there when that job is done."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
+def checked_equal_rows(a: Observation, b: Observation, what: str) -> None:
+    """Raises if two counted tables of a job that is done had not as many rows; no job of its own."""
+    n, m = a.get["rows"], b.get["rows"]
     if n != m:
         raise ValueError(f"{what}: {n} rows became {m}")
 

@@ -566,6 +566,23 @@ def column_checks(spark, sf_dir):
     return V.check_columns(surveys(spark, sf_dir), rules)
 
 
+def _order_sql(column: str, order: str) -> str:
+    return (f"SELECT '{column}' AS rule, coalesce(bool_and(v >= coalesce(b, v)), true) AS increasing, coalesce(bool_and(v <= coalesce(b, v)), true) AS decreasing, (SELECT count(DISTINCT {column}) = count(*) FROM obs) AS noduplicates"
+            f" FROM (SELECT {column} AS v, lag({column}) OVER (ORDER BY {order}) AS b FROM obs)")
+
+
+@query(f"WITH {OBS} {_order_sql('year', 'year, mutation, survey_id')} UNION ALL {_order_sql('latitude', 'latitude DESC, mutation, survey_id, year').replace(chr(39) + 'latitude' + chr(39), chr(39) + 'south' + chr(39))} UNION ALL {_order_sql('prevalence', 'mutation, year, survey_id')}")
+def order_checks(spark, sf_dir):
+    """Whether columns increase, decrease or repeat, in an order that other columns give."""
+    rows = stored(surveys(spark, sf_dir).withColumn("up", -F.col("latitude")), "surveys")
+    checks = {"year": V.check_order(rows, "year", ["year", "mutation", "survey_id"]), "south": V.check_order(rows, "latitude", ["up", "mutation", "survey_id", "year"]), "prevalence": V.check_order(rows, "prevalence", ["mutation", "year", "survey_id"])}
+    out = None
+    for name, one in checks.items():
+        one = one.select(F.lit(name).alias("rule"), "increasing", "decreasing", "noduplicates")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("SELECT CAST(date_trunc('week', ts) AS VARCHAR)[:10] AS week, event_type, count(*) AS n, round(avg(value), 5) AS mean_value FROM events GROUP BY ALL")
 def event_weeks(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -625,6 +642,15 @@ def region_series(spark, sf_dir):
     return R.region_interval(model.region_draws(fits, _cells(spark, s), s), ["mutation", "id_1", "t"])
 
 
+@query()
+def region_series_fitted(spark, sf_dir):
+    """The chain of the jobs: variogram and tau squared of every marker, the fit with them, intervals of regional means."""
+    rows = _placed(spark, sf_dir)
+    s = _settings(rows)
+    hyper = variogram.hyperparameters(rows, 600.0).select("mutation", "ell_km", "tau2_year")
+    return R.region_interval(model.region_draws(model.fit_models(rows, hyper, s), _cells(spark, s), s), ["mutation", "id_1", "t"])
+
+
 #: One frequency, so a state of two weights, whose filter and smoother SQL can follow survey by survey.
 EXACT = model.Settings(features=1, rounds=5, nx=12, ny=10)
 EXACT_ELL, EXACT_TAU2 = 600.0, 0.05
@@ -679,6 +705,40 @@ def kalman_exact(spark, sf_dir):
     return out.select("mutation", "t", *[F.round(F.col("mean")[i], 5).alias(f"m{i + 1}") for i in range(2)], *[F.round(F.col("cov")[i], 6).alias(n) for i, n in ((0, "c11"), (1, "c12"), (3, "c22"))])
 
 
+#: Posterior paths on normal numbers that a formula gives.
+PATHS = dataclasses.replace(EXACT, draws=9)
+
+
+def _noise(year: int, weights: int, draws: int) -> np.ndarray:
+    return 1.5 * np.sin(1.3 * np.arange(weights)[:, None] + 0.7 * np.arange(draws) + 0.11 * (year - 2000))
+
+
+def _paths_sql() -> str:
+    """Backwards over the years from the last round's filter: gain, conditional covariance and its lower root, for two weights."""
+    tau, top = EXACT_TAU2, f"k{EXACT.rounds}"
+    noise = lambda k, y: f"1.5 * sin({1.3 * k} + 0.7 * d + 0.11 * ({y} - 2000))"
+    root = lambda a, b, c: (f"sqrt({a} + q)", f"{b} / sqrt({a} + q)", f"sqrt({c} + q - ({b}) * ({b}) / ({a} + q))")
+    l11, l21, l22 = root("c11", "c12", "c22")
+    r11, r21, r22 = root("v11", "v12", "v22")
+    return (f"pa AS (SELECT mutation, year, d, m1 + {l11} * e1 AS w1, m2 + {l21} * e1 + {l22} * e2 AS w2 FROM (SELECT k.*, d, 1e-9 * greatest((c11 + c22) / 2, 1e-12) AS q, {noise(0, 'year')} AS e1, {noise(1, 'year')} AS e2 FROM {top} k, range({PATHS.draws}) r(d) WHERE year = (SELECT max(year) FROM e)) UNION ALL"
+            f" SELECT mutation, year, d, m1 + j11 * (w1 - m1) + j12 * (w2 - m2) + {r11} * e1, m2 + j21 * (w1 - m1) + j22 * (w2 - m2) + {r21} * e1 + {r22} * e2"
+            f" FROM (SELECT *, 1e-9 * greatest((v11 + v22) / 2, 1e-12) AS q, {noise(0, 'year')} AS e1, {noise(1, 'year')} AS e2"
+            f" FROM (SELECT *, c11 - c11 * j11 - c12 * j12 AS v11, c12 - c11 * j21 - c12 * j22 AS v12, c22 - c12 * j21 - c22 * j22 AS v22"
+            f" FROM (SELECT k.*, d, w1, w2, (c11 * (c22 + {tau}) - c12 * c12) / det AS j11, (c12 * (c11 + {tau}) - c11 * c12) / det AS j12, (c12 * (c22 + {tau}) - c22 * c12) / det AS j21, (c22 * (c11 + {tau}) - c12 * c12) / det AS j22"
+            f" FROM (SELECT *, (c11 + {tau}) * (c22 + {tau}) - c12 * c12 AS det FROM {top}) k JOIN pa ON pa.mutation = k.mutation AND pa.year = k.year + 1))))")
+
+
+@query(f"WITH RECURSIVE {OBS}, {_EM}, {_paths_sql()} SELECT mutation, CAST(year AS INTEGER) AS t, CAST(d + 1 AS INTEGER) AS draw, round(w1, 5) AS w1, round(w2, 5) AS w2 FROM pa")
+def posterior_paths(spark, sf_dir):
+    """Joint draws of the weights of all years, for one frequency, from the fit of all surveys."""
+    rows = _placed(spark, sf_dir)
+    s = dataclasses.replace(PATHS, **{k: getattr(_settings(rows), k) for k in ("first_year", "last_year")})
+    hyper = rows.select("mutation", F.lit(EXACT_ELL).alias("ell_km"), F.lit(EXACT_TAU2).alias("tau2_year")).distinct()
+    fits = model.fit_models(rows, hyper, s, _noise)
+    draws = fits.select("mutation", "t", F.explode(F.sequence(F.lit(1), F.lit(s.draws))).alias("draw"), "weights")
+    return draws.select("mutation", "t", "draw", *[F.round(F.element_at("weights", F.col("draw") + k * s.draws), 5).alias(f"w{k + 1}") for k in range(2)])
+
+
 def _cells_sql(s: model.Settings) -> str:
     """cell: the grid with kilometres and the features of the one frequency."""
     wx, wy = map(float, rff.frequencies(1, EXACT_ELL, s.seed)[0])

@@ -8,7 +8,7 @@ prediction for a year is the filter of the year before plus tau2.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -182,19 +182,21 @@ def _root(c: np.ndarray, factor: str) -> np.ndarray:
     return low if factor == "lower" else low.T
 
 
-def posterior_paths(p: Passes, n: int, seed: int, factor: str = "lower") -> np.ndarray:
+def posterior_paths(p: Passes, n: int, seed: int, factor: str = "lower", noise: Callable[[int], np.ndarray] | None = None) -> np.ndarray:
     """n joint draws of the weights (T x 2D x n), backwards in time; gains and roots are made once a year.
 
+    noise: the standard normal numbers (2D x n) of a year, by its place; by default drawn with the seed.
     factor='upper' multiplies by the transposed root, whose draws have another covariance; it is there for comparison.
     """
     rng = np.random.default_rng(seed)
     t, s = p.m_filt.shape
     out = np.zeros((t, s, n))
-    out[-1] = p.m_filt[-1][:, None] + _root(p.c_filt[-1], factor) @ rng.normal(size=(s, n))
+    noise = noise or (lambda i: rng.normal(size=(s, n)))
+    out[-1] = p.m_filt[-1][:, None] + _root(p.c_filt[-1], factor) @ noise(t - 1)
     for i in range(t - 2, -1, -1):
         j = gain(p, i)
         var = p.c_filt[i] - j @ p.c_pred(i + 1) @ j.T
-        out[i] = p.m_filt[i][:, None] + j @ (out[i + 1] - p.m_pred(i + 1)[:, None]) + _root((var + var.T) / 2, factor) @ rng.normal(size=(s, n))
+        out[i] = p.m_filt[i][:, None] + j @ (out[i + 1] - p.m_pred(i + 1)[:, None]) + _root((var + var.T) / 2, factor) @ noise(i)
     return out
 
 

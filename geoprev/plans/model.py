@@ -6,7 +6,7 @@ year; cells go out in slices of bounded size, each broadcast, and a task goes th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -54,15 +54,17 @@ def local_km(df: DataFrame, centre: tuple[float, float] | None = None, lon: str
     return df.withColumn("x_km", x).withColumn("y_km", y), centre
 
 
-def fit_models(obs: DataFrame, hyper: DataFrame, s: Settings = Settings()) -> DataFrame:
+def fit_models(obs: DataFrame, hyper: DataFrame, s: Settings = Settings(), noise: Callable[[int, int, int], np.ndarray] | None = None) -> DataFrame:
     """(mutation, t, ell_km, weights array<double> by weight and draw): joint posterior draws of the weights of each year.
 
     obs: mutation, year, x_km, y_km, numerator, denominator; hyper: mutation, ell_km, tau2_year. The fits are stored, dealt by mutation and year.
+    noise: the normal numbers of a draw (weights x draws) by year, number of weights and of draws, where they are given from outside.
     """
     years, spark = s.years, obs.sparkSession
 
     def draws(mutation: str, ell: float, passes: kalman.Passes) -> pd.DataFrame:
-        paths = kalman.posterior_paths(passes, s.draws, s.seed + 1, s.factor)
+        given = noise and (lambda i: noise(years[i], 2 * s.features, s.draws))
+        paths = kalman.posterior_paths(passes, s.draws, s.seed + 1, s.factor, given)
         keep = [i for i, y in enumerate(years) if not s.years_out or y in s.years_out]
         return pd.DataFrame({"mutation": mutation, "t": np.array([years[i] for i in keep], np.int32), "ell_km": ell, "weights": [paths[i].ravel() for i in keep]})
 

@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from geoprev.operators import grid as G
@@ -99,10 +100,35 @@ def test_quantiles_and_exceedance(spark):
 
 def test_lookup_checks(spark):
     df, look = spark.createDataFrame([("a",), ("b",)], "k string"), spark.createDataFrame([("a", 1), ("a", 2)], "k string, v int")
-    with pytest.raises(ValueError, match="repeats"):
-        R.lookup_join(df, look, "k", ["v"])
-    with pytest.raises(ValueError, match="not in"):
-        R.lookup_join(df, look.filter("v = 1"), "k", ["v"])
+    with pytest.raises(PySparkException, match="k repeats in the lookup: a"):
+        R.lookup_join(df.filter("k = 'a'"), look, "k", ["v"]).collect()
+    with pytest.raises(PySparkException, match="k is not in the lookup: b"):
+        R.lookup_join(df, look.filter("v = 1"), "k", ["v"]).count()
+    with pytest.raises(PySparkException, match="NULL"):
+        R.lookup_join(spark.createDataFrame([(None,)], "k string"), look.filter("v = 1"), "k", ["v"]).collect()
+    assert sorted(map(tuple, R.lookup_join(df.filter("k = 'a'"), look.filter("v = 2").union(look.filter("v = 2")), "k", ["v"]).collect())) == [("a", 2)]
+    assert R.lookup_join(df, look, "k", ["v"], strict=False).count() == 3
+
+
+def test_checks_cost_no_job(spark):
+    """A strict lookup and two counted tables are one job."""
+    df, look = spark.range(5).select(F.col("id").cast("string").alias("k")), spark.range(9).select(F.col("id").cast("string").alias("k"), F.col("id").alias("v"))
+    before, seen = R.counted(df, "before")
+    after, also = R.counted(R.lookup_join(before, look, "k", ["v"]), "after")
+    spark.sparkContext.setJobGroup("lookup", "lookup")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else every stage is a job
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert len(after.collect()) == 5
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("lookup")) == 1
+    R.checked_equal_rows(seen, also, "lookup")
+    some, few = R.counted(df.filter("k < '2'"), "few")
+    assert some.collect() and few.get["rows"] == 2
+    with pytest.raises(ValueError, match="5 rows became 2"):
+        R.checked_equal_rows(seen, few, "lookup")
 
 
 def test_sampling(spark):

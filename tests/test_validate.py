@@ -56,3 +56,20 @@ def test_columns(spark):
     assert V.assert_columns(d, {"a": V.column_rules(0, 2)})
     with pytest.raises(ValueError, match="'a'"):
         V.assert_columns(d, {"a": V.column_rules(required=True)})
+
+
+def test_order_of_columns(spark):
+    import random
+
+    from geoprev.functions import validate as V
+
+    r = random.Random(5)
+    for values in ([], [3.0], [1.0, 2.0, 2.0, 5.0], [5.0, 5.0, 1.0], [1.0, 3.0, 2.0], [float(i) for i in range(300)], [*map(float, range(200)), 150.0, *map(float, range(200, 300))], [1.0, None, 2.0]):
+        rows = list(enumerate(values))
+        r.shuffle(rows)
+        df = spark.createDataFrame(rows, "i int, v double").repartition(5)
+        got = V.check_order(df, "v", ["i"]).first()
+        whole = None not in values
+        assert got.increasing == (whole and all(a <= b for a, b in zip(values, values[1:])))
+        assert got.decreasing == (whole and all(a >= b for a, b in zip(values, values[1:])))
+        assert got.noduplicates == (len(set(values)) == len(values))
