@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import dataclasses
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,9 @@ from ..operators import pairs as P
 from ..operators import report as R
 from ..operators import spatial as S
 from ..operators.quantiles import exact_quantile
+from .. import shared
 from ..shared import stored
+from ..sources import arrays as A
 from . import kalman, model, rff, ridge, simulate, variogram
 
 QUERIES: dict = {}
@@ -566,6 +569,16 @@ def column_checks(spark, sf_dir):
     return V.check_columns(surveys(spark, sf_dir), rules)
 
 
+@query("SELECT label AS t, CAST(i // 8 AS INTEGER) AS iy, CAST(i % 8 AS INTEGER) AS ix, CAST(vec_id AS INTEGER) AS draw, round(CAST(embedding[i + 1] AS DOUBLE), 6) AS p FROM embeddings, range(64) r(i) WHERE label IN (2, 3, 7) AND i // 8 BETWEEN 2 AND 6 AND i % 8 BETWEEN 3 AND 4 AND vec_id BETWEEN 100 AND 1500")
+def array_slice(spark, sf_dir):
+    """A slice of times, window and draws of an array of vectors (label, 8 x 8 cells, vector), kept in chunks."""
+    long = G.draws_long(_read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), ["vec_id", "label"], "embedding")
+    cell = (F.col("draw") - 1).cast("int")
+    path = f"{shared.folder(spark)}/array-{uuid.uuid4().hex}"
+    A.write_array(long.select(F.col("label").alias("t"), F.floor(cell / 8).cast("int").alias("iy"), (cell % 8).alias("ix"), F.col("vec_id").cast("int").alias("draw"), F.col("value").alias("p")), path, chunk=(4, 4, 256))
+    return _rounded(A.read_array(spark, path, [2, 3, 7], (2, 6), (3, 4), (100, 1500), chunk=(4, 4, 256)), "p")
+
+
 def _order_sql(column: str, order: str) -> str:
     return (f"SELECT '{column}' AS rule, coalesce(bool_and(v >= coalesce(b, v)), true) AS increasing, coalesce(bool_and(v <= coalesce(b, v)), true) AS decreasing, (SELECT count(DISTINCT {column}) = count(*) FROM obs) AS noduplicates"
             f" FROM (SELECT {column} AS v, lag({column}) OVER (ORDER BY {order}) AS b FROM obs)")
