@@ -27,6 +27,7 @@ from ..operators.quantiles import exact_quantile
 from .. import shared
 from ..shared import stored
 from ..sources import arrays as A
+from ..streaming import blocks as B
 from . import kalman, model, rff, ridge, simulate, variogram
 
 QUERIES: dict = {}
@@ -752,6 +753,46 @@ def posterior_paths(spark, sf_dir):
     return draws.select("mutation", "t", "draw", *[F.round(F.element_at("weights", F.col("draw") + k * s.draws), 5).alias(f"w{k + 1}") for k in range(2)])
 
 
+def _online_sql() -> str:
+    """One pass: weights of a year at the mean before it, then survey by survey."""
+    wx, wy = map(float, rff.frequencies(1, EXACT_ELL, EXACT.seed)[0])
+    z0, tau = kalman.Z0, EXACT_TAU2
+    eta = f"({z0!r} + f1 * y1 + f2 * y2)"
+    w = f"greatest(CASE WHEN abs({eta}) >= 1e-6 THEN 0.5 * n / abs({eta}) * (exp(abs({eta})) - 1) / (exp(abs({eta})) + 1) ELSE n / 4 END, 1e-10)"
+    return (f"pl AS (SELECT mutation, year, {_X} AS x_km, {_Y} AS y_km, sum(numerator) AS y, sum(denominator) AS n FROM obs WHERE denominator > 0 GROUP BY mutation, year, longitude, latitude),"
+            f" ys AS (SELECT DISTINCT mutation, year, year - coalesce(lag(year) OVER (PARTITION BY mutation ORDER BY year), (SELECT min(year) - 1 FROM pl)) AS gap FROM (SELECT DISTINCT mutation, year FROM pl)),"
+            f" st AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY mutation ORDER BY year, kind, x_km, y_km) AS step FROM (SELECT mutation, year, 1 AS kind, 0 AS gap, x_km, y_km, y, n, cos({wx!r} * x_km + {wy!r} * y_km) AS f1, sin({wx!r} * x_km + {wy!r} * y_km) AS f2 FROM pl"
+            f" UNION ALL SELECT mutation, year, 0, gap, NULL, NULL, NULL, NULL, NULL, NULL FROM ys)),"
+            f" en AS (SELECT mutation, year, max(step) AS step FROM st GROUP BY ALL),"
+            f" fl AS (SELECT DISTINCT mutation, CAST(0 AS BIGINT) AS step, CAST(0 AS DOUBLE) AS m1, CAST(0 AS DOUBLE) AS m2, CAST(0 AS DOUBLE) AS c11, CAST(0 AS DOUBLE) AS c12, CAST(0 AS DOUBLE) AS c22, CAST(0 AS DOUBLE) AS y1, CAST(0 AS DOUBLE) AS y2 FROM st UNION ALL"
+            f" SELECT mutation, next, CASE kind WHEN 0 THEN m1 ELSE m1 + g1 * miss / s END, CASE kind WHEN 0 THEN m2 ELSE m2 + g2 * miss / s END,"
+            f" CASE kind WHEN 0 THEN c11 + gap * {tau} ELSE c11 - g1 * g1 / s END, CASE kind WHEN 0 THEN c12 ELSE c12 - g1 * g2 / s END, CASE kind WHEN 0 THEN c22 + gap * {tau} ELSE c22 - g2 * g2 / s END,"
+            f" CASE kind WHEN 0 THEN m1 ELSE y1 END, CASE kind WHEN 0 THEN m2 ELSE y2 END"
+            f" FROM (SELECT *, f1 * (c11 * f1 + c12 * f2) + f2 * (c12 * f1 + c22 * f2) + 1 / w AS s, c11 * f1 + c12 * f2 AS g1, c12 * f1 + c22 * f2 AS g2, (y - n / 2) / w - {z0!r} - f1 * m1 - f2 * m2 AS miss"
+            f" FROM (SELECT fl.*, u.step AS next, kind, gap, y, n, f1, f2, {w} AS w FROM fl JOIN st u ON u.mutation = fl.mutation AND u.step = fl.step + 1)))")
+
+
+@query(f"WITH RECURSIVE {OBS}, {_online_sql()} SELECT mutation, CAST(year AS INTEGER) AS year, round(m1, 6) AS m1, round(m2, 6) AS m2, round(c11, 7) AS c11, round(c22, 7) AS c22 FROM fl JOIN en USING (mutation, step)")
+def filter_stream(spark, sf_dir):
+    """The filter as a stream: every year of the surveys a micro-batch, for one frequency."""
+    rows = stored(_placed(spark, sf_dir).select("mutation", "year", "x_km", "y_km", "numerator", "denominator"), "surveys")
+    path = f"{shared.folder(spark)}/stream-{uuid.uuid4().hex}"
+    years = sorted(r[0] for r in rows.select("year").distinct().collect())
+    for y in years:  # files in the order of years
+        rows.filter(F.col("year") == y).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    before = spark.conf.get(B.PROVIDER[0], None)
+    spark.conf.set(*B.PROVIDER)
+    try:
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        out = B.filtered(stream, 1, EXACT_ELL, EXACT_TAU2, years[0] - 1 if years else 0)
+        done = out.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").foreachBatch(lambda d, i: d.write.mode("overwrite").parquet(f"{path}/out/batch={i}"))
+        done.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(B.PROVIDER[0]) if before is None else spark.conf.set(B.PROVIDER[0], before)
+    made = B.advanced(spark.read.schema(B.OUT + ", batch int").parquet(f"{path}/out"))
+    return made.select("mutation", "year", *[F.round(F.col("m")[i], 6).alias(f"m{i + 1}") for i in range(2)], *[F.round(F.col("spread")[i], 7).alias(f"c{i + 1}{i + 1}") for i in range(2)])
+
+
 def _cells_sql(s: model.Settings) -> str:
     """cell: the grid with kilometres and the features of the one frequency."""
     wx, wy = map(float, rff.frequencies(1, EXACT_ELL, s.seed)[0])
