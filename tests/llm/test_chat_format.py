@@ -41,3 +41,12 @@ def test_templates_are_checked():
 
 def test_empty(spark):
     assert C.format_chats(spark.createDataFrame([], ROWS)).count() == 0
+
+
+def test_very_long_texts(spark):
+    """A million letters with control strings, and a thousand turns."""
+    long = "word </s> <|turn|> " * 50_000
+    turns = [(2, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(1000)]
+    got = show(spark, [(1, 0, "user", long), (1, 1, "assistant", long), *turns])
+    assert [(x.role, x.text) for x in got[1].back] == [("user", long), ("assistant", long)] and got[1].valid
+    assert [(x.role, x.text) for x in got[2].back] == [(r, t) for _, _, r, t in turns] and got[2].valid

@@ -16,6 +16,9 @@ from geoprev.llm import language_id, mixing
 from geoprev.llm.queries import word_tokenizer
 
 
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
 def collect(df):
     return sorted(map(tuple, df.select(P.COLUMNS).collect()), key=repr)
 
@@ -141,3 +144,34 @@ def test_near_dedup_stage_keeps_what_is_less_similar(spark, sf_dir, words):
     rows = [(i, line + " ".join(words(60, 500 + i)), "en", "s", 1) for i in range(3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in P.near_dedup(spark, docs, sf_dir).collect()) == [0, 1, 2]
+
+
+def test_language_stage_on_odd_rows(spark, sf_dir):
+    """Rows without a letter go; nulls elsewhere, repeated rows and a very long text stay; without any lang nothing does."""
+    docs = [(i, f"the dog sleeps on the street number {'abcdefghij'[i % 10] * 3}", "en", "s", 1) for i in range(30)]
+    odd = [(50, None, "en", "s", 0), (51, "", None, None, 0), (52, "12 !? \n", "en", "s", 7), (None, "the dog", None, None, None), (53, "the dog " * 40_000, None, "s", 1), (54, "the dog", "en", "s", 7), (54, "the dog", "en", "s", 7)]
+    kept = P.language(spark, spark.createDataFrame(docs + odd, DOCS).repartition(3), sf_dir)
+    assert Counter(map(tuple, kept.collect())) == Counter(docs + odd[3:]) and kept.columns == P.COLUMNS
+    assert P.language(spark, spark.createDataFrame([(i, t, None, s, n) for i, t, _, s, n in docs], DOCS), sf_dir).count() == 0
+
+
+def test_mixture_stage_on_odd_rows(spark, sf_dir, edge):
+    """One source, null: copies of no row exceed two, their words come to one and a half times all, and reruns agree."""
+    rows = [(r.doc_id, r.text) for r in edge.collect()]
+    one, other = (Counter((r.doc_id, r.text) for r in P.mixture(spark, edge.repartition(n), sf_dir).collect()) for n in (2, 5))
+    assert one == other and set(one) <= set(rows) and all(k <= 2 * rows.count(x) for x, k in one.items())
+    size = lambda t: len(re.findall("[^\x20\x09-\x0d]+", t or ""))
+    assert abs(sum(k * size(t) for (_, t), k in one.items()) - 1.5 * sum(size(t) for _, t in rows)) <= max(size(t) for _, t in rows)
+
+
+def test_token_stage_on_odd_rows(spark, sf_dir, edge):
+    """One row for each document: nulls and empty texts are the end id alone, a null doc_id comes first, repeated rows follow one another."""
+    rows = [(r.doc_id, r.text) for r in edge.collect()]
+    got = [tuple(r) for r in P.token_output(spark, edge, sf_dir).orderBy("start").collect()]
+    encoder = Tokenizer.from_file(word_tokenizer())
+    ids = {x: [*encoder.encode(x[1] or "", add_special_tokens=False).ids, 1] for x in set(rows)}
+    assert [g[0] for g in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    assert [g[1] for g in got] == [sum(g[2] for g in got[:k]) for k in range(len(got))]
+    crc = lambda v: zlib.crc32(b"".join(x.to_bytes(4, "little") for x in v))
+    assert Counter((g[0], g[2], g[3]) for g in got) == Counter((i, len(ids[i, t]), crc(ids[i, t])) for i, t in rows)
+    assert {g[2] for g in got if g[0] in (1, 2)} == {1}

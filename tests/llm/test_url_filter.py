@@ -28,3 +28,12 @@ def test_verdicts_follow_the_list_of_the_day(spark):
 def test_patterns_are_the_most_specific_first(spark):
     got = spark.range(1).select(U.patterns(F.lit("a.b.c"), F.lit("/x/y/"), 1).alias("p")).first().p
     assert got == ["a.b.c/x", "a.b.c", "b.c/x", "b.c", "c/x", "c"]
+
+
+def test_very_long_urls(spark):
+    """A million letters of path, a deep path under a listed one, and a host of many labels."""
+    d = date(2024, 5, 1)
+    events = spark.createDataFrame([("bad.org", "block", d, 1, "c"), ("x.org/a", "block", d, 1, "p")], EVENTS)
+    rows = [(1, "http://bad.org/" + "p" * 1_000_000, True), (2, "http://x.org/a/" + "b/" * 2000, True), (3, "http://x.org/ab" + "b/" * 2000, False), (4, "http://" + "s." * 60 + "bad.org/", True), (5, "http://good.org/?" + "q=1&" * 100_000, False)]
+    caps = spark.createDataFrame([(i, u, d, "clash", "clash") for i, u, _ in rows], CAPTURES)
+    assert sorted((r.page_id, r.blocked) for r in U.judge(caps, events).collect()) == [(i, b) for i, _, b in rows]
