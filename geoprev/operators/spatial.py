@@ -7,6 +7,7 @@ polygon's attributes come back by its number. Points on a shared border match ev
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -104,31 +105,52 @@ def repaired(polygons: DataFrame) -> DataFrame:
     return _mapped(polygons, overlay.repair)
 
 
-def dissolve(polygons: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """One polygon (by, rings) for the polygons of each group, or for all of them.
+def _united(polygons: DataFrame, keys: list[str], at_once: int = 32) -> DataFrame:
+    """One polygon for each key: the union of its polygons, which a task takes some at a time."""
 
-    Polygons of a batch are united before the shuffle, so a group sends a polygon a batch, not one a row.
-    """
-    keys = by or ["_all"]
-    rows = polygons.select(*by, "rings") if by else polygons.select(F.lit(0).alias("_all"), "rings")
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            groups: dict = {}
-            for i, key in enumerate(zip(*(b.column(c).to_pylist() for c in keys))):
-                groups.setdefault(key, []).append(i)
-            first, rings = [rows[0] for rows in groups.values()], b.column("rings")
-            made = [overlay.union([rings[i].as_py() or [] for i in rows]) for rows in groups.values()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(first, pa.int64())) for c in keys), pa.array(map(_as_rings, made), rings.type)], names=[*keys, "rings"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, kind = None, [], None
 
-    parts = rows.mapInArrow(part, rows.schema).groupBy(*keys).agg(F.collect_list("rings").alias("parts"))
+        def made() -> pa.RecordBatch:
+            columns = [pa.array([v], schema.field(c).type) for c, v in zip(keys, at)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([_as_rings(overlay.union(held))], kind)], names=[*keys, "rings"])
 
-    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kind = b.schema.field("parts").type.value_type
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keys), pa.array((_as_rings(overlay.union(x)) for x in b.column("parts").to_pylist()), kind)], names=[*keys, "rings"])
+            schema = b.schema
+            kind = b.schema.field("rings").type
+            for key, rings in zip(zip(*(b.column(c).to_pylist() for c in keys)), b.column("rings").to_pylist()):
+                if key != at:
+                    if at is not None:
+                        yield made()
+                    at, held = key, []
+                held.append(rings or [])
+                if len(held) == at_once:
+                    held = [overlay.union(held)]
+        if at is not None:
+            yield made()
+
+    rows = polygons.select(*keys, "rings")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, rows.schema)
+
+
+def dissolve(polygons: DataFrame, by: list[str] | None = None, levels: int | None = None) -> DataFrame:
+    """One polygon (by, rings) for the polygons of each group, or for all of them.
 
-    out = parts.mapInArrow(one, rows.schema)
+    Polygons are united tile by tile, then four tiles at a time up to one, so a group uses many tasks and borders inside a tile are gone before
+    its polygon moves; the last task of a group has the borders of four quarters. levels: of halving the sides of the whole box; by default a
+    tile has about 16 polygons. The box and the number of polygons come to the driver.
+    """
+    keys = by or ["_all"]
+    rows = with_box(polygons if by else polygons.withColumn("_all", F.lit(0)))
+    r = rows.agg(F.count(F.lit(1)).alias("n"), F.min("xmin").alias("x0"), F.max("xmax").alias("x1"), F.min("ymin").alias("y0"), F.max("ymax").alias("y1")).first()
+    if levels is None:
+        levels = min(10, max(0, math.ceil(math.log(max(1, r["n"]) / 16, 4))))
+    side = [(r["x0"] or 0.0, ((r["x1"] or 0.0) - (r["x0"] or 0.0)) or 1.0), (r["y0"] or 0.0, ((r["y1"] or 0.0) - (r["y0"] or 0.0)) or 1.0)]
+    cells = [F.coalesce(F.least(F.floor(((F.col(f"{c}min") + F.col(f"{c}max")) / 2 - low) / width * 2**levels), F.lit(2**levels - 1)).cast("long"), F.lit(0).cast("long")) for c, (low, width) in zip("xy", side)]
+    out = rows.select(*keys, cells[0].alias("_cx"), cells[1].alias("_cy"), "rings")
+    for _ in range(levels):
+        out = _united(out, [*keys, "_cx", "_cy"]).withColumn("_cx", F.shiftright("_cx", 1)).withColumn("_cy", F.shiftright("_cy", 1))
+    out = _united(out, keys)
     return out if by else out.drop("_all")
 
 
