@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import Box
+from ..shared import stored
 
 
 def axis(lo: float, hi: float, n: int) -> Column:
@@ -52,14 +53,16 @@ def yearly_rate(first: Column, last: Column, years: int = 12) -> Column:
 def with_row_number(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
     """A surrogate index from 1 in a total order, by two-level counting instead of one task.
 
-    Rows are range-partitioned; the counts of the ranges (a row each) give the numbers before each range.
+    Rows are dealt by ranges and written once, so that a range holds the same rows for whatever reads it; the counts of the ranges, a row
+    each, come to the driver and give the numbers before each range.
     """
-    from pyspark.sql import Window
-
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    local = parts.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    counts = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_k"))
-    base = counts.alias("a").join(counts.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy(F.col("a._part").alias("_part")).agg(F.coalesce(F.sum("b._k"), F.lit(0)).alias("_base"))
+    ranges = stored(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before, bases = 0, []
+    for r in ranges.groupBy("_part").count().orderBy("_part").collect():
+        bases.append((r["_part"], before))
+        before += r["count"]
+    base = df.sparkSession.createDataFrame(bases, "_part int, _base long")
+    local = ranges.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     return local.join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + F.col("_n")).drop("_part", "_n", "_base")
 
 
