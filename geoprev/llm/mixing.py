@@ -9,8 +9,8 @@ limit of a flow falls into is taken or left as a whole, so its rows go nowhere;
 hold a limit (one for each limit of a pattern, 1 / BUCKETS of its rows), equal rows as one with their number.
 
 A source with a third of all rows is dealt over all buckets, and so are rows of one identifier; equal rows are summed before they
-meet. Patterns are collected to the driver; more than max_patterns raises an error (100,000 patterns of two sources take
-the network about half a minute).
+meet. Patterns are collected to the driver; more than max_patterns raises an error (100,000 patterns of two of 2,000 sources
+took the network 5.5 s).
 
 Defined results: a null source is a source of its own, last; null text has size 0; repeated rows count each; reruns agree on every
 row and carried column, whatever the partitions (rows equal in all of them can't be told apart); an empty table gives no rows.
