@@ -899,12 +899,12 @@ def sample_cells(spark, sf_dir):
 
 #: Terms of a trend surface; folds go by the survey's number and year.
 TERMS = ("1.0", "x", "y", "t", "x * y", "x * x", "y * y", "t * t")
-_TREND = f"f AS (SELECT *, [{', '.join(TERMS)}] AS v, (CAST(survey_id AS BIGINT) * 7 + year) % 5 AS fold FROM (SELECT *, (longitude - 35) / 10 AS x, (latitude - 5) / 10 AS y, (year - 2018) / 4.0 AS t, {LOGIT} AS z FROM obs WHERE denominator > 0))"
+_TREND = f"f AS (SELECT *, [{', '.join(TERMS)}] AS v, (CAST(survey_id AS BIGINT) * 7 + year) % 5 AS fold FROM (SELECT *, (longitude - 34.3) / 10.3 AS x, (latitude - 4.4) / 9.7 AS y, (year - 2017.6) / 4.1 AS t, {LOGIT} AS z FROM obs WHERE denominator > 0))"
 
 
 def _trend(spark, sf_dir) -> dict[int, ridge.Sums]:
     rows = O.with_logit(O.valid_counts(surveys(spark, sf_dir)))
-    x, y, t = (F.col("longitude") - 35) / 10, (F.col("latitude") - 5) / 10, (F.col("year") - 2018) / 4.0
+    x, y, t = (F.col("longitude") - 34.3) / 10.3, (F.col("latitude") - 4.4) / 9.7, (F.col("year") - 2017.6) / 4.1
     fold = (F.col("survey_id").cast("long") * 7 + F.col("year")) % 5
     terms = F.array(F.lit(1.0), x, y, t, x * y, x * x, y * y, t * t)
     return ridge.fold_sums(rows, terms, F.col("z"), fold, len(TERMS))
