@@ -39,7 +39,9 @@ def _without(word: str, k: int) -> str:
 
 def _counted(ids: pa.Array, texts: pa.Array, least: int, every: int) -> pa.Table:
     """word and n of some rows; a run whose CRC with its document is a multiple of `every` loses a letter (0: none does)."""
-    runs = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")), f"[^{RUN[1:-1]}]+")
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = pa.concat_arrays([texts, texts.slice(0, 0)])  # a copy of its own: ascii_lower errs on slices
+    runs = pc.split_pattern_regex(pc.ascii_lower(texts), f"[^{RUN[1:-1]}]+")
     doc, flat = pc.list_parent_indices(runs).to_numpy(), runs.flatten()
     length = pc.utf8_length(flat).to_numpy()
     long = length >= least

@@ -3,6 +3,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from geoprev.llm import queries, spelling, trie
@@ -105,3 +106,15 @@ def test_chains_ties_and_odd_tables(spark, edge, empty):
     long = "x" * 10_000  # a run of ten thousand letters, and two that differ from it in one
     docs = spark.createDataFrame([(i, f"{long} {long[:5_000]}y{long[5_001:]} {long}x") for i in range(3)], "doc_id long, text string")
     assert {(len(w), v[3]) for w, v in got(spelling.variants(docs)).items()} == {(10_000, 2), (10_000, 1), (10_001, 1)}
+
+
+def test_slices_of_batches(spark):
+    """Texts without nulls whose batch is cut into slices: Arrow's ascii_lower errs on a slice that was cast."""
+    texts = pa.array(["", "Alphas beta", "GAMMA delta delta", "é"])
+    t = spelling._counted(pa.array(["1", "2"]), texts.slice(2, 2), 5, 0)
+    assert dict(zip(t["word"].to_pylist(), t["n"].to_pylist())) == {"gamma": 1, "delta": 2}
+    r = random.Random(11)
+    vocabulary = ["".join(r.choice("abÀ") for _ in range(r.randint(4, 7))) for _ in range(60)]
+    rows = [(i, " ".join(r.choice(vocabulary) for _ in range(180_000)) + f" Only{chr(97 + i)} " * 3) for i in range(9)]  # over 8 MB: a batch and a bit
+    assert sum(len(t.encode()) for _, t in rows) > 9 << 20
+    assert got(spelling.variants(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), every=97)) == plain(rows)
